@@ -1,7 +1,7 @@
 """Exact token counts of every prefix by dynamic programming over byte-pair pieces.
 
 A text falls apart where no piece of the vocabulary can reach across (before a run of spaces, at line
-ends). Within such a chunk, the encoding of each prefix is the encoding of a shorter prefix plus one
+ends, between a letter and a stop). Within such a chunk, the encoding of each prefix is the encoding of a shorter prefix plus one
 last piece, and just one piece fits: the one that stays whole beside the piece before it. So one pass
 over the characters gives the count of every prefix, which answers truncation and budget questions
 without encoding anything again. Each worker remembers the counts of the chunks it has seen.
@@ -39,9 +39,11 @@ class PrefixCounter:
             raise ValueError("the model changes texts before it splits them")
         if any(re.search("[^ ] ", p) for p in self.score):
             raise ValueError("a piece reaches across a space")
-        apart = "".join(c for c in "\n\t" if not any(c in p for p in self.score))
-        self._chunks = re.compile(rf"[{apart}]| +[^ {apart}]*|[^ {apart}]+" if apart else r" +[^ ]*|[^ ]+").findall
-        self._joined = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        joined = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        apart = "".join(c for c in "\n\t" if not any(c in x for x in joined))
+        after = "".join(c for c in ",.!?:;" if not any(x[1] == c and re.match(r"[^\W\d_]", x[0]) for x in joined))
+        more = rf"(?:(?<![^\W\d_])[{after}]+[^ {apart}{after}]*)*" if after else ""
+        self._chunks = re.compile((rf"[{apart}]|" if apart else "") + rf"(?: +|[^ {apart}])[^ {apart}{after}]*{more}").findall
         self._whole: dict[str, bool] = {}
         self._beside: dict[tuple[str, str], bool] = {}
         self._prefix: dict[str, int] = {"": 0}
@@ -75,7 +77,7 @@ class PrefixCounter:
         return whole
 
     def _extend(self, run: str) -> int:
-        """The state of a run: its token count and the length of its last piece, as count * 64 + length.
+        """The state of a chunk: its token count and the length of its last piece, as count * 64 + length.
 
         States are kept by prefix, so a run costs only the characters after its longest known prefix.
         """
@@ -93,23 +95,10 @@ class PrefixCounter:
                         break
         return known[run]
 
-    def _runs(self, chunk: str) -> list[str]:
-        """A chunk cut wherever two characters stand side by side in no piece."""
-        joined, cut, out = self._joined, 0, []
-        for i in range(1, len(chunk)):
-            if chunk[i - 1 : i + 1] not in joined:
-                out.append(chunk[cut:i])
-                cut = i
-        return [*out, chunk[cut:]]
-
     def chunk_counts(self, chunk: str) -> list[int]:
         """The token count of each non-empty prefix of a chunk."""
-        out, before = [], 0
-        for run in self._runs(chunk):
-            self._extend(run)
-            own = [before + (self._prefix[run[:i]] >> 6) for i in range(1, len(run) + 1)]
-            out += own
-            before = own[-1]
+        self._extend(chunk)
+        out = [self._prefix[chunk[:i]] >> 6 for i in range(1, len(chunk) + 1)]
         self._forget()
         return out
 
@@ -130,7 +119,7 @@ class PrefixCounter:
         totals, extra = self._totals, {}
         for chunk in {c for c in chunks if c not in totals}:
             kept = totals if len(chunk) <= CHUNK else extra
-            kept[chunk] = sum([self._extend(run) >> 6 for run in self._runs(chunk)])
+            kept[chunk] = self._extend(chunk) >> 6
         return sum([totals[c] if c in totals else extra[c] for c in chunks])
 
     def prefix_counts(self, text: str) -> np.ndarray:
