@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks, prefixes and piece pairs that a worker remembers; longer chunks than CHUNK characters are not kept.
-REMEMBERED, CHUNK = 500_000, 48
+#: Chunks and piece pairs that a worker remembers, characters counted together, bits of the hash tables' slots.
+REMEMBERED, BLOCK, SLOTS, PAIR_SLOTS = 400_000, 1 << 20, 18, 20
 MARK = "▁"
 
 
@@ -44,9 +44,10 @@ class PrefixCounter:
         after = "".join(c for c in ",.!?:;" if not any(x[1] == c and re.match(r"[^\W\d_]", x[0]) for x in joined))
         more = rf"(?:(?<![^\W\d_])[{after}]+[^ {apart}{after}]*)*" if after else ""
         self._chunks = re.compile((rf"[{apart}]|" if apart else "") + rf"(?: +|[^ {apart}])[^ {apart}{after}]*{more}").findall
-        self._whole: dict[str, bool] = {}
-        self._beside: dict[tuple[str, str], bool] = {}
-        self._prefix: dict[str, int] = {"": 0}
+        self._pieces = [p for p in self.score if self._merged(p) == [p]]
+        self._trie = _Ends(self._pieces)
+        self._beside: dict[int, bool] = {}
+        self._slot_keys, self._slot_fits = np.full(1 << PAIR_SLOTS, -1, np.int64), np.zeros(1 << PAIR_SLOTS, bool)
         self._totals: dict[str, int] = {}
 
     def _merged(self, text: str) -> list[str]:
@@ -62,93 +63,168 @@ class PrefixCounter:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _fits(self, before: str, piece: str) -> bool:
-        fits = self._beside.get((before, piece))
-        if fits is None:
+    def _name(self, number: int) -> str:
+        return self._pieces[number] if number >= 0 else chr(-1 - number)
+
+    def _fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether two pieces side by side stay as they are; answers are kept in slots."""
+        keys = (before + (1 << 21)) << 22 | piece + (1 << 21)
+        slots = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_SLOTS)).astype(np.int64)
+        fits = self._slot_fits[slots]
+        new = np.flatnonzero(self._slot_keys[slots] != keys)
+        if len(new):
             if len(self._beside) > REMEMBERED:
                 self._beside.clear()
-            fits = self._beside[before, piece] = self._merged(before + piece) == [before, piece]
+            distinct, back = np.unique(keys[new], return_inverse=True)
+            found = np.array([self._beside[k] if k in self._beside else self._tried(k) for k in distinct.tolist()])
+            fits[new] = found[back]
+            self._slot_keys[slots[new]], self._slot_fits[slots[new]] = keys[new], fits[new]  # of two keys in a slot the last stays
         return fits
 
-    def _is_whole(self, piece: str) -> bool:
-        whole = self._whole.get(piece)
-        if whole is None:
-            whole = self._whole[piece] = self._merged(piece) == [piece]
-        return whole
+    def _tried(self, key: int) -> bool:
+        pair = [self._name((key >> 22) - (1 << 21)), self._name((key & (1 << 22) - 1) - (1 << 21))]
+        fits = self._beside[key] = self._merged("".join(pair)) == pair
+        return fits
 
-    def _extend(self, run: str) -> int:
-        """The state of a chunk: its token count and the length of its last piece, as count * 64 + length.
+    def prefix_table(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The token counts of all prefixes of all chunks, one after another, and where each chunk starts.
 
-        States are kept by prefix, so a run costs only the characters after its longest known prefix.
+        A chunk of n characters has n + 1 counts, from the empty prefix on. The last piece of a prefix is the
+        longest end that is a piece and fits beside the last piece of what stands before it. All chunks
+        go ahead together, a character at a time.
         """
-        known, score = self._prefix, self.score
-        done = len(run)
-        while run[:done] not in known:
-            done -= 1
-        for end in range(done + 1, len(run) + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = run[start:end]
-                if piece in score and self._is_whole(piece) or end - start == 1:
-                    before = known[run[:start]]
-                    if not start or self._fits(run[start - (before & 63) : start], piece):
-                        known[run[:end]] = ((before >> 6) + (1 if piece in score else len(piece.encode()))) << 6 | end - start
-                        break
-        return known[run]
+        size = np.array([len(c) for c in chunks], np.int64)
+        start = np.r_[0, np.cumsum(size + 1)]
+        counts, last = np.zeros(start[-1], np.int64), np.zeros(start[-1], np.int64)
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        within = np.arange(1, len(points) + 1) - np.repeat(np.r_[0, np.cumsum(size)][:-1], size)
+        end = np.repeat(start[:-1], size) + within
+        position, length, piece = self._trie.matches(points, within)
+        alone = np.ones(len(points), bool)
+        alone[position[length == 1]] = False
+        alone = np.flatnonzero(alone)
+        position, length = np.r_[position, alone], np.r_[length, np.ones(len(alone), np.int64)]
+        piece = np.r_[piece, -1 - points[alone]]  # a character outside the vocabulary is its bytes
+        order = np.argsort((within[position] << 8) - length, kind="stable")
+        position, length, piece = position[order], length[order], piece[order]
+        at, cost = end[position], np.where(piece >= 0, 1, 1 + (piece < -0x80) + (piece < -0x800) + (piece < -0x10000))
+        done = np.zeros(start[-1], bool)
+        step = within[position] << 8 | length
+        cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(step) else []
+        for a, b in zip(cuts, [*cuts[1:], len(step)]):
+            here = np.arange(a, b)[~done[at[a:b]]]
+            if length[a] < within[position[a]]:
+                here = here[self._fits(last[at[here] - length[a]], piece[here])]
+            to = at[here]
+            done[to] = True
+            last[to] = piece[here]
+            counts[to] = counts[to - length[a]] + cost[here]
+        return counts, start
 
     def chunk_counts(self, chunk: str) -> list[int]:
-        """The token count of each non-empty prefix of a chunk."""
-        self._extend(chunk)
-        out = [self._prefix[chunk[:i]] >> 6 for i in range(1, len(chunk) + 1)]
-        self._forget()
-        return out
-
-    def _forget(self) -> None:
-        if len(self._prefix) > REMEMBERED:
-            self._prefix = {"": 0}
-        if len(self._totals) > REMEMBERED:
-            self._totals = {}
+        return self.prefix_table([chunk])[0].tolist()
 
     def chunks(self, text: str) -> list[str]:
         return self._chunks(" " + text.replace(MARK, " ")) if text else []
 
-    def total(self, chunks: list[str]) -> int:
-        try:
-            return sum(map(self._totals.__getitem__, chunks))
-        except KeyError:
-            self._forget()
-        totals, extra = self._totals, {}
-        for chunk in {c for c in chunks if c not in totals}:
-            kept = totals if len(chunk) <= CHUNK else extra
-            kept[chunk] = self._extend(chunk) >> 6
-        return sum([totals[c] if c in totals else extra[c] for c in chunks])
+    def learn(self, chunks: list[list[str]]) -> None:
+        """Count the chunks that are not known yet, all at once."""
+        if len(self._totals) > REMEMBERED:
+            self._totals = {}
+        totals = self._totals
+        new = list({c for own in chunks for c in own if c not in totals})
+        if new:
+            counts, start = self.prefix_table(new)
+            totals.update(zip(new, counts[start[1:] - 1].tolist()))
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of ``text[:i]`` for every i from 0 to its length."""
-        out, before = [], 0
-        for chunk in self.chunks(text):
-            own = self.chunk_counts(chunk)
-            out += [before + n for n in own]
-            before += own[-1]
-        return np.array([0, *out[1:]], np.int64)  # the mark in front is no character of the text
-
-    def total_and_fit(self, text: str, limit: int) -> tuple[int, int]:
-        """Tokens of the text, and the length of its longest prefix of at most ``limit`` tokens."""
-        chunks = self.chunks(text)
-        total = self.total(chunks)
-        if total <= limit:
-            return total, len(text)
-        before = at = fit = 0
-        for chunk in chunks:
-            n = self.total([chunk])
-            if before + n > limit - self.longest:  # else all of its prefixes fit, or a later chunk has a longer one
-                fits = [i for i, m in enumerate(self.chunk_counts(chunk), 1) if before + m <= limit]
-                fit = at + fits[-1] if fits else fit
-            if before > limit:
-                break
-            at += len(chunk)
-            before += n
-            fit = at if before <= limit else fit
-        return total, max(0, fit - 1)
+        counts, start = self.prefix_table(self.chunks(text))
+        before = np.r_[0, np.cumsum(counts[start[1:] - 1])]
+        every = counts + np.repeat(before[:-1], np.diff(start))
+        inside = np.ones(len(counts), bool)
+        inside[start[:-1]] = False
+        return np.r_[0, every[inside][1:]]  # the mark in front is no character of the text
+
+    def totals_and_fits(self, texts: list[str], limit: int) -> list[tuple[int, int]]:
+        """Tokens of each text, and the length of its longest prefix of at most ``limit`` tokens."""
+        split = [self.chunks(t) for t in texts]
+        self.learn(split)
+        known = self._totals.__getitem__
+        out = []
+        for text, chunks in zip(texts, split):
+            total = sum(map(known, chunks))
+            out.append((total, len(text) if total <= limit else self._fit(chunks, limit)))
+        return out
+
+    def _fit(self, chunks: list[str], limit: int) -> int:
+        tokens = np.cumsum([self._totals[c] for c in chunks])
+        last = int(np.searchsorted(tokens, limit, "right"))  # the first chunk that ends beyond the limit
+        first = int(np.searchsorted(tokens, limit - self.longest))  # those before it go less far
+        counts, start = self.prefix_table(chunks[first : last + 1])
+        before = np.r_[0, tokens][first : last + 1]
+        fits = np.flatnonzero(counts + np.repeat(before, np.diff(start)) <= limit)[-1]
+        chunk = int(np.searchsorted(start, fits, "right")) - 1
+        return max(0, sum(map(len, chunks[: first + chunk])) + int(fits - start[chunk]) - 1)
+
+
+class _Ends:
+    """A trie of the pieces read backwards; its edges in a table with open addressing."""
+
+    def __init__(self, pieces: list[str]) -> None:
+        codes = {c: i for i, c in enumerate(sorted(set("".join(pieces))), 1)}
+        self.code = np.zeros(0x110000, np.int64)
+        self.code[[ord(c) for c in codes]] = list(codes.values())
+        self.width, self.longest = len(codes) + 1, max(map(len, pieces))
+        edges: dict[int, int] = {}
+        ends = [-1]
+        for number, piece in enumerate(pieces):
+            state = 0
+            for c in reversed(piece):
+                key = state * self.width + codes[c]
+                state = edges.setdefault(key, len(ends))
+                if state == len(ends):
+                    ends.append(-1)
+            ends[state] = number
+        self.piece = np.array(ends, np.int64)
+        self.keys, self.next = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, np.int64)
+        keys = np.fromiter(edges, np.int64)
+        for key, slot, state in zip(keys.tolist(), self._slot(keys).tolist(), edges.values()):
+            while self.keys[slot] >= 0:
+                slot = slot + 1 & (1 << SLOTS) - 1
+            self.keys[slot], self.next[slot] = key, state
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+    def _step(self, keys: np.ndarray) -> np.ndarray:
+        """The next state of each (state, code), -1 where there is none."""
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.next[slot], -1)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            slot[open_] = slot[open_] + 1 & (1 << SLOTS) - 1
+            found = self.keys[slot[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.next[slot[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+    def matches(self, points: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each piece that ends at a position, within the position's chunk: position, length, number."""
+        code = self.code[points]
+        live, state, out = np.arange(len(points)), np.zeros(len(points), np.int64), []
+        for length in range(1, self.longest + 1):
+            state = self._step(state * self.width + code[live - length + 1])
+            live, state = live[state >= 0], state[state >= 0]
+            number = self.piece[state]
+            whole = number >= 0
+            out.append((live[whole], np.full(int(whole.sum()), length), number[whole]))
+            more = within[live] > length
+            live, state = live[more], state[more]
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 @lru_cache(maxsize=2)
@@ -156,6 +232,19 @@ def counter(model_path: str) -> PrefixCounter:
     return PrefixCounter(model_path)
 
 
+def _some(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about BLOCK characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= BLOCK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_tokens, over_limit, fit_chars; with ``prefixes`` also
     prefix_tokens, the token count of every prefix by characters.
@@ -169,8 +258,9 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(model_path)
         for batch in batches:
-            texts = batch["text"].fill_null("").to_pylist()
-            got = [own.total_and_fit(t, limit) for t in texts]
+            texts, got = batch["text"].fill_null("").to_pylist(), []
+            for few in _some(texts):
+                got += own.totals_and_fits(few, limit)
             tokens = np.array([n for n, _ in got], np.int64)
             columns = [pa.compute.binary_length(batch["text"]).cast(pa.int64()).fill_null(0), tokens, tokens > limit, [f for _, f in got]] + [[own.prefix_counts(t) for t in texts]] * prefixes
             yield pa.RecordBatch.from_arrays([batch[id_col], *(pa.array(c, t) if not isinstance(c, pa.Array) else c for c, (_, t) in zip(columns, fields))], [id_col, *(n for n, _ in fields)])
