@@ -14,6 +14,7 @@ added. No sort and no task for all pieces of a common length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ from quarry.llm.common import materialise
 CAPACITY, END_ID = 2048, 0
 #: Words that a worker remembers, and the longest of them in bytes.
 REMEMBERED, WORD = 400_000, 48
+_MORE = rb"[^\s.,;:!?]*(?:(?<![A-Za-z])[.,;:!?]+[^\s.,;:!?]*)*"
+PARTS = re.compile(rb"[^\s.,;:!?]" + _MORE + rb"|[.,;:!?]" + _MORE).findall
 
 
 class WordEncoder:
@@ -43,8 +46,9 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids. ASCII white space parts the words given to the library."""
-        words, known = text.split(), self.known
+        """Little-endian unsigned 32-bit ids. The library gets words: no token crosses ASCII white space,
+        or goes from an ASCII letter to a stop. It lower-cases texts itself, but for special strings."""
+        words, known = PARTS(text if b"<|" in text else text.lower()), self.known
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
