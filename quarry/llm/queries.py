@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, jaccard_join, language, mixing, packing, quality, token_counts
+from quarry.llm import exact_dedup, jaccard_join, language, lm_scoring, mixing, packing, quality, token_counts
 from quarry.llm.common import read
 
 
@@ -41,6 +41,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
+    "op8_lm_scoring": op8_lm_scoring,
     "op10_packing": op10_packing,
 }
 
