@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, jaccard_join, language, lm_scoring, mixing, packing, quality, token_counts
+from quarry.llm import exact_dedup, jaccard_join, language, lm_scoring, mixing, packing, personal_data, quality, token_counts
 from quarry.llm.common import read
 
 
@@ -45,6 +45,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scored(_table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_personal_data": op9_personal_data,
     "op10_packing": op10_packing,
 }
 
