@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup
-from quarry.llm.common import materialise, read
+from quarry.llm import exact_dedup, jaccard_join, language, mixing, packing
+from quarry.llm.common import bounded_batches, materialise, read
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts of a recognised language stay; the filters learn from the labelled rows."""
+    return language.keep_known(bounded_batches(docs))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return exact_dedup.keep_one(docs)
+    return exact_dedup.keep_one(bounded_batches(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts stays."""
+    return jaccard_join.keep_one(bounded_batches(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it, from none to three times."""
+    return mixing.emit(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each piece of a document in sequences of 2048 tokens."""
+    return packing.pack(bounded_batches(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("exact_dedup", exact)]
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
+#: SQL has neither the language model, the similarity join nor the packing; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -8,13 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import exact_dedup, jaccard_join, language, lm_scoring, mixing, packing, personal_data, quality, token_counts
-from quarry.llm.common import read
+from quarry.llm.common import bounded_batches, read
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Batches for Python are bounded by bytes, as some texts are very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    return read(spark, sf_dir, name)
+    return bounded_batches(read(spark, sf_dir, name))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
