@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, jaccard_join, language, lm_scoring, mixing, packing, personal_data, quality, token_counts
+from quarry.llm import exact_dedup, jaccard_join, language, lm_scoring, mixing, packing, personal_data, quality, token_counts, url_filter
 from quarry.llm.common import bounded_batches, read
 
 
@@ -31,6 +31,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(_table(spark, sf_dir, "documents")).drop("set_id")
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_language": op3_language,
     "op4_mixing": op4_mixing,
+    "op5_url_filter": op5_url_filter,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
     "op8_lm_scoring": op8_lm_scoring,
