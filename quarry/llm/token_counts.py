@@ -262,7 +262,9 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
             for few in _some(texts):
                 got += own.totals_and_fits(few, limit)
             tokens = np.array([n for n, _ in got], np.int64)
-            columns = [pa.compute.binary_length(batch["text"]).cast(pa.int64()).fill_null(0), tokens, tokens > limit, [f for _, f in got]] + [[own.prefix_counts(t) for t in texts]] * prefixes
+            columns = [pa.compute.binary_length(batch["text"]).cast(pa.int64()).fill_null(0), tokens, tokens > limit, [f for _, f in got]]
+            if prefixes:
+                columns.append([own.prefix_counts(t) for t in texts])
             yield pa.RecordBatch.from_arrays([batch[id_col], *(pa.array(c, t) if not isinstance(c, pa.Array) else c for c, (_, t) in zip(columns, fields))], [id_col, *(n for n, _ in fields)])
 
     kind = docs.schema[id_col].dataType.simpleString()
