@@ -1,0 +1 @@
+"""Where points come from: files, generators, scalings and seeds."""
