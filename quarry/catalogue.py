@@ -1,10 +1,5 @@
 """The registered queries of the clustering engine and their SQL."""
 
-from __future__ import annotations
+from quarry.plans.queries import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
