@@ -93,14 +93,16 @@ def _cut(path: str, capacity: int, id_col: str, with_ids: bool):
     return cut
 
 
-def _fillers(left: np.ndarray, gap: int) -> Iterator[tuple[int, ...]]:
-    """Lengths that add up to ``gap`` among those available: one, two, then three; large ones first."""
+def _fillers(left: np.ndarray, gap: int, most: int) -> Iterator[tuple[int, ...]]:
+    """Up to ``most`` lengths that add up to ``gap`` among those available: one, two, then three; large first."""
     if left[gap]:
         yield (gap,)
+    if most < 2:
+        return
     large = np.arange(gap - 1, (gap - 1) // 2, -1)
     for a in large[(left[large] > 0) & (left[gap - large] > 0)].tolist():
         yield a, gap - a
-    for a in np.flatnonzero(left[:gap])[::-1].tolist():
+    for a in np.flatnonzero(left[:gap])[::-1].tolist() if most > 2 else ():
         rest = gap - a
         second = np.arange(min(a, rest - 1), (rest - 1) // 2, -1)
         for b in second[(left[second] > 0) & (left[rest - second] > 0)].tolist():
@@ -108,7 +110,15 @@ def _fillers(left: np.ndarray, gap: int) -> Iterator[tuple[int, ...]]:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths of one sequence) and how many sequences each stands for."""
+    """Patterns (lengths of one sequence) and how many sequences each stands for.
+
+    Triples use up small lengths that the rest may need, so the plan is made with up to three, two and one
+    lengths to a gap, and the one with the fewest sequences is taken.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -119,7 +129,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     for length in range(capacity - 1, 0, -1):
         if not left[length]:
             continue
-        for filler in _fillers(left, capacity - length):
+        for filler in _fillers(left, capacity - length, most):
             pattern = (length, *filler)
             times = min(int(left[x]) // k for x, k in Counter(pattern).items())
             if times:
