@@ -60,6 +60,14 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have."""
+    tag = "_q"
+    while any(c.lower().startswith(tag) for c in df.columns):
+        tag += "q"
+    return [f"{tag}_{n}" for n in names]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import blocks, materialise, mix, partitions, span_hashes, window_hashes, words
+from quarry.llm.common import blocks, fresh, materialise, mix, partitions, span_hashes, window_hashes, words
 from quarry.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -197,10 +197,11 @@ def _verify(threshold: float):
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """One row per document: id, class_id, n_links, n_shingles, set_id.
+    """One row per document: id, class_id, n_links, n_shingles, set_id, class_key.
 
     ``n_links`` is the number of other documents at a similarity of the threshold or more, copies
-    included; ``class_id`` the least id of all documents connected by links. Words are runs of other than
+    included; ``class_id`` the least id of all documents connected by links (``class_key`` tells classes apart even
+    where ids repeat). Words are runs of other than
     ASCII white space, as they stand. A document of one to four words has one shingle. Null texts and
     texts without words have no shingles, no links and their own id as class. Repeated rows are copies;
     null ids count as documents but name a class only if all of its ids are null. An empty table gives
@@ -243,28 +244,31 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     total = links.groupBy("set_id").agg(F.sum("links").alias("links"))
     linked = total.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     named = linked.join(classes.select("set_id", "least"), "set_id")
-    named = materialise(named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("set_id", "links", "class_id"), "named")
+    named = materialise(named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("set_id", "links", "class_id", F.col("root").alias("class_key")), "named")
     answer = classes.select("set_id", "copies", "least").join(named, "set_id", "left").select(
-        "set_id", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0).cast("long"))).alias("n_links")
+        "set_id", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("class_key", "set_id").alias("class_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0).cast("long"))).alias("n_links")
     )
     answer = every.select(id_col, "set_id", "n_shingles").join(answer, "set_id", "left")
-    return answer.select(id_col, F.when(F.col("set_id").isNull(), F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_shingles", "set_id")
+    return answer.select(id_col, F.when(F.col("set_id").isNull(), F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_shingles", "set_id", "class_key")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all columns, one document of each class; texts without words all stay."""
+    mark, id_, key = fresh(docs, "set", "id", "key")
+
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [x for _, _, data, offsets in blocks(batch[text_col]) for x in set_ids(*shingle_sets(data, offsets))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, "_set"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, mark])
 
+    none = F.lit("").cast("binary")
     found = similar(docs, id_col=id_col, text_col=text_col).filter(F.col(id_col).eqNullSafe(F.col("class_id")))
-    stay = found.groupBy(F.col(id_col).alias("_id"), F.coalesce("set_id", F.lit("").cast("binary")).alias("_key")).agg(F.count("*").alias("_n"), F.max(F.col("set_id").isNotNull()).alias("_text"))
-    # of a class whose least id stands on several sets, one set stays
-    stay = materialise(stay, "stay")
-    own = docs.mapInArrow(marked, StructType(list(docs.schema.fields)).add("_set", "binary"))
-    match = F.col(id_col).eqNullSafe(F.col("_id")) & (F.coalesce("_set", F.lit("").cast("binary")) == F.col("_key"))
-    out = own.join(stay.select("_id", "_key"), match, "left_semi")
-    if not stay.filter("_text AND _n > 1").isEmpty():
-        out = out.filter("_set IS NULL").unionByName(out.filter("_set IS NOT NULL").dropDuplicates([id_col, "_set"]))
-    return out.drop("_set")
+    # of a class whose least id stands on several sets, one set stays; a text without words is a class of its own
+    found = found.groupBy(F.col(id_col).alias(id_), F.col("set_id").isNull().alias("bare"), "class_key").agg(F.min(F.coalesce("set_id", none)).alias(key), F.count("*").alias("n"))
+    stay = materialise(found, "stay")
+    own = docs.mapInArrow(marked, StructType(list(docs.schema.fields)).add(mark, "binary"))
+    match = F.col(id_col).eqNullSafe(F.col(id_)) & (F.coalesce(mark, none) == F.col(key))
+    out = own.join(stay.select(id_, key), match, "left_semi")
+    if not stay.filter("NOT bare AND n > 1").isEmpty():
+        out = out.filter(F.col(mark).isNull()).unionByName(out.filter(F.col(mark).isNotNull()).dropDuplicates([id_col, mark]))
+    return out.drop(mark)

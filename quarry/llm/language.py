@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import mix
+from quarry.llm.common import fresh, mix
 
 #: Training texts of a language, rows of the table, rows an n-gram sets, least share of a language's
 #: texts, and least share relative to the language that has the n-gram most.
@@ -182,5 +182,5 @@ REJECT = 0.25
 def keep_known(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the rows of a recognised language; learns from all labelled rows of ``docs``."""
     model = fit(docs, text_col=text_col)
-    judged = predict(docs, model, text_col, "_language", "_share")
-    return judged.filter((F.col("_language") != UNKNOWN) & (F.col("_share") >= REJECT)).drop("_language", "_share")
+    pred, share = fresh(docs, "language", "share")
+    return predict(docs, model, text_col, pred, share).filter((F.col(pred) != UNKNOWN) & (F.col(share) >= REJECT)).drop(pred, share)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import fresh, materialise
 
 #: Weights of the sources in order, repeating; a target's limit in sizes of its source; seed of the offsets.
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 17
@@ -82,18 +82,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with all columns, each row as often as the mix takes it."""
     names = docs.columns
-    key = {"_id": F.col(id_col), "_source": F.col(source_col), "_size": word_count(F.col(text_col))}
-    drawn = mix(docs, id_col, text_col, source_col).select(F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), F.col("size").alias("m_size"), "copies")
-    drawn = drawn.groupBy("m_id", "m_source", "m_size").agg(F.sort_array(F.collect_list("copies"), False).alias("each")).filter("each[0] > 0")
+    id_, source, size, m_id, m_source, m_size, each, copies, copy = fresh(docs, "id", "source", "size", "m_id", "m_source", "m_size", "each", "copies", "copy")
+    key = {id_: F.col(id_col), source: F.col(source_col), size: word_count(F.col(text_col))}
+    drawn = mix(docs, id_col, text_col, source_col).select(F.col(id_col).alias(m_id), F.col(source_col).alias(m_source), F.col("size").alias(m_size), "copies")
+    drawn = drawn.groupBy(m_id, m_source, m_size).agg(F.sort_array(F.collect_list("copies"), False).alias(each)).filter(F.col(each)[0] > 0)
     drawn = materialise(drawn, "drawn")
-    match = F.col("_id").eqNullSafe(F.col("m_id")) & F.col("_source").eqNullSafe(F.col("m_source")) & (F.col("_size") == F.col("m_size"))
+    match = F.col(id_).eqNullSafe(F.col(m_id)) & F.col(source).eqNullSafe(F.col(m_source)) & (F.col(size) == F.col(m_size))
     taken = docs.withColumns(key).join(drawn, match)
-    if drawn.filter("size(each) > 1").isEmpty():
-        taken = taken.withColumn("copies", F.col("each")[0])
+    if drawn.filter(F.size(each) > 1).isEmpty():
+        taken = taken.withColumn(copies, F.col(each)[0])
     else:  # rows that agree in id, source and size share out what was drawn for them
-        like = Window.partitionBy("_id", "_source", "_size").orderBy(text_col)
-        taken = taken.withColumn("copies", F.get("each", F.row_number().over(like) - 1))
-    return taken.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*names)
+        like = Window.partitionBy(id_, source, size).orderBy(text_col)
+        taken = taken.withColumn(copies, F.get(each, F.row_number().over(like) - 1))
+    return taken.filter(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*names)
 
 
 SQL = f"""

@@ -36,7 +36,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar(_table(spark, sf_dir, "documents")).drop("set_id")
+    return jaccard_join.similar(_table(spark, sf_dir, "documents")).drop("set_id", "class_key")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

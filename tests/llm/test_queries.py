@@ -1,0 +1,42 @@
+"""The registered queries against their SQL, and the pipeline's stages."""
+
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from quarry.llm import queries
+from quarry.llm.common import materialise, read
+
+
+@pytest.mark.parametrize("name", list(queries.SQL))
+def test_query_with_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for table in os.listdir(sf_dir):
+        con.sql(f"CREATE VIEW {table.split('.')[0]} AS SELECT * FROM '{sf_dir}/{table}'")
+    want = con.sql(queries.SQL[name]).df()
+    columns = sorted(want.columns)
+    got = queries.QUERIES[name](spark, sf_dir).toPandas()
+    assert sorted(got.columns) == columns
+    assert got[columns].sort_values(columns).values.tolist() == want[columns].sort_values(columns).values.tolist()
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.SQL])
+def test_query_gives_a_row_for_each_row(spark, sf_dir, name):
+    table = "pages" if name.startswith("op5_") else "documents"
+    rows = queries.QUERIES[name](spark, sf_dir).count()
+    assert rows >= read(spark, sf_dir, table).count() if name.startswith("op10_") else rows == read(spark, sf_dir, table).count()
+
+
+def test_pipeline(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    columns, counts = docs.columns, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = materialise(stage(spark, docs, sf_dir), name)
+        counts.append(docs.count())
+        assert docs.columns == columns or k == len(corpus_pipeline.STAGES) - 1
+    texts = {r["text"] for r in read(spark, sf_dir, "documents").collect()}
+    assert counts[0] >= 0.99 * read(spark, sf_dir, "documents").count()
+    assert counts[1] <= len(texts) and counts[2] <= counts[1] and counts[4] >= counts[3]
+    assert docs.agg({"length": "max"}).first()[0] <= 2048
