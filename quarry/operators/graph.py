@@ -147,7 +147,7 @@ def annuli(distance: np.ndarray, count: int = 40) -> tuple[np.ndarray, np.ndarra
     """For each pair the inner radius of its annulus around the first: annulus t reaches from m * 2**(t-1) to
     m * 2**t, m being the distance to the nearest other centroid; annulus 0 is all up to m."""
     nearest = np.maximum(distance.min(axis=1, keepdims=True), 1e-300)
-    ratio = np.where(np.isfinite(distance), distance / nearest, 1.0)
+    ratio = np.where(np.isfinite(distance), distance, nearest) / nearest if len(distance) > 1 else np.ones_like(distance)
     t = np.clip(np.ceil(np.log2(np.maximum(ratio, 1.0))), 0, count - 1)
     t = np.where((t > 0) & (ratio <= 2.0 ** (t - 1)), t - 1, t)
     t = np.where((t < count - 1) & (ratio > 2.0**t), t + 1, t)

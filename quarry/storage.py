@@ -5,16 +5,22 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='quarry-')}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset, as on one machine, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, as on one machine, a temporary one.
+
+    The folder goes when the driver ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
     path = f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     return path
@@ -33,5 +39,5 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def materialise(df: DataFrame, path: str) -> DataFrame:
     """Write and read again: lineage ends here, and no lost executor takes rows with it."""
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
