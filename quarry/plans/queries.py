@@ -445,7 +445,7 @@ def complete_groups_semi(spark, sf_dir):
 @query("pending_work_anti", f"WITH {_RUNS} SELECT c.config, s.seed, a.algo FROM (SELECT DISTINCT config FROM runs) c, (SELECT DISTINCT seed FROM runs) s, (SELECT DISTINCT algo FROM runs) a WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.config = c.config AND r.seed = s.seed AND r.algo = a.algo)")
 def pending_work_anti(spark, sf_dir):
     table = runs(spark, sf_dir)
-    wanted = table.select("config").distinct().select("config", F.explode(F.array(*map(F.lit, range(5)))).cast("long").alias("seed"))
+    wanted = table.select("config").distinct().select("config", F.explode(F.array(*(F.lit(k).cast("long") for k in range(5)))).alias("seed"))
     wanted = wanted.withColumn("algo", F.explode(F.array(*map(F.lit, ("lloyd", "hamerly", "ball")))))
     return report.pending(wanted, table)
 
