@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry import storage
+
 #: The ASCII white space that separates words everywhere in this subpackage.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -22,42 +21,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``.
-
-    Where that setting is absent (a single machine, as in tests) a temporary folder becomes the
-    checkpoint directory. The folder goes when the driver ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = checkpoint.get() if checkpoint.isDefined() else f"file://{tempfile.mkdtemp(prefix='quarry-')}"
-        if not checkpoint.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is None:
-        return
-    try:
-        jvm = context._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the JVM may be gone already
-        return
-
-
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later jobs don't repeat its work, and no
     block of it is lost with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return storage.materialise(df, f"{storage.shared_folder(df.sparkSession)}/{name}")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
