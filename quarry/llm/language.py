@@ -27,6 +27,8 @@ from quarry.llm.common import fresh, mix
 #: texts, and least share relative to the language that has the n-gram most.
 PER_LANGUAGE, ROWS, PROBES, LEAST, RELATIVE = 2000, 1 << 20, 3, 0.004, 0.2
 UNKNOWN = "und"
+#: Languages whose rates are broadcast; with more they are joined.
+FEW = 10_000
 BLOCK = 1 << 19
 
 
@@ -120,11 +122,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, rows: int = ROWS) -> BitSlicedFilter:
     """Learn from rows with a text and a language; about ``per_language`` of each language are read."""
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    totals = known.groupBy(F.col(lang_col).alias("lang")).count()
+    totals = {r["lang"]: r["count"] for r in known.groupBy(F.col(lang_col).alias("lang")).count().collect()}  # one row a language
+    rates = labelled.sparkSession.createDataFrame([(k, per_language / n) for k, n in totals.items()], "lang string, rate double")
+    rates = F.broadcast(rates) if len(totals) <= FEW else rates
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col).cast("string")), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    sample = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")).join(totals, "lang").filter(F.col("draw") * F.col("count") < per_language)
+    sample = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")).join(rates, "lang").filter("draw < rate")
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    used = {r["lang"]: min(r["count"], per_language) for r in totals.collect()}  # one row a language
+    used = {lang: min(n, per_language) for lang, n in totals.items()}
     table = counts.filter("n > 1").toArrow()
     languages = sorted(used)
     lang = np.array([languages.index(x) for x in table["lang"].to_pylist()], np.int64)
