@@ -2,11 +2,12 @@
 
 The model is an n-gram model over character classes (letters without case, digits, stops, space; other
 characters share a fixed number of classes), so it has at most CLASSES**ORDER entries however large
-the corpus is, and its broadcast is bounded. All documents are counted but those where signs such as
-``#`` and ``|`` are over one in DENSE characters: they would make their own kind look usual. The driver holds each order as
-sorted keys with probabilities and backoffs; workers unroll the highest order into one table.
+the corpus is, and its broadcast is bounded. Every document is counted. The driver holds each order as
+sorted keys with probabilities and backoffs; workers unroll each order into one table.
 
-A document is rejected if its log perplexity lies far outside the quartiles of its language.
+A document is rejected if its log perplexity under any order of the model lies far outside the quartiles
+of its language. A kind of junk that is counted looks usual to the highest order, which has learnt it;
+the shorter orders rest on kinds of neighbours and learn less of it.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blocks, materialise, span_hashes, text_buffer, window_hashes, words
+from quarry.llm.common import blocks, materialise, span_hashes, window_hashes, words
 
-CLASSES, ORDER, WINDOW, DENSE = 48, 4, 5, 50
+CLASSES, ORDER, WINDOW = 48, 4, 5
 #: A band reaches this many interquartile ranges (each at least WIDTH) beyond the quartiles below and
 #: above, and further by NOISE over the root of the text's length, as short texts spread more; a
 #: language with fewer documents than LEAST takes the band of all.
@@ -107,10 +108,8 @@ def _grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CLASSES**ORDER, np.int64)
     for batch in batches:
-        data, offsets = text_buffer(batch["text"])
-        dense = np.diff(np.r_[0, np.cumsum(SYMBOLS[data])][offsets]) * DENSE > np.diff(offsets)
-        for row, end, keys, place in _grams(batch["text"]):
-            total += np.bincount(keys[~np.repeat(dense[row:end], np.diff(place))], minlength=len(total))
+        for _, _, keys, _ in _grams(batch["text"]):
+            total += np.bincount(keys, minlength=len(total))
     key = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"key": key, "n": total[key]})
 
@@ -152,12 +151,12 @@ class KneserNey:
             out[miss] = np.where(known, back[where], 1.0) * below if len(contexts) else below
         return out
 
-    def table(self) -> np.ndarray:
-        """log10 probability of every key of the highest order."""
-        out = np.empty(CLASSES**ORDER, np.float32)
-        step = CLASSES ** (ORDER - 1)
+    def table(self, order: int = ORDER) -> np.ndarray:
+        """log10 probability of every key of ``order`` characters."""
+        out = np.empty(CLASSES**order, np.float32)
+        step = CLASSES ** (order - 1)
         for low in range(0, len(out), step):
-            out[low : low + step] = np.log10(self._look(ORDER, np.arange(low, low + step)))
+            out[low : low + step] = np.log10(self._look(order, np.arange(low, low + step)))
         return out
 
 
@@ -169,33 +168,35 @@ def fit(docs: DataFrame, text_col: str = "text") -> KneserNey:
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+ENTROPIES = [f"entropy_{k}" for k in range(1, ORDER + 1)]
 
 
 def _measure(held):
-    cache: dict[str, np.ndarray] = {}
+    cache: dict[str, list[np.ndarray]] = {}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "table" not in cache:
-            cache["table"] = held.value.table()
-        table = cache["table"]
+        if "tables" not in cache:
+            cache["tables"] = [held.value.table(k) for k in range(1, ORDER + 1)]
         for batch in batches:
             base: dict[str, list] = {n: [] for n in BASE}
             for _, _, data, offsets in blocks(batch["text"]):
                 for name, values in base_counts(data, offsets).items():
                     base[name].append(values)
-            entropy = np.zeros(len(batch))
+            entropy = np.zeros((ORDER, len(batch)))
             for row, end, keys, place in _grams(batch["text"]):
-                total = np.r_[0.0, np.cumsum(table[keys], dtype=np.float64)]
-                entropy[row:end] = -np.diff(total[place]) / np.maximum(np.diff(place), 1)
+                for own, table in zip(entropy, cache["tables"]):
+                    total = np.r_[0.0, np.cumsum(table[keys % len(table)], dtype=np.float64)]
+                    own[row:end] = -np.diff(total[place]) / np.maximum(np.diff(place), 1)
             columns = [pa.array(np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)) for v in base.values()]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in batch.schema.names if n != "text"), *columns, pa.array(entropy)], [*(n for n in batch.schema.names if n != "text"), *BASE, "entropy"])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in batch.schema.names if n != "text"), *columns, *map(pa.array, entropy)], [*(n for n in batch.schema.names if n != "text"), *BASE, *ENTROPIES])
 
     return measure
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    entropy (log10 perplexity a character), low and high (its language's band), kept.
+    entropy (log10 perplexity a character under the highest order), low and high (its language's band),
+    orders_outside (orders of the model under which the text is outside of its language's band), kept.
 
     Null and empty texts have no words and fail the base rule. A null language is a language of its own.
     Ties at a band's edge stay. Repeated rows and ids are judged each alone, though they count in the
@@ -204,20 +205,25 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("language"), F.col(text_col).alias("text"))
-    measured = materialise(rows.mapInArrow(_measure(model), f"id {kind}, language string, " + ", ".join(f"{n} long" for n in BASE) + ", entropy double"), "measured")
+    measured = materialise(rows.mapInArrow(_measure(model), f"id {kind}, language string, " + ", ".join([*(f"{n} long" for n in BASE), *(f"{n} double" for n in ENTROPIES)])), "measured")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = measured.withColumn("base_failed", failed)
 
-    def edge(quartiles: Column) -> tuple[Column, Column]:
-        width = F.greatest(quartiles[1] - quartiles[0], F.lit(WIDTH))
-        return (quartiles[0] - BELOW * width).alias("low"), (quartiles[1] + ABOVE * width).alias("high")
+    def edges(quartiles: Column) -> Column:
+        """Low and high edge for each order."""
+        width = lambda q: F.greatest(q[1] - q[0], F.lit(WIDTH))
+        return F.transform(quartiles, lambda q: F.array(q[0] - BELOW * width(q), q[1] + ABOVE * width(q)))
 
-    quartiles = F.percentile_approx("entropy", [0.25, 0.75], 10_000).alias("q")
+    quartiles = F.array(*(F.percentile_approx(n, [0.25, 0.75], 10_000) for n in ENTROPIES)).alias("q")
     passed = measured.filter("NOT base_failed")
-    bands = passed.groupBy("language").agg(quartiles, F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("language", *edge(F.col("q")))
-    (every,) = passed.agg(quartiles).select(*edge(F.coalesce("q", F.array(F.lit(0.0), F.lit(0.0))))).collect()
+    bands = passed.groupBy("language").agg(quartiles, F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("language", edges(F.col("q")).alias("band"))
+    (every,) = passed.agg(quartiles).select(edges(F.transform("q", lambda q: F.coalesce(q, F.array(F.lit(0.0), F.lit(0.0))))).alias("band")).collect()
     if bands.count() <= FEW:  # rows of one language need not meet in one task then
         bands = F.broadcast(bands)
     noise = F.lit(NOISE) / F.sqrt(F.greatest("word_chars", F.lit(1)))
-    out = measured.join(bands, "language", "left").withColumns({"low": F.coalesce("low", F.lit(every["low"])) - noise, "high": F.coalesce("high", F.lit(every["high"])) + noise})
-    return out.select(F.col("id").alias(id_col), *BASE, "base_failed", "entropy", "low", "high", (~F.col("base_failed") & F.col("entropy").between(F.col("low"), F.col("high"))).alias("kept"))
+    band = F.coalesce("band", F.array(*(F.array(*map(F.lit, b)) for b in every["band"])))
+    out = measured.join(bands, "language", "left").withColumn("band", F.transform(band, lambda b: F.array(b[0] - noise, b[1] + noise)))
+    outside = sum((~F.col(n).between(F.col("band")[k][0], F.col("band")[k][1])).cast("int") for k, n in enumerate(ENTROPIES))
+    last = F.col("band")[ORDER - 1]
+    out = out.withColumn("orders_outside", outside)
+    return out.select(F.col("id").alias(id_col), *BASE, "base_failed", F.col(ENTROPIES[-1]).alias("entropy"), last[0].alias("low"), last[1].alias("high"), "orders_outside", (~F.col("base_failed") & (F.col("orders_outside") == 0)).alias("kept"))

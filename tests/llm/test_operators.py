@@ -285,6 +285,18 @@ def test_kneser_ney_sums_to_one():
         assert math.isclose(p.sum(), 1, rel_tol=1e-9) and (p > 0).all()
 
 
+def test_quality_model_counts_every_document(spark, rows):
+    signs = [(1000 + i, f"| {i} | #{i} | $ {i} | % & * < >" * 3, "en", "s", 0) for i in range(40)]
+    df = spark.createDataFrame(rows[:120] + signs, "doc_id long, text string, lang string, source string, n_chars long")
+    key, table = [], quality.class_table()
+    for r in rows[:120] + signs:
+        classes = [0] * (quality.ORDER - 1) + [int(table[ord(c)]) for c in r[1]]
+        key += [sum(c * quality.CLASSES ** (quality.ORDER - 1 - k) for k, c in enumerate(classes[i : i + quality.ORDER])) for i in range(len(r[1]))]
+    want = quality.KneserNey(*np.unique(key, return_counts=True))
+    for have, own in zip(quality.fit(df).orders, want.orders):
+        assert all(np.allclose(a, b) for a, b in zip(have, own))
+
+
 # --- scores ---
 
 
