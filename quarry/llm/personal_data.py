@@ -1,9 +1,9 @@
 """Personal data: base patterns, and a linear-chain conditional random field over word shapes.
 
-The field labels the pieces (letters, digits, single signs) around each digit run, at-sign or bracketed
-"at" as beginning, inside or outside of an email, ip, card or phone. Its features are the shapes of a
-piece and its neighbours; it is trained by maximum likelihood from a small labelled table and decoded
-by Viterbi in numpy for many windows together. What it finds joins the base spans where it overlaps
+The field labels all pieces (letters, digits, single signs) of a text as beginning, inside or outside of
+an email, ip, card or phone. Its features are the shapes of a piece and its neighbours; it is trained by
+maximum likelihood from a small labelled table and decoded by Viterbi in numpy for many overlapping
+blocks of pieces together. What it finds joins the base spans where it overlaps
 none and keeps the form of its kind.
 """
 
@@ -14,6 +14,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +81,13 @@ def base_spans(text: str) -> list[Span]:
 # --- shapes --------------------------------------------------------------------------------------
 
 _PIECE = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|\w")
-_TRIGGER = re.compile(r"[0-9]{3,}|@|[\[({<] ?at ?[\])}>]", re.I)
-REACH = 60
+#: What every span that ``_plausible`` accepts contains: a digit, an at-sign or the piece "at". Where it is
+#: missing, nothing that the field could mark would stay.
+_NEEDED = re.compile(r"[0-9@]|(?<![^\W\d_])at(?![^\W\d_])", re.I)
+#: Pieces of a block that are its own, and those before and after that it shares with its neighbours.
+CORE, MARGIN = 128, 48
+#: Pieces decoded together.
+TOGETHER = 200_000
 _CUES = {w: i for i, w in enumerate("at dot com org net edu tel phone call fax mobile mail email version page isbn id no token card".split())}
 _SIGNS = {c: i for i, c in enumerate("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")}
 SHAPES = 2 + len(_CUES) + 20 + 24 + len(_SIGNS) + 1
@@ -105,28 +111,27 @@ def _shape(piece: str) -> int:
     return 1
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of about REACH characters around triggers, ended at white space; touching ones are one."""
-    out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
-        low, high = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        space = re.search(r"\s", text[low : m.start()])
-        low = low + space.start() if low and space else low
-        space = [k.start() for k in re.finditer(r"\s", text[m.end() : high])]
-        high = m.end() + space[-1] if high < len(text) and space else high
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(high, out[-1][1]))
-        else:
-            out.append((low, high))
-    return out
+def stretches(text: str) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
+    """All pieces of a text in overlapping blocks: their spans, and the first and end of the block's own ones."""
+    rest, held, core = _PIECE.finditer(text), [], 0
+    while True:
+        held += [m.span() for m in islice(rest, core + CORE + MARGIN - len(held))]
+        end = min(core + CORE, len(held))
+        if core == end:
+            return
+        yield held, core, end
+        drop = max(0, end - MARGIN)
+        held, core = held[drop:], end - drop
 
 
-def pieces(text: str, low: int, high: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Spans of the pieces, their shapes, and whether space stands before each."""
-    spans = [m.span() for m in _PIECE.finditer(text, low, high)]
+def pieces(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Shapes of successive pieces, and whether space stands before each."""
     shapes = np.array([_shape(text[a:b]) for a, b in spans], np.int64)
-    gaps = np.array([a != before for (a, _), before in zip(spans, [low - 1, *(b for _, b in spans)])], np.int64)
-    return spans, shapes, gaps
+    place = np.array(spans, np.int64)
+    gaps = np.ones(len(spans), np.int64)
+    gaps[1:] = place[1:, 0] != place[:-1, 1]
+    gaps[:1] = [a == 0 or text[a - 1].isspace() for a, _ in spans[:1]]
+    return shapes, gaps
 
 
 # --- the field -----------------------------------------------------------------------------------
@@ -208,7 +213,7 @@ class Field:
         for place, i in enumerate(order):
             group.append(i)
             longest = len(sequences[order[place + 1]][0]) if place + 1 < len(order) else None
-            if longest is None or (len(group) + 1) * longest > 20_000:
+            if longest is None or (len(group) + 1) * longest > TOGETHER:
                 for j, own in zip(group, self._viterbi([sequences[j] for j in group])):
                     out[j] = own
                 group = []
@@ -234,7 +239,7 @@ class Field:
 # --- the labelled table --------------------------------------------------------------------------
 
 
-def labelled_table(rows: int = 450, seed: int = 5) -> list[tuple[str, list[Span]]]:
+def labelled_table(rows: int = 600, seed: int = 5) -> list[tuple[str, list[Span]]]:
     """A small table of texts with marked spans: each kind in several forms, among words, and numbers
     that are none (dates, versions, prices, long keys, ranges)."""
     rng = random.Random(seed)
@@ -243,6 +248,7 @@ def labelled_table(rows: int = 450, seed: int = 5) -> list[tuple[str, list[Span]
     host = lambda: rng.choice(("mail7", word(), "post-" + number(1))) + rng.choice((".example", "", "." + word())) + rng.choice((".com", ".org", ".net", ".de"))
     name = lambda: rng.choice((word() + "." + number(2), word(), word() + "_" + word(), word() + number(3)))
     local = lambda: rng.choice(("({a}) {b}-{c}", "{a}-{b}-{c}", "{a}.{b}.{c}", "({a}) {b} {c}", "{a} {b} {c}")).format(a=number(3), b=number(3), c=number(4))
+    pairs = lambda: rng.choice(" -").join(["0" + number(1), *(number(2) for _ in range(4))])
 
     def card() -> str:
         digits = number(15)
@@ -254,21 +260,23 @@ def labelled_table(rows: int = 450, seed: int = 5) -> list[tuple[str, list[Span]
         "email": lambda: f"{name()}@{host()}" if rng.random() < 0.6 else apart(),
         "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
         "card": card,
-        "phone": lambda: rng.choice((f"+{rng.randint(1, 99)} {local()}", local(), f"+{number(2)} {number(3)} {number(7)}")),
+        "phone": lambda: rng.choice((f"+{rng.randint(1, 99)} {local()}", local(), pairs(), f"+{number(2)} {number(3)} {number(7)}")),
     }
     other = (
         lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: f"{rng.randint(0, 23)}:{number(2)}", lambda: f"version {rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 20)}",
         lambda: f"{number(rng.randint(1, 6))}.{number(2)}", lambda: f"{rng.randint(1900, 2000)}-{rng.randint(2001, 2099)}", lambda: f'token = "{rng.getrandbits(160):040x}"',
         lambda: number(rng.choice((3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 20))), lambda: f"#{number(5)}", lambda: f"${number(3)},{number(3)}", lambda: f"ISBN {number(3)}-{number(1)}-{number(4)}-{number(4)}-{number(1)}", lambda: f"page {number(3)}", lambda: f"id {number(8)}-{number(4)}", lambda: f"{word()} at {word()} dot", lambda: f"@{word()}", lambda: f"{number(3)} {number(3)}", lambda: f"{number(4)} {number(4)}",
     )
+    cues = {"phone": ("call ", "tel ", "phone ", "fax ", "mobile: "), "email": ("mail ", "email ", "email: ")}
     out = []
     for _ in range(rows):
         text, spans = "", []
-        for _ in range(rng.randint(2, 5)):
+        for _ in range(rng.randint(1, 5)):
             text += " ".join(word() for _ in range(rng.randint(0, 6))).capitalize() + " "
             if rng.random() < 0.5:
                 kind = rng.choice(KINDS)
                 value = make[kind]()
+                text += rng.choice(cues[kind]) if kind in cues and rng.random() < 0.3 else ""
                 spans.append((kind, len(text), len(text) + len(value)))
                 text += value
             elif rng.random() < 0.8:
@@ -282,13 +290,12 @@ def train(table: list[tuple[str, list[Span]]]) -> Field:
     """Pieces of a marked span begin or continue its kind."""
     sequences, labels = [], []
     for text, spans in table:
-        for low, high in windows(text):
-            own, shapes, gaps = pieces(text, low, high)
-            if not own:
-                continue
-            marks = [next(((f"B-{k}" if a == s else f"I-{k}") for k, s, e in spans if s <= a < e), "O") for a, _ in own]
-            sequences.append((shapes, gaps))
-            labels.append([LABELS.index(m) for m in marks])
+        own = [m.span() for m in _PIECE.finditer(text)]
+        if not own:
+            continue
+        marks = [next(((f"B-{k}" if a == s else f"I-{k}") for k, s, e in spans if s <= a < e), "O") for a, _ in own]
+        sequences.append(pieces(text, own))
+        labels.append([LABELS.index(m) for m in marks])
     return Field().fit(sequences, labels)
 
 
@@ -306,28 +313,44 @@ def _plausible(kind: str, text: str) -> bool:
     return 16 <= len(digits) <= 19 and _luhn(digits) if kind == "card" else 7 <= len(digits) <= 15 and not any(c.isalpha() for c in text)
 
 
+def _marked(labels: list[int], first: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """Kind, first and last piece of each marked run that begins in ``first``..``end``."""
+    for k in range(first, end):
+        if (name := LABELS[labels[k]])[0] == "B":
+            last = k
+            while last + 1 < len(labels) and LABELS[labels[last + 1]] == f"I-{name[2:]}":
+                last += 1
+            yield name[2:], k, last
+
+
 def found_spans(field: Field, texts: list[str]) -> list[list[Span]]:
     """What the field marks in each text and keeps the form of its kind."""
-    where, sequences = [], []
-    for i, text in enumerate(texts):
-        for low, high in windows(text):
-            own, shapes, gaps = pieces(text, low, high)
-            if own:
-                where.append((i, own))
-                sequences.append((shapes, gaps))
     out: list[list[Span]] = [[] for _ in texts]
-    for (i, own), labels in zip(where, field.decode(sequences) if sequences else []):
-        k = 0
-        while k < len(labels):
-            name = LABELS[labels[k]]
-            end = k + 1
-            if name[0] == "B":
-                while end < len(labels) and LABELS[labels[end]] == f"I-{name[2:]}":
-                    end += 1
-                a, b = own[k][0], own[end - 1][1]
-                if _plausible(name[2:], texts[i][a:b]):
-                    out[i].append((name[2:], a, b))
-            k = end
+    where: list[tuple] = []
+    sequences: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def flush() -> None:
+        for (i, own, core, end), labels in zip(where, field.decode(sequences) if sequences else []):
+            for kind, first, last in _marked(labels, core, end):
+                a, b = own[first][0], own[last][1]
+                if (not out[i] or out[i][-1][2] <= a) and _plausible(kind, texts[i][a:b]):
+                    out[i].append((kind, a, b))
+        where.clear()
+        sequences.clear()
+
+    for i, text in enumerate(texts):
+        if not _NEEDED.search(text):
+            continue
+        for own, core, end in stretches(text):
+            if _NEEDED.search(text, own[0][0], own[-1][1]):
+                where.append((i, own, core, end))
+                sequences.append(pieces(text, own))
+                waiting += len(own)
+            if waiting > TOGETHER:
+                flush()
+                waiting = 0
+    flush()
     return out
 
 
@@ -347,11 +370,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digit = re.compile(r"[0-9@]|[\[({<] ?at ?[\])}>]", re.I)
         for batch in batches:
             texts = batch["text"].fill_null("").to_pylist()
             rows = [[0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0] for _ in texts]
-            own = [i for i, t in enumerate(texts) if digit.search(t)]
+            own = [i for i, t in enumerate(texts) if _NEEDED.search(t)]
             for i, more in zip(own, found_spans(held.value, [texts[i] for i in own])):
                 base = base_spans(texts[i])
                 more = [s for s in more if not any(a < s[2] and s[1] < b for _, a, b in base)]

@@ -376,6 +376,35 @@ def test_field_on_held_out_texts():
     assert right / (right + missed) > 0.85 and right / (right + wrong) > 0.93
 
 
+def test_every_marked_span_is_decoded():
+    table = personal_data.labelled_table(300, seed=4)
+    long = "\n".join(t for t, _ in table)
+    blocks = list(personal_data.stretches(long))
+    assert [s for own, core, end in blocks for s in own[core:end]] == [m.span() for m in personal_data._PIECE.finditer(long)]
+    at = 0
+    for text, spans in table:
+        for kind, a, b in spans:
+            assert personal_data._NEEDED.search(text, a, b)
+            (inside,) = [own for own, core, end in blocks if own[core][0] <= at + a <= own[end - 1][0]]
+            assert inside[0][0] <= at + a and at + b <= inside[-1][1]
+        at += len(text) + 1
+
+
+def test_blocks_give_what_whole_texts_give(monkeypatch):
+    field, table = personal_data.standard_field(), personal_data.labelled_table(300, seed=4)
+    texts = ["\n".join(t for t, _ in table[k : k + 100]) for k in (0, 100, 200)] + ["the word " * 5000, "x at " * 3000, "7" * 50_000, ""]
+    have = personal_data.found_spans(field, texts)
+    monkeypatch.setattr(personal_data, "CORE", 10**6)
+    monkeypatch.setattr(personal_data, "_NEEDED", re.compile(""))
+    assert have == personal_data.found_spans(field, [t or " ." for t in texts]) and min(map(len, have[:3])) > 50
+
+
+def test_spans_without_long_digits_or_signs(spark):
+    texts = ["write to john at mail dot example dot com please", "call 01 23 45 67 89 now", "see you at noon, or dot by dot"]
+    got = {r["doc_id"]: r["spans"] for r in personal_data.personal_data(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()}
+    assert got == {0: "email:9:41", 1: "phone:5:19", 2: ""}
+
+
 # --- packing ---
 
 
