@@ -17,16 +17,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import blocks, materialise, span_hashes, window_hashes, words
 
 CLASSES, ORDER, WINDOW = 48, 4, 5
-#: A band reaches this many interquartile ranges (each at least WIDTH) beyond the quartiles below and
-#: above, and further by NOISE over the root of the text's length, as short texts spread more; a
-#: language with fewer documents than LEAST takes the band of all.
-BELOW, ABOVE, WIDTH, NOISE, LEAST = 5.0, 5.0, 0.01, 1.5, 50
+#: A band reaches REACH interquartile ranges (each at least WIDTH) beyond the quartiles, and further by
+#: NOISE over the root of the text's length, as short texts spread more. ``calibrate`` gave both on sf0.1.
+#: A language with fewer documents than LEAST takes the band of all.
+REACH, WIDTH, NOISE, LEAST = 2.0, 0.01, 1.5, 50
+#: What ``fit_bands`` tries, the share of good documents that it may reject, and the documents it reads.
+REACHES, NOISES, SPARE, SAMPLE = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 7.0), (0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0), 0.0, 10_000
 #: Languages whose bands are broadcast.
 FEW = 10_000
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -193,37 +195,65 @@ def _measure(held):
     return measure
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    entropy (log10 perplexity a character under the highest order), low and high (its language's band),
-    orders_outside (orders of the model under which the text is outside of its language's band), kept.
-
-    Null and empty texts have no words and fail the base rule. A null language is a language of its own.
-    Ties at a band's edge stay. Repeated rows and ids are judged each alone, though they count in the
-    model. An empty table gives an empty result. Only the three named columns are read; texts are whole.
-    """
+def _measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """id, language, counts, base_failed and the log perplexity under each order."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("language"), F.col(text_col).alias("text"))
     measured = materialise(rows.mapInArrow(_measure(model), f"id {kind}, language string, " + ", ".join([*(f"{n} long" for n in BASE), *(f"{n} double" for n in ENTROPIES)])), "measured")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    measured = measured.withColumn("base_failed", failed)
+    return measured.withColumn("base_failed", failed)
 
-    def edges(quartiles: Column) -> Column:
-        """Low and high edge for each order."""
-        width = lambda q: F.greatest(q[1] - q[0], F.lit(WIDTH))
-        return F.transform(quartiles, lambda q: F.array(q[0] - BELOW * width(q), q[1] + ABOVE * width(q)))
 
+def _with_quartiles(measured: DataFrame) -> DataFrame:
+    """``measured`` with the quartiles of its language for each order, as q."""
     quartiles = F.array(*(F.percentile_approx(n, [0.25, 0.75], 10_000) for n in ENTROPIES)).alias("q")
     passed = measured.filter("NOT base_failed")
-    bands = passed.groupBy("language").agg(quartiles, F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("language", edges(F.col("q")).alias("band"))
-    (every,) = passed.agg(quartiles).select(edges(F.transform("q", lambda q: F.coalesce(q, F.array(F.lit(0.0), F.lit(0.0))))).alias("band")).collect()
-    if bands.count() <= FEW:  # rows of one language need not meet in one task then
-        bands = F.broadcast(bands)
+    own = passed.groupBy("language").agg(quartiles, F.count("*").alias("n")).filter(F.col("n") >= LEAST).drop("n")
+    (every,) = passed.agg(quartiles).select(F.transform("q", lambda q: F.coalesce(q, F.array(F.lit(0.0), F.lit(0.0)))).alias("q")).collect()
+    if own.count() <= FEW:  # rows of one language need not meet in one task then
+        own = F.broadcast(own)
+    return measured.join(own, "language", "left").withColumn("q", F.coalesce("q", F.array(*(F.array(*map(F.lit, q)) for q in every["q"]))))
+
+
+def fit_bands(entropy: np.ndarray, quartiles: np.ndarray, chars: np.ndarray, good: np.ndarray) -> tuple[float, float]:
+    """The reach and noise that keep the least junk while at most SPARE of the good documents are rejected,
+    and among these the widest; with rows a document, entropy by order and quartiles by order and side."""
+    width = np.maximum(quartiles[:, :, 1] - quartiles[:, :, 0], WIDTH)
+    beyond = np.maximum(quartiles[:, :, 0] - entropy, entropy - quartiles[:, :, 1])
+    tried = []
+    for reach in REACHES:
+        for noise in NOISES:
+            kept = (beyond <= reach * width + (noise / np.sqrt(np.maximum(chars, 1)))[:, None]).all(axis=1)
+            if (~kept & good).sum() <= SPARE * good.sum():
+                tried.append(((kept & ~good).sum(), -reach, -noise))
+    _, reach, noise = min(tried, default=(0, -REACHES[-1], -NOISES[-1]))
+    return -float(reach), -float(noise)
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[float, float]:
+    """``fit_bands`` on at most SAMPLE documents that pass the base rule, of even crc32 of the id, with a quality (0 or 1) in ``labels``."""
+    even = F.crc32(F.col("id").cast("string").cast("binary")) % 2 == 0
+    marked = labels.select(F.col(id_col).alias("id"), F.col("quality").alias("good")).filter(F.col("good").isNotNull() & even)
+    rows = _with_quartiles(_measured(docs, id_col, text_col, lang_col)).filter("NOT base_failed").join(marked, "id")
+    rows = rows.select(F.array(*ENTROPIES).alias("entropy"), "q", "word_chars", "good").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    return fit_bands(np.array([r["entropy"] for r in rows]), np.array([r["q"] for r in rows]), np.array([r["word_chars"] for r in rows]), np.array([r["good"] == 1 for r in rows]))
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    entropy (log10 perplexity a character under the highest order), low and high (its language's band),
+    orders_outside (orders of the model under which the text is outside of its language's band), kept.
+
+    Null and empty texts have no words and fail the base rule. A null language is a language of its own.
+    Ties at a band's edge stay. Repeated rows and ids are judged each alone, though they count in the
+    model. An empty table gives an empty result. Only the three named columns are read; texts are whole.
+    """
+    rows = _with_quartiles(_measured(docs, id_col, text_col, lang_col))
     noise = F.lit(NOISE) / F.sqrt(F.greatest("word_chars", F.lit(1)))
-    band = F.coalesce("band", F.array(*(F.array(*map(F.lit, b)) for b in every["band"])))
-    out = measured.join(bands, "language", "left").withColumn("band", F.transform(band, lambda b: F.array(b[0] - noise, b[1] + noise)))
+    reach = lambda q: REACH * F.greatest(q[1] - q[0], F.lit(WIDTH)) + noise
+    rows = rows.withColumn("band", F.transform("q", lambda q: F.array(q[0] - reach(q), q[1] + reach(q))))
     outside = sum((~F.col(n).between(F.col("band")[k][0], F.col("band")[k][1])).cast("int") for k, n in enumerate(ENTROPIES))
     last = F.col("band")[ORDER - 1]
-    out = out.withColumn("orders_outside", outside)
+    out = rows.withColumn("orders_outside", outside)
     return out.select(F.col("id").alias(id_col), *BASE, "base_failed", F.col(ENTROPIES[-1]).alias("entropy"), last[0].alias("low"), last[1].alias("high"), "orders_outside", (~F.col("base_failed") & (F.col("orders_outside") == 0)).alias("kept"))

@@ -297,6 +297,30 @@ def test_quality_model_counts_every_document(spark, rows):
         assert all(np.allclose(a, b) for a, b in zip(have, own))
 
 
+def test_bands_are_fitted_on_labels():
+    rng = np.random.default_rng(0)
+    good = np.arange(4000) % 10 > 0
+    chars = rng.integers(100, 10_000, 4000)
+    entropy = 0.7 + rng.normal(0, 0.01, (4000, quality.ORDER)) + rng.normal(0, 0.3, (4000, 1)) / np.sqrt(chars)[:, None]
+    entropy[~good] += 0.12
+    quartiles = np.tile(np.array([0.693, 0.707]), (4000, quality.ORDER, 1))
+    reach, noise = quality.fit_bands(entropy, quartiles, chars, good)
+    kept = lambda reach, noise: (np.abs(entropy - 0.7) <= 0.007 + reach * 0.014 + noise / np.sqrt(chars)[:, None]).all(axis=1)
+    assert (~kept(reach, noise) & good).sum() <= quality.SPARE * good.sum()
+    assert (kept(reach, noise) & ~good).sum() < (kept(5, 1.5) & ~good).sum() / 2
+
+
+def test_bands_reject_mild_junk_in_short_texts(spark):
+    import random
+
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choice(("the", "ing", "tion", "er", "and")) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    table = lambda: " | ".join(text(1) for _ in range(16))
+    rows = [(i, text(rng.randint(15, 200)), "en") for i in range(300)] + [(1000 + i, table(), "en") for i in range(4)]
+    df = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("NOT base_failed").cache()
+    assert df.filter("doc_id >= 1000 AND kept").count() == 0 and df.filter("doc_id < 1000 AND NOT kept").count() <= 3
+
+
 # --- scores ---
 
 
