@@ -25,8 +25,8 @@ from quarry.llm.common import blocks, materialise, span_hashes, window_hashes, w
 CLASSES, ORDER, WINDOW = 48, 4, 5
 #: A band reaches REACH interquartile ranges (each at least WIDTH) beyond the quartiles, and further by
 #: NOISE over the root of the text's length, as short texts spread more. ``calibrate`` gave both on sf0.1.
-#: A language with fewer documents than LEAST takes the band of all.
-REACH, WIDTH, NOISE, LEAST = 2.0, 0.01, 1.5, 50
+#: A language's quartiles are drawn towards those of all documents as by PRIOR further documents.
+REACH, WIDTH, NOISE, PRIOR = 2.0, 0.01, 1.5, 50
 #: What ``fit_bands`` tries, the share of good documents that it may reject, and the documents it reads.
 REACHES, NOISES, SPARE, SAMPLE = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 7.0), (0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0), 0.0, 10_000
 #: Languages whose bands are broadcast.
@@ -206,14 +206,18 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
 
 
 def _with_quartiles(measured: DataFrame) -> DataFrame:
-    """``measured`` with the quartiles of its language for each order, as q."""
+    """``measured`` with the quartiles of its language for each order, as q: the mean of the language's own,
+    weighted by its documents, and those of all documents, weighted by PRIOR."""
     quartiles = F.array(*(F.percentile_approx(n, [0.25, 0.75], 10_000) for n in ENTROPIES)).alias("q")
     passed = measured.filter("NOT base_failed")
-    own = passed.groupBy("language").agg(quartiles, F.count("*").alias("n")).filter(F.col("n") >= LEAST).drop("n")
+    own = passed.groupBy("language").agg(quartiles, F.count("*").alias("n"))
     (every,) = passed.agg(quartiles).select(F.transform("q", lambda q: F.coalesce(q, F.array(F.lit(0.0), F.lit(0.0)))).alias("q")).collect()
     if own.count() <= FEW:  # rows of one language need not meet in one task then
         own = F.broadcast(own)
-    return measured.join(own, "language", "left").withColumn("q", F.coalesce("q", F.array(*(F.array(*map(F.lit, q)) for q in every["q"]))))
+    pooled = F.array(*(F.array(*map(F.lit, q)) for q in every["q"]))
+    mean = lambda a, b: (F.col("n") * a + PRIOR * b) / (F.col("n") + PRIOR)
+    drawn = F.zip_with("q", pooled, lambda a, b: F.array(mean(a[0], b[0]), mean(a[1], b[1])))
+    return measured.join(own, "language", "left").withColumn("q", F.coalesce(drawn, pooled)).drop("n")
 
 
 def fit_bands(entropy: np.ndarray, quartiles: np.ndarray, chars: np.ndarray, good: np.ndarray) -> tuple[float, float]:

@@ -310,15 +310,19 @@ def test_bands_are_fitted_on_labels():
     assert (kept(reach, noise) & ~good).sum() < (kept(5, 1.5) & ~good).sum() / 2
 
 
-def test_bands_reject_mild_junk_in_short_texts(spark):
+def test_bands_move_smoothly_with_the_size_of_a_language(spark):
     import random
 
-    rng = random.Random(3)
-    text = lambda n: " ".join("".join(rng.choice(("the", "ing", "tion", "er", "and")) for _ in range(rng.randint(1, 3))) for _ in range(n))
-    table = lambda: " | ".join(text(1) for _ in range(16))
-    rows = [(i, text(rng.randint(15, 200)), "en") for i in range(300)] + [(1000 + i, table(), "en") for i in range(4)]
-    df = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("NOT base_failed").cache()
-    assert df.filter("doc_id >= 1000 AND kept").count() == 0 and df.filter("doc_id < 1000 AND NOT kept").count() <= 3
+    rng = random.Random(5)
+    text = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(60))
+    many = [(i, text(("the", "ing", "tion", "er", "and")), "en") for i in range(300)]
+    few = [(1000 + i, text([a + b for a in "kxzqwv" for b in "aeiou"]), "qq") for i in range(50)]
+    edges = {}
+    for n in (10, 49, 50):
+        df = quality.judged(spark.createDataFrame(many + few[:n], "doc_id long, text string, lang string"))
+        edges[n] = df.filter("doc_id = 1000").select("low", "high").first()
+    gap = abs(edges[50]["high"] - edges[10]["high"])
+    assert gap > 0.02 and abs(edges[50]["high"] - edges[49]["high"]) < 0.1 * gap and abs(edges[50]["low"] - edges[49]["low"]) < 0.1 * gap
 
 
 # --- scores ---
