@@ -129,7 +129,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sample = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw")).join(rates, "lang").filter("draw < rate")
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     used = {lang: min(n, per_language) for lang, n in totals.items()}
-    table = counts.filter("n > 1").toArrow()
+    # rounding is left to the exact test of the share below
+    least = labelled.sparkSession.createDataFrame([(k, LEAST * n - 0.5) for k, n in used.items()], "lang string, least double")
+    least = F.broadcast(least) if len(used) <= FEW else least
+    table = counts.join(least, "lang").filter("n >= least").drop("least").toArrow()
     languages = sorted(used)
     lang = np.array([languages.index(x) for x in table["lang"].to_pylist()], np.int64)
     gram, share = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy() / np.array([used[x] for x in languages])[lang] if len(languages) else np.zeros(0)

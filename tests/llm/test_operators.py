@@ -104,6 +104,14 @@ def test_language_filter(clashing, none):
     assert language.keep_known(none).count() == 0
 
 
+def test_small_languages_keep_their_ngrams(spark, rows):
+    rare = [(900, "абв где жзик лмн опр стуф хцч", "ru", "s", 0), (901, "αβγ δεζη θικ λμν", "el", "s", 0), (902, "ξοπ ρστυ φχψ ω", "el", "s", 0)]
+    df = spark.createDataFrame(rows[:120] + rare, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(df, language.fit(df)).collect()}
+    assert [found[i][0] for i in (900, 901, 902)] == ["ru", "el", "el"] and min(found[i][1] for i in (900, 901, 902)) > 0.9
+    assert language.keep_known(df).filter("doc_id >= 900").count() == 3
+
+
 def test_bit_sliced_filter_finds_all_and_corrects_for_false_hits():
     one, other = np.arange(1, 5000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(9000, 9400, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     f = language.BitSlicedFilter([f"l{i}" for i in range(70)], 1 << 15)
