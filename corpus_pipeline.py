@@ -42,7 +42,8 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL has neither the language model, the similarity join nor the packing; tests compare with brute force.
+#: SQL has neither the language model, the similarity join nor the packing. Tests compare copies, similar pairs and
+#: packed pieces of single operators with brute force; of the pipeline they only bound the rows after each stage.
 ORACLE_SQL = None
 
 
