@@ -1,16 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 The filter holds an n-gram of count c as the members (n-gram, 1), (n-gram, 2) ... up to its level, the
-rounded logarithm of c; membership probes with rising numbers give the level back. A bigram model
-interpolated with the words' own frequency is scored from these probes. The filter is cut into pages by
-n-gram, so each task builds whole pages.
+rounded logarithm of c; membership probes with rising numbers give the level back. A trigram model with
+discounted counts, interpolated with bigrams and words, is scored from these levels.
 
-Filter and vocabulary grow with the training texts, so neither is broadcast beyond a size that is
-checked: both are cut into segments of at most SEGMENT_BYTES by hash, and documents pass over the
-segments one after another. Each segment adds the base counts of its tokens and the levels of its
-n-grams; the last pass scores. One segment, the usual case, needs one pass.
+Filter and vocabulary grow with the training texts, so neither is broadcast or sent to the driver: the filter is cut into
+shards by n-gram, and n-grams travel to their shard. Texts are read once:
 
-Tokens are told apart by 64-bit hashes.
+1. Chunks: each task turns its texts into rows of CHUNK_BYTES of text: the distinct tokens and the texts as
+   positions among them. Everything after works on chunks.
+2. Shards: a chunk sends each shard its distinct n-grams with their counts in training texts. The shard
+   sums the counts, builds its part of the filter, and answers each n-gram with its level (single tokens
+   with their exact count too). An n-gram is sent once a chunk, so no n-gram is hot.
+3. Scores: a chunk's answers meet it again, and its texts are scored.
+
+Tokens are told apart by 64-bit hashes, n-grams of a shard by 32 bits.
 """
 
 from __future__ import annotations
@@ -19,19 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import blocks, materialise, mix, partitions, span_hashes, words
 
-#: Filter bits for a training token, probes for a member, bits of a page, base of the levels.
-BITS_A_TOKEN, PROBES, PAGE_BITS, LEVEL_BASE = 6, 4, 1 << 18, 2.0
-#: Weight of the bigram; most bytes of a broadcast segment.
-BIGRAM, SEGMENT_BYTES = 0.6, 256 << 20
+#: Filter bits for a member, probes for a member (3 in 10,000 give a false hit), base of the levels.
+MEMBER_BITS, PROBES, LEVEL_BASE = 20, 6, 1.5
+#: Longest n-gram, what is taken off each count of two and more words, weight of the shorter n-grams beside a longer one.
+ORDER, DISCOUNT, SHORTER = 3, 0.75, 0.4
+#: Bytes of text of a chunk, n-grams that a shard should be sent. An n-gram's entries in its shard are at most one a chunk.
+CHUNK_BYTES, SHARD_ENTRIES = 16 << 20, 1_000_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-ONE, TWO = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
+ONE, TWO, THREE = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6D), np.uint64(0xC0AC29B7C97C50DD)
+
+CHUNK = "chunk long, place long, held array<boolean>, cut binary, token binary, index binary, n_tokens long, n_train long"
+ANSWER = "chunk long, place long, gram_order int, shard long, count binary, level binary, n_all long, n_kinds long"
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,190 +55,236 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, cut
 
 
-def _before(tokens_: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    out = np.empty_like(tokens_)
-    out[1:] = tokens_[:-1]
-    out[cut[:-1]] = START
-    return out
-
-
-def _bigrams(tokens_: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    return mix(_before(tokens_, cut) * TWO + tokens_)
-
-
-def _unigrams(tokens_: np.ndarray) -> np.ndarray:
-    return mix(tokens_ ^ ONE)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        got = [tokens(data, offsets)[0] for _, _, data, offsets in blocks(batch["text"])]
-        if got:
-            token, n = np.unique(np.concatenate(got), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"token": token.view(np.int64), "n": n.astype(np.int64)})
-
-
-def _page(gram: np.ndarray, pages: int) -> np.ndarray:
-    return ((gram >> np.uint64(32)) * np.uint64(pages) >> np.uint64(32)).astype(np.int64)
-
+def n_grams(token: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the word pair and the word triple that end at each token; before a text stand starts."""
+    before = np.empty_like(token)
+    before[1:] = token[:-1]
+    before[cut[:-1]] = START
+    earlier = np.empty_like(token)
+    earlier[1:] = before[:-1]
+    earlier[cut[:-1]] = START
+    return [mix(before * TWO + token), mix(earlier * THREE + mix(before * TWO + token))]
+
+
+def _chunks(id_type: str):
+    def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count, size = TaskContext.get().partitionId(), 0, 0
+        ids, held, token, length = [], [], [], []
+
+        def close() -> pa.RecordBatch:
+            distinct, index = np.unique(np.concatenate(token), return_inverse=True)
+            out = np.concatenate(held)
+            cut = np.r_[0, np.cumsum(np.concatenate(length))]
+            row = {
+                "ids": pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.concat_arrays(ids)), "chunk": pa.array([part << 32 | count], pa.int64()), "place": pa.array([part + count], pa.int64()),
+                "held": pa.array([out.tolist()], pa.list_(pa.bool_())), "cut": pa.array([cut.astype("<i8").tobytes()]), "token": pa.array([distinct.astype("<u8").tobytes()]), "index": pa.array([index.astype("<u4").tobytes()]),
+                "n_tokens": pa.array([len(index)], pa.int64()), "n_train": pa.array([int((~out).sum())], pa.int64()),
+            }
+            for x in (ids, held, token, length):
+                x.clear()
+            return pa.RecordBatch.from_pydict(row)
 
-def _count_bigrams(pages: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [_bigrams(*tokens(data, offsets)) for _, _, data, offsets in blocks(batch["text"])]
-            if got:
-                gram, n = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"page": _page(gram, pages), "gram": gram.view(np.int64), "n": n.astype(np.int64)})
-
-    return count
+            for row, end, data, offsets in blocks(batch["text"]):
+                own, cut = tokens(data, offsets)
+                ids.append(batch["id"].slice(row, end - row))
+                held.append(batch["held_out"].slice(row, end - row).to_numpy(zero_copy_only=False))
+                token.append(own)
+                length.append(np.diff(cut))
+                size += len(data)
+                if size >= CHUNK_BYTES:
+                    yield close()
+                    size, count = 0, count + 1
+        if ids:
+            yield close()
 
+    return cut_texts
 
-def _of_words(pages: int):
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gram = _unigrams(batch["token"].to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_pydict({"page": _page(gram, pages), "gram": gram.view(np.int64), "n": batch["n"]})
 
-    return convert
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens, positions among them, and offsets of the texts."""
+    return np.frombuffer(row["token"], "<u8"), np.frombuffer(row["index"], "<u4"), np.frombuffer(row["cut"], "<i8")
 
 
-def _bits(gram: np.ndarray, level: int, probe: int) -> np.ndarray:
-    """The bit of a page that a probe of (n-gram, level) sets or asks for."""
-    step = (level * PROBES + probe) * 0x9E3779B97F4A7C15 % 2**64
-    return mix(gram + np.uint64(step)) & np.uint64(PAGE_BITS - 1)
+def _requests(shards: int):
+    schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("place", pa.int64()), ("gram_order", pa.int32()), ("gram", pa.binary()), ("n", pa.binary())])
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                distinct, index, cut = _unpacked(row)
+                train = np.repeat(~np.array(row["held"], bool), np.diff(cut))
+                for order in range(1, ORDER + 1):
+                    if order == 1:
+                        gram, at = distinct, index
+                    else:
+                        gram, at = np.unique(n_grams(distinct[index], cut)[order - 2], return_inverse=True)
+                    n = np.bincount(at[train], minlength=len(gram)).astype("<u4")
+                    shard = ((gram >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                    first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+                    key = gram.astype("<u8") if order == 1 else gram.astype("<u4")
+                    own = [(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(gram)])]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(shard[first]), pa.array(np.full(len(own), row["chunk"])), pa.array(np.full(len(own), row["place"])), pa.array(np.full(len(own), order, np.int32)),
+                        pa.array([key[a:b].tobytes() for a, b in own], pa.binary()), pa.array([n[a:b].tobytes() for a, b in own], pa.binary()),
+                    ], schema=schema)
+
+    return ask
+
+
+def level_of(count: np.ndarray) -> np.ndarray:
+    """0 for none, else 1 and the logarithm, rounded down."""
+    return np.where(count > 0, 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(LEVEL_BASE) + 1e-9), 0).astype(np.uint8)
+
+
+def estimate(level: np.ndarray) -> np.ndarray:
+    """The count that a level stands for: the middle of the whole numbers of that level."""
+    numbers = np.arange(256, dtype=np.float64)
+    low, high = np.ceil(LEVEL_BASE ** (numbers - 1) - 1e-9), np.ceil(LEVEL_BASE**numbers - 1e-9) - 1
+    return np.where(numbers > 0, np.maximum(low, (low + high) / 2), 0.0)[level]
+
+
+class Filter:
+    """A Bloom filter of (n-gram, level) for the n-grams of one shard and length."""
+
+    def __init__(self, gram: np.ndarray, level: np.ndarray) -> None:
+        self.size = np.uint64(max(64, int(level.sum(dtype=np.int64)) * MEMBER_BITS))
+        bits = np.zeros(int(self.size), bool)
+        for k in range(1, int(level.max(initial=0)) + 1):
+            for probe in range(PROBES):
+                bits[self._bit(gram[level >= k], k, probe)] = True
+        self.bits = np.packbits(bits, bitorder="little")
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        page, gram = batch["page"].to_numpy(), batch["gram"].to_numpy().view(np.uint64)
-        level = 1 + np.floor(np.log(batch["n"].to_numpy()) / np.log(LEVEL_BASE) + 1e-9).astype(np.int64)
-        order = np.argsort(page, kind="stable")
-        page, gram, level = page[order], gram[order], level[order]
-        cuts = np.flatnonzero(np.r_[True, page[1:] != page[:-1]]) if len(page) else []
-        for a, b in zip(cuts, [*cuts[1:], len(page)]):
-            bits = held.setdefault(int(page[a]), np.zeros(PAGE_BITS, bool))
-            for k in range(1, int(level[a:b].max()) + 1):
-                own = gram[a:b][level[a:b] >= k]
-                for probe in range(PROBES):
-                    bits[_bits(own, k, probe)] = True
-    for page, bits in held.items():
-        yield pa.RecordBatch.from_pydict({"page": pa.array([page], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-
-class Segment:
-    """The tokens of a range of hashes with their counts, and the filter's pages of the same share."""
-
-    def __init__(self, token: np.ndarray, n: np.ndarray, first: int, filter_: np.ndarray, pages: int) -> None:
-        self.token, self.n, self.first, self.filter, self.pages = token, n, first, filter_, pages
+    def _bit(self, gram: np.ndarray, level: int, probe: int) -> np.ndarray:
+        step = (level * PROBES + probe) * 0x9E3779B97F4A7C15 % 2**64
+        return (mix(gram.astype(np.uint64) + np.uint64(step)) % self.size).astype(np.int64)
 
     def levels(self, gram: np.ndarray) -> np.ndarray:
-        """The level of each n-gram; 0 where it is unknown or another segment's."""
-        page = _page(gram, self.pages) - self.first
-        out = np.zeros(len(gram), np.uint8)
-        live = np.flatnonzero((page >= 0) & (page < len(self.filter) * 8 // PAGE_BITS))
-        level = 1
+        """The highest level up to which all members are there; 0 where the n-gram is unknown."""
+        out, live, level = np.zeros(len(gram), np.uint8), np.arange(len(gram)), 0
         while len(live):
-            for probe in range(PROBES):
-                bit = _bits(gram[live], level, probe).astype(np.int64) + page[live] * PAGE_BITS
-                live = live[(self.filter[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)]
             out[live] = level
             level += 1
+            for probe in range(PROBES):
+                bit = self._bit(gram[live], level, probe)
+                live = live[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)]
         return out
 
-    def counts(self, token: np.ndarray) -> np.ndarray:
-        """The training count of each token, 0 if unknown or another segment's."""
-        if not len(self.token):
-            return np.zeros(len(token), np.int64)
-        at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
-        return np.where(self.token[at] == token, self.n[at], 0)
-
 
-def _estimate(level: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: the geometric middle of its range."""
-    return np.where(level > 0, LEVEL_BASE ** np.maximum(level.astype(np.float64) - 1, 0) * np.where(level > 1, LEVEL_BASE**0.5, 1.0), 0.0)
+def _answered(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Counts of one shard's n-grams, its part of the filter, and the answer to each chunk."""
+    shard = rows[0][0]
+    for order in range(1, ORDER + 1):
+        own = [r for r in rows if r[3] == order]
+        if not own:
+            continue
+        gram, at = np.unique(np.concatenate([np.frombuffer(r[4], "<u8" if order == 1 else "<u4") for r in own]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([np.frombuffer(r[5], "<u4") for r in own]), minlength=len(gram)).astype("<i8")
+        known = total > 0
+        level = Filter(gram[known], level_of(total[known])).levels(gram)[at]
+        cuts = np.r_[0, np.cumsum([len(r[5]) // 4 for r in own])]
+        part = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        count = total[at] if order == 1 else total[:0]
+        columns = {
+            "chunk": [r[1] for r in own], "place": [r[2] for r in own], "gram_order": [order] * len(own), "shard": [shard] * len(own),
+            "count": [count[a:b].tobytes() for a, b in part], "level": [level[a:b].tobytes() for a, b in part], "n_all": [None] * len(own), "n_kinds": [None] * len(own),
+        }
+        if order == 1:
+            for name, value in zip(columns, (None, None, 0, shard, None, None, int(total.sum()), int(known.sum()))):
+                columns[name].append(value)
+        yield pa.RecordBatch.from_pydict(columns, pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("gram_order", pa.int32()), ("shard", pa.int64()), ("count", pa.binary()), ("level", pa.binary()), ("n_all", pa.int64()), ("n_kinds", pa.int64())]))
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch[n].to_pylist() for n in ("shard", "chunk", "place", "gram_order", "gram", "n"))):
+            if held and held[0][0] != row[0]:
+                yield from _answered(held)
+                held = []
+            held.append(row)
+    if held:
+        yield from _answered(held)
+
+
+def probabilities(counts: list[np.ndarray], before: list[np.ndarray], total: int, kinds: int) -> np.ndarray:
+    """Probability of each token from the counts of the word, pair and triple that end there, and of what stands
+    before it in the pair and the triple (0 where the triple would begin before the text)."""
+    out = np.minimum((counts[0] + 0.5) / (total + 0.5 * (kinds + 1)), 1.0)
+    for n, context in zip(counts[1:], before):
+        longer = np.maximum(np.minimum(n, context) - DISCOUNT, 0) / np.maximum(context, 1)
+        out = np.where(context > 0, (1 - SHORTER) * longer + SHORTER * out, out)
+    return out
 
 
-def _pass(segment, total: int, kinds: int, low: int, high: int, last: bool):
-    """Adds what one segment knows to each document; the last one scores."""
+def _score(total: int, kinds: int, starts: int, id_type: pa.DataType):
+    def scores(row: dict, answers: list[tuple]) -> pa.RecordBatch:
+        distinct, index, cut = _unpacked(row)
+        first = cut[:-1]
+        joined = lambda order, k, kind: np.frombuffer(b"".join(a[k] for a in answers if a[0] == order), kind)
+        count = joined(1, 1, "<i8")
+        add = lambda x: np.add.reduceat(x[index], first)
+        counts = [estimate(joined(1, 2, np.uint8))[index]]
+        for order, grams in enumerate(n_grams(distinct[index], cut), 2):
+            at = np.unique(grams, return_inverse=True)[1]
+            counts.append(estimate(joined(order, 2, np.uint8))[at])
+        before = []
+        for own in counts[:-1]:
+            context = np.empty_like(own)
+            context[1:] = own[:-1]
+            context[first] = 0 if before else starts
+            before.append(context)
+        chance = np.log10(probabilities(counts, before, total, kinds))
+        base = np.log10(count + 0.5) - np.log10(total + 0.5 * (kinds + 1))
+        ids = pa.array(row["ids"], id_type)
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(row["held"], pa.bool_()), pa.array(np.diff(cut)), pa.array(add((count > 0).astype(np.int64))), pa.array(add(base)), pa.array(np.add.reduceat(chance, first))],
+            ["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = segment.value
-        bottom = np.log10(total + 0.5 * (kinds + 1))
+        row, answers = None, []
         for batch in batches:
-            n_tokens, n_known, base, levels, score = [], [], [], [], []
-            for row, end, data, offsets in blocks(batch["text"]):
-                token, cut = tokens(data, offsets)
-                distinct, back = np.unique(token, return_inverse=True)
-                count = own.counts(distinct)
-                mine = (distinct >= np.uint64(low)) & (distinct <= np.uint64(high))
-                add = lambda x: np.add.reduceat(x[back], cut[:-1])
-                n_tokens.append(np.diff(cut))
-                n_known.append(add((count > 0).astype(np.int64)))
-                base.append(add(np.where(mine, np.log10(count + 0.5) - bottom, 0.0)))
-                two, one = own.levels(_bigrams(token, cut)), own.levels(_unigrams(distinct))[back]
-                if "levels" in batch.schema.names:
-                    held = np.frombuffer(b"".join(batch["levels"].slice(row, end - row).to_pylist()), np.uint8).reshape(-1, 2)
-                    two, one = two + held[:, 0], one + held[:, 1]
-                if last:
-                    after = np.empty(len(one))
-                    after[1:] = _estimate(one[:-1])
-                    after[cut[:-1]] = len(cut)  # no count is kept of the starts; every text has one
-                    pair = np.minimum(_estimate(two), np.maximum(after, 1)) / np.maximum(after, 1)
-                    pair[cut[:-1]] = 0
-                    alone = (_estimate(one) + 0.5) / (total + 0.5 * (kinds + 1))
-                    weight = np.where(after > 0, BIGRAM, 0.0)
-                    weight[cut[:-1]] = 0
-                    score.append(np.add.reduceat(np.log10(weight * pair + (1 - weight) * np.minimum(alone, 1)), cut[:-1]))
+            for r in batch.to_pylist():
+                if r["gram_order"] == 0:
+                    if row:
+                        yield scores(row, answers)
+                    row, answers = r, []
                 else:
-                    pairs = np.stack([two, one], axis=1)
-                    levels += [pairs[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-            join = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-            known, summed = join(n_known, pa.int64()), join(base, pa.float64())
-            if "levels" in batch.schema.names:
-                known, summed = pa.compute.add(known, batch["n_known"]), pa.compute.add(summed, batch["base_score"])
-            rest = {"score": join(score, pa.float64())} if last else {"text": batch["text"], "levels": pa.array(levels, pa.binary())}
-            yield pa.RecordBatch.from_pydict({"id": batch["id"], "held_out": batch["held_out"], "n_tokens": join(n_tokens, pa.int64()), "n_known": known, "base_score": summed, **rest})
+                    answers.append((r["gram_order"], r["count"], r["level"]))
+        if row:
+            yield scores(row, answers)
 
     return go
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts count as empty: one token, the end. Documents with a null id are training documents.
     Repeated rows count and are scored each alone. An empty table gives an empty result; a table with
-    held-out rows only scores them against no counts. Only the two named columns are read.
+    held-out rows only scores them against no counts. Only the two named columns are read. A chunk is held
+    whole in one task, and a text is never cut, so a task needs memory for CHUNK_BYTES and its longest text.
     """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+    field = docs.schema[id_col]
+    kind = field.dataType.simpleString()
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    train = rows.filter("NOT held_out").select("text")
-    vocabulary = materialise(train.mapInArrow(_count_words, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "vocabulary")
-    total, kinds = (x or 0 for x in vocabulary.agg(F.sum("n"), F.count("*")).first())
-    pages = max(1, -(-total * BITS_A_TOKEN // PAGE_BITS))
-    grams = train.mapInArrow(_count_bigrams(pages), "page long, gram long, n long").unionByName(vocabulary.mapInArrow(_of_words(pages), "page long, gram long, n long"))
-    grams = grams.repartition(max(partitions(spark), pages // 64), "page").groupBy("page", "gram").agg(F.sum("n").alias("n"))
-    filter_ = materialise(grams.mapInArrow(_build, "page long, bits binary"), "filter")
-
-    segments = max(1, -(-(pages * PAGE_BITS // 8 + 16 * kinds) // segment_bytes))
-    state, schema = rows, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double"
-    for k in range(segments):
-        first, end = pages * k // segments, pages * (k + 1) // segments
-        low, high = (2**64 * k // segments), (2**64 * (k + 1) // segments - 1)
-        unsigned = F.col("token").bitwiseXOR(F.lit(-(2**63)))  # in the order of the unsigned hash
-        words_ = vocabulary.filter(unsigned.between(low - 2**63, high - 2**63)).toArrow()
-        token = words_["token"].to_numpy().view(np.uint64)
-        order = np.argsort(token)
-        bits = np.zeros((end - first) * PAGE_BITS // 8, np.uint8)
-        for batch in filter_.filter(F.col("page").between(first, end - 1)).toArrow().to_batches():
-            for page, own in zip(batch["page"].to_pylist(), batch["bits"]):
-                at = (page - first) * PAGE_BITS // 8
-                bits[at : at + PAGE_BITS // 8] = np.frombuffer(own.as_buffer(), np.uint8)
-        held = spark.sparkContext.broadcast(Segment(token[order], words_["n"].to_numpy()[order].astype(np.int32 if total < 2**31 else np.int64), first, bits, pages))
-        last = k == segments - 1
-        state = state.mapInArrow(_pass(held, total, kinds, low, high, last), schema + (", score double" if last else ", text string, levels binary"))
-        if not last:
-            state = materialise(state, "state")
-    return state.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    chunks = materialise(rows.mapInArrow(_chunks(kind), f"ids array<{kind}>, {CHUNK}"), "chunks")
+    n_tokens, starts = (x or 0 for x in chunks.agg(F.sum("n_tokens"), F.sum("n_train")).first())
+
+    tasks = partitions(spark)
+    shards = max(tasks, -(-n_tokens * ORDER // SHARD_ENTRIES))
+    requests = chunks.select("chunk", "place", "held", "cut", "token", "index").mapInArrow(_requests(shards), "shard long, chunk long, place long, gram_order int, gram binary, n binary")
+    dealt = requests.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard")
+    answers = materialise(dealt.mapInArrow(_answer, ANSWER), "answers")
+    total, kinds = (x or 0 for x in answers.agg(F.sum("n_all"), F.sum("n_kinds")).first())
+
+    heads = chunks.drop("n_tokens", "n_train").withColumns({"gram_order": F.lit(0), "shard": F.lit(0).cast("long")})
+    met = heads.unionByName(answers.filter("chunk IS NOT NULL").drop("n_all", "n_kinds"), allowMissingColumns=True)
+    met = met.repartitionById(tasks, F.pmod("place", F.lit(tasks)).cast("int")).sortWithinPartitions("chunk", "gram_order", "shard")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out = met.mapInArrow(_score(total, kinds, starts, to_arrow_type(field.dataType)), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
