@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb
-
 import numpy as np
 
-#: Most sphere tests of a triangulation; above it, and above three dimensions, the complete graph serves.
-MOST_TESTS, FLAT = 30_000_000, 1e-12
+from quarry.operators.delaunay import Mesh
+
+#: Beyond four dimensions a triangulation has nearly all edges.
+MOST_AXES = 4
 
 
 def centroid_distances(c: np.ndarray) -> np.ndarray:
@@ -30,83 +29,32 @@ def complete(k: int) -> np.ndarray:
     return ~np.eye(k, dtype=bool)
 
 
-def _lifted(c: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Orientation of each simplex, and centre and squared radius of its sphere, by Cramer's rule in a
-    system scaled to the centroids' extent."""
-    base = c[corners[:, 0]]
-    edges = c[corners[:, 1:]] - base[:, None, :]
-    orientation = np.linalg.det(edges)
-    solid = np.abs(orientation) > FLAT
-    centre = np.full(base.shape, np.nan)
-    if solid.any():
-        centre[solid] = base[solid] + np.linalg.solve(2 * edges[solid], (edges[solid] ** 2).sum(-1)[..., None])[..., 0]
-    return orientation, centre, ((centre - base) ** 2).sum(-1)
-
-
 class Triangulation:
-    """Simplices whose spheres hold no centroid strictly inside; ties on a sphere are all kept, so the graph
-    contains every Delaunay edge. Where a centroid has no simplex, or the search would be too large,
-    the complete graph stands in, which keeps every walk exact."""
+    """The Delaunay graph for two to four dimensions. Simplices side by side on one sphere give all edges among their
+    corners, so whichever way ties are cut, the graph has that edge; equal centroids are neighbours of each other
+    and of each other's neighbours. Where centroids lie in a hyperplane, or are too few, or have one or more than
+    MOST_AXES dimensions, the complete graph stands in, which keeps every walk exact."""
 
     def __init__(self, c: np.ndarray) -> None:
         k, d = c.shape
-        self.simplices = np.zeros((0, d + 1), np.int64)
-        self.adjacency = complete(k)
-        self.fallback = True
-        if k <= d + 1 or d < 2 or d > 3 or comb(k, d + 1) * k > MOST_TESTS:
+        self.adjacency, self.fallback = complete(k), True
+        places, self.place = np.unique(c, axis=0, return_inverse=True)
+        self.place = self.place.ravel()
+        if not 2 <= d <= MOST_AXES or len(places) <= d + 1:
+            return
+        self.mesh = Mesh(places)
+        if self.mesh.flat:
             return
-        scaled = self._scaled(c)
-        corners = np.array(list(combinations(range(k), d + 1)), np.int64)
-        self.orientation, centre, radius = _lifted(scaled, corners)
-        empty = self._empty(scaled, corners, centre, radius)
-        found = np.zeros((k, k), bool)
-        for a, b in combinations(range(d + 1), 2):
-            found[corners[empty, a], corners[empty, b]] = True
-        found |= found.T
-        if found.any(axis=1).all():
-            self.adjacency, self.fallback = found, False
-            self.simplices, self.orientation = corners[empty], np.sign(self.orientation[empty])
-            self.hull = self._hull(scaled)
-
-    @staticmethod
-    def _scaled(c: np.ndarray) -> np.ndarray:
-        low = c.min(axis=0)
-        return (c - low) / max(float((c.max(axis=0) - low).max()), 1e-300)
-
-    @staticmethod
-    def _empty(c: np.ndarray, corners: np.ndarray, centre: np.ndarray, radius: np.ndarray) -> np.ndarray:
-        out = np.isfinite(radius)
-        for j in range(len(c)):
-            with np.errstate(invalid="ignore"):
-                inside = ((c[j] - centre) ** 2).sum(-1) < radius - 1e-9 * (1 + radius)
-            out &= ~inside | (corners == j).any(axis=1)
-        return out
-
-    def _hull(self, c: np.ndarray) -> list[tuple[int, ...]]:
-        """Facets that belong to one simplex only."""
-        seen: dict[tuple[int, ...], int] = {}
-        for s in self.simplices.tolist():
-            for f in combinations(sorted(s), len(s) - 1):
-                seen[f] = seen.get(f, 0) + 1
-        return [f for f, n in seen.items() if n == 1]
+        self.fallback, self.places = False, len(places)
+        found = np.eye(len(places), dtype=bool)
+        for corners in self.mesh.cliques():
+            found[np.ix_(corners, corners)] = True
+        self.adjacency = found[np.ix_(self.place, self.place)]
+        np.fill_diagonal(self.adjacency, False)
 
     def still_valid(self, c: np.ndarray) -> bool:
-        """Whether the graph holds for moved centroids: orientations and empty spheres as before, and hull
-        facets still with all centroids on one side. In doubt it doesn't."""
-        if self.fallback:
-            return False
-        c = self._scaled(c)
-        orientation, centre, radius = _lifted(c, self.simplices)
-        if not (np.sign(orientation) == self.orientation).all() or not np.isfinite(radius).all() or (np.abs(orientation) < 1e-9).any():
-            return False
-        if not self._empty(c, self.simplices, centre, radius + 1e-6).all():
-            return False
-        for facet in self.hull:
-            base = c[list(facet)]
-            sides = np.array([np.linalg.det(np.vstack([base[1:] - base[0], p - base[0]])) for p in c])
-            if (sides > 1e-12).any() and (sides < -1e-12).any():
-                return False
-        return True
+        """Whether the graph holds for moved centroids; in doubt it doesn't."""
+        return not self.fallback and self.places == len(c) and self.mesh.still_valid(c[np.argsort(self.place)])
 
 
 def sorted_adjacency(c: np.ndarray, adjacency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -131,6 +131,7 @@ class Context:
         self.c, self.drift, self.dmax, self.it = c, np.zeros(len(c)), 0.0, 0
         self.history, self.cum, self.rebuilds, self.fallbacks = [c], 0.0, 0, 0
         self.radius: np.ndarray | None = None
+        self.degrees: list[tuple[float, int]] = []
 
     def advance(self, c: np.ndarray) -> None:
         self.drift = distance(c, self.c)
@@ -301,6 +302,8 @@ class Walk(Strategy):
         triangulation = graph.Triangulation(context.c)
         context.rebuilds += 1
         context.fallbacks += triangulation.fallback
+        degree = triangulation.adjacency.sum(axis=1)
+        context.degrees.append((float(degree.mean()), int(degree.max())))
         return triangulation
 
     def tables(self, context):
@@ -370,7 +373,7 @@ class LocalWalk(Walk):
     """Bounds over the cell's neighbours only; starts by walks along a space-filling curve. With ``reuse`` a
     triangulation that still holds is kept."""
 
-    in_z_order = True
+    in_z_order, STRIDE = True, 32
 
     def __init__(self, reuse: bool = False) -> None:
         super().__init__(separation=True, stop=True)
@@ -386,10 +389,9 @@ class LocalWalk(Walk):
         return {"drift": context.drift, "near": near, "lengths": lengths, "s": s, "kept": kept, "new": new}
 
     def start(self, b, c, t):
-        at, lead = np.arange(len(b.a)), np.zeros(len(b.a), np.int64)
-        if len(at):  # neighbours on the curve are near each other: all set out from the first one's centroid
-            lead[:] = full(b.x[:1], c).argmin()
-            b.comps[0] += len(c)
+        at = np.arange(len(b.a))  # neighbours on the curve are near each other: a few are looked up, the next ones set out from there
+        lead = np.repeat(full(b.x[:: self.STRIDE], c).argmin(axis=1), self.STRIDE)[: len(at)]
+        b.comps[:: self.STRIDE] += len(c)
         b.a[:] = -1
         d = distance(b.x, c[lead])
         b.comps += 1

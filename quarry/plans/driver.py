@@ -5,10 +5,14 @@ and writes the new state (no shuffle), and an aggregation to one row a cluster.
 shared folder and only the last one is kept. Each state has its row's coordinates, so no join or
 shuffle of points ever happens; centroids and their tables, whose size does not depend on the
 points, travel with the task.
+
+Points up to FEW need no iteration of Spark jobs: one task holds them and runs the same loop with the same exact sums,
+so the result is the same to the last bit.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +25,8 @@ from quarry.model import Result, exact_mean, exact_sums, validated
 from quarry.operators.strategies import STRATEGIES, Batch, Context, distance
 from quarry.storage import materialise, remove, shared_folder
 
+#: Points that one task may hold (about 100 bytes each and the strategy's own bounds), and rows it works on at a time.
+FEW, BLOCK = 1 << 18, 1 << 14
 COUNTS = ("changed", "comps", "walks", "hops", "failed")
 STATE = "id long, x array<double>, w long, a int, u double, l double, own array<double>, " + ", ".join(f"{c} long" for c in COUNTS)
 
@@ -84,20 +90,123 @@ def _radius(state: DataFrame, c: np.ndarray) -> np.ndarray:
     return out
 
 
+class LabelSums:
+    """Exact sums by label of what ``exact_sums`` adds up: parts of 22 bits, whose weighted sums stay whole in a double."""
+
+    BITS = 22
+
+    def __init__(self, x: np.ndarray, w: np.ndarray) -> None:
+        self.w, self.width = w, x.shape[1]
+        self.whole = int(w.sum()) >= 1 << 31 or int(np.abs(w).max(initial=0)) >= 1 << 31
+        scaled = x * float(1 << 20)
+        high = np.floor(scaled)
+        low = np.rint((scaled - high) * float(1 << 40)).astype(np.int64)
+        self.parts: list[list[np.ndarray]] = []
+        for v in (*high.astype(np.int64).T, *low.T):
+            pieces = [(v >> self.BITS * i) & (1 << self.BITS) - 1 for i in range(2)] + [v >> self.BITS * 2]
+            self.parts.append([p.astype(object) * w.astype(object) if self.whole else (p * w).astype(np.float64) for p in pieces])
+
+    def _sum(self, label: np.ndarray, k: int, values: np.ndarray) -> list[int]:
+        if not self.whole:
+            return [int(v) for v in np.bincount(label, values, minlength=k)]
+        out = np.zeros(k, object)
+        np.add.at(out, label, values)
+        return [int(v) for v in out]
+
+    def summary(self, label: np.ndarray, k: int, counts: dict[str, np.ndarray]) -> list[dict]:
+        """As ``_summary``: one row for each label that has points."""
+        rows = [{"a": j} for j in range(k)]
+        put = lambda name, values: [r.update({name: v}) for r, v in zip(rows, values)]
+        put("n", self._sum(label, k, self.w.astype(object if self.whole else np.float64)))
+        for name, parts in zip([*(f"h{t}" for t in range(self.width)), *(f"l{t}" for t in range(self.width))], self.parts):
+            put(name, [sum(v << self.BITS * i for i, v in enumerate(own)) for own in zip(*(self._sum(label, k, p) for p in parts))])
+        for name, values in counts.items():
+            put(name, self._sum(label, k, values.astype(object) * self.w.astype(object) if self.whole else (values * self.w).astype(np.float64)))
+        has = np.bincount(label, minlength=k) > 0
+        return [r for r in rows if has[r["a"]]]
+
+
+def _z_sorted(x: np.ndarray) -> np.ndarray:
+    """The order of points along the Z-curve over the first two axes."""
+    low, high = x[:, :2].min(axis=0), x[:, :2].max(axis=0)
+    cell = ((x[:, :2] - low) / (high - low + 1e-300) * 65535.0).astype(np.int64)
+    key = np.zeros(len(x), np.int64)
+    for b in range(16):
+        for t in range(2):
+            key |= (cell[:, t] >> b & 1) << 2 * b + t
+    return np.argsort(key, kind="stable")
+
+
+def _in_one_task(name: str, c: np.ndarray, most: int):
+    """The loop of ``run`` over all points at once; the last row has no id and holds the rest of the result."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = [r for r in batches if len(r)]
+        if not records:
+            return
+        table = pa.Table.from_batches(records).combine_chunks()
+        plan, context, k = STRATEGIES[name], Context(c), len(c)
+        x, w = _matrix(table["x"].combine_chunks(), len(table)), table["w"].to_numpy()
+        if plan.in_z_order and x.shape[1] >= 2:
+            order = _z_sorted(x)
+            x, w, table = np.ascontiguousarray(x[order]), w[order], table.take(pa.array(order))
+        parts = [Batch(np.ascontiguousarray(x[i : i + BLOCK]), *(np.zeros(len(x[i : i + BLOCK]), kind) for kind in (np.int64, float, float)), np.zeros((len(x[i : i + BLOCK]), 0))) for i in range(0, len(x), BLOCK)]
+        sums = LabelSums(x, w)
+        summed = lambda: sums.summary(np.concatenate([b.a for b in parts]), k, {n: np.concatenate([getattr(b, n) for b in parts]) for n in COUNTS})
+        tables = plan.tables(context)
+        for b in parts:
+            plan.start(b, c, tables)
+        trace, converged = [summed()], False
+        for _ in range(most):
+            context.advance(updated(context.c, trace[-1]))
+            if plan.needs_radius:
+                context.radius = np.zeros(k)
+                for b in parts:
+                    np.maximum.at(context.radius, b.a, distance(b.x, context.c[b.a]))
+            tables = plan.tables(context)
+            for b in parts:
+                b.clear()
+                plan.step(b, context.c, tables)
+            trace.append(summed())
+            context.open_share = _open_share(trace[-1])
+            if not any(r["changed"] for r in trace[-1]):
+                converged = True
+                break
+        rest = pickle.dumps((context.c, context.it, converged, context.rebuilds, context.fallbacks, context.degrees, trace))
+        a = np.concatenate([b.a for b in parts]).astype(np.int32)
+        yield from pa.table({"id": table["id"], "x": table["x"], "w": table["w"], "a": a, "rest": pa.nulls(len(a), pa.binary())}).to_batches(max_chunksize=BLOCK)
+        yield pa.RecordBatch.from_pydict({"id": pa.nulls(1, pa.int64()), "x": pa.nulls(1, pa.list_(pa.float64())), "w": pa.nulls(1, pa.int64()), "a": pa.nulls(1, pa.int32()), "rest": [rest]})
+
+    return go
+
+
+def _open_share(summary: list[dict]) -> float:
+    return sum(r["failed"] for r in summary) / max(1, sum(r["walks"] for r in summary))
+
+
+def _result(labels: DataFrame, c: np.ndarray, iterations: int, converged: bool, rebuilds: int, fallbacks: int, degrees: list, trace: list[list[dict]]) -> Result:
+    metrics = {n: sum(int(r[n]) for rows in trace for r in rows) for n in COUNTS[1:]}
+    metrics |= {"rebuilds": rebuilds, "fallbacks": fallbacks}
+    if degrees:  # of the graphs that the run built
+        metrics |= {"mean_degree": sum(m for m, _ in degrees) / len(degrees), "most_degree": max(m for _, m in degrees), "graphs": len(degrees)}
+    return Result(labels, c, iterations, converged, metrics, trace)
+
+
 def choose_strategy(k: int, d: int) -> str:
     """A default by the shape of the problem: walks where neighbour graphs are cheap, bounds elsewhere."""
     if k < 8:
         return "lloyd"
-    if d >= 4:
+    if d > 4:
         return "hamerly" if k < 64 else "yinyang"
-    return "walk_local" if d == 2 and 32 <= k <= 100 else "exponion"
+    return "walk_local" if d == 2 and k >= 32 else "exponion"
 
 
-def run(points: DataFrame, centroids: np.ndarray, strategy: str = "auto", max_iterations: int = 500) -> Result:
+def run(points: DataFrame, centroids: np.ndarray, strategy: str = "auto", max_iterations: int = 500, few: int = FEW) -> Result:
     """Exact k-means from given centroids over (id, x, w).
 
     Stops after the first pass without a change, which counts as an iteration. If ``max_iterations`` ends the
-    run, the centroids are those of the last assignment. With 0, the labels are the first assignment.
+    run, the centroids are those of the last assignment. With 0, the labels are the first assignment. Up to ``few``
+    points are worked on in one task, with the same result.
     """
     c = np.ascontiguousarray(centroids, np.float64)
     if c.ndim != 2 or not len(c) or not np.isfinite(c).all():
@@ -108,26 +217,25 @@ def run(points: DataFrame, centroids: np.ndarray, strategy: str = "auto", max_it
     plan, context, folder = STRATEGIES[name], Context(c), shared_folder(points.sparkSession)
     width = c.shape[1]
     table = validated(points.select("id", "x", "w"), width)
+    if few and table.count() <= few:
+        labels = materialise(table.coalesce(1).mapInArrow(_in_one_task(name, c, max_iterations), "id long, x array<double>, w long, a int, rest binary"), f"{folder}/whole")
+        rest = labels.filter("rest IS NOT NULL").select("rest").first()
+        if rest:
+            return _result(labels.filter("rest IS NULL").drop("rest"), *pickle.loads(rest["rest"]))
     if plan.in_z_order and width >= 2:
         table = z_order(table)
     state = materialise(table.mapInArrow(_pass(name, c, plan.tables(context), True), STATE), f"{folder}/0")
-    summary = _summary(state, width)
-    metrics = {n: sum(r[n] for r in summary) for n in COUNTS[1:]}
-    trace, converged = [summary], False
+    trace, converged = [_summary(state, width)], False
     for _ in range(max_iterations):
-        context.advance(updated(context.c, summary))
+        context.advance(updated(context.c, trace[-1]))
         if plan.needs_radius:
             context.radius = _radius(state, context.c)
         tables = plan.tables(context)
         state = materialise(state.mapInArrow(_pass(name, context.c, tables, False), STATE), f"{folder}/{context.it}")
         remove(points.sparkSession, f"{folder}/{context.it - 1}")
-        summary = _summary(state, width)
-        trace.append(summary)
-        for n in COUNTS[1:]:
-            metrics[n] += sum(r[n] for r in summary)
-        context.open_share = sum(r["failed"] for r in summary) / max(1, sum(r["walks"] for r in summary))
-        if not sum(r["changed"] for r in summary):
+        trace.append(_summary(state, width))
+        context.open_share = _open_share(trace[-1])
+        if not sum(r["changed"] for r in trace[-1]):
             converged = True
             break
-    metrics |= {"rebuilds": context.rebuilds, "fallbacks": context.fallbacks}
-    return Result(state.select("id", "x", "w", "a"), context.c, context.it, converged, metrics, trace)
+    return _result(state.select("id", "x", "w", "a"), context.c, context.it, converged, context.rebuilds, context.fallbacks, context.degrees, trace)
