@@ -77,7 +77,7 @@ def _chunks(id_type: str):
             cut = np.r_[0, np.cumsum(np.concatenate(length))]
             row = {
                 "ids": pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), pa.concat_arrays(ids)), "chunk": pa.array([part << 32 | count], pa.int64()), "place": pa.array([part + count], pa.int64()),
-                "held": pa.array([out.tolist()], pa.list_(pa.bool_())), "cut": pa.array([cut.astype("<i8").tobytes()]), "token": pa.array([distinct.astype("<u8").tobytes()]), "index": pa.array([index.astype("<u4").tobytes()]),
+                "held": pa.array([out.tolist()], pa.list_(pa.bool_())), "cut": pa.array([cut.astype("<i8").tobytes()]), "token": pa.array([distinct.astype("<u8").tobytes()]), "index": pa.array([packed(index)]),
                 "n_tokens": pa.array([len(index)], pa.int64()), "n_train": pa.array([int((~out).sum())], pa.int64()),
             }
             for x in (ids, held, token, length):
@@ -101,9 +101,20 @@ def _chunks(id_type: str):
     return cut_texts
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, each in as few bytes as the largest needs."""
+    most = int(x.max(initial=0))
+    return x.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8").tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}" if n else "<u1").astype(np.int64)
+
+
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens, positions among them, and offsets of the texts."""
-    return np.frombuffer(row["token"], "<u8"), np.frombuffer(row["index"], "<u4"), np.frombuffer(row["cut"], "<i8")
+    cut = np.frombuffer(row["cut"], "<i8")
+    return np.frombuffer(row["token"], "<u8"), unpacked(row["index"], int(cut[-1])), cut
 
 
 def _requests(shards: int):
@@ -119,14 +130,14 @@ def _requests(shards: int):
                         gram, at = distinct, index
                     else:
                         gram, at = np.unique(n_grams(distinct[index], cut)[order - 2], return_inverse=True)
-                    n = np.bincount(at[train], minlength=len(gram)).astype("<u4")
+                    n = np.bincount(at[train], minlength=len(gram))
                     shard = ((gram >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
                     first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
                     key = gram.astype("<u8") if order == 1 else gram.astype("<u4")
                     own = [(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(gram)])]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(shard[first]), pa.array(np.full(len(own), row["chunk"])), pa.array(np.full(len(own), row["place"])), pa.array(np.full(len(own), order, np.int32)),
-                        pa.array([key[a:b].tobytes() for a, b in own], pa.binary()), pa.array([n[a:b].tobytes() for a, b in own], pa.binary()),
+                        pa.array([key[a:b].tobytes() for a, b in own], pa.binary()), pa.array([packed(n[a:b]) for a, b in own], pa.binary()),
                     ], schema=schema)
 
     return ask
@@ -178,16 +189,17 @@ def _answered(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         own = [r for r in rows if r[3] == order]
         if not own:
             continue
-        gram, at = np.unique(np.concatenate([np.frombuffer(r[4], "<u8" if order == 1 else "<u4") for r in own]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([np.frombuffer(r[5], "<u4") for r in own]), minlength=len(gram)).astype("<i8")
+        keys = [np.frombuffer(r[4], "<u8" if order == 1 else "<u4") for r in own]
+        gram, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, np.concatenate([unpacked(r[5], len(k)) for r, k in zip(own, keys)]), minlength=len(gram)).astype(np.int64)
         known = total > 0
         level = Filter(gram[known], level_of(total[known])).levels(gram)[at]
-        cuts = np.r_[0, np.cumsum([len(r[5]) // 4 for r in own])]
+        cuts = np.r_[0, np.cumsum([len(k) for k in keys])]
         part = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
         count = total[at] if order == 1 else total[:0]
         columns = {
             "chunk": [r[1] for r in own], "place": [r[2] for r in own], "gram_order": [order] * len(own), "shard": [shard] * len(own),
-            "count": [count[a:b].tobytes() for a, b in part], "level": [level[a:b].tobytes() for a, b in part], "n_all": [None] * len(own), "n_kinds": [None] * len(own),
+            "count": [packed(count[a:b]) for a, b in part], "level": [level[a:b].tobytes() for a, b in part], "n_all": [None] * len(own), "n_kinds": [None] * len(own),
         }
         if order == 1:
             for name, value in zip(columns, (None, None, 0, shard, None, None, int(total.sum()), int(known.sum()))):
@@ -221,13 +233,13 @@ def _score(total: int, kinds: int, starts: int, id_type: pa.DataType):
     def scores(row: dict, answers: list[tuple]) -> pa.RecordBatch:
         distinct, index, cut = _unpacked(row)
         first = cut[:-1]
-        joined = lambda order, k, kind: np.frombuffer(b"".join(a[k] for a in answers if a[0] == order), kind)
-        count = joined(1, 1, "<i8")
+        levels = lambda order: np.frombuffer(b"".join(a[2] for a in answers if a[0] == order), np.uint8)
+        count = np.concatenate([unpacked(a[1], len(a[2])) for a in answers if a[0] == 1])
         add = lambda x: np.add.reduceat(x[index], first)
-        counts = [estimate(joined(1, 2, np.uint8))[index]]
+        counts = [estimate(levels(1))[index]]
         for order, grams in enumerate(n_grams(distinct[index], cut), 2):
             at = np.unique(grams, return_inverse=True)[1]
-            counts.append(estimate(joined(order, 2, np.uint8))[at])
+            counts.append(estimate(levels(order))[at])
         before = []
         for own in counts[:-1]:
             context = np.empty_like(own)
