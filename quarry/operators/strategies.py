@@ -198,16 +198,17 @@ class Elkan(Strategy):
     def step(self, b, c, t):
         b.u += t["drift"][b.a]
         b.own = np.maximum(b.own - t["drift"][None, :], 0.0)
-        old, tight = b.a.copy(), np.zeros(len(b.a), bool)
+        old = b.a.copy()
         at = np.flatnonzero(b.u > t["s"][b.a])
+        open_ = lambda r: (b.u[r][:, None] > b.own[r]) & (b.u[r][:, None] > t["half"][b.a[r]]) & (np.arange(len(c))[None, :] != b.a[r][:, None])
+        at = at[open_(at).any(axis=1)]
+        b.u[at] = b.own[at, b.a[at]] = distance(b.x[at], c[b.a[at]])
+        b.comps[at] += 1
+        which, row = np.nonzero(open_(at).T)  # what a bound settles now stays settled, as upper bounds only fall
+        cuts = np.searchsorted(which, np.arange(len(c) + 1))
         for j in range(len(c)):
-            open_ = lambda r, j=j: r[(b.a[r] != j) & (b.u[r] > b.own[r, j]) & (b.u[r] > t["half"][b.a[r], j])]
-            r = open_(at)
-            loose = r[~tight[r]]
-            b.u[loose] = b.own[loose, b.a[loose]] = distance(b.x[loose], c[b.a[loose]])
-            b.comps[loose] += 1
-            tight[loose] = True
-            r = open_(r)
+            r = at[row[cuts[j] : cuts[j + 1]]]
+            r = r[(b.a[r] != j) & (b.u[r] > b.own[r, j]) & (b.u[r] > t["half"][b.a[r], j])]
             d = distance(b.x[r], c[j][None, :])
             b.comps[r] += 1
             b.own[r, j] = d
@@ -265,12 +266,36 @@ class Exponion(Strategy):
         b.u += t["drift"][b.a]
         b.l -= t["dmax"]
         at = tightened(b, c, b.l)
-        which, edge, u = t["order"][b.a[at]], t["edge"][b.a[at]], b.u[at]
-        inside = edge <= 2 * u[:, None]
-        d = np.where(inside, distance(b.x[at][:, None, :], c[which]), INF)
-        b.comps[at] += inside.sum(axis=1)
-        beyond = np.where(inside, INF, edge).min(axis=1) - u if which.shape[1] else INF
-        choose(b, at, d, which, beyond)
+        candidates(b, at, c, t)
+
+
+def candidates(b: Batch, at: np.ndarray, c: np.ndarray, t: dict) -> None:
+    """Moves points to the best centroid within ``edge`` of twice their upper bound. Edges are sorted, so those are the
+    first ones; points with like numbers of them are worked on together."""
+    order, edge = t["order"], t["edge"]
+    if not order.shape[1]:
+        b.l[at] = INF
+        return
+    count = np.zeros(len(at), np.int64)
+    far = 2 * b.u[at]
+    live, step = np.arange(len(at)), 8
+    while len(live):  # most points have few candidates
+        low = int(count[live[0]])
+        own = edge[b.a[at[live]], low : low + step]
+        inside = (own <= far[live][:, None]).sum(axis=1)
+        count[live] += inside
+        live = live[(inside == own.shape[1]) & (inside > 0)]
+    by_count = np.argsort(count, kind="stable")
+    cuts = np.unique(np.searchsorted(count[by_count], [0, 1, 4, 8, 16, 32, 64, 128, 256, 1 << 40]))
+    for a, e in zip(cuts[:-1], cuts[1:]):
+        some = by_count[a:e]
+        rows, width = at[some], int(count[some].max())
+        mine = np.arange(width)[None, :] < count[some][:, None]
+        which = order[b.a[rows], :width]
+        d = np.where(mine, distance(b.x[rows][:, None, :], c[which]), INF)
+        b.comps[rows] += count[some]
+        beyond = np.where(count[some] < edge.shape[1], edge[b.a[rows], np.minimum(count[some], edge.shape[1] - 1)], INF) - b.u[rows]
+        choose(b, rows, d, which, beyond)
 
 
 class Ball(Strategy):
@@ -281,15 +306,15 @@ class Ball(Strategy):
     def tables(self, context):
         between = graph.centroid_distances(context.c)
         radius = context.radius if context.radius is not None else np.zeros(len(context.c))
-        return {"between": np.where(between < 2 * radius[:, None], between, INF)}
+        near = np.where(between < 2 * radius[:, None], between, INF)
+        order = np.argsort(near, axis=1, kind="stable")[:, : len(context.c) - 1]
+        # a candidate is strictly nearer than twice the distance
+        return {"order": order, "edge": np.nextafter(np.take_along_axis(near, order, axis=1), INF)}
 
     def step(self, b, c, t):
-        at = np.arange(len(b.a))
         b.u = distance(b.x, c[b.a])
-        between = t["between"][b.a]
-        inside = between < 2 * b.u[:, None]
-        b.comps += 1 + inside.sum(axis=1)
-        choose(b, at, np.where(inside, full(b.x, c), INF), np.broadcast_to(np.arange(len(c)), inside.shape))
+        b.comps += 1
+        candidates(b, np.arange(len(b.a)), c, t)
 
 
 class Walk(Strategy):
