@@ -1,8 +1,8 @@
 """Packing documents into sequences by exact-complement hashing, then best fit.
 
-Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the driver. There, for the
-longest length left, the gap beside it is looked up among single lengths, pair sums and triple sums;
-a combination that fills the gap exactly is consumed as often as its lengths are available. What no
+Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the driver. There, the gaps
+beside the longest lengths are looked up in an index of the sums of one, two and three lengths, in that order;
+a combination that fills a gap exactly is consumed as often as its lengths are available. What no
 combination completes goes by best fit, longest first, always many equal pieces at a time. So the plan
 is a short list of patterns with multiplicities, and a piece finds its place from its number among
 the pieces of its length.
@@ -13,6 +13,7 @@ added. No sort and no task for all pieces of a common length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -30,8 +31,11 @@ from quarry.llm.common import materialise
 
 CAPACITY, END_ID = 2048, 0
 #: Words that a worker remembers, and the longest of them in bytes.
-REMEMBERED, WORD = 400_000, 48
-_MORE = rb"[^\s.,;:!?]*(?:(?<![A-Za-z])[.,;:!?]+[^\s.,;:!?]*)*"
+REMEMBERED, WORD = 700_000, 48
+#: Letters of ASCII and Latin-1 in UTF-8. Of these alone, a word is one piece for the tokenizer's own splitting.
+_ACCENTED = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+PLAIN = re.compile(rb"(?:[A-Za-z]|" + _ACCENTED + rb")+").fullmatch
+_MORE = rb"[^\s.,;:!?]*(?:(?<![A-Za-z])(?<!" + _ACCENTED + rb")[.,;:!?]+[^\s.,;:!?]*)*"
 PARTS = re.compile(rb"[^\s.,;:!?]" + _MORE + rb"|[.,;:!?]" + _MORE).findall
 
 
@@ -44,10 +48,13 @@ class WordEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        last = json.loads(self.model.to_str())["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(self.model.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.model.get_vocab().items() if last and t.endswith(last)]] = True
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids. The library gets words: no token crosses ASCII white space,
-        or goes from an ASCII letter to a stop. It lower-cases texts itself, but for special strings."""
+        or goes from a plain letter to a stop. It lower-cases texts itself, but for special strings."""
         words, known = PARTS(text if b"<|" in text else text.lower()), self.known
         try:
             return b"".join(map(known.__getitem__, words))
@@ -55,11 +62,24 @@ class WordEncoder:
             if len(known) > REMEMBERED:
                 known = self.known = {}
         new = [w for w in dict.fromkeys(words) if w not in known]
-        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, self.model.encode_batch([w.decode() for w in new], add_special_tokens=False))}
+        got = self._looked_up(new)
         out = b"".join([known[w] if w in known else got[w] for w in words])
         known.update((w, ids) for w, ids in got.items() if len(w) <= WORD)
         return out
 
+    def _looked_up(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Plain words go to the library as one text, as the end of each shows in its last id."""
+        plain = [w for w in words if PLAIN(w)]
+        got = {}
+        if plain:
+            ids = np.array(self.model.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(plain):
+                data = ids.tobytes()
+                got = {w: data[4 * a : 4 * b] for w, a, b in zip(plain, [0, *ends[:-1].tolist()], ends.tolist())}
+        rest = [w for w in words if w not in got]
+        return got | {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(rest, self.model.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False))}
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
@@ -93,51 +113,76 @@ def _cut(path: str, capacity: int, id_col: str, with_ids: bool):
     return cut
 
 
-def _fillers(left: np.ndarray, gap: int, most: int) -> Iterator[tuple[int, ...]]:
-    """Up to ``most`` lengths that add up to ``gap`` among those available: one, two, then three; large first."""
-    if left[gap]:
-        yield (gap,)
-    if most < 2:
-        return
-    large = np.arange(gap - 1, (gap - 1) // 2, -1)
-    for a in large[(left[large] > 0) & (left[gap - large] > 0)].tolist():
-        yield a, gap - a
-    for a in np.flatnonzero(left[:gap])[::-1].tolist() if most > 2 else ():
-        rest = gap - a
-        second = np.arange(min(a, rest - 1), (rest - 1) // 2, -1)
-        for b in second[(left[second] > 0) & (left[rest - second] > 0)].tolist():
-            yield a, b, rest - b
+class SumIndex:
+    """The sums of up to three of the lengths that are left, to those lengths.
+
+    Pairs are filed by their sum, even ones first; a triple is a length and a filed pair of lengths that are no larger.
+    What is no longer left in number is passed over.
+    """
+
+    def __init__(self, left: np.ndarray) -> None:
+        self.left = left
+        large, small = np.meshgrid(np.flatnonzero(left), np.flatnonzero(left), indexing="ij")
+        filed = (large >= small) & (large + small < len(left))
+        large, total = large[filed], (large + small)[filed]
+        order = np.lexsort((large, total))
+        self._large, self._cut = large[order], np.searchsorted(total[order], np.arange(len(left) + 1))
+
+    def singles(self, total: int) -> Iterator[tuple[int, ...]]:
+        if self.left[total]:
+            yield (total,)
+
+    def pairs(self, total: int, most: int | None = None) -> Iterator[tuple[int, ...]]:
+        large = self._large[self._cut[total] : self._cut[total + 1]]
+        large = large[: None if most is None else int(np.searchsorted(large, most, "right"))]
+        small = total - large
+        for a in large[(self.left[large] > 0) & (self.left[small] > (large == small))].tolist():
+            yield a, total - a
+
+    def triples(self, total: int) -> Iterator[tuple[int, ...]]:
+        for a in np.flatnonzero(self.left[:total])[::-1].tolist():
+            if 3 * a < total:
+                return
+            for pair in self.pairs(total - a, a) if self.left[a] else ():
+                yield a, *pair
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths of one sequence) and how many sequences each stands for.
 
-    Triples use up small lengths that the rest may need, so the plan is made with up to three, two and one
-    lengths to a gap, and the one with the fewest sequences is taken.
+    Gaps beside the longest lengths are filled exactly by single lengths first, then by pairs, then by triples, as often as
+    the lengths are available. Pairs and triples use up short lengths, of which each long one (over half of
+    a sequence) needs one, so they are taken only from short lengths beyond the number of long ones.
     """
-    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(times for _, times in p))
-
-
-def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
     patterns: list[tuple[tuple[int, ...], int]] = []
+    half = capacity // 2
+
+    def consume(pattern: tuple[int, ...]) -> int:
+        times = min(int(left[x]) // k for x, k in Counter(pattern).items())
+        short = sum(1 if x <= half else -1 for x in pattern)
+        if len(pattern) > 2 and short > 0:
+            times = min(times, max(0, int(left[: half + 1].sum() - left[half + 1 :].sum())) // short)
+        if times:
+            patterns.append((pattern, times))
+            for x in pattern:
+                left[x] -= times
+        return times
+
     if left[capacity]:
-        patterns.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    for length in range(capacity - 1, 0, -1):
-        if not left[length]:
-            continue
-        for filler in _fillers(left, capacity - length, most):
-            pattern = (length, *filler)
-            times = min(int(left[x]) // k for x, k in Counter(pattern).items())
-            if times:
-                patterns.append((pattern, times))
-                for x in pattern:
-                    left[x] -= times
-            if not left[length]:
-                break
+        consume((capacity,))
+    for size in (1, 2, 3):
+        index = SumIndex(left)
+        fillers = (index.singles, index.pairs, index.triples)[size - 1]
+        for length in range(capacity - 1, 0, -1):
+            if left[length]:
+                for filler in fillers(capacity - length):
+                    if not consume((length, *filler)) and size > 1 and left[: half + 1].sum() <= left[half + 1 :].sum():
+                        break  # no short length to spare
+                    if not left[length]:
+                        break
     return patterns + _best_fit(left, capacity)
 
 
@@ -216,6 +261,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "part", F.coalesce(F.sum("count").over(earlier), F.lit(0).cast("long")).alias("before"))
     columns = [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    numbered = pieces.join(starts, ["length", "part"]).select(*columns, (F.col("number") + F.col("before")).alias("number"))
+    numbered = pieces.join(starts.hint("merge"), ["length", "part"])  # its rows grow with the tasks, so they are not broadcast
+    numbered = numbered.select(*columns, (F.col("number") + F.col("before")).alias("number"))
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids + ", sequence_id long, offset long"
     return numbered.mapInArrow(_placed(places), schema)

@@ -541,6 +541,25 @@ def test_plan(low, high, n):
         assert sum(t for _, t in patterns) <= lengths.sum() / 2048 * 1.03 + 1
 
 
+@pytest.mark.parametrize("counts", [{1024: 5, 1000: 4, 24: 3, 500: 6, 548: 2}, {700: 3, 400: 6, 948: 3}, {1500: 2, 300: 2, 248: 2, 2: 9}])
+def test_sum_index_finds_all_exact_combinations(counts):
+    left = np.zeros(2049, np.int64)
+    left[list(counts)] = list(counts.values())
+    index = packing.SumIndex(left)
+    from itertools import combinations_with_replacement
+
+    for total in range(1, 2048):
+        for size, found in ((1, index.singles), (2, index.pairs), (3, index.triples)):
+            want = {tuple(sorted(c)) for c in combinations_with_replacement(counts, size) if sum(c) == total and all(counts[x] >= n for x, n in Counter(c).items())}
+            have = {tuple(sorted(c)) for c in found(total)}
+            assert want == {c for c in have if all(counts[x] >= n for x, n in Counter(c).items())}
+    assert sum(t for _, t in packing.plan(counts)) <= -(-sum(k * v for k, v in counts.items()) // 2048) + 1
+
+
+def test_packing_clashing_columns(docs, clashing):
+    assert got(packing.pack(clashing, WORDS), "doc_id", "piece", "ids_crc32") == got(packing.pack(docs, WORDS), "doc_id", "piece", "ids_crc32")
+
+
 def test_word_encoder_is_the_library():
     import random
 
