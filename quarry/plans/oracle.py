@@ -44,6 +44,60 @@ def full_run(points: str, c: np.ndarray, rounds: int) -> str:
     return f"WITH {lloyd(points, c, rounds)} SELECT (SELECT CAST(min(i) AS INTEGER) FROM ({changes}) WHERE ch = 0) AS iterations, {sizes(c.shape[1], f'a{rounds}')}"
 
 
+def nearest_of(d: int, points: str, centroids: str, current: str | None = None) -> str:
+    """(id, x0 ..., old, a): the nearest centroid of each point; the current one, then the lowest number goes before equally near ones."""
+    axes = ", ".join(f"any_value(p.x{t}) AS x{t}" for t in range(d))
+    stays = f"c.j <> p.{current}" if current else "true"
+    return f"SELECT p.id, {axes}, {f'any_value(p.{current})' if current else 'NULL'} AS old, CAST(min(ROW({gap('p', 'c', d)}, {stays}, c.j)) AS STRUCT(d DOUBLE, s BOOLEAN, j BIGINT)).j AS a FROM {points} p, {centroids} c GROUP BY p.id"
+
+
+def means(d: int, labels: str, centroids: str) -> str:
+    columns = ", ".join(f"CAST(sum(x{t}) AS DOUBLE) / count(*) AS m{t}" for t in range(d))
+    return f"SELECT j, {', '.join(f'coalesce(m{t}, c{t}) AS c{t}' for t in range(d))} FROM {centroids} LEFT JOIN (SELECT a, {columns} FROM {labels} GROUP BY a) ON a = j"
+
+
+def rounds_from(start: str, d: int, rounds: int) -> str:
+    """CTEs of ``start`` (pts, c0), then a0, c1, a1 ..."""
+    parts = [start, f"a0 AS MATERIALIZED ({nearest_of(d, 'pts', 'c0')})"]
+    for i in range(1, rounds + 1):
+        parts += [f"c{i} AS MATERIALIZED ({means(d, f'a{i - 1}', f'c{i - 1}')})", f"a{i} AS MATERIALIZED ({nearest_of(d, f'a{i - 1}', f'c{i}', 'a')})"]
+    return ", ".join(parts)
+
+
+def first_still(rounds: int) -> str:
+    """The first round without a change."""
+    changes = " UNION ALL ".join(f"SELECT {i} AS i, count(*) FILTER (a <> old) AS ch FROM a{i}" for i in range(1, rounds + 1))
+    return f"(SELECT CAST(min(i) AS INTEGER) FROM ({changes}) WHERE ch = 0)"
+
+
+def cluster_sizes(d: int, labels: str) -> str:
+    return "CAST(a AS INTEGER) AS cluster, count(*) AS n_points, " + ", ".join(f"CAST(sum(x{t}) AS DOUBLE) AS sum_{t}" for t in range(d)) + f" FROM {labels} GROUP BY a"
+
+
+def _minor(rows: list[list[str]]) -> str:
+    if len(rows) == 1:
+        return rows[0][0]
+    terms = [f"{'-' if i % 2 else '+'} {x} * ({_minor([r[:i] + r[i + 1 :] for r in rows[1:]])})" for i, x in enumerate(rows[0])]
+    return " ".join(terms).removeprefix("+ ")
+
+
+def empty_spheres(d: int, points: str) -> str:
+    """CTE e (j, h): edges of the simplices of ``points`` (j, c0 ...) whose sphere holds no other point, in whole numbers."""
+    names = "uvwxy"[: d + 1]
+    lift = ", ".join(f"CAST(c{t} AS HUGEINT) AS c{t}" for t in range(d))
+    square = " + ".join(f"CAST(c{t} AS HUGEINT) * CAST(c{t} AS HUGEINT)" for t in range(d))
+    rows = [[f"({n}.c{t} - u.c{t})" for t in range(d)] + [f"({n}.q - u.q)"] for n in names[1:]]
+    flat = [f"({'-' if (i + d) % 2 else ''}({_minor([r[:i] + r[i + 1 :] for r in rows])})) AS n{i}" for i in range(d + 1)]
+    inside = " + ".join([f"s.n{t} * (p.c{t} - s.b{t})" for t in range(d)] + [f"s.n{d} * (p.q - s.bq)"])
+    edges = " UNION ".join(f"SELECT {a} AS j, {b} AS h FROM empty_ones" for a in names for b in names if a != b)
+    return (
+        f"lifted AS MATERIALIZED (SELECT j, {lift}, {square} AS q FROM {points}), "
+        f"simplices AS MATERIALIZED (SELECT {', '.join(f'{n}.j AS {n}' for n in names)}, {', '.join(f'u.c{t} AS b{t}' for t in range(d))}, u.q AS bq, {', '.join(flat)} FROM {', '.join(f'lifted {n}' for n in names)} WHERE {' AND '.join(f'{a}.j < {b}.j' for a, b in zip(names, names[1:]))}), "
+        f"empty_ones AS MATERIALIZED (SELECT * FROM simplices s WHERE s.n{d} <> 0 AND NOT EXISTS (SELECT 1 FROM lifted p WHERE p.j NOT IN ({', '.join(f's.{n}' for n in names)}) AND ({inside}) * sign(s.n{d}) < 0)), "
+        f"e AS (SELECT DISTINCT CAST(j AS INTEGER) AS j, CAST(h AS INTEGER) AS h FROM ({edges}))"
+    )
+
+
 def delaunay(name: str, c: str) -> str:
     """Edges of triples with no centroid strictly inside their circle, both directions; whole-number coordinates."""
     det = "((b.c0 - a.c0) * (d.c1 - a.c1) - (b.c1 - a.c1) * (d.c0 - a.c0))"

@@ -14,7 +14,7 @@ from quarry.functions import geometry
 from quarry.operators import graph
 from quarry.operators.strategies import STRATEGIES, Context
 from quarry.plans import driver, evaluate, oracle, report
-from quarry.sources import generate, prepare, seeding
+from quarry.sources import generate, mixture, prepare, seeding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -252,6 +252,75 @@ def stable_clusters(spark, sf_dir):
     return small(spark, [(j, bool(s)) for j, s in enumerate(stable)], "j int, stable boolean")
 
 
+# --- mixtures at the size of benchmarks: 100,000 points at scale factor 0.1 ---
+
+MIXTURE_ROUNDS = 120
+EVERY = tuple(STRATEGIES)
+SOME = ("lloyd", "hamerly", "elkan", "yinyang", "exponion", "ball", "walk", "walk_local", "walk_reuse", "walk_lazy")
+MIXTURES = {(2, 64): (*EVERY, "auto"), (3, 64): (*SOME, "auto"), (4, 64): (*SOME, "auto"), (2, 128): (*SOME, "auto")}
+
+
+def mixture_run(spark, sf_dir, d, k, strategy, **more):
+    table = mixture.mixture(spark, sf_dir, d, k)
+    return driver.run(table, mixture.first_centroids(table, k), strategy, **more)
+
+
+def _mixture_sizes(spark, sf_dir, d, k, strategy):
+    found = mixture_run(spark, sf_dir, d, k, strategy)
+    return found.sizes().withColumn("iterations", F.lit(found.iterations))
+
+
+for (_d, _k), _names in MIXTURES.items():
+    _sql = f"WITH {oracle.rounds_from(mixture.sql(_d, _k), _d, MIXTURE_ROUNDS)} SELECT {oracle.first_still(MIXTURE_ROUNDS)} AS iterations, {oracle.cluster_sizes(_d, f'a{MIXTURE_ROUNDS}')}"
+    for _name in _names:
+        query(f"mixture_{_d}d_k{_k}_{_name}", _sql)(partial(_mixture_sizes, d=_d, k=_k, strategy=_name))
+
+
+@query("mixture_jobs_per_iteration", f"WITH {oracle.rounds_from(mixture.sql(2, 64), 2, 6)} SELECT {oracle.cluster_sizes(2, 'a6')}")
+def mixture_jobs_per_iteration(spark, sf_dir):
+    """As beyond ``driver.FEW`` points: an iteration is two Spark jobs over many tasks."""
+    return mixture_run(spark, sf_dir, 2, 64, "walk_reuse", few=0, max_iterations=6).sizes()
+
+
+def _triangulated(spark, sf_dir, d):
+    return graph.Triangulation(mixture.first_centroids(mixture.mixture(spark, sf_dir, d, 25), 25)).adjacency
+
+
+for _d in (2, 3, 4):
+    query(f"delaunay_{_d}d", f"WITH {mixture.sql(_d, 25)}, {oracle.empty_spheres(_d, 'c0')} SELECT j, h FROM e")(lambda spark, sf_dir, d=_d: _edges(spark, _triangulated(spark, sf_dir, d)))
+
+
+@query("run_degrees", f"WITH {mixture.sql(3, 25)}, {oracle.empty_spheres(3, 'c0')}, n AS (SELECT j, count(*) AS degree FROM e GROUP BY j) SELECT round(avg(degree), 6) AS mean_degree, max(degree) AS most_degree, CAST(1 AS BIGINT) AS graphs FROM n")
+def run_degrees(spark, sf_dir):
+    m = mixture_run(spark, sf_dir, 3, 25, "walk", max_iterations=0).metrics
+    return small(spark, [(round(m["mean_degree"], 6), m["most_degree"], m["graphs"])], "mean_degree double, most_degree long, graphs long")
+
+
+@query("runs_agree", f"WITH {oracle.rounds_from(mixture.sql(2, 64), 2, MIXTURE_ROUNDS)} SELECT CAST(0 AS BIGINT) AS only_first, CAST(0 AS BIGINT) AS only_second, true AS exact, {oracle.first_still(MIXTURE_ROUNDS)} AS iterations, CAST(0 AS DOUBLE) AS centroid_gap")
+def runs_agree(spark, sf_dir):
+    """A strategy with all its bounds against the plain one: labels, iterations and centroids."""
+    return evaluate.runs_agree(mixture_run(spark, sf_dir, 2, 64, "walk_reuse"), mixture_run(spark, sf_dir, 2, 64, "lloyd"))
+
+
+@query("runs_differ", f"WITH {oracle.rounds_from(mixture.sql(2, 64), 2, 5)}, x AS (SELECT count(*) FILTER (a3.a <> a5.a) AS n FROM a3 JOIN a5 ON a3.id = a5.id) SELECT n AS only_first, n AS only_second, false AS exact, CAST(3 AS INTEGER) AS iterations, round((SELECT max(greatest(abs(c3.c0 - c5.c0), abs(c3.c1 - c5.c1))) FROM c3 JOIN c5 ON c3.j = c5.j), 6) AS centroid_gap FROM x")
+def runs_differ(spark, sf_dir):
+    return evaluate.runs_agree(mixture_run(spark, sf_dir, 2, 64, "hamerly", max_iterations=3), mixture_run(spark, sf_dir, 2, 64, "hamerly", max_iterations=5)).withColumn("centroid_gap", F.round("centroid_gap", 6))
+
+
+@query("rgb_stride", "SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size AS DOUBLE) / 255 AS x0 FROM part WHERE p_partkey % 20 = 0")
+def rgb_stride(spark, sf_dir):
+    rows = prepare.every(_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("double").alias("v")), "id", 20)
+    return rows.select("id", (F.col("v") / 255).alias("x0"))
+
+
+@query("as_many_centroids_as_points", f"WITH {mixture.sql(2, 40)}, few AS (SELECT DISTINCT c0, c1 FROM c0) SELECT count(*) AS clusters, CAST(1 AS BIGINT) AS most FROM few")
+def as_many_centroids_as_points(spark, sf_dir):
+    table = mixture.mixture(spark, sf_dir, 2, 40)
+    c = np.unique(mixture.first_centroids(table, 40), axis=0)
+    own = spark.createDataFrame([(j, row.tolist(), 1) for j, row in enumerate(c)], "id long, x array<double>, w long")
+    return driver.run(own, c, "walk_local").sizes().agg(F.count("*").alias("clusters"), F.max("n_points").alias("most"))
+
+
 # --- preparation ---
 
 
@@ -290,22 +359,50 @@ def grid_points(spark, sf_dir):
     return generate.grid(spark, 60).select("id", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"))
 
 
-@query("circle_points")
+_LCG = "((((({0} % 2147483648 + {1}) * 1103515245 + 12345) % 2147483648 >> 3) * 7 + {0} % 1048576) * 1103515245 + 12345) % 2147483648"
+
+
+def _uniform(key: str, stream: int, seed: int = 0) -> str:
+    return f"((CAST({_LCG.format(f'(CAST({key} AS BIGINT) * 1024 + {stream})', seed * 7919 + stream * 104729 + 1)} AS DOUBLE) + 0.5) / 2147483648)"
+
+
+def _rounded(points: DataFrame, *columns: str) -> DataFrame:
+    """Coordinates to seven places: sines and logarithms differ in the last ones between engines."""
+    return points.select("id", *columns, *(F.round(F.col("x")[t], 7).alias(f"x{t}") for t in range(2)))
+
+
+@query("circle_points", f"SELECT i AS id, round(cos(2 * pi() * {_uniform('i', 0)}), 7) AS x0, round(sin(2 * pi() * {_uniform('i', 0)}), 7) AS x1 FROM range(5000) t(i)")
 def circle_points(spark, sf_dir):
-    return generate.circle(spark, 5000)
+    return _rounded(generate.circle(spark, 5000))
 
 
-@query("collinear_points")
+@query("collinear_points", f"SELECT i AS id, round({_uniform('i', 0)}, 7) AS x0, round(2 * {_uniform('i', 0)} + 1, 7) AS x1 FROM range(5000) t(i)")
 def collinear_points(spark, sf_dir):
-    return generate.collinear(spark, 5000)
+    return _rounded(generate.collinear(spark, 5000))
+
 
+def _blob_axis(t: int, spread: float) -> str:
+    return f"round(({_uniform('label', 100 + t)} * 2 - 1) * 10 + sqrt(-2 * ln({_uniform('id', 1 + 2 * t)})) * cos(2 * pi() * {_uniform('id', 2 + 2 * t)}) * {spread}, 7) AS x{t}"
 
-@query("blobs")
+
+@query("blobs", f"WITH l AS (SELECT i AS id, CAST(floor({_uniform('i', 0)} * 30) AS INTEGER) AS label FROM range(5000) t(i)) SELECT id, label, {_blob_axis(0, 0.6)}, {_blob_axis(1, 0.6)} FROM l")
 def blobs(spark, sf_dir):
-    return generate.blobs(spark, 5000, 2, 30)
+    return _rounded(generate.blobs(spark, 5000, 2, 30), "label")
 
 
-_LCG = "((((({0} % 2147483648 + {1}) * 1103515245 + 12345) % 2147483648 >> 3) * 7 + {0} % 1048576) * 1103515245 + 12345) % 2147483648"
+@query("overlapping_points", f"WITH l AS (SELECT i AS id, CAST(floor({_uniform('i', 0)} * 8) AS INTEGER) AS label FROM range(3000) t(i)) SELECT id, {_blob_axis(0, 10.0)}, {_blob_axis(1, 10.0)} FROM l")
+def overlapping_points(spark, sf_dir):
+    return _rounded(generate.overlapping(spark, 3000, 2, 8))
+
+
+@query("repeated_points", "SELECT i * 3 + c AS id, CAST(i // 40 AS DOUBLE) AS x0, CAST(i % 40 AS DOUBLE) AS x1 FROM range(1600) t(i), range(3) u(c)")
+def repeated_points(spark, sf_dir):
+    return _rounded(generate.repeated(generate.grid(spark, 40), 3))
+
+
+@query("scaled_points", "SELECT i AS id, (i // 40) * 1000.0 AS x0, (i % 40) * 1000.0 AS x1 FROM range(1600) t(i)")
+def scaled_points(spark, sf_dir):
+    return _rounded(generate.scaled(generate.grid(spark, 40), 1000.0))
 
 
 @query("hash_sample", f"SELECT o_orderkey AS id FROM orders ORDER BY {_LCG.format('o_orderkey', 1)}, o_orderkey LIMIT 500")
@@ -408,6 +505,71 @@ def runs(spark, sf_dir):
 _BASE = f"WITH {_RUNS}, j AS (SELECT r.*, b.time_s / r.time_s AS speedup, CAST(b.comps AS DOUBLE) / r.comps AS saved FROM runs r JOIN runs b ON b.config = r.config AND b.seed = r.seed AND b.algo = 'lloyd')"
 
 
+_DETAIL = "detail AS (SELECT o_orderpriority AS config, CAST(o_custkey % 5 AS BIGINT) AS seed, CASE o_orderstatus WHEN 'F' THEN 'lloyd' WHEN 'O' THEN 'hamerly' ELSE 'ball' END AS algo, count(*) AS examined, count(*) FILTER (o_orderkey % 3 = 0) AS failed, count(*) FILTER (o_orderstatus <> 'P') AS walks, CAST(sum(o_orderkey % 4) AS BIGINT) AS hops, CAST(count(*) AS DOUBLE) AS time_s, CAST(count(*) FILTER (o_orderkey % 5 = 0) AS DOUBLE) AS graph_s FROM orders GROUP BY 1, 2, 3)"
+_RATES = "round(CAST({0}failed{1} AS DOUBLE) / nullif({0}examined{1}, 0), 6) AS fail_rate, round(CAST({0}hops{1} AS DOUBLE) / nullif({0}walks{1}, 0), 6) AS hops_per_walk, round({0}graph_s{1} / nullif({0}time_s{1}, 0), 6) AS graph_share"
+
+
+def detail(spark, sf_dir):
+    """Runs with counts of walks and graphs; some have no walks."""
+    key = F.col("o_orderkey")
+    algo = F.when(F.col("o_orderstatus") == "F", "lloyd").when(F.col("o_orderstatus") == "O", "hamerly").otherwise("ball")
+    return _table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("config"), F.pmod("o_custkey", F.lit(5)).alias("seed"), algo.alias("algo")).agg(
+        F.count("*").alias("examined"), F.count_if(key % 3 == 0).alias("failed"), F.count_if(F.col("o_orderstatus") != "P").alias("walks"), F.sum(key % 4).alias("hops"),
+        F.count("*").cast("double").alias("time_s"), F.count_if(key % 5 == 0).cast("double").alias("graph_s"),
+    )
+
+
+def _round_rates(df: DataFrame) -> DataFrame:
+    return df.select("config", *(["seed"] if "seed" in df.columns else []), "algo", *(F.round(c, 6).alias(c) for c in ("fail_rate", "hops_per_walk", "graph_share")))
+
+
+@query("run_rates", f"WITH {_DETAIL} SELECT config, seed, algo, {_RATES.format('', '')} FROM detail")
+def run_rates(spark, sf_dir):
+    return _round_rates(report.rates(detail(spark, sf_dir)))
+
+
+@query("pooled_rates", f"WITH {_DETAIL} SELECT config, algo, {_RATES.format('sum(', ')')} FROM detail GROUP BY 1, 2")
+def pooled_rates(spark, sf_dir):
+    return _round_rates(report.pooled_rates(detail(spark, sf_dir)))
+
+
+_ORDER = "VALUES ('5-LOW', 1), ('1-URGENT', 2), ('none', 3), ('2-HIGH', 4)"
+
+
+@query("ordered_reindex", f"WITH {_DETAIL}, t AS (SELECT config, sum(hops) AS hops FROM detail GROUP BY 1) SELECT o.config, CAST(o.place AS INTEGER) AS place, CAST(t.hops AS BIGINT) AS hops FROM ({_ORDER}) o(config, place) LEFT JOIN t ON t.config = o.config ORDER BY place")
+def ordered_reindex(spark, sf_dir):
+    order = small(spark, [("5-LOW", 1), ("1-URGENT", 2), ("none", 3), ("2-HIGH", 4)], "config string, place int")
+    return report.in_order(detail(spark, sf_dir).groupBy("config").agg(F.sum("hops").alias("hops")), order, "config")
+
+
+@query("metadata_lookup", f"WITH {_DETAIL} SELECT d.config, d.seed, d.algo, CAST(m.place AS INTEGER) AS place FROM detail d LEFT JOIN ({_ORDER}) m(config, place) ON m.config = d.config")
+def metadata_lookup(spark, sf_dir):
+    known = small(spark, [("5-LOW", 1), ("1-URGENT", 2), ("none", 3), ("2-HIGH", 4)], "config string, place int")
+    return report.described(detail(spark, sf_dir), known).select("config", "seed", "algo", "place")
+
+
+@query("point_lookup", f"WITH {_DETAIL} SELECT config, seed, algo, examined FROM detail WHERE config = '2-HIGH' AND seed = 3 AND algo = 'lloyd'")
+def point_lookup(spark, sf_dir):
+    return report.lookup(detail(spark, sf_dir), "2-HIGH", 3, "lloyd").select("config", "seed", "algo", "examined")
+
+
+@query("best_without_missing_times", f"WITH {_RUNS}, n AS (SELECT config, seed, algo, CASE WHEN algo = 'ball' THEN NULL WHEN seed = 1 AND algo = 'lloyd' THEN CAST('nan' AS DOUBLE) ELSE time_s END AS time_s FROM runs) SELECT config, seed, algo, round(time_s, 6) AS time_s FROM (SELECT *, row_number() OVER (PARTITION BY config, seed ORDER BY time_s, algo) AS k FROM n WHERE time_s IS NOT NULL AND NOT isnan(time_s)) WHERE k = 1")
+def best_without_missing_times(spark, sf_dir):
+    time = F.when(F.col("algo") == "ball", F.lit(None).cast("double")).when((F.col("seed") == 1) & (F.col("algo") == "lloyd"), F.lit(float("nan"))).otherwise(F.col("time_s"))
+    return report.best(runs(spark, sf_dir).withColumn("time_s", time)).withColumn("time_s", F.round("time_s", 6))
+
+
+@query("scalar_functions", "SELECT o_orderkey AS id, regexp_extract(o_orderpriority, '([0-9]+)-', 1) AS number, split(o_orderpriority, '-')[2] AS name, printf('%s (%d)', o_orderstatus, CAST(o_custkey AS BIGINT)) AS label, replace(o_orderpriority, '-', '_') AS underscored, abs(o_totalprice - round(o_totalprice)) <= 1e-8 + 1e-5 * abs(round(o_totalprice)) AS close, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 3 AS DOUBLE) END AS coerced FROM orders")
+def scalar_functions(spark, sf_dir):
+    price = F.col("o_totalprice")
+    close = F.abs(price - F.round(price)) <= F.lit(1e-8) + 1e-5 * F.abs(F.round(price))
+    text = F.when(F.col("o_orderkey") % 3 == 0, "n/a").otherwise((F.col("o_orderkey") % 3).cast("string"))
+    return _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.regexp_extract("o_orderpriority", "([0-9]+)-", 1).alias("number"), F.split("o_orderpriority", "-")[1].alias("name"),
+        F.format_string("%s (%d)", "o_orderstatus", F.col("o_custkey").cast("long")).alias("label"), F.replace(F.col("o_orderpriority"), F.lit("-"), F.lit("_")).alias("underscored"), close.alias("close"), text.try_cast("double").alias("coerced"),
+    )
+
+
 @query("baseline_speedup_join", f"{_BASE} SELECT config, seed, algo, round(speedup, 6) AS speedup, round(saved, 6) AS saved FROM j")
 def baseline_speedup_join(spark, sf_dir):
     return report.with_baseline(report.gate(runs(spark, sf_dir)), "lloyd").select("config", "seed", "algo", F.round("speedup", 6).alias("speedup"), F.round("saved", 6).alias("saved"))

@@ -9,9 +9,8 @@ KEYS = ["config", "seed"]
 
 
 def gate(runs: DataFrame) -> DataFrame:
-    """``runs`` if every one is exact; else the job fails."""
-    sound = F.when(F.coalesce("exact", F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("a run is not exact")).cast("boolean"))
-    return runs.withColumn("exact", sound)
+    """``runs`` if every one is exact; else the job fails. A filter, as a column could be pruned away with its check."""
+    return runs.filter(F.when(F.coalesce("exact", F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("a run is not exact")).cast("boolean")))
 
 
 def with_baseline(runs: DataFrame, baseline: str) -> DataFrame:
@@ -51,10 +50,36 @@ def pending(wanted: DataFrame, runs: DataFrame) -> DataFrame:
     return wanted.join(runs.select("config", "seed", "algo").distinct(), ["config", "seed", "algo"], "left_anti")
 
 
+def rates(runs: DataFrame) -> DataFrame:
+    """Of each run: failed of examined points, hops a walk, the graphs' share of the time; null where there is nothing to divide by."""
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+    return runs.withColumns({"fail_rate": share("failed", "examined"), "hops_per_walk": share("hops", "walks"), "graph_share": share("graph_s", "time_s")})
+
+
+def pooled_rates(runs: DataFrame) -> DataFrame:
+    """The same of each config and algorithm, from sums over its runs."""
+    names = ("failed", "examined", "hops", "walks", "graph_s", "time_s")
+    return rates(runs.groupBy("config", "algo").agg(*(F.sum(n).alias(n) for n in names))).select("config", "algo", "fail_rate", "hops_per_walk", "graph_share")
+
+
+def in_order(table: DataFrame, order: DataFrame, key: str) -> DataFrame:
+    """Rows of ``order`` (key, place) with what ``table`` has for them, by place; null where it has none."""
+    return order.join(table, key, "left").orderBy("place")
+
+
+def described(runs: DataFrame, configs: DataFrame) -> DataFrame:
+    """Runs with what is known of their config (n, d, k ...)."""
+    return runs.join(configs, "config", "left")
+
+
+def lookup(runs: DataFrame, config: str, seed: int, algo: str) -> DataFrame:
+    return runs.filter((F.col("config") == config) & (F.col("seed") == seed) & (F.col("algo") == algo))
+
+
 def best(runs: DataFrame) -> DataFrame:
-    """The fastest algorithm of each config and seed; ties go to the first by name."""
+    """The fastest algorithm of each config and seed; ties go to the first by name, and null and NaN times count as none."""
     order = Window.partitionBy(*KEYS).orderBy("time_s", "algo")
-    return runs.withColumn("place", F.row_number().over(order)).filter("place = 1").select(*KEYS, "algo", "time_s")
+    return runs.filter(F.col("time_s").isNotNull() & ~F.isnan("time_s")).withColumn("place", F.row_number().over(order)).filter("place = 1").select(*KEYS, "algo", "time_s")
 
 
 def united(*tables: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Generators. Random numbers are hashes of (id, stream, seed), so they don't depend on partitions."""
+"""Generators. Random numbers come from (id, stream, seed) by plain arithmetic, so they don't depend on partitions and
+any SQL engine repeats them."""
 
 from __future__ import annotations
 
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 def uniform(key: Column, stream: int, seed: int) -> Column:
-    """In (0, 1), from 53 bits of a hash."""
-    return (F.shiftrightunsigned(F.xxhash64(key, F.lit(stream), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    """In (0, 1), of 31 bits."""
+    return (lcg(key.cast("long") * 1024 + stream, seed * 7919 + stream * 104729 + 1).cast("double") + 0.5) / float(1 << 31)
 
 
 def lcg(key: Column, seed: int) -> Column:
@@ -47,6 +48,11 @@ def circle(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     return _points(spark.range(n), F.cos(angle), F.sin(angle))
 
 
+def overlapping(spark: SparkSession, n: int, d: int, k: int, seed: int = 0) -> DataFrame:
+    """A mixture whose clusters run into each other: deviations as wide as the box."""
+    return blobs(spark, n, d, k, seed, spread=10.0).drop("label")
+
+
 def repeated(points: DataFrame, times: int) -> DataFrame:
     """Each point so many times, under ids of its own."""
     copies = points.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))

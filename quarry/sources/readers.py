@@ -41,5 +41,20 @@ def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def json_record(df: DataFrame, path: str) -> None:
+    """One JSON object a row, for records of an environment or of results."""
+    df.write.mode("overwrite").json(path)
+
+
+def text_points(points: DataFrame, path: str) -> None:
+    """Points (id, x) for other programs: coordinates in the fewest digits that read back as the same number, in order of id within a file."""
+    line = F.array_join(F.transform("x", lambda v: v.cast("string")), " ")
+    points.repartitionByRange("id").sortWithinPartitions("id").select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_text_points(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.transform(F.split("value", " "), lambda v: v.cast("double")).alias("x"))
+
+
 def summary_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry import catalogue, model
+from quarry import catalogue, model, storage
 from quarry.functions import geometry
-from quarry.plans import driver, evaluate
+from quarry.plans import driver, evaluate, report
 from quarry.sources import generate, prepare, readers, seeding
 from quarry.streaming import assign
 
@@ -110,3 +110,70 @@ def test_a_stream_gets_the_labels_of_the_batch(spark, tmp_path):
     run.stop()
     batch = geometry.nearest(rows, ["x0", "x1"], c)
     assert evaluate.is_exact(spark.table("labels"), batch).first()["exact"]
+
+
+def test_the_gate_stops_runs_that_are_not_exact(spark):
+    runs = spark.createDataFrame([("c", 1, "lloyd", 2.0, 10, True), ("c", 1, "ball", 1.0, 5, False)], "config string, seed long, algo string, time_s double, comps long, exact boolean")
+    assert report.with_baseline(report.gate(runs.filter("exact")), "lloyd").select("speedup").count() == 1
+    for bad in (runs, runs.withColumn("exact", F.lit(None).cast("boolean"))):
+        with pytest.raises(Exception, match="not exact"):
+            report.with_baseline(report.gate(bad), "lloyd").select("config", "speedup").collect()
+
+
+@pytest.mark.parametrize("name", ["lloyd", "hamerly", "elkan", "ball", "walk_local", "walk_stable", "walk_lazy"])
+def test_one_task_gives_what_many_give(spark, blobs, name):
+    table, x = blobs
+    weighted = table.withColumn("w", F.col("id") % 3 + 1)
+    one, many = driver.run(weighted, x[:9], name), driver.run(weighted.repartition(3), x[:9], name, few=0)
+    agreed = evaluate.runs_agree(one, many).first()
+    assert agreed["exact"] and agreed["centroid_gap"] == 0.0 and one.converged and many.converged
+    assert one.trace[0][0]["n"] == many.trace[0][0]["n"] or {r["a"]: r["n"] for r in one.trace[0]} == {r["a"]: r["n"] for r in many.trace[0]}
+
+
+def test_sums_in_one_task_are_exact_for_large_weights():
+    x, w = np.array([[1e6 + 0.1], [-3.7], [0.3]]), np.array([1 << 40, 3, 1 << 33])
+    for weights in (w, np.array([2, 3, 4])):
+        (row,) = driver.LabelSums(x, weights).summary(np.zeros(3, np.int64), 1, {})
+        from fractions import Fraction
+
+        want = sum(Fraction(v) * int(n) for v, n in zip(x[:, 0].tolist(), weights.tolist())) / int(weights.sum())
+        assert abs(model.exact_mean(row["h0"], row["l0"], row["n"]) - float(want)) <= 2**-58 * 1e6
+
+
+def test_results_for_other_programs(spark, tmp_path):
+    points = spark.createDataFrame([(1, [0.1, 1e-300]), (0, [-1.5e10, 1 / 3])], "id long, x array<double>")
+    readers.text_points(points, str(tmp_path / "t"))
+    assert sorted(tuple(r["x"]) for r in readers.read_text_points(spark, str(tmp_path / "t")).collect()) == [(-1.5e10, 1 / 3), (0.1, 1e-300)]
+    readers.json_record(points, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    for _ in range(2):
+        readers.append_results(points, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 4
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(i, float(i % 9), float(i % 5)) for i in range(120)], "id long, x0 double, x1 double").withColumn("ts", F.timestamp_seconds(F.col("id") * 10))
+    rows.write.parquet(str(tmp_path / "in"))
+    c = np.array([[1.0, 1.0], [6.0, 3.0]])
+    stream = assign.sizes(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), ["x0", "x1"], c, "ts", "5 minutes", "1 minute")
+    run = stream.writeStream.format("memory").queryName("sizes").outputMode("complete").start()
+    run.processAllAvailable()
+    run.stop()
+    want = {(r["w"]["start"], r["a"]): r["count"] for r in geometry.nearest(rows, ["x0", "x1"], c).groupBy(F.window("ts", "5 minutes").alias("w"), "a").count().collect()}
+    assert {(r["window"]["start"], r["a"]): r["count"] for r in spark.table("sizes").collect()} == want
+
+
+def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch):
+    class Elsewhere:
+        conf = spark.conf
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        storage.shared_folder(Elsewhere())
+    with storage.scope(spark):
+        path = storage.shared_folder(spark)
+        assert storage.materialise(spark.range(3), f"{path}/t").count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{path}/t")

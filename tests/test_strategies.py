@@ -108,3 +108,33 @@ def test_a_triangulation_is_kept_only_while_it_holds():
     assert held.still_valid(c + 0.001)
     c[4] = [9, 9]
     assert not held.still_valid(c)
+
+
+@pytest.mark.parametrize("d, k", [(2, 64), (3, 64), (4, 64)])
+def test_walks_evaluate_fewer_distances_than_bounds_alone(d, k):
+    rng = np.random.default_rng(d)
+    centres = rng.uniform(-10, 10, (k, d))
+    x = centres[rng.integers(k, size=6000)] + 0.6 * rng.normal(size=(6000, d))
+    c = x[rng.choice(6000, k, False)]
+    comps = {name: engine(name, x, c)[3] for name in ("hamerly", "walk", "walk_separation", "walk_annulus", "walk_stable", "walk_history", "walk_local", "walk_reuse")}
+    assert all(n < comps["hamerly"] for name, n in comps.items() if name != "hamerly")
+
+
+@pytest.mark.parametrize("d, k", [(2, 512), (3, 512), (4, 128)])
+def test_large_triangulations_have_no_fallback(d, k):
+    c = np.random.default_rng(k).normal(size=(k, d))
+    found = graph.Triangulation(c)
+    assert not found.fallback and found.still_valid(c) and found.still_valid(c + 100.0)
+    between = graph.centroid_distances(c)
+    assert found.adjacency[np.arange(k), between.argmin(axis=1)].all()  # the nearest other one is always a neighbour
+    q = np.random.default_rng(0).normal(size=(2000, d))
+    near = np.sqrt(((q[:, None, :] - c[None]) ** 2).sum(-1))
+    second = np.argsort(near, axis=1)
+    assert found.adjacency[second[:, 0], second[:, 1]].all()
+
+
+@pytest.mark.parametrize("shape", [(5, 5), (3, 3, 3), (2, 3, 2, 2)])
+def test_lattices_keep_all_edges_of_a_sphere(shape):
+    c = np.stack([g.ravel() for g in np.meshgrid(*map(np.arange, shape), indexing="ij")], axis=1).astype(float)
+    within_a_cell = (np.abs(c[:, None] - c[None]).max(-1) <= 1) & ~np.eye(len(c), dtype=bool)
+    assert (graph.Triangulation(c).adjacency == within_a_cell).all()
