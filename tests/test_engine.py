@@ -163,9 +163,9 @@ def test_windows_of_a_stream(spark, tmp_path):
     assert {(r["window"]["start"], r["a"]): r["count"] for r in spark.table("sizes").collect()} == want
 
 
-def test_intermediate_tables_need_a_shared_folder(spark, monkeypatch):
+def test_intermediate_tables_need_a_shared_folder(spark):
     class Elsewhere:
-        conf = spark.conf
+        conf = {}
 
         class sparkContext:
             master = "spark://somewhere:7077"
