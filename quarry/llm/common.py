@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry import storage
 
@@ -45,6 +46,48 @@ def bounded_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
     return df
 
 
+#: Keys that hold more than one in SPREAD rows are broadcast (so at most SPREAD of them); bits of a broadcast filter, in words of 64.
+SPREAD, FILTER_BITS = 1000, 1 << 24
+
+
+def join_heavy(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join with a table of one row a key, which has the key's number of rows in ``count``, of ``total`` in all. No
+    key's rows meet in one task: rows of heavy keys stay where they are."""
+    heavy = F.broadcast(table.filter(F.col(count) * SPREAD > total))
+    light = rows.join(F.broadcast(table.filter(F.col(count) * SPREAD > total).select(key)), key, "left_anti")
+    return rows.join(heavy, key).unionByName(light.join(table.filter(F.col(count) * SPREAD <= total), key))
+
+
+def divided(docs: DataFrame, keys: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose key may be among ``keys`` (one column), and those whose key surely isn't, without a shuffle of
+    ``docs``: by a broadcast filter of at most FILTER_BITS. With very many keys all rows may be among them."""
+    k_word, k_mask, k_place = fresh(docs, "word", "mask", "place")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    word = lambda c: F.shiftright(c, 6)
+    bit = lambda c: F.expr(f"`{c}` & 63").cast("int")
+    masks = keys.select(place(F.col(keys.columns[0])).alias(k_place)).groupBy(word(F.col(k_place)).alias(k_word)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(k_place))).alias(k_mask))
+    masks = F.broadcast(materialise(masks, "masks"))
+    tagged = docs.withColumn(k_place, place(key)).withColumn(k_word, word(F.col(k_place))).join(masks, k_word, "left")
+    hit = F.call_function("shiftright", F.coalesce(k_mask, F.lit(0).cast("long")), bit(k_place)).bitwiseAND(F.lit(1)) == 1
+    return tagged.filter(hit).select(docs.columns), tagged.filter(~hit).select(docs.columns)
+
+
+def without(docs: DataFrame, pairs: DataFrame, id_col: str, mark: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``docs`` less the rows of ``pairs`` (id, mark, stays, n): pairs that don't stay go, of those that stay n times one row stays.
+
+    ``mark(docs, name)`` adds the column that tells texts under one id apart. Only rows whose id may be in ``pairs`` are
+    marked and shuffled.
+    """
+    own, p_id, p_mark, p_stays, p_n = fresh(docs, "own", "p_id", "p_mark", "p_stays", "p_n")
+    pairs = materialise(pairs.filter("NOT stays OR n > 1").select(F.col("id").alias(p_id), F.col("mark").alias(p_mark), F.col("stays").alias(p_stays), F.col("n").alias(p_n)), "pairs")
+    may, rest = divided(docs, pairs.select(p_id).distinct(), F.col(id_col))
+    joined = mark(may, own).join(pairs, F.col(id_col).eqNullSafe(F.col(p_id)) & (F.col(own) == F.col(p_mark)), "left")
+    out = rest.unionByName(joined.filter(F.col(p_stays).isNull()).select(docs.columns))
+    if pairs.filter(p_stays).isEmpty():
+        return out
+    return out.unionByName(joined.filter(p_stays).dropDuplicates([id_col, own]).select(docs.columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh, materialise, partitions, text_buffer
+from quarry.llm.common import materialise, partitions, text_buffer, without
 
 #: Rows of a memtable, segments merged at a time, entries a shard should hold, bits of filter a digest.
 MEMTABLE_ROWS, FAN_IN, SHARD_ENTRIES, FILTER_BITS = 1 << 16, 8, 200_000, 10
@@ -237,17 +237,15 @@ def _by_text(runs: DataFrame, id_col: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all columns, without the copies."""
-    own, id_, sha = fresh(docs, "digest", "id", "sha")
-    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", "").cast("binary"), 256)
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(id_), F.col("text_sha256").alias(sha))
-    kept = materialise(kept, "kept")
-    match = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha))
-    out = docs.withColumn(own, digest).join(kept, match, "left_semi")
-    copies = docs.groupBy(F.col(id_col).alias(id_)).agg(F.count("*").alias("n")).filter("n > 1")
-    if not copies.isEmpty():  # rows repeated under one id pass the join together
-        out = out.dropDuplicates([id_col, own])
-    return out.drop(own)
+    """``docs`` with all columns, without the copies. Only texts of the ids that copies have are looked at again."""
+
+    def mark(rows: DataFrame, name: str) -> DataFrame:
+        normal = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", "")
+        return rows.withColumn(name, F.sha2(normal.cast("binary"), 256))
+
+    found = exact_duplicates(docs, id_col, text_col)
+    pairs = found.groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("mark")).agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    return without(docs, pairs, id_col, mark)
 
 
 SQL = """

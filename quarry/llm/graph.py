@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import join_heavy, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) to (node, root): root is the least node of the component. Roots themselves have no row.
 
     Each round rewrites the edges to point at smaller nodes and is written to the shared folder. The
-    edges never outnumber those given. An empty table gives an empty result.
+    edges never outnumber those given. Edges of a hub are not gathered. An empty table gives an empty result.
     """
     found = materialise(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -22,9 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
             return found.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
         both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_heavy(both, least, "a", "n", 2 * state[0]).filter("b > a AND b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = materialise(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_heavy(large, least, "a", "n", state[0]).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         found = materialise(small, "small")

@@ -2,11 +2,15 @@
 
 1. Each document's set of five-word shingles gets an id and a MinHash signature. Documents of one set
    (all copies among them) are one class, joined by their set's id.
-2. Forest: in each tree, sets are filed by a prefix of their signature. The prefix is shortened from the full
-   depth until the expected recall at the threshold reaches the target; sets that share a prefix in
-   any tree are candidates, and chains of candidates form candidate groups.
-3. Verification: a group's sets meet in blocks of bounded size, and every pair of a group is counted
-   exactly in one pair of blocks. Links are summed up for each set inside the block, so no pair is
+2. Forest: in each of TREES trees a set's label is a stretch of DEPTH minima of its signature. The labels of a tree are
+   sorted, so sets below a trie's node follow each other, and the trie is known from how far each label agrees with the next
+   one. Ranges of sorted labels are dealt to tasks, so a crowded node is no task's alone.
+3. Sets that agree in the full depth in some tree are verified first. Each link's similarity says how likely a
+   prefix of any length finds such a link, so the links found tell how many there are and what a shorter prefix
+   would find. The prefix is shortened to the first length that is expected to find the share RECALL of all links, again
+   until that holds; it need never be shorter than where pairs at the threshold themselves meet RECALL.
+4. Verification: chains of sets that share a prefix are a group. Its sets meet in blocks of bounded size, and every pair
+   of a group is counted exactly in one pair of blocks. Links are summed up for each set inside the block, so no pair is
    ever a row. Sets of verified links are connected to classes.
 """
 
@@ -16,27 +20,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import blocks, fresh, materialise, mix, partitions, span_hashes, window_hashes, words
+from quarry.llm.common import blocks, join_heavy, materialise, mix, partitions, span_hashes, window_hashes, without, words
 from quarry.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
-#: Trees, their full depth, and the recall that is asked for at the threshold.
+#: Trees, the depth of their labels, and the share of links to be found.
 TREES, DEPTH, RECALL = 24, 8, 0.999
-#: Sets of a block in verification; bits by which a set's id is found again (2**20 numbers at the driver).
-BLOCK_SETS, ID_BITS = 400, 20
+#: Sets of a block in verification; most bits by which a set's id is found again (a broadcast of 2**27 bits, 16 MB).
+BLOCK_SETS, ID_BITS = 400, 27
+#: Parts into which the similarities from the threshold to 1 are counted.
+BINS = 40
+
+
+def chance(similarity: np.ndarray | float, length: int, trees: int = TREES) -> np.ndarray | float:
+    """How likely a pair agrees in a prefix of so many minima in some tree."""
+    return 1 - (1 - similarity**length) ** trees
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
     """The longest prefix that still finds a pair at the threshold with the probability asked for."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and chance(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
 
+def next_length(found: np.ndarray, length: int, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> int:
+    """The longest prefix up to ``length`` that is expected to find the share ``recall`` of all links, judged by the links
+    that ``length`` found, counted by similarity."""
+    least = prefix_depth(threshold, trees, length, recall)
+    similarity = threshold + (np.arange(len(found)) + 0.5) * (1 - threshold) / len(found)
+    every = found / chance(similarity, length, trees)
+    if not every.sum():
+        return least
+    while length > least and (every * chance(similarity, length, trees)).sum() < recall * every.sum():
+        length -= 1
+    return length
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each document, in order, and the offsets of the documents.
 
@@ -100,24 +125,84 @@ def _sets(depth: int, trees: int, id_col: str):
     return sets
 
 
-def _wanted_sets(wanted):
+def _tries(depth: int, least: int):
+    """Neighbours of the sorted labels that agree in at least ``least`` minima; and each task's first and last row."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("shared", pa.int32()), ("part", pa.int32()), ("tree", pa.int32()), ("label", pa.binary())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last = TaskContext.get().partitionId(), None
+        end = lambda which, row: pa.RecordBatch.from_pydict({"a": [row[2]], "b": [None], "shared": [which], "part": [part], "tree": [row[0]], "label": [row[1]]}, schema)
+        for batch in batches:
+            if not len(batch):
+                continue
+            tree, label, ids = batch["tree"].to_pylist(), batch["label"].to_pylist(), batch["set_id"].to_pylist()
+            if last is None:
+                yield end(-1, (tree[0], label[0], ids[0]))
+                last = (tree[0], label[0], ids[0])
+                shared = np.zeros(len(ids), np.int64)
+            every = np.frombuffer(b"".join([last[1], *label]), "<u4").reshape(-1, depth)
+            trees = np.array([last[0], *tree])
+            shared = np.cumprod(every[1:] == every[:-1], axis=1).sum(axis=1) * (trees[1:] == trees[:-1])
+            before = [last[2], *ids]
+            at = [i for i in np.flatnonzero(shared >= least).tolist() if before[i] != ids[i]]
+            yield pa.RecordBatch.from_pydict({"a": [before[i] for i in at], "b": [ids[i] for i in at], "shared": shared[at].tolist(), "part": [part] * len(at), "tree": [None] * len(at), "label": [None] * len(at)}, schema)
+            last = (tree[-1], label[-1], ids[-1])
+        if last is not None:
+            yield end(-2, last)
+
+    return walk
+
+
+def _neighbours(classes: DataFrame, trees: int, depth: int, least: int) -> DataFrame:
+    """(a, b, shared): sets next to each other in some tree, and the longest prefix in which they agree."""
+    spark = classes.sparkSession
+    labels = [F.struct(F.lit(t).alias("tree"), F.substring("sig", t * depth * 4 + 1, depth * 4).alias("label")) for t in range(trees)]
+    filed = classes.select("set_id", F.explode(F.array(*labels)).alias("at")).select("at.tree", "at.label", "set_id")
+    filed = filed.repartitionByRange(partitions(spark), "tree", "label", "set_id").sortWithinPartitions("tree", "label", "set_id")
+    walked = materialise(filed.mapInArrow(_tries(depth, least), "a binary, b binary, shared int, part int, tree int, label binary"), "tries")
+    ends = sorted(walked.filter("shared < 0").collect(), key=lambda r: (r["part"], -r["shared"]))  # two rows a task
+    over = []
+    for one, other in zip(ends[1::2], ends[2::2]):
+        x, y = (np.frombuffer(r["label"], "<u4") for r in (one, other))
+        shared = int(np.cumprod(x == y).sum()) if one["tree"] == other["tree"] else 0
+        if shared >= least and one["a"] != other["a"]:
+            over.append((bytes(one["a"]), bytes(other["a"]), shared))
+    found = walked.filter("shared > 0").select("a", "b", "shared").unionByName(spark.createDataFrame(over, "a binary, b binary, shared int"))
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("shared").alias("shared"))
+
+
+def _wanted_sets(wanted, bits: int):
     schema = pa.schema([("set_id", pa.binary()), ("shingles", pa.binary())])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        known = wanted.value
         for batch in batches:
             for _, _, data, offsets in blocks(batch["text"]):
                 shingles, cut = shingle_sets(data, offsets)
                 found = {}
                 for i, x in enumerate(set_ids(shingles, cut)):
-                    if x is not None and x not in found and bits[int.from_bytes(x[:4], "big") >> 32 - ID_BITS]:
-                        found[x] = shingles[cut[i] : cut[i + 1]].tobytes()
+                    if x is not None and x not in found:
+                        place = int.from_bytes(x[:4], "big") >> 32 - bits
+                        if known[place >> 6] >> np.uint64(place & 63) & np.uint64(1):
+                            found[x] = shingles[cut[i] : cut[i + 1]].tobytes()
                 if found:
                     yield pa.RecordBatch.from_pydict({"set_id": list(found), "shingles": list(found.values())}, schema)
 
     return texts
 
 
+def _shingles_of(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set_id, shingles) of the sets wanted, and by chance some more, from one more pass over the texts."""
+    bits = min(ID_BITS, max(10, (8 * sets.count()).bit_length()))
+    place = F.floor(F.conv(F.hex(F.substring("set_id", 1, 4)), 16, 10).cast("long") / 2 ** (32 - bits)).cast("long")
+    low = F.expr("place & 63").cast("int")
+    words_ = sets.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low)).alias("mask")).toArrow()
+    known = np.zeros((1 << bits) + 63 >> 6, np.uint64)
+    known[words_["word"].to_numpy()] = words_["mask"].to_numpy().view(np.uint64)
+    found = rows.select("text").mapInArrow(_wanted_sets(rows.sparkSession.sparkContext.broadcast(known), bits), "set_id binary, shingles binary")
+    return found.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+
+
 def _shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Members in common of each pair of a left and a right set."""
     sizes = [len(x) for x in sets]
@@ -129,8 +214,9 @@ def _shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     order = np.argsort(member, kind="stable")
     member, owner = member[order], owner[order]
     out = np.zeros((len(left), len(right)), np.float32)
-    step = max(256, (8 << 20) // max(1, len(sets)))
-    for low in range(0, int(member[-1]) + 1 if len(member) else 0, step):
+    distinct = int(member[-1]) + 1 if len(member) else 0
+    step = min(distinct, max(256, (8 << 20) // max(1, len(sets))))
+    for low in range(0, distinct, max(1, step)):
         a, b = np.searchsorted(member, [low, low + step])
         table = np.zeros((len(sets), step), np.float32)
         table[owner[a:b], member[a:b] - low] = 1
@@ -138,8 +224,9 @@ def _shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return out
 
 
-def _verified(rows: list[tuple], threshold: float) -> dict[str, list]:
-    """Links of the sets of one pair of blocks, and the least set id that each is connected to here."""
+def _verified(rows: list[tuple], threshold: float, bins: np.ndarray) -> dict[str, list]:
+    """Links of the sets of one pair of blocks, and the least set id that each is connected to here. Counts links by
+    similarity in ``bins``."""
     low, high = rows[0][1], rows[0][2]
     sets = [np.frombuffer(r[5], np.uint64) for r in rows]
     copies, block = np.array([r[4] for r in rows], np.int64), np.array([r[6] for r in rows])
@@ -152,6 +239,10 @@ def _verified(rows: list[tuple], threshold: float) -> dict[str, list]:
         near = shared * (1 + threshold) >= threshold * (n[left][:, None] + n[right][None, :]) - 1e-9
         if low == high:
             np.fill_diagonal(near, False)
+        one, other = np.nonzero(near)
+        some = one < other if low == high else slice(None)
+        similarity = (shared[one, other] / (n[left[one]] + n[right[other]] - shared[one, other]))[some]
+        bins += np.bincount(np.clip((similarity - threshold) / (1 - threshold) * BINS, 0, BINS - 1).astype(int), minlength=BINS)
         links[left] += (near * copies[right][None, :]).sum(axis=1)
         if low != high:
             links[right] += (near * copies[left][:, None]).sum(axis=0)
@@ -169,33 +260,64 @@ def _verified(rows: list[tuple], threshold: float) -> dict[str, list]:
     return {"set_id": ids, "links": links.tolist(), "root": [ids[i] for i in root.tolist()], "split": [r[7] > 1 for r in rows]}
 
 
+LINKS = "set_id binary, links long, root binary, split boolean, bins array<long>"
+
+
 def _verify(threshold: float):
-    schema = pa.schema([("set_id", pa.binary()), ("links", pa.int64()), ("root", pa.binary()), ("split", pa.bool_())])
+    schema = pa.schema([("set_id", pa.binary()), ("links", pa.int64()), ("root", pa.binary()), ("split", pa.bool_()), ("bins", pa.list_(pa.int64()))])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        bins = np.zeros(BINS, np.int64)
         out: dict[str, list] = {n: [] for n in schema.names}
 
         def close() -> None:
-            for name, values in _verified(held, threshold).items():
+            for name, values in _verified(held, threshold, bins).items():
                 out[name] += values
             held.clear()
 
+        def closed() -> pa.RecordBatch:
+            out["bins"] = [None] * len(out["set_id"])
+            return pa.RecordBatch.from_pydict(out, schema)
+
         for batch in batches:
             for row in zip(*(batch[n].to_pylist() for n in ("group", "low", "high", "set_id", "copies", "shingles", "block", "n_blocks"))):
                 if held and held[0][:3] != row[:3]:
                     close()
                 held.append(row)
             if len(out["set_id"]) > 10_000:
-                yield pa.RecordBatch.from_pydict(out, schema)
+                yield closed()
                 out = {n: [] for n in schema.names}
         if held:
             close()
-        yield pa.RecordBatch.from_pydict(out, schema)
+        yield closed()
+        yield pa.RecordBatch.from_pydict({"set_id": [None], "links": [0], "root": [None], "split": [False], "bins": [bins.tolist()]}, schema)
 
     return verify
 
 
+def _linked(edges: DataFrame, classes: DataFrame, shingles: DataFrame, threshold: float) -> tuple[DataFrame, np.ndarray]:
+    """Links within the groups that ``edges`` connect, and their numbers by similarity."""
+    spark = edges.sparkSession
+    roots = components(edges)
+    members = materialise(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "nodes")
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
+    members = join_heavy(members, sizes, "root", "size", members.count()).select(
+        F.col("node").alias("set_id"), F.col("root").alias("group"), F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("n_blocks")
+    )
+    dealt = members.join(classes.select("set_id", "copies"), "set_id").join(shingles, "set_id")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("n_blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+    dealt = dealt.repartition(partitions(spark), "group", "low", "high").sortWithinPartitions("group", "low", "high")
+    links = materialise(dealt.select("group", "low", "high", "set_id", "copies", "shingles", "block", "n_blocks").mapInArrow(_verify(threshold), LINKS), "links")
+    counted = links.filter("bins IS NOT NULL").select(F.posexplode("bins").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect()  # BINS rows
+    bins = np.zeros(BINS)
+    for r in counted:
+        bins[r["bin"]] = r["n"]
+    return links.filter("set_id IS NOT NULL"), bins
+
+
 def similar(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """One row per document: id, class_id, n_links, n_shingles, set_id, class_key.
 
@@ -207,68 +329,58 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     null ids count as documents but name a class only if all of its ids are null. An empty table gives
     an empty result. Only the two named columns are read.
     """
-    spark = docs.sparkSession
-    depth = prefix_depth(threshold, trees, depth, recall)
+    least = prefix_depth(threshold, trees, depth, recall)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     every = materialise(rows.mapInArrow(_sets(depth, trees, id_col), f"`{id_col}` {kind}, set_id binary, n_shingles long, sig binary"), "sets")
     classes = every.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("copies"), F.min(id_col).alias("least"), F.first("sig").alias("sig"))
     classes = materialise(classes, "classes")
 
-    keys = [F.xxhash64(F.lit(t), F.substring("sig", t * depth * 4 + 1, depth * 4)) for t in range(trees)]
-    filed = classes.select("set_id", F.explode(F.array(*keys)).alias("bucket"))
-    leads = filed.groupBy("bucket").agg(F.min("set_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    candidates = components(filed.join(leads, "bucket").filter("set_id != lead").select(F.col("set_id").alias("a"), F.col("lead").alias("b")).distinct())
-    members = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
-    members = members.join(sizes, "root").select(
-        F.col("node").alias("set_id"), F.col("root").alias("group"), F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("n_blocks")
-    )
-    members = materialise(members.join(classes.select("set_id", "copies"), "set_id"), "members")
-
-    bits = np.zeros(1 << ID_BITS, bool)
-    lead = (F.conv(F.hex(F.substring("set_id", 1, 4)), 16, 10).cast("long") / 2 ** (32 - ID_BITS)).cast("int")
-    for batch in members.select(lead.alias("lead")).distinct().toArrow().to_batches():
-        bits[batch["lead"].to_numpy()] = True
-    shingles = rows.select("text").mapInArrow(_wanted_sets(spark.sparkContext.broadcast(bits)), "set_id binary, shingles binary")
-    shingles = shingles.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("n_blocks")).cast("int")).join(shingles, "set_id")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
-    dealt = dealt.repartition(partitions(spark), "group", "low", "high").sortWithinPartitions("group", "low", "high")
-    links = materialise(dealt.select("group", "low", "high", "set_id", "copies", "shingles", "block", "n_blocks").mapInArrow(_verify(threshold), "set_id binary, links long, root binary, split boolean"), "links")
+    edges = materialise(_neighbours(classes, trees, depth, least), "edges")
+    candidates = materialise(edges.select(F.col("a").alias("set_id")).unionByName(edges.select(F.col("b").alias("set_id"))).distinct(), "candidates")
+    shingles = materialise(_shingles_of(rows, candidates).join(candidates, "set_id", "left_semi"), "shingles")
+    length = depth
+    while True:
+        links, bins = _linked(edges.filter(F.col("shared") >= length).select("a", "b"), classes, shingles, threshold)
+        shorter = next_length(bins, length, threshold, trees, recall)
+        if shorter == length:
+            break
+        length = shorter
 
     roots = links.filter("NOT split AND set_id != root").select(F.col("set_id").alias("node"), "root")
     if not links.filter("split").isEmpty():
         roots = roots.unionByName(components(links.filter("split").select(F.col("set_id").alias("a"), F.col("root").alias("b"))))
     total = links.groupBy("set_id").agg(F.sum("links").alias("links"))
     linked = total.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    named = linked.join(classes.select("set_id", "least"), "set_id")
-    named = materialise(named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("set_id", "links", "class_id", F.col("root").alias("class_key")), "named")
+    named = materialise(linked.join(classes.select("set_id", "least"), "set_id"), "linked")
+    names = named.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
+    named = materialise(join_heavy(named, names, "root", "n", named.count()).select("set_id", "links", "class_id", F.col("root").alias("class_key")), "named")
     answer = classes.select("set_id", "copies", "least").join(named, "set_id", "left").select(
-        "set_id", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("class_key", "set_id").alias("class_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0).cast("long"))).alias("n_links")
+        "set_id", "copies", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("class_key", "set_id").alias("class_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0).cast("long"))).alias("n_links")
     )
-    answer = every.select(id_col, "set_id", "n_shingles").join(answer, "set_id", "left")
-    return answer.select(id_col, F.when(F.col("set_id").isNull(), F.col(id_col)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_shingles", "set_id", "class_key")
+    own = every.select(id_col, "set_id", "n_shingles").filter("set_id IS NOT NULL")
+    columns = [id_col, "class_id", "n_links", "n_shingles", "set_id", "class_key"]
+    none = every.filter("set_id IS NULL").select(id_col, F.col(id_col).alias("class_id"), F.lit(0).cast("long").alias("n_links"), "n_shingles", "set_id", F.lit(None).cast("binary").alias("class_key"))
+    return join_heavy(own, answer, "set_id", "copies", every.count()).select(columns).unionByName(none.select(columns))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with all columns, one document of each class; texts without words all stay."""
-    mark, id_, key = fresh(docs, "set", "id", "key")
-
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [x for _, _, data, offsets in blocks(batch[text_col]) for x in set_ids(*shingle_sets(data, offsets))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, mark])
-
-    none = F.lit("").cast("binary")
-    found = similar(docs, id_col=id_col, text_col=text_col).filter(F.col(id_col).eqNullSafe(F.col("class_id")))
-    # of a class whose least id stands on several sets, one set stays; a text without words is a class of its own
-    found = found.groupBy(F.col(id_col).alias(id_), F.col("set_id").isNull().alias("bare"), "class_key").agg(F.min(F.coalesce("set_id", none)).alias(key), F.count("*").alias("n"))
-    stay = materialise(found, "stay")
-    own = docs.mapInArrow(marked, StructType(list(docs.schema.fields)).add(mark, "binary"))
-    match = F.col(id_col).eqNullSafe(F.col(id_)) & (F.coalesce(mark, none) == F.col(key))
-    out = own.join(stay.select(id_, key), match, "left_semi")
-    if not stay.filter("NOT bare AND n > 1").isEmpty():
-        out = out.filter(F.col(mark).isNull()).unionByName(out.filter(F.col(mark).isNotNull()).dropDuplicates([id_col, mark]))
-    return out.drop(mark)
+    """``docs`` with all columns, one document of each class; texts without words all stay. Only texts of the ids that go are
+    looked at again."""
+
+    def mark(rows: DataFrame, name: str) -> DataFrame:
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = [x for _, _, data, offsets in blocks(batch[text_col]) for x in set_ids(*shingle_sets(data, offsets))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, name])
+
+        return rows.mapInArrow(marked, StructType(list(rows.schema.fields)).add(name, "binary"))
+
+    found = similar(docs, id_col=id_col, text_col=text_col).filter("set_id IS NOT NULL").select(F.col(id_col).alias("id"), "set_id", "class_key", "class_id")
+    pairs = materialise(found.groupBy("id", "set_id", "class_key", "class_id").agg(F.count("*").alias("n")), "documents")
+    # of a class whose least id stands on several sets, one set stays
+    stay = pairs.filter(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min("set_id").alias("set_id"), F.first("id").alias("kept_id"))
+    stay = stay.select("set_id", "kept_id", F.lit(True).alias("stays"))
+    match = (F.col("p.set_id") == F.col("s.set_id")) & F.col("p.id").eqNullSafe(F.col("s.kept_id"))
+    pairs = pairs.alias("p").join(stay.alias("s"), match, "left").select("p.id", F.col("p.set_id").alias("mark"), F.coalesce("stays", F.lit(False)).alias("stays"), "n")
+    return without(docs, pairs, id_col, mark)

@@ -250,6 +250,43 @@ def test_prefix_depth_meets_the_recall():
     assert 1 - (1 - 0.8**k) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard_join.TREES
 
 
+def test_prefixes_are_shortened_as_the_links_need():
+    found = np.zeros(jaccard_join.BINS)
+    assert jaccard_join.next_length(found, 8) == jaccard_join.prefix_depth()  # nothing found tells nothing
+    found[-1] = 1000
+    assert jaccard_join.next_length(found, 8) == 8
+    found[0] = 1000
+    assert jaccard_join.next_length(found, 8) == jaccard_join.prefix_depth() < 8
+
+
+def test_jaccard_join_finds_pairs_near_the_threshold(spark):
+    """Hundreds of pairs of a similarity from 0.80 to 0.90: at most one in a hundred may be missed."""
+    import random
+
+    rng = random.Random(12)
+    rows, exact = [], 0
+    for i in range(600):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+        other = base[: 160 - rng.randint(8, 17)]
+        other += [f"v{rng.randrange(10**6)}" for _ in range(160 - len(other) - rng.randint(0, 6))]
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (base, other))
+        exact += len(a & b) / len(a | b) >= 0.8
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    df = jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    links = df.agg(F.sum("n_links")).first()[0] / 2
+    assert exact > 300 and 0.99 * exact <= links <= exact
+    assert df.filter("n_links > 1").count() == 0
+
+
+def test_a_crowded_trie_is_dealt_to_many_tasks(spark):
+    """A third of all sets agree in every tree's prefix or nearly so; chains over the edges of tasks are kept."""
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(200)] + [(1000 + i, " ".join(f"y{i}_{k}" for k in range(40))) for i in range(300)]
+    df = jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert got(df.filter("doc_id < 1000").select("class_id", "n_links").distinct(), "*") == [(0, 199)]
+    assert df.filter("doc_id >= 1000 AND (n_links > 0 OR class_id != doc_id)").count() == 0
+
+
 # --- quality ---
 
 
