@@ -517,6 +517,62 @@ def test_field_on_held_out_texts():
     assert right / (right + missed) > 0.85 and right / (right + wrong) > 0.93
 
 
+#: Written by hand, apart from the table that the field learns from; each span is marked by {kind|text}.
+BY_HAND = """Please reach me on {phone|(212) 555-0188} before nine, or write to {email|anna.berg@post.example.org} instead.
+The server at {ip|192.168.4.17} was restarted at 10:45 on 2023-05-01 after build 4.2.19 had failed.
+My old card {card|4539 1488 0343 6467} expired; the new one is {card|5425233430109903}, valid until 11/27.
+For the invoice of 1,250.00 call {phone|+44 20 7946 0958} and ask for extension 12, not room 305.
+Send the draft to {email|m.silva at uni dot example dot edu} by Friday; we meet at noon in hall 4.
+In 1998 about 12 000 people lived there, 4500 of them in the old town; page 213 has a table.
+He typed {ip|10.0.12.254} and {ip|172.16.0.3} by turns, then phoned {phone|555-867-5309} twice.
+Orders under 48151623 and 20240131 were paid, see ISBN 978-3-16-148410-0 and item #77120.
+Contact: {email|jo_k@mail.example.net}, mobile {phone|06 12 34 56 78}, office hours 9-17.
+Versions 2.0 and 3.1.4 differ; at that time the ratio was 3.14159, and 16 of 19 agreed."""
+
+
+def test_field_on_sentences_written_by_hand():
+    field, right, wrong, missed = personal_data.standard_field(), 0, 0, 0
+    for line in BY_HAND.split("\n"):
+        text, spans = "", set()
+        for part in re.split(r"(\{[a-z]+\|[^}]*\})", line):
+            if part.startswith("{"):
+                kind, value = part[1:-1].split("|")
+                spans.add((kind, len(text), len(text) + len(value)))
+                text += value
+            else:
+                text += part
+        found = set(personal_data.found_spans(field, [text])[0]) | set(personal_data.base_spans(text))
+        right, wrong, missed = right + len(found & spans), wrong + len(found - spans), missed + len(spans - found)
+    assert right >= 0.8 * (right + missed) and wrong <= 3
+
+
+def test_field_alone_finds_the_base_spans_of_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    texts = [r["text"] or "" for r in rows]
+    seen, hit = Counter(), Counter()
+    for text, found in zip(texts, personal_data.found_spans(personal_data.standard_field(), texts)):
+        for s in personal_data.base_spans(text):
+            seen[s[0]] += 1
+            hit[s[0]] += s in set(found)
+    assert all(seen[k] and hit[k] >= 0.9 * seen[k] for k in personal_data.KINDS)
+
+
+def test_spans_meet_in_linear_time():
+    import time
+
+    base = [("email", 10 * i, 10 * i + 5) for i in range(200_000)]
+    more = [("phone", 10 * i + 4 + i % 2, 10 * i + 9) for i in range(200_000)]
+    began = time.perf_counter()
+    assert personal_data.apart_from(more, base) == more[1::2] and time.perf_counter() - began < 3
+
+
+def test_personal_data_in_very_long_texts_and_clashing_columns(spark, docs, clashing):
+    text = "mail a.b@c.example.com, ip 10.2.3.4 and words " * 22_000
+    (row,) = personal_data.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row["n_email"] == row["n_ip"] == 22_000 and row["spans"].count(",") >= 43_999
+    assert got(personal_data.personal_data(clashing), "doc_id", "spans") == got(personal_data.personal_data(docs), "doc_id", "spans")
+
+
 def test_every_marked_span_is_decoded():
     table = personal_data.labelled_table(300, seed=4)
     long = "\n".join(t for t, _ in table)
