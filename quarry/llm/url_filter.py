@@ -1,11 +1,12 @@
-"""URL filter: fixed rules, and a path-template tree for all that no rule covers.
+"""URL filter: fixed rules, and path-template trees for all that no rule covers.
 
-Rules label the urls they fit; the tree learns from those labels. Numbers and long keys in a path
-become wildcards, which gives a url its shape. In each host's tree of shapes, level by level:
-a segment whose node has very many rare children is a wildcard; sibling branches with the same shapes
-below and block rates that don't differ significantly become one. A template is rejected if its
-block rate, smoothed towards the rate of its shape in all hosts and that towards the rate of all urls,
-is over one half.
+Rules label the urls they fit; the trees learn from those labels. Numbers and long keys in a path
+become wildcards, which gives a url its shape. Each host has a tree of its shapes, and one tree holds those of all
+hosts together. In each tree, level by level: a segment whose node has very many rare children is a wildcard; sibling
+branches with the same shapes below and block rates that don't differ significantly become one. A template is
+rejected if its block rate is over one half: the host's template, smoothed towards the template of all hosts, smoothed
+towards the branches above it one after another, up to the rate of all urls. So a host or a template without labels is
+judged by the branches merged over hosts.
 
 All statistics are sums by (host, shape), so a hot host is summed up before it is shuffled.
 """
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import join_heavy, materialise
 
 #: (verdict, host and path) of each rule.
 RULES = (
@@ -25,9 +26,10 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-#: Levels of the tree (what is below goes to one branch), children of a node that may vary, their
-#: least mean count, deviations that a branch may differ by, and labels that a prior weighs.
-LEVELS, CHILDREN, RARE, DEVIATIONS, WEIGHT = 6, 20, 5, 2.0, 2.0
+#: Children of a node that may vary, their least mean count, deviations that a branch may differ by, and labels that a prior weighs.
+CHILDREN, RARE, DEVIATIONS, WEIGHT = 20, 5, 2.0, 2.0
+#: The tree of all hosts; those of a host have ``host:`` and its name.
+ALL = "all"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -49,39 +51,54 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 
 def shape(path: Column) -> Column:
-    """The segments with wildcards for long keys and numbers; at most LEVELS, then ``**``."""
-    plain = F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]{16,}", "{x}"), "[0-9]+", "{n}")
-    parts = F.split(plain, "/")
-    return F.when(F.size(parts) > LEVELS, F.concat(F.slice(parts, 1, LEVELS), F.array(F.lit("**")))).otherwise(parts)
+    """The segments, with wildcards for long keys and numbers."""
+    return F.split(F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]{16,}", "{x}"), "[0-9]+", "{n}"), "/")
+
+
+def _forks(shapes: DataFrame) -> list[int]:
+    """Levels at which some node has more than one child; at others there is nothing to generalise."""
+    steps = F.transform("shape", lambda x, i: F.struct(F.xxhash64(F.slice("shape", F.lit(1), i)).alias("lead"), x.alias("seg")))
+    nodes = shapes.select("tree", F.posexplode(steps).alias("level", "step")).groupBy("tree", "level", "step.lead").agg(F.min("step.seg").alias("one"), F.max("step.seg").alias("other"))
+    return sorted(r["level"] for r in nodes.filter("one != other").select("level").distinct().collect())  # as many as a path has segments
 
 
 def _generalised(shapes: DataFrame) -> DataFrame:
-    """(host, shape, n, labelled, blocked) with one more column: the template in the host's tree."""
+    """(tree, shape, n, labelled, blocked) with one more column: the template in that tree."""
     table = materialise(shapes.withColumn("template", F.col("shape")), "level")
-    deepest = table.agg(F.max(F.size("template"))).first()[0] or 0
-    for level in range(deepest):
+    for level in _forks(table):
         here = F.get("template", F.lit(level))
-        lead = F.array_join(F.slice("template", 1, level), "/") if level else F.lit("")
-        tail = F.array_join(F.slice("template", level + 2, LEVELS + 2), "/")
-        rows = table.filter(F.size("template") > level).select("host", lead.alias("lead"), here.alias("seg"), tail.alias("tail"), "n", "labelled", "blocked")
-        branches = rows.groupBy("host", "lead", "seg", "tail").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-        branches = branches.groupBy("host", "lead", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.bit_xor(F.xxhash64("tail")).alias("below"), F.max(F.xxhash64("tail")).alias("most"))
+        lead = F.xxhash64(F.slice("template", 1, level))
+        tail = F.xxhash64(F.slice("template", F.lit(level + 2), F.size("template")))
+        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+        rows = table.filter(F.size("template") > level).select("tree", lead.alias("lead"), here.alias("seg"), tail.alias("tail"), "n", "labelled", "blocked")
+        branches = rows.groupBy("tree", "lead", "seg", "tail").agg(*sums).groupBy("tree", "lead", "seg").agg(*sums, F.bit_xor("tail").alias("below"), F.max("tail").alias("most"))
         branches = materialise(branches, "branches")
-        nodes = branches.groupBy("host", "lead").agg(F.count("*").alias("children"), F.sum("n").alias("all")).filter((F.col("children") > CHILDREN) & (F.col("all") < RARE * F.col("children")))
+        nodes = branches.groupBy("tree", "lead").agg(F.count("*").alias("children"), F.sum("n").alias("all")).filter((F.col("children") > CHILDREN) & (F.col("all") < RARE * F.col("children")))
         known = F.col("labelled") > 0
-        groups = branches.groupBy("host", "lead", "below", "most", known.alias("known")).agg(F.count("*").alias("siblings"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).filter("siblings > 1")
+        groups = branches.groupBy("tree", "lead", "below", "most", known.alias("known")).agg(F.count("*").alias("siblings"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).filter("siblings > 1")
         rate = (F.col("b") + 1) / (F.col("l") + 2)
         apart = F.abs(F.try_divide(F.col("blocked"), F.col("labelled")) - rate) / F.sqrt(rate * (1 - rate) / F.greatest("labelled", F.lit(1)))
-        alike = branches.withColumn("known", known).join(groups, ["host", "lead", "below", "most", "known"]).filter(~F.col("known") | (apart < DEVIATIONS)).select("host", "lead", "seg", F.lit(True).alias("alike"))
-        marks = branches.select("host", "lead", "seg").join(nodes.select("host", "lead", F.lit(True).alias("varies")), ["host", "lead"], "left").join(alike, ["host", "lead", "seg"], "left")
-        marks = marks.filter("varies OR alike").select("host", "lead", "seg", F.lit(True).alias("wild"))
-        changed = table.withColumns({"lead": lead, "seg": F.coalesce(here, F.lit(""))}).join(marks, ["host", "lead", "seg"], "left")
+        alike = branches.withColumn("known", known).join(groups, ["tree", "lead", "below", "most", "known"]).filter(~F.col("known") | (apart < DEVIATIONS)).select("tree", "lead", "seg", F.lit(True).alias("alike"))
+        marks = branches.select("tree", "lead", "seg").join(nodes.select("tree", "lead", F.lit(True).alias("varies")), ["tree", "lead"], "left").join(alike, ["tree", "lead", "seg"], "left")
+        marks = marks.filter("varies OR alike").select("tree", "lead", "seg", F.lit(True).alias("wild"))
+        changed = table.withColumns({"lead": lead, "seg": F.coalesce(here, F.lit(""))}).join(marks, ["tree", "lead", "seg"], "left")
         wild = F.transform("template", lambda x, i: F.when(i == level, F.lit("*")).otherwise(x))
         changed = changed.withColumn("template", F.when(F.col("wild") & (F.size("template") > level), wild).otherwise(F.col("template")))
         table = materialise(changed.select(*table.columns), "level")
     return table
 
 
+def _smoothed(evidence: DataFrame, root: Column) -> DataFrame:
+    """(template, l, b) of one tree to (template, abroad): from ``root`` down, each branch's rate smoothed towards that above it."""
+    prefixes = F.transform("template", lambda x, i: F.xxhash64(F.slice("template", F.lit(1), i + 1)))
+    steps = evidence.select("template", "l", "b", F.posexplode(prefixes).alias("level", "prefix"))
+    branches = steps.groupBy("prefix").agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
+    way = steps.select("template", "level", "prefix").join(branches, "prefix").groupBy("template").agg(F.sort_array(F.collect_list(F.struct("level", "l", "b"))).alias("way"))
+    rate = lambda above, l, b: (b + WEIGHT * above) / (l + WEIGHT)
+    down = F.aggregate("way", root.cast("double"), lambda above, x: rate(above, x["l"], x["b"]))  # one entry a segment
+    return way.withColumn("down", down).join(evidence.select("template", "l", "b"), "template").select("template", rate(F.col("down"), F.col("l"), F.col("b")).alias("abroad"))
+
+
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, template, block_rate.
 
@@ -93,14 +110,19 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), shape(F.col("path")).alias("shape"))
-    shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
-    table = _generalised(shapes)
-    total = table.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b")).first()
+    rows = rows.withColumn("key", F.concat_ws("/", "host", F.array_join("shape", "/")))  # a host has no slash
+    sums = materialise(rows.groupBy("host", "shape", "key").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")), "sums")
+    trees = sums.select(F.concat(F.lit("host:"), "host").alias("tree"), "shape", "n", "labelled", "blocked")
+    over_all = sums.groupBy("shape").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))).select(F.lit(ALL).alias("tree"), "shape", "n", "labelled", "blocked")
+    table = _generalised(trees.unionByName(over_all))
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b")).first()
     every = F.lit((total["b"] + WEIGHT / 2) / (total["l"] + WEIGHT))
-    abroad = table.groupBy("shape").agg(((F.sum("blocked") + WEIGHT * every) / (F.sum("labelled") + WEIGHT)).alias("abroad"))
-    at_home = table.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    rates = table.select("host", "shape", "template").join(abroad, "shape").join(at_home, ["host", "template"])
-    rates = materialise(rates.select("host", "shape", F.array_join("template", "/").alias("template"), ((F.col("b") + WEIGHT * F.col("abroad")) / (F.col("l") + WEIGHT)).alias("block_rate")), "rates")
-    out = rows.join(rates, ["host", "shape"])
+    evidence = table.groupBy("tree", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    placed = table.select("tree", "shape", "template").join(evidence, ["tree", "template"])
+    abroad = placed.filter(F.col("tree") == ALL).join(_smoothed(evidence.filter(F.col("tree") == ALL), every), "template").select("shape", "abroad")
+    at_home = placed.filter(F.col("tree") != ALL).select(F.substring("tree", 6, 1 << 30).alias("host"), "shape", F.array_join("template", "/").alias("template"), "l", "b")
+    rates = sums.select("host", "shape", "key", "n").join(at_home, ["host", "shape"]).join(abroad, "shape")
+    rates = materialise(rates.select("key", "n", "template", ((F.col("b") + WEIGHT * F.col("abroad")) / (F.col("l") + WEIGHT)).alias("block_rate")), "rates")
+    out = join_heavy(rows.drop("shape"), rates, "key", "n", total["n"])
     chosen = F.coalesce("ruled", F.when(F.col("block_rate") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", chosen.alias("verdict"), "template", "block_rate")

@@ -199,6 +199,91 @@ def test_url_templates(spark):
     assert url_filter.judged(pages.limit(0)).count() == 0
 
 
+def url_rates_by_force(urls):
+    """Template trees in dictionaries: the template and block rate of each url."""
+    seen = []
+    for url in urls:
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = host.lower()
+        fits = [(len(t), w) for w, t in url_filter.RULES if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith(t[t.index("/") :])]
+        seen.append((host, tuple(re.sub("[0-9]+", "{n}", re.sub("[0-9a-fA-F]{16,}", "{x}", path)).split("/")), max(fits)[1] if fits else None))
+    sums = defaultdict(lambda: [0, 0, 0])
+    for host, shape, ruled in seen:
+        for tree in ("host:" + host, "all"):
+            own = sums[tree, shape]
+            own[0], own[1], own[2] = own[0] + 1, own[1] + (ruled is not None), own[2] + (ruled == "block")
+    template = {key: key[1] for key in sums}
+    for level in range(max(len(s) for _, s in sums)):
+        branches = defaultdict(lambda: [0, 0, 0, set()])
+        for (tree, shape), (n, labelled, blocked) in sums.items():
+            t = template[tree, shape]
+            if len(t) > level:
+                own = branches[tree, t[:level], t[level]]
+                own[0], own[1], own[2] = own[0] + n, own[1] + labelled, own[2] + blocked
+                own[3].add(t[level + 1 :])
+        nodes, groups = defaultdict(list), defaultdict(list)
+        for (tree, lead, seg), b in branches.items():
+            nodes[tree, lead].append(b)
+            groups[tree, lead, frozenset(b[3]), b[1] > 0].append(b)
+        wild = set()
+        for (tree, lead, seg), b in branches.items():
+            own, alike = nodes[tree, lead], groups[tree, lead, frozenset(b[3]), b[1] > 0]
+            varies = len(own) > url_filter.CHILDREN and sum(x[0] for x in own) < url_filter.RARE * len(own)
+            rate = (sum(x[2] for x in alike) + 1) / (sum(x[1] for x in alike) + 2)
+            same = len(alike) > 1 and (not b[1] or abs(b[2] / b[1] - rate) / math.sqrt(rate * (1 - rate) / b[1]) < url_filter.DEVIATIONS)
+            if varies or same:
+                wild.add((tree, lead, seg))
+        for key, t in template.items():
+            if len(t) > level and (key[0], t[:level], t[level]) in wild:
+                template[key] = (*t[:level], "*", *t[level + 1 :])
+    evidence = defaultdict(lambda: [0, 0])
+    for key, (_, labelled, blocked) in sums.items():
+        own = evidence[key[0], template[key]]
+        own[0], own[1] = own[0] + labelled, own[1] + blocked
+    labels, blocks = (sum(r is not None for _, _, r in seen), sum(r == "block" for _, _, r in seen))
+    w, out, above = url_filter.WEIGHT, [], defaultdict(lambda: [0, 0])
+    for (tree, t), (l, b) in evidence.items():
+        for i in range(len(t) if tree == "all" else 0):
+            above[t[: i + 1]][0] += l
+            above[t[: i + 1]][1] += b
+    for host, shape, ruled in seen:
+        (l0, b0), (l1, b1) = evidence["all", template["all", shape]], evidence["host:" + host, template["host:" + host, shape]]
+        down = (blocks + w / 2) / (labels + w)
+        for i in range(len(template["all", shape])):
+            l, b = above[template["all", shape][: i + 1]]
+            down = (b + w * down) / (l + w)
+        abroad = (b0 + w * down) / (l0 + w)
+        rate = (b1 + w * abroad) / (l1 + w)
+        out.append(("/".join(template["host:" + host, shape]), rate, ruled or ("block" if rate > 0.5 else "allow")))
+    return out
+
+
+def test_url_trees_are_those_of_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    urls = [None, "x", "http://deep.net/" + "/".join(f"s{i}" for i in range(3000)), "http://deep.net/" + "/".join(f"s{i}" for i in range(2999)), "http://long.org/" + "a" * 100_000]
+    for i in range(900):
+        host = rng.choice(("a.com", "b.net", "c.net", "www.example.com", "example.com", "d.org", "e.org", f"f{i % 9}.org"))
+        path = [rng.choice(("en", "fr", "es", "news", "user")), rng.choice((f"{i}", f"name{chr(97 + i % 26)}{chr(97 + i // 26)}", "top", "0123456789abcdef01")), *rng.sample(["x", "y", "z", "p1", "q"], rng.randint(0, 3))]
+        urls.append(f"http://{host}/{'/'.join(path)}")
+    df = url_filter.judged(spark.createDataFrame([*enumerate(urls), (None, urls[7])], "page_id long, url string")).cache()
+    assert df.filter("page_id IS NULL").count() == 1
+    have = {r["page_id"]: (r["template"], r["block_rate"], r["verdict"]) for r in df.collect()}
+    # the row with the null id counts too
+    for i, (template, rate, verdict) in enumerate(url_rates_by_force([*urls, urls[7]])[:-1]):
+        assert have[i][0] == template and math.isclose(have[i][1], rate, rel_tol=1e-9) and have[i][2] == verdict
+
+
+def test_url_evidence_of_other_hosts_decides_for_hosts_without_labels(spark):
+    rows = [f"http://h{i % 7}.net/{'fr' if i % 2 else 'es'}/item{i}/view" for i in range(70)] + [f"http://k{i % 7}.com/en/item{i}/view" for i in range(70)]
+    judged = url_filter.judged(spark.createDataFrame(enumerate([*rows, "http://new.org/fr/itemzz/view", "http://new.org/en/itemyy/view"]), "page_id long, url string"))
+    verdict = {r["page_id"]: r["verdict"] for r in judged.filter("page_id >= 140").collect()}
+    assert verdict == {140: "block", 141: "allow"}
+
+
 # --- Jaccard join ---
 
 
