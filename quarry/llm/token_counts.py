@@ -18,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks and piece pairs that a worker remembers, characters counted together, bits of the hash tables' slots.
-REMEMBERED, BLOCK, SLOTS, PAIR_SLOTS = 400_000, 1 << 20, 18, 20
+#: Chunks and piece pairs that a worker remembers, and characters of all these chunks; characters counted together; bits of the
+#: hash tables' slots.
+REMEMBERED, REMEMBERED_CHARS, BLOCK, SLOTS, PAIR_SLOTS = 400_000, 8 << 20, 1 << 20, 18, 20
+#: From this length on a chunk goes ahead alone, character by character; so many characters are looked up together.
+LONG, STRETCH = 512, 1 << 16
 MARK = "▁"
 
 
@@ -49,6 +52,7 @@ class PrefixCounter:
         self._beside: dict[int, bool] = {}
         self._slot_keys, self._slot_fits = np.full(1 << PAIR_SLOTS, -1, np.int64), np.zeros(1 << PAIR_SLOTS, bool)
         self._totals: dict[str, int] = {}
+        self._held = 0
 
     def _merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging the best pair, leftmost first."""
@@ -91,23 +95,72 @@ class PrefixCounter:
 
         A chunk of n characters has n + 1 counts, from the empty prefix on. The last piece of a prefix is the
         longest end that is a piece and fits beside the last piece of what stands before it. All chunks
-        go ahead together, a character at a time.
+        but the long ones go ahead together, a character at a time.
         """
-        size = np.array([len(c) for c in chunks], np.int64)
-        start = np.r_[0, np.cumsum(size + 1)]
-        counts, last = np.zeros(start[-1], np.int64), np.zeros(start[-1], np.int64)
-        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        within = np.arange(1, len(points) + 1) - np.repeat(np.r_[0, np.cumsum(size)][:-1], size)
-        end = np.repeat(start[:-1], size) + within
+        start = np.r_[0, np.cumsum([len(c) + 1 for c in chunks], dtype=np.int64)]
+        if all(len(c) < LONG for c in chunks):
+            return self._together(chunks, start), start
+        counts = np.zeros(start[-1], np.int64)
+        short = [i for i, c in enumerate(chunks) if len(c) < LONG]
+        if short:
+            some = [chunks[i] for i in short]
+            at = np.r_[0, np.cumsum([len(c) + 1 for c in some], dtype=np.int64)]
+            shift = np.repeat(start[short] - at[:-1], np.diff(at))
+            counts[np.arange(at[-1]) + shift] = self._together(some, at)
+        for i, c in enumerate(chunks):
+            if len(c) >= LONG:
+                counts[start[i] : start[i + 1]] = self._alone(c)
+        return counts, start
+
+    def _alone(self, chunk: str) -> np.ndarray:
+        points = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        counts, last, fits = np.zeros(len(points) + 1, np.int64), [0] * (len(points) + 1), self._beside
+        most = self._trie.longest
+        for low in range(0, len(points), STRETCH):
+            first = max(0, low - most)
+            own = points[first : low + STRETCH]
+            position, length, piece, cost = self._ends(own, np.arange(1, len(own) + 1))
+            keep = position >= low - first
+            order = np.lexsort((-length[keep], position[keep]))
+            done = -1
+            table = counts[first : low + STRETCH + 1].tolist()
+            for i, n, p, c in zip(*(x[keep][order].tolist() for x in (position, length, piece, cost))):
+                if i == done:
+                    continue
+                before = i + 1 - n
+                if before + first:
+                    key = last[before + first] + (1 << 21) << 22 | p + (1 << 21)
+                    fit = fits.get(key)
+                    if not (self._tried(key) if fit is None else fit):
+                        continue
+                done = i
+                last[i + 1 + first] = p
+                table[i + 1] = table[before] + c
+            counts[first : first + len(table)] = table
+            if len(fits) > REMEMBERED:
+                fits.clear()
+        return counts
+
+    def _ends(self, points: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Position, length, number and tokens of each piece that ends at a position; a character outside the vocabulary is its bytes."""
         position, length, piece = self._trie.matches(points, within)
         alone = np.ones(len(points), bool)
         alone[position[length == 1]] = False
         alone = np.flatnonzero(alone)
         position, length = np.r_[position, alone], np.r_[length, np.ones(len(alone), np.int64)]
-        piece = np.r_[piece, -1 - points[alone]]  # a character outside the vocabulary is its bytes
+        piece = np.r_[piece, -1 - points[alone]]
+        return position, length, piece, np.where(piece >= 0, 1, 1 + (piece < -0x80) + (piece < -0x800) + (piece < -0x10000))
+
+    def _together(self, chunks: list[str], start: np.ndarray) -> np.ndarray:
+        size = np.diff(start) - 1
+        counts, last = np.zeros(start[-1], np.int64), np.zeros(start[-1], np.int64)
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        within = np.arange(1, len(points) + 1) - np.repeat(np.r_[0, np.cumsum(size)][:-1], size)
+        end = np.repeat(start[:-1], size) + within
+        position, length, piece, cost = self._ends(points, within)
         order = np.argsort((within[position] << 8) - length, kind="stable")
-        position, length, piece = position[order], length[order], piece[order]
-        at, cost = end[position], np.where(piece >= 0, 1, 1 + (piece < -0x80) + (piece < -0x800) + (piece < -0x10000))
+        position, length, piece, cost = position[order], length[order], piece[order], cost[order]
+        at = end[position]
         done = np.zeros(start[-1], bool)
         step = within[position] << 8 | length
         cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(step) else []
@@ -119,7 +172,7 @@ class PrefixCounter:
             done[to] = True
             last[to] = piece[here]
             counts[to] = counts[to - length[a]] + cost[here]
-        return counts, start
+        return counts
 
     def chunk_counts(self, chunk: str) -> list[int]:
         return self.prefix_table([chunk])[0].tolist()
@@ -129,13 +182,14 @@ class PrefixCounter:
 
     def learn(self, chunks: list[list[str]]) -> None:
         """Count the chunks that are not known yet, all at once."""
-        if len(self._totals) > REMEMBERED:
-            self._totals = {}
+        if len(self._totals) > REMEMBERED or self._held > REMEMBERED_CHARS:
+            self._totals, self._held = {}, 0
         totals = self._totals
         new = list({c for own in chunks for c in own if c not in totals})
         if new:
             counts, start = self.prefix_table(new)
             totals.update(zip(new, counts[start[1:] - 1].tolist()))
+            self._held += int(start[-1])
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of ``text[:i]`` for every i from 0 to its length."""

@@ -82,6 +82,23 @@ def test_prefix_counts_answer_budgets(spark):
         assert r["fit_chars"] == max(i for i, n in enumerate(every) if n <= 5)
 
 
+def test_token_counts_of_unbroken_texts():
+    import random
+    import time
+
+    rng, model, own = random.Random(5), sentencepiece.SentencePieceProcessor(model_file=PIECES), token_counts.PrefixCounter(PIECES)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(140_000)), "7" * 3000, "é漢ab" * 400, "x" * 511 + " " + "y" * 700, "ab" * 40_000]
+    began = time.perf_counter()
+    assert [n for n, _ in own.totals_and_fits(texts, 4096)] == [len(model.encode(t)) for t in texts]
+    assert time.perf_counter() - began < 10
+    every = own.prefix_counts(texts[3])
+    assert all(every[i] == len(model.encode(texts[3][:i])) for i in range(0, len(texts[3]) + 1, 7))
+
+
+def test_token_counts_clashing_columns(docs, clashing):
+    assert got(token_counts.token_counts(clashing, PIECES), "doc_id", "n_tokens") == got(token_counts.token_counts(docs, PIECES), "doc_id", "n_tokens")
+
+
 # --- language ---
 
 
