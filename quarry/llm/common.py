@@ -88,6 +88,27 @@ def without(docs: DataFrame, pairs: DataFrame, id_col: str, mark: Callable[[Data
     return out.unionByName(joined.filter(p_stays).dropDuplicates([id_col, own]).select(docs.columns))
 
 
+#: Most bits of a filter of leading bits that tasks hold (16 MB).
+LEAD_BITS = 27
+
+
+def leading_filter(found: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """Words of 64 bits in which the leading bits of each of the hashes are set, and how many bits lead: eight for each hash, up to
+    2**LEAD_BITS. It is summed up to words before it comes to the driver."""
+    bits = min(LEAD_BITS, max(10, (8 * found.count()).bit_length()))
+    place = F.floor(F.conv(F.hex(F.substring(column, 1, 4)), 16, 10).cast("long") / 2 ** (32 - bits)).cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.expr("place & 63").cast("int"))
+    masks = found.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("mask")).toArrow()
+    known = np.zeros((1 << bits) >> 6, np.uint64)
+    known[masks["word"].to_numpy()] = masks["mask"].to_numpy().view(np.uint64)
+    return known, bits
+
+
+def may_hold(known: np.ndarray, bits: int, hashed: bytes) -> bool:
+    place = int.from_bytes(hashed[:4], "big") >> 32 - bits
+    return bool(known[place >> 6] >> np.uint64(place & 63) & np.uint64(1))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

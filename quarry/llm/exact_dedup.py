@@ -7,8 +7,8 @@ merged and the best entry stays (most code points, then smallest id). Digests he
 hits; their normalised texts are compared byte for byte, and a digest shared by different texts is
 resolved by the texts themselves.
 
-A hot text gives one segment entry a run, however often it occurs there, and its answer returns a run
-at a time, so no task ever holds a group of copies.
+A hot text gives one segment entry a run (two where a file of runs is read in two parts), however often it occurs
+there, and its answer returns a run at a time, so no task ever holds a group of copies.
 """
 
 from __future__ import annotations
@@ -22,12 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, partitions, text_buffer, without
+from quarry.llm.common import leading_filter, materialise, may_hold, partitions, text_buffer, without
 
 #: Rows of a memtable, segments merged at a time, entries a shard should hold, bits of filter a digest.
-MEMTABLE_ROWS, FAN_IN, SHARD_ENTRIES, FILTER_BITS = 1 << 16, 8, 200_000, 10
-#: Hits are found again by this many leading bits of their digest: at most 2**20 numbers reach the driver.
-HIT_BITS = 20
+MEMTABLE_ROWS, FAN_IN, SHARD_ENTRIES, FILTER_BITS = 1 << 17, 8, 200_000, 10
 WHITE_SPACE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LAST = np.iinfo(np.int64).max
 
@@ -46,7 +44,7 @@ def _normalised(column: pa.Array) -> Iterator[bytes]:
 RUNS = "run long, row long, id long, n_points long, digest binary, sha binary"
 
 
-def _flush(size: int):
+def _flush(size: int, memtable_rows: int):
     def flush(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, held, rows = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
@@ -56,10 +54,10 @@ def _flush(size: int):
             points = pa.compute.utf8_length(batch["text"]).cast(pa.int64()).fill_null(0)
             held.append(pa.table({"id": batch["id"].cast(pa.int64()), "n_points": points, "digest": pa.array(digest, pa.binary()), "sha": pa.array(sha, pa.binary())}))
             rows += len(batch)
-            while rows >= MEMTABLE_ROWS:
+            while rows >= memtable_rows:
                 table = pa.concat_tables(held)
-                yield from _sorted_run(table.slice(0, MEMTABLE_ROWS), part, count)
-                held, count = [table.slice(MEMTABLE_ROWS)], count + 1
+                yield from _sorted_run(table.slice(0, memtable_rows), part, count)
+                held, count = [table.slice(memtable_rows)], count + 1
                 rows = held[0].num_rows
         if rows:
             yield from _sorted_run(pa.concat_tables(held), part, count)
@@ -123,25 +121,34 @@ def merge_segments(segments: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.nd
 def _segments(shards: int):
     schema = pa.schema([("shard", pa.int64()), ("run", pa.int64()), ("entries", pa.binary()), ("filter", pa.binary())])
 
+    def segments(run: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        own = _reduced(np.concatenate(held))
+        head = np.ascontiguousarray(own["key"]).view(">u4").reshape(-1, 8)[:, 0].astype(np.uint64)
+        shard = (head * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        parts = [own[a:b] for a, b in zip(first, [*first[1:], len(own)])]
+        return pa.RecordBatch.from_pydict({"shard": shard[first], "run": [run] * len(parts), "entries": [p.tobytes() for p in parts], "filter": [_filter(p["key"]).tobytes() for p in parts]}, schema)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
         for batch in batches:
+            if not len(batch):
+                continue
             runs = batch["run"].to_numpy()
             entries = np.zeros(len(batch), ENTRY)
             entries["key"] = np.frombuffer(b"".join(batch["digest"].to_pylist()), "S32")
             entries["n_points"], entries["row"], entries["n"] = batch["n_points"].to_numpy(), batch["row"].to_numpy(), 1
             entries["null"] = batch["id"].is_null().to_numpy(zero_copy_only=False)
             entries["id"] = batch["id"].fill_null(LAST).to_numpy()
-            out = {"shard": [], "run": [], "entries": [], "filter": []}
-            for run in np.unique(runs):
-                own = _reduced(entries[runs == run])
-                head = np.ascontiguousarray(own["key"]).view(">u4").reshape(-1, 8)[:, 0].astype(np.uint64)
-                shard = (head * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-                for a, b in zip(cuts := np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), [*cuts[1:], len(own)]):
-                    out["shard"].append(int(shard[a]))
-                    out["run"].append(int(run))
-                    out["entries"].append(own[a:b].tobytes())
-                    out["filter"].append(_filter(own["key"][a:b]).tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema)
+            cuts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+            for a, b in zip(cuts, [*cuts[1:], len(runs)]):  # a run's rows follow each other
+                if held and runs[a] != current:
+                    yield segments(current, held)
+                    held = []
+                current = int(runs[a])
+                held.append(entries[a:b])
+        if held:
+            yield segments(current, held)
 
     return pack
 
@@ -172,14 +179,14 @@ def _compact(table: pa.Table) -> pa.Table:
     })
 
 
-def _hit_texts(wanted, size: int):
+def _hit_texts(wanted, bits: int, size: int):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        known = wanted.value
         for batch in batches:
             out: dict[str, list] = {"digest": [], "normal": []}
             for normal in _normalised(batch["text"]):
                 digest = _digest(normal, size)
-                if bits[int.from_bytes(digest[:4], "big") >> 32 - HIT_BITS]:
+                if may_hold(known, bits, digest):
                     out["digest"].append(digest)
                     out["normal"].append(normal)
             if out["digest"]:
@@ -188,27 +195,24 @@ def _hit_texts(wanted, size: int):
     return texts
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, memtable_rows: int = MEMTABLE_ROWS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """One row per document: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Texts are equal when identical without ASCII white space. Null and empty texts, and texts of white
     space only, form one group. A null id sorts last. Rows repeated with the same id and text are copies
     like any other: one of them is kept, ``keep_id`` names their common id. An empty table gives an
     empty result. Only the two named columns are read, so other columns and their names don't matter.
-    Ids are integers.
+    Ids are integers. ``memtable_rows`` is at most 2**17.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = materialise(rows.mapInArrow(_flush(digest_bytes), RUNS), "runs")
-    shards = max(partitions(spark), -(-runs.count() // SHARD_ENTRIES))
+    runs = materialise(rows.mapInArrow(_flush(digest_bytes, memtable_rows), RUNS), "runs")
+    shards = max(partitions(spark), -(-runs.count() // shard_entries))
     segments = runs.select("run", "row", "id", "n_points", "digest").mapInArrow(_segments(shards), "shard long, run long, entries binary, filter binary")
     hits = materialise(segments.groupBy("shard").applyInArrow(_compact, HITS), "hits")
 
-    lead = (F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") / 2 ** (32 - HIT_BITS)).cast("int")
-    bits = np.zeros(1 << HIT_BITS, bool)
-    for batch in hits.select(lead.alias("lead")).distinct().toArrow().to_batches():
-        bits[batch["lead"].to_numpy()] = True
-    texts = rows.select("text").mapInArrow(_hit_texts(spark.sparkContext.broadcast(bits), digest_bytes), "digest binary, normal binary")
+    known, bits = leading_filter(hits.select("digest").distinct(), "digest")
+    texts = rows.select("text").mapInArrow(_hit_texts(spark.sparkContext.broadcast(known), bits, digest_bytes), "digest binary, normal binary")
     differ = texts.groupBy("digest").agg(F.min("normal").alias("low"), F.max("normal").alias("high")).filter("low != high").select("digest")
     differ = materialise(differ, "differ")
 

@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import blocks, join_heavy, materialise, mix, partitions, span_hashes, window_hashes, without, words
+from quarry.llm.common import blocks, join_heavy, leading_filter, materialise, may_hold, mix, partitions, span_hashes, window_hashes, without, words
 from quarry.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
 #: Trees, the depth of their labels, and the share of links to be found.
 TREES, DEPTH, RECALL = 24, 8, 0.999
-#: Sets of a block in verification; most bits by which a set's id is found again (a broadcast of 2**27 bits, 16 MB).
-BLOCK_SETS, ID_BITS = 400, 27
+#: Sets of a block in verification.
+BLOCK_SETS = 400
 #: Parts into which the similarities from the threshold to 1 are counted.
 BINS = 40
 
@@ -181,10 +181,8 @@ def _wanted_sets(wanted, bits: int):
                 shingles, cut = shingle_sets(data, offsets)
                 found = {}
                 for i, x in enumerate(set_ids(shingles, cut)):
-                    if x is not None and x not in found:
-                        place = int.from_bytes(x[:4], "big") >> 32 - bits
-                        if known[place >> 6] >> np.uint64(place & 63) & np.uint64(1):
-                            found[x] = shingles[cut[i] : cut[i + 1]].tobytes()
+                    if x is not None and x not in found and may_hold(known, bits, x):
+                        found[x] = shingles[cut[i] : cut[i + 1]].tobytes()
                 if found:
                     yield pa.RecordBatch.from_pydict({"set_id": list(found), "shingles": list(found.values())}, schema)
 
@@ -193,12 +191,7 @@ def _wanted_sets(wanted, bits: int):
 
 def _shingles_of(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(set_id, shingles) of the sets wanted, and by chance some more, from one more pass over the texts."""
-    bits = min(ID_BITS, max(10, (8 * sets.count()).bit_length()))
-    place = F.floor(F.conv(F.hex(F.substring("set_id", 1, 4)), 16, 10).cast("long") / 2 ** (32 - bits)).cast("long")
-    low = F.expr("place & 63").cast("int")
-    words_ = sets.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), low)).alias("mask")).toArrow()
-    known = np.zeros((1 << bits) + 63 >> 6, np.uint64)
-    known[words_["word"].to_numpy()] = words_["mask"].to_numpy().view(np.uint64)
+    known, bits = leading_filter(sets, "set_id")
     found = rows.select("text").mapInArrow(_wanted_sets(rows.sparkSession.sparkContext.broadcast(known), bits), "set_id binary, shingles binary")
     return found.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
 

@@ -18,6 +18,8 @@ from quarry.llm.common import fresh, materialise
 
 #: Weights of the sources in order, repeating; a target's limit in sizes of its source; seed of the offsets.
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 17
+#: Parts in which rows that agree in id, source and size are numbered.
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -60,6 +62,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     empty table gives an empty result. Only the named columns are read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = materialise(rows, "sizes")  # finding the ranges reads them twice
     ranges = rows.repartitionByRange(F.col("source").asc_nulls_last(), F.col("size"), F.col("id")).withColumn("part", F.spark_partition_id())
     ranges = materialise(ranges, "ranges")
     counts = ranges.groupBy("source", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
@@ -82,19 +85,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with all columns, each row as often as the mix takes it."""
     names = docs.columns
-    id_, source, size, m_id, m_source, m_size, each, copies, copy = fresh(docs, "id", "source", "size", "m_id", "m_source", "m_size", "each", "copies", "copy")
+    id_, source, size, m_id, m_source, m_size, copies, copy, salt, before, number = fresh(docs, "id", "source", "size", "m_id", "m_source", "m_size", "copies", "copy", "salt", "before", "number")
+    many = fresh(docs, *(f"times{k}" for k in range(MOST + 1)))
     key = {id_: F.col(id_col), source: F.col(source_col), size: word_count(F.col(text_col))}
     drawn = mix(docs, id_col, text_col, source_col).select(F.col(id_col).alias(m_id), F.col(source_col).alias(m_source), F.col("size").alias(m_size), "copies")
-    drawn = drawn.groupBy(m_id, m_source, m_size).agg(F.sort_array(F.collect_list("copies"), False).alias(each)).filter(F.col(each)[0] > 0)
+    drawn = drawn.groupBy(m_id, m_source, m_size).agg(*(F.count_if(F.col("copies") == k).alias(many[k]) for k in range(MOST + 1)))
     drawn = materialise(drawn, "drawn")
+    taken = drawn.filter(sum(map(F.col, many[1:])) > 0)
     match = F.col(id_).eqNullSafe(F.col(m_id)) & F.col(source).eqNullSafe(F.col(m_source)) & (F.col(size) == F.col(m_size))
-    taken = docs.withColumns(key).join(drawn, match)
-    if drawn.filter(F.size(each) > 1).isEmpty():
-        taken = taken.withColumn(copies, F.col(each)[0])
-    else:  # rows that agree in id, source and size share out what was drawn for them
-        like = Window.partitionBy(id_, source, size).orderBy(text_col)
-        taken = taken.withColumn(copies, F.get(each, F.row_number().over(like) - 1))
-    return taken.filter(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*names)
+    alone = sum(map(F.col, many)) == 1
+    rows = docs.withColumns(key)
+    out = rows.join(taken.filter(alone), match).withColumn(copies, sum(F.col(many[k]) * k for k in range(1, MOST + 1)))
+    if not taken.filter(~alone).isEmpty():  # rows that agree in id, source and size share out what was drawn for them
+        like = materialise(rows.join(taken.filter(~alone), match).withColumn(salt, F.pmod(F.xxhash64(text_col), F.lit(SALTS))), "like")
+        earlier = Window.partitionBy(id_, source, size).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+        starts = like.groupBy(id_, source, size, salt).agg(F.count("*").alias(copy)).withColumn(before, F.coalesce(F.sum(copy).over(earlier), F.lit(0).cast("long")))
+        starts = starts.select(F.col(id_).alias("s_id"), F.col(source).alias("s_source"), F.col(size).alias("s_size"), F.col(salt).alias("s_salt"), before)
+        like = like.withColumn(number, F.row_number().over(Window.partitionBy(id_, source, size, salt).orderBy(text_col)))
+        like = like.alias("l").join(starts.alias("s"), F.col(f"l.{id_}").eqNullSafe(F.col("s.s_id")) & F.col(f"l.{source}").eqNullSafe(F.col("s.s_source")) & (F.col(f"l.{size}") == F.col("s.s_size")) & (F.col(f"l.{salt}") == F.col("s.s_salt")))
+        place, each, upto = F.col(number) + F.col(before), F.lit(0).cast("long"), F.lit(0).cast("long")
+        for k in range(MOST, 0, -1):
+            each = F.when((place > upto) & (place <= upto + F.col(many[k])), F.lit(k).cast("long")).otherwise(each)
+            upto = upto + F.col(many[k])
+        out = out.select(*names, copies).unionByName(like.withColumn(copies, each).select(*(F.col(f"l.{n}") for n in names), copies))
+    return out.filter(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*names)
 
 
 SQL = f"""

@@ -46,7 +46,7 @@ def test_exact_dedup(docs, rows, digest_bytes):
     assert df.filter("kept AND NOT (doc_id <=> keep_id)").count() == 0
 
 
-def test_exact_dedup_small_memtables(docs, rows, monkeypatch):
+def test_segments_merge():
     entries = np.zeros(5, exact_dedup.ENTRY)
     entries["key"], entries["n"], entries["id"], entries["n_points"] = [b"a" * 32, b"b" * 32, b"a" * 32, b"c" * 32, b"b" * 32], 1, [5, 4, 3, 2, 1], [1, 1, 1, 1, 2]
     parts = [exact_dedup._reduced(entries[k : k + 1]) for k in range(5)]
@@ -54,6 +54,13 @@ def test_exact_dedup_small_memtables(docs, rows, monkeypatch):
     assert merged["n"].tolist() == [2, 2, 1] and merged["id"].tolist() == [3, 1, 2]
 
 
+@pytest.mark.parametrize("memtable_rows, shard_entries", [(3, 10), (7, 1000), (50, 5)])
+def test_exact_dedup_with_many_runs_and_tiers(docs, rows, memtable_rows, shard_entries):
+    df = exact_dedup.exact_duplicates(docs.coalesce(2), memtable_rows=memtable_rows, shard_entries=shard_entries).cache()
+    want, groups = dedup_by_force(rows)
+    assert got(df, "doc_id", "keep_id", "group_size", "text_sha256") == want and df.filter("kept").count() == groups
+
+
 def test_exact_dedup_keeps_all_columns(docs, clashing, none, rows):
     assert exact_dedup.keep_one(clashing).columns == clashing.columns
     assert exact_dedup.keep_one(docs).count() == dedup_by_force(rows)[1]
@@ -182,6 +189,15 @@ def test_mixing_emits_copies(docs, clashing, none):
     assert mixing.emit(none).count() == 0
 
 
+def test_mixing_emits_rows_that_agree_in_all_but_the_text(spark):
+    rows = [(None, "one two " + "x " * (i % 3), f"s{i % 2}", i) for i in range(300)] + [(7, f"{i} two", "s0", i) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    drawn, out = mixing.mix(df).cache(), mixing.emit(df).cache()
+    key = ["doc_id", "source"]
+    assert got(out.groupBy(*key).count(), "*") == got(drawn.groupBy(*key).agg(F.sum("copies").alias("count")).filter("count > 0"), "*")
+    assert out.groupBy("n").count().filter("count > 3").count() == 0
+
+
 def test_mixing_has_no_python(docs):
     plan = mixing.mix(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
