@@ -1,9 +1,15 @@
 """Quality rules: counts over the text, and perplexity bands under a modified Kneser-Ney model.
 
-The model is an n-gram model over character classes (letters without case, digits, stops, space; other
-characters share a fixed number of classes), so it has at most CLASSES**ORDER entries however large
-the corpus is, and its broadcast is bounded. Every document is counted. The driver holds each order as
-sorted keys with probabilities and backoffs; workers unroll each order into one table.
+The model is of n-grams of characters as they stand (digits are one character), counted over every document and growing
+with them. It is neither broadcast nor sent to the driver:
+
+1. Chunks: each task turns its texts into rows of CHUNK_BYTES of text with the texts' rule counts and the chunk's distinct
+   n-grams with their numbers.
+2. Model: Spark sums the n-grams of full order; below it, kinds of what stands before are counted. Discounts, contexts and
+   interpolated probabilities are joins of these tables, from single characters up.
+3. The model is dealt to shards by the n-gram's hash; a shard holds its part as a sorted array of hashes and looks up what
+   chunks ask it for, each distinct n-gram once.
+4. A chunk's answers meet it again and give the log perplexity of each text under each order.
 
 A document is rejected if its log perplexity under any order of the model lies far outside the quartiles
 of its language. A kind of junk that is counted looks usual to the highest order, which has learnt it;
@@ -13,16 +19,19 @@ the shorter orders rest on kinds of neighbours and learn less of it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.llm.common import blocks, materialise, span_hashes, window_hashes, words
+from quarry.llm.common import blocks, materialise, mix, partitions, span_hashes, window_hashes, words
 
-CLASSES, ORDER, WINDOW = 48, 4, 5
+ORDER, WINDOW = 5, 5
+#: Stands before a text, as often as the order needs; bytes of text of a chunk; n-grams of a shard; sizes up to which a table numbers keys.
+START, CHUNK_BYTES, SHARD_GRAMS, TABLE = 2, 8 << 20, 500_000, 1 << 24
 #: A band reaches REACH interquartile ranges (each at least WIDTH) beyond the quartiles, and further by
 #: NOISE over the root of the text's length, as short texts spread more. ``calibrate`` gave both on sf0.1.
 #: A language's quartiles are drawn towards those of all documents as by PRIOR further documents.
@@ -73,134 +82,243 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=1)
-def class_table() -> np.ndarray:
-    """The class of each code point: 0 before a text, 1 space, 2 digit, 3-28 letters, 29-31 stops, then the rest."""
-    point = np.arange(0x110000, dtype=np.uint64)
-    table = (32 + (point * np.uint64(2654435761) >> np.uint64(16)) % np.uint64(CLASSES - 32)).astype(np.uint8)
-    table[:33] = 1
-    table[ord("0") : ord("9") + 1] = 2
-    for base in (ord("a"), ord("A")):
-        table[base : base + 26] = np.arange(3, 29)
-    for stops, number in ((".!?", 29), (",;:", 30), ("'\"()-", 31)):
-        table[[ord(c) for c in stops]] = number
-    for c in range(0xC0, 0x250):
-        table[c] = table[ord(chr(c).lower())] if len(chr(c).lower()) == 1 else table[c]
-    return table
-
-
-def _grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """First and end row, n-gram keys, and the keys' offsets by row; each text has ORDER - 1 zeros in front."""
-    pad = ORDER - 1
-    for row, end, data, offsets in blocks(column, 1 << 22):
-        lead = (data & 0xC0) != 0x80
-        place = np.r_[0, np.cumsum(lead)][offsets]
-        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        size = np.diff(place)
-        classes = np.zeros(len(points) + pad * len(size), np.int32)
-        classes[np.arange(len(points)) + np.repeat(pad * np.arange(1, len(size) + 1), size)] = class_table()[points]
-        keys = np.zeros(max(0, len(classes) - pad), np.int32)
-        for k in range(ORDER):
-            keys *= CLASSES
-            keys += classes[k : k + len(keys)]
-        mine = np.arange(len(points)) + np.repeat(pad * np.arange(len(size)), size)
-        yield row, end, keys[mine], place
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+ENTROPIES = [f"entropy_{k}" for k in range(1, ORDER + 1)]
+
+
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a block (digits as 0; 0 and START as 1), and where each text begins."""
+    place = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][offsets]
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+    points[(points >= ord("0")) & (points <= ord("9"))] = ord("0")
+    points[(points == 0) | (points == START)] = 1
+    return points, place
+
+
+def _numbered(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the number of each key among them."""
+    if size > max(TABLE, 4 * len(keys)):
+        return np.unique(keys, return_inverse=True)
+    seen = np.zeros(size, bool)
+    seen[keys] = True
+    distinct = np.flatnonzero(seen)
+    number = np.zeros(size, np.int32)
+    number[distinct] = np.arange(len(distinct), dtype=np.int32)
+    return distinct, number[keys]
+
+
+def n_grams(points: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of full order, one row of code points each, and the number of the one that ends at each character."""
+    size, pad = np.diff(place), ORDER - 1
+    padded = np.full(len(points) + pad * len(size), START, np.uint32)
+    mine = np.arange(len(points)) + np.repeat(pad * np.arange(1, len(size) + 1), size)
+    padded[mine] = points
+    alphabet, letter = np.unique(padded, return_inverse=True) if len(padded) < 1000 else _alphabet(padded)
+    distinct, index = _numbered(letter[mine], len(alphabet))
+    rows = alphabet[distinct][:, None]
+    for k in range(1, ORDER):  # one more character to the left
+        distinct, index = _numbered(index.astype(np.int64) * len(alphabet) + letter[mine - k], len(rows) * len(alphabet))
+        rows = np.concatenate([alphabet[distinct % len(alphabet)][:, None], rows[distinct // len(alphabet)]], axis=1)
+    return rows.astype(np.uint32), index
+
+
+def _alphabet(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, number = _numbered(points, 0x110000)
+    return distinct.astype(np.uint32), number
+
+
+def hashed(rows: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(rows), np.uint64)
+    for k in range(rows.shape[1]):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, k].astype(np.uint64))
+    return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CLASSES**ORDER, np.int64)
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+CHUNK = "chunk long, place long, language array<string>, base binary, text binary, cut binary, gram binary, n binary"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, count, size = TaskContext.get().partitionId(), 0, 0
+    held: dict[str, list] = {n: [] for n in ("ids", "language", "data", "length", "base")}
+
+    def close() -> pa.RecordBatch:
+        data, length = np.concatenate(held["data"]), np.concatenate(held["length"])
+        cut = np.r_[0, np.cumsum(length)].astype("<i8")
+        rows, index = n_grams(*characters(data, cut))
+        base = np.concatenate(held["base"], axis=1).astype("<i8")
+        listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(length)], pa.int32()), pa.concat_arrays(x))
+        row = {
+            "ids": listed(held["ids"]), "chunk": pa.array([part << 32 | count], pa.int64()), "place": pa.array([part + count], pa.int64()), "language": listed(held["language"]), "base": pa.array([base.tobytes()]),
+            "text": pa.array([data.tobytes()]), "cut": pa.array([cut.tobytes()]), "gram": pa.array([rows.astype("<u4").tobytes()]), "n": pa.array([np.bincount(index, minlength=len(rows)).astype("<i8").tobytes()]),
+        }
+        for x in held.values():
+            x.clear()
+        return pa.RecordBatch.from_pydict(row)
+
+    for batch in batches:
+        for row, end, data, offsets in blocks(batch["text"]):
+            held["ids"].append(batch["id"].slice(row, end - row))
+            held["language"].append(batch["language"].slice(row, end - row))
+            held["data"].append(data)
+            held["length"].append(np.diff(offsets))
+            held["base"].append(np.stack([base for _, base in sorted(base_counts(data, offsets).items(), key=lambda x: BASE.index(x[0]))]))
+            size += len(data)
+            if size >= CHUNK_BYTES:
+                yield close()
+                size, count = 0, count + 1
+    if held["ids"]:
+        yield close()
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, _, keys, _ in _grams(batch["text"]):
-            total += np.bincount(keys, minlength=len(total))
-    key = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"key": key, "n": total[key]})
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney: for each order sorted keys and probabilities, and for each
-    context sorted keys and backoffs."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray) -> None:
-        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        levels = [(key, n)]
-        for k in range(ORDER - 1, 0, -1):  # below the highest order, kinds of what stands before are counted
-            key, n = np.unique(levels[0][0] % CLASSES**k, return_counts=True)
-            levels.insert(0, (key, n))
-        lower = np.full(1, 1 / CLASSES)
-        for k, (key, n) in enumerate(levels, 1):
-            kinds = [int((n == i).sum()) for i in range(1, 5)]
-            y = kinds[0] / (kinds[0] + 2 * kinds[1]) if kinds[0] else 0.5
-            less = np.array([0.0, *(min(max(i - (i + 1) * y * kinds[i] / kinds[i - 1], 0.05), i - 0.05) if kinds[i - 1] else 0.5 * i for i in (1, 2, 3))])
-            off = less[np.minimum(n, 3)]
-            context, inverse = np.unique(key // CLASSES, return_inverse=True)
-            total = np.bincount(inverse, n)
-            back = np.bincount(inverse, off) / total
-            below = np.zeros(len(key)) + lower[0] if k == 1 else self._look(k - 1, key % CLASSES ** (k - 1))
-            self.orders.append((key, (n - off) / total[inverse] + back[inverse] * below, context, back))
-
-    def _look(self, order: int, key: np.ndarray) -> np.ndarray:
-        """Probability of each key of ``order`` characters; shorter contexts step in where one is unseen."""
-        keys, probability, contexts, back = self.orders[order - 1]
-        at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-        hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-        out = probability[at] if len(keys) else np.zeros(len(key))
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            below = self._look(order - 1, key[miss] % CLASSES ** (order - 1)) if order > 1 else np.full(len(miss), 1 / CLASSES)
-            where = np.minimum(np.searchsorted(contexts, key[miss] // CLASSES), max(0, len(contexts) - 1))
-            known = contexts[where] == key[miss] // CLASSES if len(contexts) else np.zeros(len(miss), bool)
-            out = out.copy()
-            out[miss] = np.where(known, back[where], 1.0) * below if len(contexts) else below
-        return out
-
-    def table(self, order: int = ORDER) -> np.ndarray:
-        """log10 probability of every key of ``order`` characters."""
-        out = np.empty(CLASSES**order, np.float32)
-        step = CLASSES ** (order - 1)
-        for low in range(0, len(out), step):
-            out[low : low + step] = np.log10(self._look(order, np.arange(low, low + step)))
-        return out
-
-
-def fit(docs: DataFrame, text_col: str = "text") -> KneserNey:
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    key, n = counts["key"].to_numpy(), counts["n"].to_numpy()
-    order = np.argsort(key)
-    return KneserNey(key[order], n[order])
+        for gram, n in zip(batch["gram"].to_pylist(), batch["n"].to_pylist()):
+            text = np.frombuffer(gram, f"<U{ORDER}")
+            n = np.frombuffer(n, "<i8")
+            for low in range(0, len(text), 100_000):
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(text[low : low + 100_000], pa.string()), "n": n[low : low + 100_000]})
 
 
-BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-ENTROPIES = [f"entropy_{k}" for k in range(1, ORDER + 1)]
+def discounts(kinds: list[int]) -> list[float]:
+    """What is taken off counts of 0, 1, 2 and of 3 and more, from how many n-grams have a count of 1, 2, 3 and 4."""
+    y = kinds[0] / (kinds[0] + 2 * kinds[1]) if kinds[0] else 0.5
+    return [0.0, *(min(max(i - (i + 1) * y * kinds[i] / kinds[i - 1], 0.05), i - 0.05) if kinds[i - 1] else 0.5 * i for i in (1, 2, 3))]
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(gram, n) of full order to (gram, p): the probability of its last character under each order, the shortest first.
+
+    Sums and joins only. A context's rows are the characters that follow it, a suffix's rows those that stand before it.
+    """
+    levels = [counts]
+    for k in range(ORDER - 1, 0, -1):
+        levels.insert(0, materialise(levels[0].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n")), f"grams_{k}"))
+    found = None
+    for k, level in enumerate(levels, 1):
+        kinds = {r["n"]: r["count"] for r in level.filter("n <= 4").groupBy("n").count().collect()}  # four rows
+        less = F.element_at(F.array(*map(F.lit, discounts([kinds.get(i, 0) for i in range(1, 5)]))), F.least(F.col("n"), F.lit(3)).cast("int") + 1)
+        rows = level.select("gram", "n", less.alias("off"), F.substring("gram", 1, k - 1).alias("context"))
+        if k == 1:
+            total = level.agg(F.sum("n").alias("total"), F.sum(less).alias("off"), F.count("*").alias("kinds")).first()
+            alone = (F.col("n") - F.col("off") + (total["off"] or 0.0) / ((total["kinds"] or 0) + 1)) / (total["total"] or 1)
+            found = rows.select("gram", F.array(alone.cast("double")).alias("p"))
+        else:
+            contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("back"))
+            below = found.withColumnsRenamed({"gram": "suffix", "p": "below"})
+            joined = rows.withColumn("suffix", F.substring("gram", 2, k - 1)).join(contexts, "context").join(below, "suffix")
+            here = (F.col("n") - F.col("off")) / F.col("total") + F.col("back") * F.element_at("below", -1)
+            found = joined.select("gram", F.concat("below", F.array(here)).alias("p"))
+        found = materialise(found, f"model_{k}")
+    return found
+
+
+DEALT = "shard long, kind int, chunk long, place long, keys binary, logs binary"
+_DEALT = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("place", pa.int64()), ("keys", pa.binary()), ("logs", pa.binary())])
+
+
+def _slices(key: np.ndarray, shards: int, kind: int, chunk: int | None, place: int | None, logs: np.ndarray | None) -> pa.RecordBatch:
+    """Sorted hashes, cut by shard."""
+    shard = _shard(key, shards)
+    first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])[: len(key)]
+    own = list(zip(first.tolist(), [*first[1:].tolist(), len(key)]))
+    return pa.RecordBatch.from_pydict({
+        "shard": shard[first], "kind": [kind] * len(own), "chunk": [chunk] * len(own), "place": [place] * len(own), "keys": [key[a:b].tobytes() for a, b in own],
+        "logs": [None if logs is None else np.ascontiguousarray(logs[a:b]).tobytes() for a, b in own],
+    }, _DEALT)
+
+
+def _model_parts(shards: int):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                key = hashed(np.array(batch["gram"].to_pylist(), f"<U{ORDER}").view("<u4").reshape(-1, ORDER))
+                logs = np.log10(batch["p"].flatten().to_numpy().reshape(-1, ORDER)).astype("<f4")
+                order = np.argsort(key)
+                yield _slices(key[order], shards, 0, None, None, logs[order])
+
+    return deal
 
 
-def _measure(held):
-    cache: dict[str, list[np.ndarray]] = {}
+def _requests(shards: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, place, gram in zip(*(batch[n].to_pylist() for n in ("chunk", "place", "gram"))):
+                if gram:
+                    yield _slices(np.sort(hashed(np.frombuffer(gram, "<u4").reshape(-1, ORDER))), shards, 1, chunk, place, None)
+
+    return ask
+
+
+def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shard, parts, keys, logs = None, [], np.zeros(0, "<u8"), np.zeros((0, ORDER), "<f4")
+    for batch in batches:
+        out: dict[str, list] = {n: [] for n in ("chunk", "place", "shard", "logs")}
+        for row in zip(*(batch[n].to_pylist() for n in _DEALT.names)):
+            if row[0] != shard:
+                shard, parts, keys = row[0], [], None
+            if row[1] == 0:
+                parts.append((np.frombuffer(row[4], "<u8"), np.frombuffer(row[5], "<f4").reshape(-1, ORDER)))
+                continue
+            if keys is None:  # the shard's part of the model has been read
+                keys, logs = np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts])
+                order = np.argsort(keys, kind="stable")
+                keys, logs, parts = keys[order], logs[order], []
+            for name, value in zip(out, (row[2], row[3], row[0], logs[np.searchsorted(keys, np.frombuffer(row[4], "<u8"))].tobytes())):
+                out[name].append(value)
+        yield pa.RecordBatch.from_pydict(out, pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("shard", pa.int64()), ("logs", pa.binary())]))
+
+
+def _perplexities(id_type: pa.DataType):
+    def measured(row: dict, answers: list[bytes]) -> pa.RecordBatch:
+        cut = np.frombuffer(row["cut"], "<i8")
+        points, place = characters(np.frombuffer(row["text"], np.uint8), cut)
+        rows, index = n_grams(points, place)
+        logs = np.empty((len(rows), ORDER), np.float32)
+        logs[np.argsort(hashed(rows))] = np.frombuffer(b"".join(answers), "<f4").reshape(-1, ORDER)
+        size = np.diff(place)
+        entropy = []
+        for k in range(ORDER):
+            total = np.r_[0.0, np.cumsum(logs[:, k][index], dtype=np.float64)]
+            entropy.append(pa.array(-np.diff(total[place]) / np.maximum(size, 1)))
+        base = np.frombuffer(row["base"], "<i8").reshape(len(BASE), -1)
+        return pa.RecordBatch.from_arrays([pa.array(row["ids"], id_type), pa.array(row["language"], pa.string()), *map(pa.array, base), *entropy], ["id", "language", *BASE, *ENTROPIES])
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "tables" not in cache:
-            cache["tables"] = [held.value.table(k) for k in range(1, ORDER + 1)]
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, answers = None, []
         for batch in batches:
-            base: dict[str, list] = {n: [] for n in BASE}
-            for _, _, data, offsets in blocks(batch["text"]):
-                for name, values in base_counts(data, offsets).items():
-                    base[name].append(values)
-            entropy = np.zeros((ORDER, len(batch)))
-            for row, end, keys, place in _grams(batch["text"]):
-                for own, table in zip(entropy, cache["tables"]):
-                    total = np.r_[0.0, np.cumsum(table[keys % len(table)], dtype=np.float64)]
-                    own[row:end] = -np.diff(total[place]) / np.maximum(np.diff(place), 1)
-            columns = [pa.array(np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)) for v in base.values()]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in batch.schema.names if n != "text"), *columns, *map(pa.array, entropy)], [*(n for n in batch.schema.names if n != "text"), *BASE, *ENTROPIES])
+            for r in batch.to_pylist():
+                if r["shard"] < 0:
+                    if row:
+                        yield measured(row, answers)
+                    row, answers = r, []
+                else:
+                    answers.append(r["logs"])
+        if row:
+            yield measured(row, answers)
 
-    return measure
+    return go
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """id, language, counts, base_failed and the log perplexity under each order."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, text_col))
-    kind = docs.schema[id_col].dataType.simpleString()
+    field, tasks = docs.schema[id_col], partitions(docs.sparkSession)
+    kind = field.dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("language"), F.col(text_col).alias("text"))
-    measured = materialise(rows.mapInArrow(_measure(model), f"id {kind}, language string, " + ", ".join([*(f"{n} long" for n in BASE), *(f"{n} double" for n in ENTROPIES)])), "measured")
+    chunks = materialise(rows.mapInArrow(_chunks, f"ids array<{kind}>, {CHUNK}"), "chunks")
+    counts = materialise(chunks.select("gram", "n").mapInArrow(_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    model = kneser_ney(counts)
+    shards = max(tasks, -(-counts.count() // SHARD_GRAMS))
+    dealt = model.mapInArrow(_model_parts(shards), DEALT).unionByName(chunks.select("chunk", "place", "gram").mapInArrow(_requests(shards), DEALT))
+    dealt = dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "kind")
+    answers = dealt.mapInArrow(_look_up, "chunk long, place long, shard long, logs binary")
+    met = chunks.drop("gram", "n").withColumn("shard", F.lit(-1).cast("long")).unionByName(answers, allowMissingColumns=True)
+    met = met.repartitionById(tasks, F.pmod("place", F.lit(tasks)).cast("int")).sortWithinPartitions("chunk", "shard")
+    schema = f"id {kind}, language string, " + ", ".join([*(f"{n} long" for n in BASE), *(f"{n} double" for n in ENTROPIES)])
+    measured = materialise(met.mapInArrow(_perplexities(to_arrow_type(field.dataType)), schema), "measured")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measured.withColumn("base_failed", failed)
 

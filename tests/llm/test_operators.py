@@ -439,25 +439,59 @@ def test_quality_rejects_noise_and_keeps_prose(spark, rows):
     assert df.filter("doc_id < 1000 AND NOT base_failed AND NOT kept").count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(0)
-    key, n = np.unique(rng.integers(0, 6, (3000, 4)) @ (quality.CLASSES ** np.array([3, 2, 1, 0])), return_counts=True)
-    model = quality.KneserNey(key, n)
-    for context in (key[0] // quality.CLASSES, 40 * quality.CLASSES + 3):
-        p = model._look(4, context * quality.CLASSES + np.arange(quality.CLASSES))
-        assert math.isclose(p.sum(), 1, rel_tol=1e-9) and (p > 0).all()
-
-
-def test_quality_model_counts_every_document(spark, rows):
-    signs = [(1000 + i, f"| {i} | #{i} | $ {i} | % & * < >" * 3, "en", "s", 0) for i in range(40)]
-    df = spark.createDataFrame(rows[:120] + signs, "doc_id long, text string, lang string, source string, n_chars long")
-    key, table = [], quality.class_table()
-    for r in rows[:120] + signs:
-        classes = [0] * (quality.ORDER - 1) + [int(table[ord(c)]) for c in r[1]]
-        key += [sum(c * quality.CLASSES ** (quality.ORDER - 1 - k) for k, c in enumerate(classes[i : i + quality.ORDER])) for i in range(len(r[1]))]
-    want = quality.KneserNey(*np.unique(key, return_counts=True))
-    for have, own in zip(quality.fit(df).orders, want.orders):
-        assert all(np.allclose(a, b) for a, b in zip(have, own))
+def perplexities_by_force(texts):
+    """Modified Kneser-Ney in dictionaries: the log perplexity of each text under each order, and the model."""
+    pad, order = "\x02" * (quality.ORDER - 1), quality.ORDER
+    texts = [pad + re.sub("[0-9]", "0", t) for t in texts]
+    levels = [Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))]
+    for k in range(order - 1, 0, -1):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    p, model = {"": 1 / (len(levels[0]) + 1)}, []
+    for level in levels:
+        less = quality.discounts([sum(n == i for n in level.values()) for i in range(1, 5)])
+        total, off = Counter(), Counter()
+        for g, n in level.items():
+            total[g[:-1]] += n
+            off[g[:-1]] += less[min(n, 3)]
+        p = {g: (n - less[min(n, 3)] + off[g[:-1]] * p[g[1:] if len(g) > 1 else ""]) / total[g[:-1]] for g, n in level.items()}
+        model.append(p)
+    out = []
+    for t in texts:
+        ends = range(order, len(t) + 1)
+        out.append([-sum(math.log10(own[t[i - k : i]]) for i in ends) / max(1, len(t) - order + 1) for k, own in enumerate(model, 1)])
+    return out, model
+
+
+@pytest.mark.parametrize("chunk_bytes, shard_grams", [(8 << 20, 500_000), (700, 50)])
+def test_perplexities_are_those_of_brute_force(spark, rows, chunk_bytes, shard_grams, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK_BYTES", chunk_bytes)
+    monkeypatch.setattr(quality, "SHARD_GRAMS", shard_grams)
+    texts = [r[1] or "" for r in rows[:60]] + ["", "a", "漢字かな交じり文。Привет, мир! 2024", "x" * 300, "é\n\té 1 2 3"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(2)
+    have = {r["id"]: [r[n] for n in quality.ENTROPIES] for r in quality._measured(df, "doc_id", "text", "lang").collect()}
+    want, _ = perplexities_by_force(texts)
+    assert all(np.allclose(have[i], w, rtol=1e-5, atol=1e-6) for i, w in enumerate(want))
+
+
+def test_kneser_ney_sums_to_less_than_one_over_what_was_seen(rows):
+    _, model = perplexities_by_force([r[1] or "" for r in rows[:40]])
+    for own in model:
+        total = Counter()
+        for g, p in own.items():
+            total[g[:-1]] += p
+        assert all(0 < s < 1 + 1e-9 for s in total.values())
+
+
+def test_numbers_of_large_tables_are_those_of_sorting(monkeypatch):
+    keys = np.random.default_rng(0).integers(0, 5000, 20_000)
+    one = quality._numbered(keys, 5000)
+    monkeypatch.setattr(quality, "TABLE", 0)
+    other = quality._numbered(keys, 10**9)
+    assert (one[0] == other[0]).all() and (one[1] == other[1]).all()
+
+
+def test_quality_clashing_columns(docs, clashing):
+    assert got(quality.judged(clashing), "doc_id", "n_words", "kept") == got(quality.judged(docs), "doc_id", "n_words", "kept")
 
 
 def test_bands_are_fitted_on_labels():
