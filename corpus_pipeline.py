@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry import storage
 from quarry.llm import exact_dedup, jaccard_join, language, mixing, packing
-from quarry.llm.common import bounded_batches, materialise, read
+from quarry.llm.common import bounded_batches, read
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +43,18 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL has neither the language model, the similarity join nor the packing. Tests compare copies, similar pairs and
-#: packed pieces of single operators with brute force; of the pipeline they only bound the rows after each stage.
+#: SQL has neither the language model, the similarity join nor the packing. Tests compare what each stage keeps with brute
+#: force on the smallest tables.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        path = storage.shared_folder(spark)
+        with storage.scope(spark):  # the stage's own tables go when it is written, and so does its input
+            docs = storage.materialise(stage(spark, docs, sf_dir), f"{path}/{name}")
+        if before:
+            storage.remove(spark, before)
+        before = path
     return docs

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import leading_filter, materialise, may_hold, partitions, text_buffer, without
+from quarry.llm.common import leading_filter, materialise, may_hold, partitions, text_buffer, tidied, without
 
 #: Rows of a memtable, segments merged at a time, entries a shard should hold, bits of filter a digest.
 MEMTABLE_ROWS, FAN_IN, SHARD_ENTRIES, FILTER_BITS = 1 << 17, 8, 200_000, 10
@@ -45,6 +45,7 @@ RUNS = "run long, row long, id long, n_points long, digest binary, sha binary"
 
 
 def _flush(size: int, memtable_rows: int):
+    @tidied
     def flush(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, held, rows = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
@@ -180,6 +181,7 @@ def _compact(table: pa.Table) -> pa.Table:
 
 
 def _hit_texts(wanted, bits: int, size: int):
+    @tidied
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = wanted.value
         for batch in batches:

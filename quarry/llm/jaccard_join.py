@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import blocks, join_heavy, leading_filter, materialise, may_hold, mix, partitions, span_hashes, window_hashes, without, words
+from quarry.llm.common import blocks, join_heavy, leading_filter, materialise, may_hold, mix, partitions, span_hashes, tidied, window_hashes, without, words
 from quarry.llm.graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -112,6 +112,7 @@ def signatures(shingles: np.ndarray, offsets: np.ndarray, count: int) -> np.ndar
 
 
 def _sets(depth: int, trees: int, id_col: str):
+    @tidied
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, size, sig = [], [], []
@@ -174,6 +175,7 @@ def _neighbours(classes: DataFrame, trees: int, depth: int, least: int) -> DataF
 def _wanted_sets(wanted, bits: int):
     schema = pa.schema([("set_id", pa.binary()), ("shingles", pa.binary())])
 
+    @tidied
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = wanted.value
         for batch in batches:
@@ -208,7 +210,7 @@ def _shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     member, owner = member[order], owner[order]
     out = np.zeros((len(left), len(right)), np.float32)
     distinct = int(member[-1]) + 1 if len(member) else 0
-    step = min(distinct, max(256, (8 << 20) // max(1, len(sets))))
+    step = min(distinct, max(256, (2 << 20) // max(1, len(sets))))
     for low in range(0, distinct, max(1, step)):
         a, b = np.searchsorted(member, [low, low + step])
         table = np.zeros((len(sets), step), np.float32)
@@ -259,6 +261,7 @@ LINKS = "set_id binary, links long, root binary, split boolean, bins array<long>
 def _verify(threshold: float):
     schema = pa.schema([("set_id", pa.binary()), ("links", pa.int64()), ("root", pa.binary()), ("split", pa.bool_()), ("bins", pa.list_(pa.int64()))])
 
+    @tidied
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         bins = np.zeros(BINS, np.int64)

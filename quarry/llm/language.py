@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quarry.llm.common import fresh, mix
+from quarry.llm.common import fresh, mix, tidied
 
 #: Training texts of a language, rows of the table, rows an n-gram sets, least share of a language's
 #: texts, and least share relative to the language that has the n-gram most.
@@ -103,6 +103,7 @@ class BitSlicedFilter:
         return out, has
 
 
+@tidied
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, held = np.array(batch["lang"].to_pylist(), object), 0
@@ -134,7 +135,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     least = F.broadcast(least) if len(used) <= FEW else least
     table = counts.join(least, "lang").filter("n >= least").drop("least").toArrow()
     languages = sorted(used)
-    lang = np.array([languages.index(x) for x in table["lang"].to_pylist()], np.int64)
+    number = {x: i for i, x in enumerate(languages)}
+    lang = np.array([number[x] for x in table["lang"].to_pylist()], np.int64)
     gram, share = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy() / np.array([used[x] for x in languages])[lang] if len(languages) else np.zeros(0)
     _, inverse = np.unique(gram, return_inverse=True)
     most = np.zeros(len(gram) and inverse.max() + 1)
@@ -155,6 +157,7 @@ def predict(docs: DataFrame, model: BitSlicedFilter, text_col: str = "text", pre
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blocks, materialise, mix, partitions, span_hashes, words
+from quarry.llm.common import blocks, materialise, mix, partitions, span_hashes, tidied, words
 
 #: Filter bits for a member, probes for a member (3 in 10,000 give a false hit), base of the levels.
 MEMBER_BITS, PROBES, LEVEL_BASE = 20, 6, 1.5
@@ -67,6 +67,7 @@ def n_grams(token: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
 
 
 def _chunks(id_type: str):
+    @tidied
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, size = TaskContext.get().partitionId(), 0, 0
         ids, held, token, length = [], [], [], []
@@ -120,6 +121,7 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _requests(shards: int):
     schema = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("place", pa.int64()), ("gram_order", pa.int32()), ("gram", pa.binary()), ("n", pa.binary())])
 
+    @tidied
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -207,6 +209,7 @@ def _answered(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(columns, pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("gram_order", pa.int32()), ("shard", pa.int64()), ("count", pa.binary()), ("level", pa.binary()), ("n_all", pa.int64()), ("n_kinds", pa.int64())]))
 
 
+@tidied
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for batch in batches:
@@ -254,6 +257,7 @@ def _score(total: int, kinds: int, starts: int, id_type: pa.DataType):
             ["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
+    @tidied
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, answers = None, []
         for batch in batches:

@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import materialise, tidied
 
 CAPACITY, END_ID = 2048, 0
 #: Words that a worker remembers, and the longest of them in bytes.
-REMEMBERED, WORD = 700_000, 48
+REMEMBERED, WORD = 400_000, 48
 #: Letters of ASCII and Latin-1 in UTF-8. Of these alone, a word is one piece for the tokenizer's own splitting.
 _ACCENTED = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
 PLAIN = re.compile(rb"(?:[A-Za-z]|" + _ACCENTED + rb")+").fullmatch
@@ -87,6 +87,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _cut(path: str, capacity: int, id_col: str, with_ids: bool):
+    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.llm.common import blocks, materialise, mix, partitions, span_hashes, window_hashes, words
+from quarry.llm.common import blocks, materialise, mix, partitions, span_hashes, tidied, window_hashes, words
 
 ORDER, WINDOW = 5, 5
 #: Stands before a text, as often as the order needs; bytes of text of a chunk; n-grams of a shard; sizes up to which a table numbers keys.
@@ -141,6 +141,7 @@ def _shard(key: np.ndarray, shards: int) -> np.ndarray:
 CHUNK = "chunk long, place long, language array<string>, base binary, text binary, cut binary, gram binary, n binary"
 
 
+@tidied
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, count, size = TaskContext.get().partitionId(), 0, 0
     held: dict[str, list] = {n: [] for n in ("ids", "language", "data", "length", "base")}
@@ -287,6 +288,7 @@ def _perplexities(id_type: pa.DataType):
         base = np.frombuffer(row["base"], "<i8").reshape(len(BASE), -1)
         return pa.RecordBatch.from_arrays([pa.array(row["ids"], id_type), pa.array(row["language"], pa.string()), *map(pa.array, base), *entropy], ["id", "language", *BASE, *ENTROPIES])
 
+    @tidied
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, answers = None, []
         for batch in batches:
