@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry import storage
 from quarry.llm.common import join_heavy, materialise
 
 
@@ -14,12 +15,18 @@ def components(edges: DataFrame) -> DataFrame:
     Each round rewrites the edges to point at smaller nodes and is written to the shared folder. The
     edges never outnumber those given. Edges of a hub are not gathered. An empty table gives an empty result.
     """
-    found = materialise(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    out = storage.shared_folder(edges.sparkSession)
+    with storage.scope(edges.sparkSession):
+        found = _rooted(materialise(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"))
+        return storage.materialise(found.select(F.col("a").alias("node"), F.col("b").alias("root")), f"{out}/roots")
+
+
+def _rooted(found: DataFrame) -> DataFrame:
     before = None
     while True:
         state = found.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
-            return found.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return found
         before = state
         both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quarry import storage
 from quarry.llm.common import blocks, join_heavy, leading_filter, materialise, may_hold, mix, partitions, span_hashes, tidied, window_hashes, without, words
 from quarry.llm.graph import components
 
@@ -314,25 +315,10 @@ def _linked(edges: DataFrame, classes: DataFrame, shingles: DataFrame, threshold
     return links.filter("set_id IS NOT NULL"), bins
 
 
-def similar(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """One row per document: id, class_id, n_links, n_shingles, set_id, class_key.
-
-    ``n_links`` is the number of other documents at a similarity of the threshold or more, copies
-    included; ``class_id`` the least id of all documents connected by links (``class_key`` tells classes apart even
-    where ids repeat). Words are runs of other than
-    ASCII white space, as they stand. A document of one to four words has one shingle. Null texts and
-    texts without words have no shingles, no links and their own id as class. Repeated rows are copies;
-    null ids count as documents but name a class only if all of its ids are null. An empty table gives
-    an empty result. Only the two named columns are read.
-    """
+def _classes(rows: DataFrame, full: DataFrame, classes: DataFrame, threshold: float, trees: int, depth: int, recall: float) -> DataFrame:
+    """(set_id, links, class_id, class_key) of the sets that have candidates."""
     least = prefix_depth(threshold, trees, depth, recall)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    every = materialise(rows.mapInArrow(_sets(depth, trees, id_col), f"`{id_col}` {kind}, set_id binary, n_shingles long, sig binary"), "sets")
-    classes = every.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("copies"), F.min(id_col).alias("least"), F.first("sig").alias("sig"))
-    classes = materialise(classes, "classes")
-
-    edges = materialise(_neighbours(classes, trees, depth, least), "edges")
+    edges = materialise(_neighbours(full, trees, depth, least), "edges")
     candidates = materialise(edges.select(F.col("a").alias("set_id")).unionByName(edges.select(F.col("b").alias("set_id"))).distinct(), "candidates")
     shingles = materialise(_shingles_of(rows, candidates).join(candidates, "set_id", "left_semi"), "shingles")
     length = depth
@@ -350,7 +336,30 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     linked = total.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     named = materialise(linked.join(classes.select("set_id", "least"), "set_id"), "linked")
     names = named.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
-    named = materialise(join_heavy(named, names, "root", "n", named.count()).select("set_id", "links", "class_id", F.col("root").alias("class_key")), "named")
+    return join_heavy(named, names, "root", "n", named.count()).select("set_id", "links", "class_id", F.col("root").alias("class_key"))
+
+
+def similar(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """One row per document: id, class_id, n_links, n_shingles, set_id, class_key.
+
+    ``n_links`` is the number of other documents at a similarity of the threshold or more, copies
+    included; ``class_id`` the least id of all documents connected by links (``class_key`` tells classes apart even
+    where ids repeat). Words are runs of other than
+    ASCII white space, as they stand. A document of one to four words has one shingle. Null texts and
+    texts without words have no shingles, no links and their own id as class. Repeated rows are copies;
+    null ids count as documents but name a class only if all of its ids are null. An empty table gives
+    an empty result. Only the two named columns are read.
+    """
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    kept = storage.shared_folder(spark)
+    with storage.scope(spark):  # signatures, tries and shingles go when the links are known
+        signed = materialise(rows.mapInArrow(_sets(depth, trees, id_col), f"`{id_col}` {kind}, set_id binary, n_shingles long, sig binary"), "sets")
+        every = storage.materialise(signed.drop("sig"), f"{kept}/every")
+        full = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("copies"), F.min(id_col).alias("least"), F.first("sig").alias("sig"))
+        full = materialise(full, "classes")
+        classes = storage.materialise(full.drop("sig"), f"{kept}/classes")
+        named = storage.materialise(_classes(rows, full, classes, threshold, trees, depth, recall), f"{kept}/named")
     answer = classes.select("set_id", "copies", "least").join(named, "set_id", "left").select(
         "set_id", "copies", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("class_key", "set_id").alias("class_key"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0).cast("long"))).alias("n_links")
     )

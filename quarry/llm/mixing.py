@@ -95,7 +95,8 @@ def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     match = F.col(id_).eqNullSafe(F.col(m_id)) & F.col(source).eqNullSafe(F.col(m_source)) & (F.col(size) == F.col(m_size))
     alone = sum(map(F.col, many)) == 1
     rows = docs.withColumns(key)
-    out = rows.join(taken.filter(alone), match).withColumn(copies, sum(F.col(many[k]) * k for k in range(1, MOST + 1)))
+    # the table grows with the documents, so the join is by shuffle at every size
+    out = rows.join(taken.filter(alone).hint("merge"), match).withColumn(copies, sum(F.col(many[k]) * k for k in range(1, MOST + 1)))
     if not taken.filter(~alone).isEmpty():  # rows that agree in id, source and size share out what was drawn for them
         like = materialise(rows.join(taken.filter(~alone), match).withColumn(salt, F.pmod(F.xxhash64(text_col), F.lit(SALTS))), "like")
         earlier = Window.partitionBy(id_, source, size).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)

@@ -35,7 +35,7 @@ START, CHUNK_BYTES, SHARD_GRAMS, TABLE = 2, 8 << 20, 500_000, 1 << 24
 #: A band reaches REACH interquartile ranges (each at least WIDTH) beyond the quartiles, and further by
 #: NOISE over the root of the text's length, as short texts spread more. ``calibrate`` gave both on sf0.1.
 #: A language's quartiles are drawn towards those of all documents as by PRIOR further documents.
-REACH, WIDTH, NOISE, PRIOR = 2.0, 0.01, 1.5, 50
+REACH, WIDTH, NOISE, PRIOR = 2.0, 0.01, 2.0, 50
 #: What ``fit_bands`` tries, the share of good documents that it may reject, and the documents it reads.
 REACHES, NOISES, SPARE, SAMPLE = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 7.0), (0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0), 0.0, 10_000
 #: Languages whose bands are broadcast.
