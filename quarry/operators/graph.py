@@ -8,6 +8,8 @@ from quarry.operators.delaunay import Mesh
 
 #: Beyond four dimensions a triangulation has nearly all edges.
 MOST_AXES = 4
+#: Centroids that are compared with all others at once.
+ROWS = 1024
 
 
 def centroid_distances(c: np.ndarray) -> np.ndarray:
@@ -22,7 +24,17 @@ def centroid_distances(c: np.ndarray) -> np.ndarray:
 
 
 def half_separation(c: np.ndarray) -> np.ndarray:
-    return 0.5 * centroid_distances(c).min(axis=1) if len(c) > 1 else np.full(len(c), np.inf)
+    """Half the distance to the nearest other centroid; a table of few rows at a time, so many centroids need little memory."""
+    out = np.full(len(c), np.inf)
+    for low in range(0, len(c), ROWS):
+        some = c[low : low + ROWS]
+        total = np.zeros((len(some), len(c)))
+        for t in range(c.shape[1]):
+            gap = some[:, t][:, None] - c[:, t][None, :]
+            total += gap * gap
+        total[np.arange(len(some)), low + np.arange(len(some))] = np.inf
+        out[low : low + ROWS] = 0.5 * np.sqrt(total.min(axis=1, initial=np.inf))
+    return out
 
 
 def complete(k: int) -> np.ndarray:

@@ -144,6 +144,8 @@ class Strategy:
     """``tables`` makes the small arrays of an iteration at the driver; ``start`` and ``step`` run on batches."""
 
     own, needs_radius, in_z_order = 0, False, False
+    #: Whether tables or state have an entry for each pair of centroids, or of point and centroid.
+    pairs = True
 
     def tables(self, context: Context) -> dict:
         return {}
@@ -162,6 +164,8 @@ class Strategy:
 
 
 class Lloyd(Strategy):
+    pairs = False
+
     def step(self, b, c, t):
         d = full(b.x, c)
         b.comps += d.shape[1]
@@ -169,6 +173,8 @@ class Lloyd(Strategy):
 
 
 class Hamerly(Strategy):
+    pairs = False
+
     def __init__(self, separation: bool = True) -> None:
         self.separation = separation
 

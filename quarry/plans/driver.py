@@ -27,6 +27,8 @@ from quarry.storage import materialise, remove, shared_folder
 
 #: Points that one task may hold (about 100 bytes each and the strategy's own bounds), and rows it works on at a time.
 FEW, BLOCK = 1 << 18, 1 << 14
+#: Centroids up to which tables of their pairs are made: 128 MB each.
+MOST_PAIRED = 4000
 COUNTS = ("changed", "comps", "walks", "hops", "failed")
 STATE = "id long, x array<double>, w long, a int, u double, l double, own array<double>, " + ", ".join(f"{c} long" for c in COUNTS)
 
@@ -197,7 +199,7 @@ def choose_strategy(k: int, d: int) -> str:
     around the assigned one for many. Walks evaluate the fewest distances but pay for their graphs."""
     if k < 8:
         return "lloyd"
-    if k < 96:
+    if k < 96 or k > MOST_PAIRED:
         return "hamerly"
     return "exponion" if d <= 4 else "yinyang"
 
@@ -215,6 +217,8 @@ def run(points: DataFrame, centroids: np.ndarray, strategy: str = "auto", max_it
     name = choose_strategy(*c.shape) if strategy == "auto" else strategy
     if name not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
+    if STRATEGIES[name].pairs and len(c) > MOST_PAIRED:
+        raise ValueError(f"{name} keeps tables of pairs of centroids, for at most {MOST_PAIRED}; lloyd and hamerly don't")
     plan, context, folder = STRATEGIES[name], Context(c), shared_folder(points.sparkSession)
     width = c.shape[1]
     table = validated(points.select("id", "x", "w"), width)

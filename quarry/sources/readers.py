@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.sources import prepare
@@ -28,10 +28,14 @@ def road(spark: SparkSession, path: str, md5: str | None = None, seed: int = 2)
 
 
 def pixels(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
-    """Images to (id, r, g, b) from 0 to 1: Spark's image source gives rows of blue, green, red bytes."""
-    image = spark.read.format("image").load(path).select("image.data", "image.nChannels", (F.col("image.width") * F.col("image.height")).alias("n"), F.monotonically_increasing_id().alias("file"))
+    """Images to (id, r, g, b) from 0 to 1: Spark's image source gives rows of blue, green, red (and alpha) bytes, or
+    one byte of grey, which is all three."""
+    image = spark.read.format("image").load(path).select("image.data", "image.nChannels", (F.col("image.width") * F.col("image.height")).alias("n"), F.col("image.origin").alias("origin"))
+    files = image.select("origin").withColumn("file", F.row_number().over(Window.orderBy("origin")).cast("long") - 1)  # names only
+    image = image.join(files, "origin")
     at = image.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
-    byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), (F.col("p") * F.col("nChannels") + (3 - k)).cast("int"), F.lit(1))), 16, 10).cast("double") / 255.0
+    place = lambda k: F.when(F.col("nChannels") < 3, F.col("p") * F.col("nChannels") + 1).otherwise(F.col("p") * F.col("nChannels") + (3 - k))
+    byte = lambda k: F.conv(F.hex(F.substring(F.col("data"), place(k).cast("int"), F.lit(1))), 16, 10).cast("double") / 255.0
     rows = at.select((F.shiftleft(F.col("file"), 32) + F.col("p")).alias("id"), byte(0).alias("r"), byte(1).alias("g"), byte(2).alias("b"))
     return prepare.jitter(rows, ["r", "g", "b"], "id", seed=seed)
 

@@ -1,11 +1,15 @@
 """The engine on Spark: partitions, weights, limits of iterations, bad input, sources, streaming."""
 
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry import catalogue, model, storage
 from quarry.functions import geometry
+from quarry.operators import graph
 from quarry.plans import driver, evaluate, report
 from quarry.sources import generate, prepare, readers, seeding
 from quarry.streaming import assign
@@ -177,3 +181,31 @@ def test_intermediate_tables_need_a_shared_folder(spark):
         assert storage.materialise(spark.range(3), f"{path}/t").count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(f"{path}/t")
+
+
+def _png(path, width, height, grey, pixels):
+    def part(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    line = width * (1 if grey else 3)
+    raw = b"".join(b"\0" + bytes(pixels[k * line : (k + 1) * line]) for k in range(height))
+    head = struct.pack(">IIBBBBB", width, height, 8, 0 if grey else 2, 0, 0, 0)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b""))
+
+
+def test_pixels(spark, tmp_path):
+    _png(tmp_path / "a.png", 2, 1, False, [255, 0, 51, 0, 102, 204])
+    _png(tmp_path / "b.png", 1, 2, True, [51, 255])
+    rows = readers.pixels(spark, str(tmp_path)).collect()
+    got = sorted(tuple(round(r[c], 3) for c in "rgb") for r in rows)
+    assert got == [(0.0, 0.4, 0.8), (0.2, 0.2, 0.2), (1.0, 0.0, 0.2), (1.0, 1.0, 1.0)] and len({r["id"] for r in rows}) == 4
+
+
+def test_many_centroids_take_a_strategy_without_tables_of_pairs(spark):
+    c = np.random.default_rng(3).normal(size=(driver.MOST_PAIRED + 1, 2))
+    points = spark.createDataFrame([(i, c[i * 7].tolist(), 1) for i in range(50)], "id long, x array<double>, w long")
+    with pytest.raises(ValueError, match="pairs"):
+        driver.run(points, c, "elkan")
+    found = driver.run(points, c, "auto")
+    assert sorted((r["id"], r["a"]) for r in found.labels.collect()) == [(i, i * 7) for i in range(50)]
+    assert np.allclose(graph.half_separation(c[:2000]), 0.5 * graph.centroid_distances(c[:2000]).min(axis=1))
