@@ -27,15 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from quarry import storage
 from quarry.llm.common import blocks, materialise, mix, partitions, span_hashes, tidied, window_hashes, words
 
-ORDER, WINDOW = 5, 5
+ORDER, WINDOW = 4, 5
 #: Stands before a text, as often as the order needs; bytes of text of a chunk; n-grams of a shard; sizes up to which a table numbers keys.
 START, CHUNK_BYTES, SHARD_GRAMS, TABLE = 2, 8 << 20, 500_000, 1 << 24
 #: A band reaches REACH interquartile ranges (each at least WIDTH) beyond the quartiles, and further by
 #: NOISE over the root of the text's length, as short texts spread more. ``calibrate`` gave both on sf0.1.
 #: A language's quartiles are drawn towards those of all documents as by PRIOR further documents.
-REACH, WIDTH, NOISE, PRIOR = 2.0, 0.01, 2.0, 50
+REACH, WIDTH, NOISE, PRIOR = 1.0, 0.01, 2.0, 50
 #: What ``fit_bands`` tries, the share of good documents that it may reject, and the documents it reads.
 REACHES, NOISES, SPARE, SAMPLE = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 7.0), (0.0, 0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0), 0.0, 10_000
 #: Languages whose bands are broadcast.
@@ -310,17 +311,19 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
     field, tasks = docs.schema[id_col], partitions(docs.sparkSession)
     kind = field.dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("language"), F.col(text_col).alias("text"))
-    chunks = materialise(rows.mapInArrow(_chunks, f"ids array<{kind}>, {CHUNK}"), "chunks")
-    counts = materialise(chunks.select("gram", "n").mapInArrow(_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    model = kneser_ney(counts)
-    shards = max(tasks, -(-counts.count() // SHARD_GRAMS))
-    dealt = model.mapInArrow(_model_parts(shards), DEALT).unionByName(chunks.select("chunk", "place", "gram").mapInArrow(_requests(shards), DEALT))
-    dealt = dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "kind")
-    answers = dealt.mapInArrow(_look_up, "chunk long, place long, shard long, logs binary")
-    met = chunks.drop("gram", "n").withColumn("shard", F.lit(-1).cast("long")).unionByName(answers, allowMissingColumns=True)
-    met = met.repartitionById(tasks, F.pmod("place", F.lit(tasks)).cast("int")).sortWithinPartitions("chunk", "shard")
-    schema = f"id {kind}, language string, " + ", ".join([*(f"{n} long" for n in BASE), *(f"{n} double" for n in ENTROPIES)])
-    measured = materialise(met.mapInArrow(_perplexities(to_arrow_type(field.dataType)), schema), "measured")
+    kept = storage.shared_folder(docs.sparkSession)
+    with storage.scope(docs.sparkSession):  # chunks and model go when the texts are measured
+        chunks = materialise(rows.mapInArrow(_chunks, f"ids array<{kind}>, {CHUNK}"), "chunks")
+        counts = materialise(chunks.select("gram", "n").mapInArrow(_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+        model = kneser_ney(counts)
+        shards = max(tasks, -(-counts.count() // SHARD_GRAMS))
+        dealt = model.mapInArrow(_model_parts(shards), DEALT).unionByName(chunks.select("chunk", "place", "gram").mapInArrow(_requests(shards), DEALT))
+        dealt = dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "kind")
+        answers = dealt.mapInArrow(_look_up, "chunk long, place long, shard long, logs binary")
+        met = chunks.drop("gram", "n").withColumn("shard", F.lit(-1).cast("long")).unionByName(answers, allowMissingColumns=True)
+        met = met.repartitionById(tasks, F.pmod("place", F.lit(tasks)).cast("int")).sortWithinPartitions("chunk", "shard")
+        schema = f"id {kind}, language string, " + ", ".join([*(f"{n} long" for n in BASE), *(f"{n} double" for n in ENTROPIES)])
+        measured = storage.materialise(met.mapInArrow(_perplexities(to_arrow_type(field.dataType)), schema), f"{kept}/measured")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return measured.withColumn("base_failed", failed)
 
