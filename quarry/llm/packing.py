@@ -31,7 +31,7 @@ from quarry.llm.common import materialise, tidied
 
 CAPACITY, END_ID = 2048, 0
 #: Words that a worker remembers, and the longest of them in bytes.
-REMEMBERED, WORD = 400_000, 48
+REMEMBERED, WORD = 600_000, 48
 #: Letters of ASCII and Latin-1 in UTF-8. Of these alone, a word is one piece for the tokenizer's own splitting.
 _ACCENTED = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
 PLAIN = re.compile(rb"(?:[A-Za-z]|" + _ACCENTED + rb")+").fullmatch
@@ -92,8 +92,8 @@ def _cut(path: str, capacity: int, id_col: str, with_ids: bool):
         own, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             which, piece, start, length, crc, number, kept = [], [], [], [], [], [], []
-            for row, text in enumerate(batch["text"].to_pylist()):
-                ids = own.encode((text or "").encode()) + END_ID.to_bytes(4, "little")
+            for row, text in enumerate(batch["text"].cast(pa.large_binary()).to_pylist()):
+                ids = own.encode(text or b"") + END_ID.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part_ids = ids[at : at + 4 * capacity]
                     n = len(part_ids) // 4

@@ -3,8 +3,8 @@
 The model is of n-grams of characters as they stand (digits are one character), counted over every document and growing
 with them. It is neither broadcast nor sent to the driver:
 
-1. Chunks: each task turns its texts into rows of CHUNK_BYTES of text with the texts' rule counts and the chunk's distinct
-   n-grams with their numbers.
+1. Chunks: each task turns its texts into rows of CHUNK_BYTES of text (compressed, as they travel later) with the texts' rule
+   counts and the chunk's distinct n-grams with their numbers.
 2. Model: Spark sums the n-grams of full order; below it, kinds of what stands before are counted. Discounts, contexts and
    interpolated probabilities are joins of these tables, from single characters up.
 3. The model is dealt to shards by the n-gram's hash; a shard holds its part as a sorted array of hashes and looks up what
@@ -155,7 +155,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(length)], pa.int32()), pa.concat_arrays(x))
         row = {
             "ids": listed(held["ids"]), "chunk": pa.array([part << 32 | count], pa.int64()), "place": pa.array([part + count], pa.int64()), "language": listed(held["language"]), "base": pa.array([base.tobytes()]),
-            "text": pa.array([data.tobytes()]), "cut": pa.array([cut.tobytes()]), "gram": pa.array([rows.astype("<u4").tobytes()]), "n": pa.array([np.bincount(index, minlength=len(rows)).astype("<i8").tobytes()]),
+            "text": pa.array([pa.compress(data.tobytes(), codec="zstd", asbytes=True)]), "cut": pa.array([cut.tobytes()]), "gram": pa.array([rows.astype("<u4").tobytes()]), "n": pa.array([np.bincount(index, minlength=len(rows)).astype("<i8").tobytes()]),
         }
         for x in held.values():
             x.clear()
@@ -277,7 +277,7 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _perplexities(id_type: pa.DataType):
     def measured(row: dict, answers: list[bytes]) -> pa.RecordBatch:
         cut = np.frombuffer(row["cut"], "<i8")
-        points, place = characters(np.frombuffer(row["text"], np.uint8), cut)
+        points, place = characters(np.frombuffer(pa.decompress(row["text"], int(cut[-1]), codec="zstd"), np.uint8), cut)
         rows, index = n_grams(points, place)
         logs = np.empty((len(rows), ORDER), np.float32)
         logs[np.argsort(hashed(rows))] = np.frombuffer(b"".join(answers), "<f4").reshape(-1, ORDER)
