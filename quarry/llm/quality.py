@@ -3,13 +3,14 @@
 The model is of n-grams of characters as they stand (digits are one character), counted over every document and growing
 with them. It is neither broadcast nor sent to the driver:
 
-1. Chunks: each task turns its texts into rows of CHUNK_BYTES of text (compressed, as they travel later) with the texts' rule
-   counts and the chunk's distinct n-grams with their numbers.
-2. Model: Spark sums the n-grams of full order; below it, kinds of what stands before are counted. Discounts, contexts and
+1. Counts: Spark sums the n-grams of full order, which each task counts for CHUNK_BYTES of text at a time.
+2. Model: below the full order, kinds of what stands before are counted. Discounts, contexts and
    interpolated probabilities are joins of these tables, from single characters up.
-3. The model is dealt to shards by the n-gram's hash; a shard holds its part as a sorted array of hashes and looks up what
+3. Chunks: a second pass turns texts into rows of CHUNK_BYTES (compressed) with the texts' rule counts and the chunk's distinct
+   n-grams; they are dealt by chunk once, and that one exchange serves the next two steps.
+4. The model is dealt to shards by the n-gram's hash; a shard holds its part as a sorted array of hashes and looks up what
    chunks ask it for, each distinct n-gram once.
-4. A chunk's answers meet it again and give the log perplexity of each text under each order.
+5. A chunk's answers meet it again and give the log perplexity of each text under each order.
 
 A document is rejected if its log perplexity under any order of the model lies far outside the quartiles
 of its language. A kind of junk that is counted looks usual to the highest order, which has learnt it;
@@ -32,7 +33,7 @@ from quarry.llm.common import blocks, materialise, mix, partitions, span_hashes,
 
 ORDER, WINDOW = 4, 5
 #: Stands before a text, as often as the order needs; bytes of text of a chunk; n-grams of a shard; sizes up to which a table numbers keys.
-START, CHUNK_BYTES, SHARD_GRAMS, TABLE = 2, 8 << 20, 500_000, 1 << 24
+START, CHUNK_BYTES, SHARD_GRAMS, TABLE = 2, 4 << 20, 500_000, 1 << 24
 #: A band reaches REACH interquartile ranges (each at least WIDTH) beyond the quartiles, and further by
 #: NOISE over the root of the text's length, as short texts spread more. ``calibrate`` gave both on sf0.1.
 #: A language's quartiles are drawn towards those of all documents as by PRIOR further documents.
@@ -139,7 +140,7 @@ def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-CHUNK = "chunk long, place long, language array<string>, base binary, text binary, cut binary, gram binary, n binary"
+CHUNK = "chunk long, language array<string>, base binary, text binary, cut binary, gram binary"
 
 
 @tidied
@@ -150,12 +151,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> pa.RecordBatch:
         data, length = np.concatenate(held["data"]), np.concatenate(held["length"])
         cut = np.r_[0, np.cumsum(length)].astype("<i8")
-        rows, index = n_grams(*characters(data, cut))
+        rows, _ = n_grams(*characters(data, cut))
         base = np.concatenate(held["base"], axis=1).astype("<i8")
         listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(length)], pa.int32()), pa.concat_arrays(x))
         row = {
-            "ids": listed(held["ids"]), "chunk": pa.array([part << 32 | count], pa.int64()), "place": pa.array([part + count], pa.int64()), "language": listed(held["language"]), "base": pa.array([base.tobytes()]),
-            "text": pa.array([pa.compress(data.tobytes(), codec="zstd", asbytes=True)]), "cut": pa.array([cut.tobytes()]), "gram": pa.array([rows.astype("<u4").tobytes()]), "n": pa.array([np.bincount(index, minlength=len(rows)).astype("<i8").tobytes()]),
+            "ids": listed(held["ids"]), "chunk": pa.array([part << 32 | count], pa.int64()), "language": listed(held["language"]), "base": pa.array([base.tobytes()]),
+            "text": pa.array([pa.compress(data.tobytes(), codec="zstd", asbytes=True)]), "cut": pa.array([cut.tobytes()]), "gram": pa.array([rows.astype("<u4").tobytes()]),
         }
         for x in held.values():
             x.clear()
@@ -176,13 +177,25 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+@tidied
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(data: list[np.ndarray], length: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows, index = n_grams(*characters(np.concatenate(data), np.r_[0, np.cumsum(np.concatenate(length))]))
+        text, n = np.ascontiguousarray(rows, "<u4").view(f"<U{ORDER}").ravel(), np.bincount(index, minlength=len(rows))
+        for low in range(0, len(text), 100_000):
+            yield pa.RecordBatch.from_pydict({"gram": pa.array(text[low : low + 100_000], pa.string()), "n": n[low : low + 100_000].astype(np.int64)})
+
+    held, size = ([], []), 0
     for batch in batches:
-        for gram, n in zip(batch["gram"].to_pylist(), batch["n"].to_pylist()):
-            text = np.frombuffer(gram, f"<U{ORDER}")
-            n = np.frombuffer(n, "<i8")
-            for low in range(0, len(text), 100_000):
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(text[low : low + 100_000], pa.string()), "n": n[low : low + 100_000]})
+        for _, _, data, offsets in blocks(batch["text"]):
+            held[0].append(data)
+            held[1].append(np.diff(offsets))
+            size += len(data)
+            if size >= CHUNK_BYTES:
+                yield from counted(*held)
+                held, size = ([], []), 0
+    if held[0]:
+        yield from counted(*held)
 
 
 def discounts(kinds: list[int]) -> list[float]:
@@ -218,17 +231,17 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return found
 
 
-DEALT = "shard long, kind int, chunk long, place long, keys binary, logs binary"
-_DEALT = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("place", pa.int64()), ("keys", pa.binary()), ("logs", pa.binary())])
+DEALT = "shard long, kind int, chunk long, keys binary, logs binary"
+_DEALT = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("logs", pa.binary())])
 
 
-def _slices(key: np.ndarray, shards: int, kind: int, chunk: int | None, place: int | None, logs: np.ndarray | None) -> pa.RecordBatch:
+def _slices(key: np.ndarray, shards: int, kind: int, chunk: int | None, logs: np.ndarray | None) -> pa.RecordBatch:
     """Sorted hashes, cut by shard."""
     shard = _shard(key, shards)
     first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])[: len(key)]
     own = list(zip(first.tolist(), [*first[1:].tolist(), len(key)]))
     return pa.RecordBatch.from_pydict({
-        "shard": shard[first], "kind": [kind] * len(own), "chunk": [chunk] * len(own), "place": [place] * len(own), "keys": [key[a:b].tobytes() for a, b in own],
+        "shard": shard[first], "kind": [kind] * len(own), "chunk": [chunk] * len(own), "keys": [key[a:b].tobytes() for a, b in own],
         "logs": [None if logs is None else np.ascontiguousarray(logs[a:b]).tobytes() for a, b in own],
     }, _DEALT)
 
@@ -240,7 +253,7 @@ def _model_parts(shards: int):
                 key = hashed(np.array(batch["gram"].to_pylist(), f"<U{ORDER}").view("<u4").reshape(-1, ORDER))
                 logs = np.log10(batch["p"].flatten().to_numpy().reshape(-1, ORDER)).astype("<f4")
                 order = np.argsort(key)
-                yield _slices(key[order], shards, 0, None, None, logs[order])
+                yield _slices(key[order], shards, 0, None, logs[order])
 
     return deal
 
@@ -248,9 +261,9 @@ def _model_parts(shards: int):
 def _requests(shards: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, place, gram in zip(*(batch[n].to_pylist() for n in ("chunk", "place", "gram"))):
+            for chunk, gram in zip(*(batch[n].to_pylist() for n in ("chunk", "gram"))):
                 if gram:
-                    yield _slices(np.sort(hashed(np.frombuffer(gram, "<u4").reshape(-1, ORDER))), shards, 1, chunk, place, None)
+                    yield _slices(np.sort(hashed(np.frombuffer(gram, "<u4").reshape(-1, ORDER))), shards, 1, chunk, None)
 
     return ask
 
@@ -258,20 +271,20 @@ def _requests(shards: int):
 def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shard, parts, keys, logs = None, [], np.zeros(0, "<u8"), np.zeros((0, ORDER), "<f4")
     for batch in batches:
-        out: dict[str, list] = {n: [] for n in ("chunk", "place", "shard", "logs")}
+        out: dict[str, list] = {n: [] for n in ("chunk", "shard", "logs")}
         for row in zip(*(batch[n].to_pylist() for n in _DEALT.names)):
             if row[0] != shard:
                 shard, parts, keys = row[0], [], None
             if row[1] == 0:
-                parts.append((np.frombuffer(row[4], "<u8"), np.frombuffer(row[5], "<f4").reshape(-1, ORDER)))
+                parts.append((np.frombuffer(row[3], "<u8"), np.frombuffer(row[4], "<f4").reshape(-1, ORDER)))
                 continue
             if keys is None:  # the shard's part of the model has been read
                 keys, logs = np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts])
                 order = np.argsort(keys, kind="stable")
                 keys, logs, parts = keys[order], logs[order], []
-            for name, value in zip(out, (row[2], row[3], row[0], logs[np.searchsorted(keys, np.frombuffer(row[4], "<u8"))].tobytes())):
+            for name, value in zip(out, (row[2], row[0], logs[np.searchsorted(keys, np.frombuffer(row[3], "<u8"))].tobytes())):
                 out[name].append(value)
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("shard", pa.int64()), ("logs", pa.binary())]))
+        yield pa.RecordBatch.from_pydict(out, pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("logs", pa.binary())]))
 
 
 def _perplexities(id_type: pa.DataType):
@@ -291,17 +304,9 @@ def _perplexities(id_type: pa.DataType):
 
     @tidied
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, answers = None, []
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["shard"] < 0:
-                    if row:
-                        yield measured(row, answers)
-                    row, answers = r, []
-                else:
-                    answers.append(r["logs"])
-        if row:
-            yield measured(row, answers)
+            for row in batch.to_pylist():
+                yield measured(row, [x["logs"] for x in row["answers"] or ()])
 
     return go
 
@@ -313,15 +318,15 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Dat
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("language"), F.col(text_col).alias("text"))
     kept = storage.shared_folder(docs.sparkSession)
     with storage.scope(docs.sparkSession):  # chunks and model go when the texts are measured
-        chunks = materialise(rows.mapInArrow(_chunks, f"ids array<{kind}>, {CHUNK}"), "chunks")
-        counts = materialise(chunks.select("gram", "n").mapInArrow(_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+        counts = materialise(rows.select("text").mapInArrow(_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
         model = kneser_ney(counts)
         shards = max(tasks, -(-counts.count() // SHARD_GRAMS))
-        dealt = model.mapInArrow(_model_parts(shards), DEALT).unionByName(chunks.select("chunk", "place", "gram").mapInArrow(_requests(shards), DEALT))
+        chunks = rows.mapInArrow(_chunks, f"ids array<{kind}>, {CHUNK}").repartition(tasks, "chunk")  # used twice with all columns: one exchange
+        dealt = model.mapInArrow(_model_parts(shards), DEALT).unionByName(chunks.mapInArrow(_requests(shards), DEALT))
         dealt = dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "kind")
-        answers = dealt.mapInArrow(_look_up, "chunk long, place long, shard long, logs binary")
-        met = chunks.drop("gram", "n").withColumn("shard", F.lit(-1).cast("long")).unionByName(answers, allowMissingColumns=True)
-        met = met.repartitionById(tasks, F.pmod("place", F.lit(tasks)).cast("int")).sortWithinPartitions("chunk", "shard")
+        answers = dealt.mapInArrow(_look_up, "chunk long, shard long, logs binary")
+        answers = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "logs"))).alias("answers"))  # a chunk's n-grams
+        met = chunks.join(answers.hint("merge"), "chunk", "left")
         schema = f"id {kind}, language string, " + ", ".join([*(f"{n} long" for n in BASE), *(f"{n} double" for n in ENTROPIES)])
         measured = storage.materialise(met.mapInArrow(_perplexities(to_arrow_type(field.dataType)), schema), f"{kept}/measured")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
