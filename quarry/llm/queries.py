@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, jaccard_join, language, lm_scoring, mixing, packing, personal_data, quality, token_counts, url_filter
+from quarry.llm import exact_dedup, jaccard_join, language, lm_scoring, manifest, mixing, packing, personal_data, quality, token_counts, url_filter
 from quarry.llm.common import bounded_batches, read
 
 
@@ -55,6 +55,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and check of every document."""
+    return manifest.manifest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -66,9 +71,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_personal_data": op9_personal_data,
     "op10_packing": op10_packing,
+    "op11_manifest": op11_manifest,
 }
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_mixing": mixing.SQL,
+    "op11_manifest": manifest.SQL,
 }
