@@ -173,7 +173,12 @@ def _neighbours(classes: DataFrame, trees: int, depth: int, least: int) -> DataF
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("shared").alias("shared"))
 
 
-def _wanted_sets(wanted, bits: int):
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+
+
+def _wanted_sets(wanted, bits: int, n: int, lower: bool):
     schema = pa.schema([("set_id", pa.binary()), ("shingles", pa.binary())])
 
     @tidied
@@ -181,7 +186,7 @@ def _wanted_sets(wanted, bits: int):
         known = wanted.value
         for batch in batches:
             for _, _, data, offsets in blocks(batch["text"]):
-                shingles, cut = shingle_sets(data, offsets)
+                shingles, cut = shingle_sets(lowered(data) if lower else data, offsets, n)
                 found = {}
                 for i, x in enumerate(set_ids(shingles, cut)):
                     if x is not None and x not in found and may_hold(known, bits, x):
@@ -192,10 +197,10 @@ def _wanted_sets(wanted, bits: int):
     return texts
 
 
-def _shingles_of(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def shingles_of(rows: DataFrame, sets: DataFrame, n: int = WORDS, lower: bool = False) -> DataFrame:
     """(set_id, shingles) of the sets wanted, and by chance some more, from one more pass over the texts."""
     known, bits = leading_filter(sets, "set_id")
-    found = rows.select("text").mapInArrow(_wanted_sets(rows.sparkSession.sparkContext.broadcast(known), bits), "set_id binary, shingles binary")
+    found = rows.select("text").mapInArrow(_wanted_sets(rows.sparkSession.sparkContext.broadcast(known), bits, n, lower), "set_id binary, shingles binary")
     return found.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
 
 
@@ -293,7 +298,7 @@ def _verify(threshold: float):
     return verify
 
 
-def _linked(edges: DataFrame, classes: DataFrame, shingles: DataFrame, threshold: float) -> tuple[DataFrame, np.ndarray]:
+def linked_in_groups(edges: DataFrame, classes: DataFrame, shingles: DataFrame, threshold: float) -> tuple[DataFrame, np.ndarray]:
     """Links within the groups that ``edges`` connect, and their numbers by similarity."""
     spark = edges.sparkSession
     roots = components(edges)
@@ -320,10 +325,10 @@ def _classes(rows: DataFrame, full: DataFrame, classes: DataFrame, threshold: fl
     least = prefix_depth(threshold, trees, depth, recall)
     edges = materialise(_neighbours(full, trees, depth, least), "edges")
     candidates = materialise(edges.select(F.col("a").alias("set_id")).unionByName(edges.select(F.col("b").alias("set_id"))).distinct(), "candidates")
-    shingles = materialise(_shingles_of(rows, candidates).join(candidates, "set_id", "left_semi"), "shingles")
+    shingles = materialise(shingles_of(rows, candidates).join(candidates, "set_id", "left_semi"), "shingles")
     length = depth
     while True:
-        links, bins = _linked(edges.filter(F.col("shared") >= length).select("a", "b"), classes, shingles, threshold)
+        links, bins = linked_in_groups(edges.filter(F.col("shared") >= length).select("a", "b"), classes, shingles, threshold)
         shorter = next_length(bins, length, threshold, trees, recall)
         if shorter == length:
             break

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, hard_negatives, jaccard_join, language, lm_scoring, manifest, mixing, packing, personal_data, quality, token_counts, url_filter
+from quarry.llm import exact_dedup, hard_negatives, jaccard_join, language, lm_scoring, manifest, mixing, near_dedup, packing, personal_data, quality, token_counts, url_filter
 from quarry.llm.common import bounded_batches, read
 
 
@@ -60,6 +60,11 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(read(spark, sf_dir, "documents"))
 
 
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of similar documents."""
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every anchor among ``embeddings``."""
     return hard_negatives.mined(read(spark, sf_dir, "embeddings"))
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_packing": op10_packing,
     "op11_manifest": op11_manifest,
+    "op12_near_dedup": op12_near_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
