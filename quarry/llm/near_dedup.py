@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,7 +187,7 @@ def _open_pairs(buckets: DataFrame, roots: DataFrame, classes: DataFrame) -> Dat
     named = materialise(named, "members")
     parts = named.groupBy("key", "root").agg(F.count("*").alias("own"), F.bit_xor(F.xxhash64("set_id")).alias("mark"))
     kept = parts.groupBy("key").agg(F.max_by("root", F.struct("own", "root")).alias("base"), F.sum("own").alias("n"), F.max("own").alias("most"), F.bit_xor("mark").alias("mark"), F.count("*").alias("roots"))
-    kept = kept.filter("roots > 1")
+    kept = kept.filter("roots > 1 AND n > 2")
     # buckets of the same sets are one
     kept = materialise(kept.groupBy("mark", "n", "most").agg(F.min(F.struct("key", "base")).alias("at")).select("at.key", "at.base", "n", (F.col("n") - F.col("most")).alias("open")), "open")
     rows = join_heavy(named, kept, "key", "n", max(1, named.count()))
@@ -201,12 +202,69 @@ def _open_pairs(buckets: DataFrame, roots: DataFrame, classes: DataFrame) -> Dat
     return dealt.mapInArrow(_chained, "a binary, b binary").distinct()
 
 
+_RUN = pa.schema([("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("end", pa.int32()), ("part", pa.int32())])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, set) to (key, centre, set) of the buckets with more than one row, the centre being the first; and the buckets that
+    the task begins and ends with, whose other rows may be in the tasks before and after."""
+    part = TaskContext.get().partitionId()
+    rows = lambda key, a, b, n: pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(key), pa.int32()), pa.array([part] * len(key), pa.int32())], schema=_RUN)
+    end = lambda which, key, a: pa.RecordBatch.from_pydict({"key": [key], "a": [a], "b": [None], "n": [0], "end": [which], "part": [part]}, _RUN)
+    held = None  # the last bucket: key, centre, whether the centre's own row is out
+    many = np.iinfo(np.int64).max
+    for batch in batches:
+        if not len(batch):
+            continue
+        key, ids = batch["key"].to_numpy(), batch["set_id"]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+        goes_on = held is not None and held[0] == key[0]
+        if held is None:
+            yield end(1, int(key[0]), ids[0].as_py())
+        elif goes_on and not held[2]:
+            yield rows([held[0]], [held[1]], [held[1]], [many])
+        run = np.repeat(np.arange(len(first)), size)
+        out = (size > 1)[run]
+        if goes_on:
+            out[run == 0] = True
+        centre = ids.take(pa.array(first[run]))
+        n = size[run].copy()
+        n[(run == 0) | (run == len(first) - 1)] = many  # more of these may come
+        at = np.flatnonzero(out)
+        a = centre.take(pa.array(at)).to_pylist()
+        if goes_on:
+            a[: size[0]] = [held[1]] * int(size[0])
+        if len(at):
+            yield rows(key[at], a, ids.take(pa.array(at)), n[at])
+        last = len(first) - 1
+        if not (goes_on and last == 0):
+            held = (int(key[-1]), ids[int(first[-1])].as_py(), bool(size[-1] > 1))
+        else:
+            held = (held[0], held[1], True)
+    if held is not None:
+        if not held[2]:
+            yield rows([held[0]], [held[1]], [held[1]], [many])
+        yield end(2, held[0], held[1])
+
+
+def _starred(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, set_id, n) of buckets with more than one set, and their stars (a, b). Ranges of (key, set) are dealt, so a bucket with a
+    large part of all rows is no task's alone: then it has a star in each task, and their centres are chained."""
+    spark = classes.sparkSession
+    filed = materialise(classes.select(F.explode("keys").alias("key"), "set_id"), "buckets")
+    ranges = filed.repartitionByRange(partitions(spark), "key", "set_id").sortWithinPartitions("key", "set_id")
+    runs = materialise(ranges.mapInArrow(_runs, "key long, a binary, b binary, n long, end int, part int"), "runs")
+    ends = sorted(runs.filter("end IS NOT NULL").collect(), key=lambda r: (r["part"], r["end"]))  # two rows a task
+    over = [(bytes(one["a"]), bytes(other["a"])) for one, other in zip(ends[1::2], ends[2::2]) if one["key"] == other["key"]]
+    members = runs.filter("end IS NULL")
+    edges = members.filter("a != b").select("a", "b").unionByName(spark.createDataFrame(over, "a binary, b binary")).distinct()
+    return members.select("key", F.col("b").alias("set_id"), "n"), edges
+
+
 def _connected(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root) of the sets that have links; roots have no row."""
-    filed = materialise(classes.select(F.explode("keys").alias("key"), "set_id"), "buckets")
-    stars = filed.groupBy("key").agg(F.min("set_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    filed = materialise(join_heavy(filed, stars, "key", "n", max(1, filed.count())), "shared")
-    edges = filed.filter("set_id != a").select("a", F.col("set_id").alias("b")).distinct()
+    filed, edges = _starred(classes)
     brief = classes.select("set_id", F.col("n_shingles").alias("n"), "brief")
     edges = edges.join(brief.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("brief").alias("brief_b")), "b")
     edges = materialise(edges, "edges")

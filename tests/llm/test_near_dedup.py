@@ -109,3 +109,18 @@ def test_a_hot_family(spark):
     rows = [(k, " ".join(base[: k % 50] + [f"x{k}"] + base[k % 50 + 1 :])) for k in range(900)] + [(5000 + k, f"other text number {k} of its own {k * k}") for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert found(near_dedup.near_duplicates(df)) == by_force(rows)
+
+
+def test_a_bucket_over_many_tasks_is_chained(spark):
+    rows = [(1, [7, 8], b"a" * 16), (2, [7, 9], b"b" * 16)] + [(3, [7, 100 + k], bytes([c + 1]) * 16) for k, c in enumerate(range(98, 240))]
+    classes = spark.createDataFrame([(k, i) for _, k, i in rows], "keys array<long>, set_id binary")
+    members, edges = near_dedup._starred(classes)
+    assert members.filter("key = 7").count() == len(rows) and edges.count() == len(rows) - 1
+    seen, root = set(), {}
+    for r in edges.collect():
+        root[bytes(r["b"])] = bytes(r["a"])
+        seen |= {bytes(r["a"]), bytes(r["b"])}
+    for x in seen:
+        while x in root:
+            x = root[x]
+        assert x == b"a" * 16
