@@ -40,10 +40,7 @@ def z_key(x: Column, y: Column, bits: int = 16) -> Column:
     return out
 
 
-def z_order(df: DataFrame) -> DataFrame:
-    """Points by range of their Z-order key over the first two axes: one range shuffle."""
-    low = df.agg(*(f(F.col("x")[t]).alias(f"{n}{t}") for t in (0, 1) for n, f in (("low", F.min), ("high", F.max)))).first()
-    if low["low0"] is None:
-        return df
-    scaled = [((F.col("x")[t] - low[f"low{t}"]) / F.lit(low[f"high{t}"] - low[f"low{t}"] + 1e-300) * 65535.0).cast("long") for t in (0, 1)]
-    return df.withColumn("_z", z_key(*scaled)).repartitionByRange("_z").sortWithinPartitions("_z").drop("_z")
+def z_order(df: DataFrame, box: dict, parts: int) -> DataFrame:
+    """Points by range of their Z-order key over the first two axes of a box (low0, high0, low1, high1): one range shuffle."""
+    scaled = [((F.col("x")[t] - box[f"low{t}"]) / F.lit(box[f"high{t}"] - box[f"low{t}"] + 1e-300) * 65535.0).cast("long") for t in (0, 1)]
+    return df.withColumn("_z", z_key(*scaled)).repartitionByRange(parts, "_z", "id").sortWithinPartitions("_z").drop("_z")

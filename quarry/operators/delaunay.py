@@ -227,14 +227,14 @@ class Mesh:
         return np.flatnonzero(self.alive & ~self.ghost)
 
     def cliques(self) -> list[np.ndarray]:
-        """Corners of each simplex; simplices side by side on one sphere (up to rounding) together."""
+        """Corners of several simplices side by side on one sphere (up to rounding)."""
         slots = self.solid()
-        root = np.arange(len(self.alive))
         one, at = np.nonzero(~self.ghost[self.neighbours[slots]])
         a, b = slots[one], self.neighbours[slots[one], at]
         far = self.vertices[b][~(self.vertices[b][:, :, None] == self.vertices[a][:, None, :]).any(axis=2)]
         on = np.abs((self.f[a] * self.lift[far]).sum(-1)) <= ON_SPHERE * self.bound[a]
         a, b = a[on], b[on]
+        root = np.arange(len(self.alive))
         while True:
             low = root.copy()
             np.minimum.at(low, a, root[b])
@@ -244,7 +244,7 @@ class Mesh:
                 break
             root = low
         groups: dict[int, set[int]] = {}
-        for s in slots.tolist():
+        for s in np.unique(np.r_[a, b]).tolist():
             groups.setdefault(int(root[s]), set()).update(self.vertices[s].tolist())
         return [np.array(sorted(g)) for g in groups.values()]
 

@@ -36,6 +36,16 @@ def full(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(total, out=total)
 
 
+#: Distances that are held at once when points meet all centroids.
+TABLE = 1 << 22
+
+
+def pieces(at: np.ndarray, k: int) -> list[np.ndarray]:
+    """``at`` in parts whose tables with ``k`` columns stay small."""
+    step = max(1, TABLE // max(1, k))
+    return [at[low : low + step] for low in range(0, len(at), step)]
+
+
 @dataclass
 class Batch:
     """The state of some points: coordinates, label, upper and lower bound, a strategy's own columns, and
@@ -102,84 +112,122 @@ def tightened(b: Batch, c: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return at[b.u[at] > bound[at]]
 
 
-def walk(b: Batch, at: np.ndarray, c: np.ndarray, start: np.ndarray, d: np.ndarray, near: np.ndarray, lengths: np.ndarray | None, keep: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(b: Batch, at: np.ndarray, c: np.ndarray, own: bool = True) -> None:
+    """All distances; ``own`` says that the one to the present centroid is known already."""
+    for some in pieces(at, len(c)):
+        b.comps[some] += len(c) - own
+        b.move(some, *nearest_two(full(b.x[some], c), b.a[some]))
+
+
+def walk(b: Batch, at: np.ndarray, c: np.ndarray, start: np.ndarray, d: np.ndarray, g: graph.Graph, stop: bool = False, keep: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Greedy walks over a neighbour graph from ``start`` at distance ``d``: where they end, the distance there,
-    and a bound on the rest. With ``lengths``, neighbours over twice the distance away are not evaluated."""
+    and a bound on the rest. All walks take a step together: their frontier is the edges of where they stand. With ``stop``
+    neighbours over twice the distance away are not evaluated."""
     cur, d = start.copy(), d.copy()
     second, rest = np.full(len(at), INF), np.full(len(at), INF)
-    live = np.arange(len(at))
     b.walks[at] += 1
+    if g.complete:  # one step sees all
+        for some in pieces(np.arange(len(at)), len(c)):
+            now = b.a[at[some]] if keep else None
+            b.comps[at[some]] += len(c) - 1
+            end, d[some], second[some] = nearest_two(full(b.x[at[some]], c), now)
+            b.hops[at[some]] += end != start[some]
+            cur[some] = end
+        return cur, d, second
+    live = np.arange(len(at))
     while len(live):
-        ids = near[cur[live]]
-        look = ids >= 0
-        if lengths is not None:
-            far = lengths[cur[live]] > 2 * d[live][:, None]
-            rest[live] = np.where(far & look, lengths[cur[live]], INF).min(axis=1) - d[live]
-            look &= ~far
-        dist = np.where(look, distance(b.x[at[live]][:, None, :], c[np.maximum(ids, 0)]), INF)
-        b.comps[at[live]] += look.sum(axis=1)
-        best = dist.min(axis=1)
+        first, last = g.offsets[cur[live]], g.offsets[cur[live] + 1]
+        if stop:
+            first_far = g.within(cur[live], 2 * d[live])
+            rest[live] = np.where(first_far < last, g.lengths[np.minimum(first_far, len(g.lengths) - 1)], INF) - d[live]
+            last = first_far
+        count = last - first
+        owner = np.repeat(np.arange(len(live)), count)
+        edge = np.arange(len(owner)) + np.repeat(first - (np.cumsum(count) - count), count)
+        ids = g.neighbours[edge]
+        dist = distance(b.x[at[live]][owner], c[ids])
+        b.comps[at[live]] += count
+        least = lambda values, none: graph.least(values, count, none)
+        best = least(dist, INF)
         second[live] = best
         hop = best < d[live]
         tied = ~hop & (best == d[live]) & ((cur[live] != b.a[at[live]]) | (not keep))
+        on = dist == best[owner]
         if tied.any():
-            low = np.where(dist[tied] == best[tied][:, None], ids[tied], np.iinfo(np.int64).max).min(axis=1)
-            cur[live[tied]] = np.minimum(cur[live[tied]], low)
+            low = least(np.where(on, ids, len(c)), len(c))
+            cur[live[tied]] = np.minimum(cur[live[tied]], low[tied])
+        to = least(np.where(on, edge, len(g.neighbours)), len(g.neighbours))
         b.hops[at[live[hop]]] += 1
-        cur[live[hop]] = ids[hop, dist[hop].argmin(axis=1)]
+        cur[live[hop]] = g.neighbours[to[hop]]
         d[live[hop]] = best[hop]
         live = live[hop]
     return cur, d, np.minimum(second, rest)
 
 
 class Context:
-    """What the driver knows of a run: centroids now and before, their drift, and the graphs."""
+    """What the driver knows of a run: centroids now, first, and as far as rows still refer to them; their drift, and the graphs."""
 
     def __init__(self, c: np.ndarray) -> None:
-        self.c, self.drift, self.dmax, self.it = c, np.zeros(len(c)), 0.0, 0
-        self.history, self.cum, self.rebuilds, self.fallbacks = [c], 0.0, 0, 0
+        self.c, self.first, self.drift, self.dmax, self.it = c, c, np.zeros(len(c)), 0.0, 0
+        self.snapshots, self.most_snapshots = {0: c}, 1
+        self.cum, self.rebuilds, self.fallbacks, self.repairs = 0.0, 0, 0, 0
         self.radius: np.ndarray | None = None
+        self.reach: np.ndarray | None = None
         self.degrees: list[tuple[float, int]] = []
 
     def advance(self, c: np.ndarray) -> None:
         self.drift = distance(c, self.c)
         self.c, self.dmax, self.it = c, float(self.drift.max()), self.it + 1
         self.cum += self.dmax
-        self.history.append(c)
+        self.snapshots[self.it] = c
+
+    def forget(self, referred: set[int]) -> None:
+        """Snapshots stay while a row's bounds are as of them; the last one always does."""
+        self.snapshots = {it: c for it, c in self.snapshots.items() if it in referred or it == self.it}
+        self.most_snapshots = max(self.most_snapshots, len(self.snapshots))
 
 
 class Strategy:
-    """``tables`` makes the small arrays of an iteration at the driver; ``start`` and ``step`` run on batches."""
+    """``tables`` makes the small arrays of an iteration; ``start`` and ``step`` run on batches."""
 
-    own, needs_radius, in_z_order = 0, False, False
-    #: Whether tables or state have an entry for each pair of centroids, or of point and centroid.
-    pairs = True
+    own, needs_radius, needs_reach, in_z_order = 0, False, False, False
+    #: The column of ``own`` that names the snapshot a row refers to, if any.
+    refers: int | None = None
+
+    def own_width(self, k: int) -> int:
+        """Numbers of its own that a strategy keeps for a point."""
+        return self.own
+
+    def references(self, own: np.ndarray) -> np.ndarray:
+        return np.unique(own[:, self.refers].astype(np.int64))
 
     def tables(self, context: Context) -> dict:
         return {}
 
     def start(self, b: Batch, c: np.ndarray, t: dict) -> None:
-        d = full(b.x, c)
-        b.a, b.u, b.l = nearest_two(d)
-        b.comps += d.shape[1]
-        b.own = self.first_own(b, d, t)
+        b.own = np.zeros((len(b.a), self.own_width(len(c))))
+        for some in pieces(np.arange(len(b.a)), len(c)):
+            d = full(b.x[some], c)
+            b.a[some], b.u[some], b.l[some] = nearest_two(d)
+            b.comps[some] += len(c)
+            b.own[some] = self.first_own(b, some, d, t)
 
-    def first_own(self, b: Batch, d: np.ndarray, t: dict) -> np.ndarray:
-        return np.zeros((len(b.a), self.own))
+    def first_own(self, b: Batch, at: np.ndarray, d: np.ndarray, t: dict) -> np.ndarray:
+        return np.zeros((len(at), self.own))
 
     def step(self, b: Batch, c: np.ndarray, t: dict) -> None:
         raise NotImplementedError
 
 
 class Lloyd(Strategy):
-    pairs = False
     #: Points whose distances are looked at together: they stay in the processor's cache.
     ROWS = 2048
 
     def step(self, b, c, t):
         b.comps += len(c)
-        for low in range(0, len(b.a), self.ROWS):
-            at = np.arange(low, min(low + self.ROWS, len(b.a)))
+        rows = max(1, min(self.ROWS, TABLE // len(c)))
+        for low in range(0, len(b.a), rows):
+            at = np.arange(low, min(low + rows, len(b.a)))
             d, own = full(b.x[at], c), b.a[at]
             row = np.arange(len(at))
             best = d.argmin(axis=1)
@@ -188,8 +236,6 @@ class Lloyd(Strategy):
 
 
 class Hamerly(Strategy):
-    pairs = False
-
     def __init__(self, separation: bool = True) -> None:
         self.separation = separation
 
@@ -200,28 +246,33 @@ class Hamerly(Strategy):
     def step(self, b, c, t):
         b.u += t["drift"][b.a]
         b.l -= t["dmax"]
-        at = tightened(b, c, np.maximum(t["s"][b.a], b.l))
-        d = full(b.x[at], c)
-        b.comps[at] += d.shape[1] - 1
-        b.move(at, *nearest_two(d, b.a[at]))
+        scan(b, tightened(b, c, np.maximum(t["s"][b.a], b.l)), c)
 
 
 class Elkan(Strategy):
     """A lower bound for each centroid in the state: memory grows with the number of centroids."""
 
+    def own_width(self, k):
+        return k
+
     def tables(self, context):
-        between = graph.centroid_distances(context.c)
-        return {"drift": context.drift, "half": 0.5 * between, "s": graph.half_separation(context.c)}
+        return {"drift": context.drift, "s": graph.half_separation(context.c)}
 
-    def first_own(self, b, d, t):
+    def first_own(self, b, at, d, t):
         return d
 
     def step(self, b, c, t):
         b.u += t["drift"][b.a]
         b.own = np.maximum(b.own - t["drift"][None, :], 0.0)
         old = b.a.copy()
-        at = np.flatnonzero(b.u > t["s"][b.a])
-        open_ = lambda r: (b.u[r][:, None] > b.own[r]) & (b.u[r][:, None] > t["half"][b.a[r]]) & (np.arange(len(c))[None, :] != b.a[r][:, None])
+        every = np.flatnonzero(b.u > t["s"][b.a])
+        for at in pieces(every, len(c)):
+            self._settle(b, c, at)
+        b.changed = (b.a != old).astype(np.int64)
+
+    def _settle(self, b, c, at):
+        half = lambda r: 0.5 * full(c[b.a[r]], c)
+        open_ = lambda r: (b.u[r][:, None] > b.own[r]) & (b.u[r][:, None] > half(r)) & (np.arange(len(c))[None, :] != b.a[r][:, None])
         at = at[open_(at).any(axis=1)]
         b.u[at] = b.own[at, b.a[at]] = distance(b.x[at], c[b.a[at]])
         b.comps[at] += 1
@@ -229,21 +280,24 @@ class Elkan(Strategy):
         cuts = np.searchsorted(which, np.arange(len(c) + 1))
         for j in range(len(c)):
             r = at[row[cuts[j] : cuts[j + 1]]]
-            r = r[(b.a[r] != j) & (b.u[r] > b.own[r, j]) & (b.u[r] > t["half"][b.a[r], j])]
+            r = r[(b.a[r] != j) & (b.u[r] > b.own[r, j]) & (b.u[r] > 0.5 * distance(c[b.a[r]], c[j][None, :]))]
             d = distance(b.x[r], c[j][None, :])
             b.comps[r] += 1
             b.own[r, j] = d
             closer = d < b.u[r]
             b.a[r[closer]], b.u[r[closer]] = j, d[closer]
-        b.changed = (b.a != old).astype(np.int64)
 
 
 class Yinyang(Strategy):
     """A lower bound for each group of centroids."""
 
+    def own_width(self, k):
+        return graph.group_count(k)
+
     def tables(self, context):
-        own = graph.groups(context.history[0])
-        count = int(own.max()) + 1
+        if not hasattr(context, "groups"):
+            context.groups = graph.groups(context.first)
+        own, count = context.groups, self.own_width(len(context.c))
         return {"drift": context.drift, "group": own, "gd": np.array([context.drift[own == g].max() if (own == g).any() else 0.0 for g in range(count)])}
 
     def _group_least(self, d, a, group, count):
@@ -251,13 +305,16 @@ class Yinyang(Strategy):
         other[np.arange(len(d)), a] = INF
         return np.stack([other[:, group == g].min(axis=1) if (group == g).any() else np.full(len(d), INF) for g in range(count)], axis=1)
 
-    def first_own(self, b, d, t):
-        return self._group_least(d, b.a, t["group"], len(t["gd"]))
+    def first_own(self, b, at, d, t):
+        return self._group_least(d, b.a[at], t["group"], len(t["gd"]))
 
     def step(self, b, c, t):
         b.u += t["drift"][b.a]
         b.own = b.own - t["gd"][None, :]
-        at = tightened(b, c, b.own.min(axis=1))
+        for at in pieces(tightened(b, c, b.own.min(axis=1)), len(c)):
+            self._scan(b, c, t, at)
+
+    def _scan(self, b, c, t, at):
         group, ut = t["group"], b.u[at].copy()
         scan = (ut[:, None] > b.own[at]) | (np.arange(len(t["gd"]))[None, :] == group[b.a[at]][:, None])
         look = scan[:, group] & (np.arange(len(c))[None, :] != b.a[at][:, None])
@@ -274,49 +331,53 @@ class Yinyang(Strategy):
 class Exponion(Strategy):
     """Candidates within twice the upper bound of the assigned centroid, by sorted distances or by annuli."""
 
+    needs_reach = True
+
     def __init__(self, by_annuli: bool = False) -> None:
         self.by_annuli = by_annuli
 
     def tables(self, context):
-        between = graph.centroid_distances(context.c)
-        order = np.argsort(between, axis=1, kind="stable")[:, : len(context.c) - 1]
-        edge = graph.annuli(between)[1] if self.by_annuli else between
-        return {"drift": context.drift, "dmax": context.dmax, "order": order, "edge": np.take_along_axis(edge, order, axis=1)}
+        reach = context.reach if context.reach is not None else np.zeros(len(context.c))
+        limit = 2 * (reach + context.drift) * (1 + 1e-9)
+        near = graph.near(context.c, 2 * limit if self.by_annuli else limit)
+        edge = near.lengths
+        if self.by_annuli and len(edge):
+            edge = graph.annuli(edge, np.repeat(2 * graph.half_separation(context.c), np.diff(near.offsets)))[1]
+        return {"drift": context.drift, "dmax": context.dmax, "near": near, "edge": edge, "limit": limit}
 
     def step(self, b, c, t):
         b.u += t["drift"][b.a]
         b.l -= t["dmax"]
-        at = tightened(b, c, b.l)
-        candidates(b, at, c, t)
+        candidates(b, tightened(b, c, b.l), c, t)
 
 
 def candidates(b: Batch, at: np.ndarray, c: np.ndarray, t: dict) -> None:
-    """Moves points to the best centroid within ``edge`` of twice their upper bound. Edges are sorted, so those are the
-    first ones; points with like numbers of them are worked on together."""
-    order, edge = t["order"], t["edge"]
-    if not order.shape[1]:
-        b.l[at] = INF
-        return
+    """Moves points to the best centroid whose ``edge`` is within twice their upper bound.
+
+    Points sorted by (label, upper bound) meet edges sorted by (label, length) in one merge: a point's candidates are a
+    first stretch of its label's edges. Points with like numbers of them are worked on together."""
+    near, edge, k = t["near"], t["edge"], len(c)
+    label, far = b.a[at], 2 * b.u[at]
+    first, size = near.offsets[label], np.diff(near.offsets)[label]
     count = np.zeros(len(at), np.int64)
-    far = 2 * b.u[at]
-    live, step = np.arange(len(at)), 8
-    while len(live):  # most points have few candidates
-        low = int(count[live[0]])
-        own = edge[b.a[at[live]], low : low + step]
-        inside = (own <= far[live][:, None]).sum(axis=1)
-        count[live] += inside
-        live = live[(inside == own.shape[1]) & (inside > 0)]
+    order = np.lexsort((far, label))
+    cuts = np.flatnonzero(np.r_[True, label[order][1:] != label[order][:-1]]) if len(at) else np.zeros(0, np.int64)
+    for low, high in zip(cuts, np.r_[cuts[1:], len(order)]):
+        own = order[low:high]
+        j = label[own[0]]
+        count[own] = np.searchsorted(edge[near.offsets[j] : near.offsets[j + 1]], far[own], "right")
     by_count = np.argsort(count, kind="stable")
-    cuts = np.unique(np.searchsorted(count[by_count], [0, 1, 4, 8, 16, 32, 64, 128, 256, 1 << 40]))
-    for a, e in zip(cuts[:-1], cuts[1:]):
-        some = by_count[a:e]
-        rows, width = at[some], int(count[some].max())
-        mine = np.arange(width)[None, :] < count[some][:, None]
-        which = order[b.a[rows], :width]
-        d = np.where(mine, distance(b.x[rows][:, None, :], c[which]), INF)
-        b.comps[rows] += count[some]
-        beyond = np.where(count[some] < edge.shape[1], edge[b.a[rows], np.minimum(count[some], edge.shape[1] - 1)], INF) - b.u[rows]
-        choose(b, rows, d, which, beyond)
+    cuts = np.unique(np.searchsorted(count[by_count], [0, 1, 4, 8, 16, *(1 << p for p in range(5, 40))]))
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        for some in pieces(by_count[low:high], max(1, int(count[by_count[high - 1]]))):
+            rows, width = at[some], int(count[some].max())
+            mine = np.arange(width)[None, :] < count[some][:, None]
+            which = near.neighbours[np.minimum(first[some][:, None] + np.arange(width)[None, :], max(0, len(near.neighbours) - 1))] if width else np.zeros((len(some), 0), np.int64)
+            d = np.where(mine, distance(b.x[rows][:, None, :], c[which]), INF)
+            b.comps[rows] += count[some]
+            following = edge[np.minimum(first[some] + count[some], len(edge) - 1)] if len(edge) else np.zeros(len(some))
+            beyond = np.where(count[some] < size[some], following, np.where(size[some] == k - 1, INF, t["limit"][label[some]]))
+            choose(b, rows, d, which, beyond - b.u[rows])
 
 
 class Ball(Strategy):
@@ -325,12 +386,10 @@ class Ball(Strategy):
     needs_radius = True
 
     def tables(self, context):
-        between = graph.centroid_distances(context.c)
         radius = context.radius if context.radius is not None else np.zeros(len(context.c))
-        near = np.where(between < 2 * radius[:, None], between, INF)
-        order = np.argsort(near, axis=1, kind="stable")[:, : len(context.c) - 1]
+        near = graph.near(context.c, 2 * radius, strictly=True)
         # a candidate is strictly nearer than twice the distance
-        return {"order": order, "edge": np.nextafter(np.take_along_axis(near, order, axis=1), INF)}
+        return {"near": near, "edge": np.nextafter(near.lengths, INF), "limit": 2 * radius}
 
     def step(self, b, c, t):
         b.u = distance(b.x, c[b.a])
@@ -348,16 +407,16 @@ class Walk(Strategy):
         triangulation = graph.Triangulation(context.c)
         context.rebuilds += 1
         context.fallbacks += triangulation.fallback
-        degree = triangulation.adjacency.sum(axis=1)
+        degree = np.diff(triangulation.graph.offsets) if not triangulation.graph.complete else np.full(len(context.c), len(context.c) - 1)
         context.degrees.append((float(degree.mean()), int(degree.max())))
         return triangulation
 
     def tables(self, context):
-        near, lengths, s = graph.sorted_adjacency(context.c, self._graph(context).adjacency)
-        return {"drift": context.drift, "dmax": context.dmax, "near": near, "lengths": lengths if self.stop else None, "s": s if self.separation else np.zeros(len(context.c))}
+        near, s = graph.by_length(context.c, self._graph(context).graph)
+        return {"drift": context.drift, "dmax": context.dmax, "near": near, "s": s if self.separation else np.zeros(len(context.c))}
 
     def settle(self, b, c, t, at):
-        b.move(at, *walk(b, at, c, b.a[at], b.u[at], t["near"], t["lengths"]))
+        b.move(at, *walk(b, at, c, b.a[at], b.u[at], t["near"], self.stop))
 
     def step(self, b, c, t):
         b.u += t["drift"][b.a]
@@ -374,13 +433,11 @@ class StableWalk(Walk):
         super().__init__(separation=True, stop=True)
 
     def tables(self, context):
-        if not hasattr(context, "adjacency"):
-            context.adjacency = graph.Triangulation(context.history[0]).adjacency
-        after = self._graph(context).adjacency
-        near, lengths, s = graph.sorted_adjacency(context.c, after)
-        stable = graph.stable_clusters(context.adjacency, after, context.drift) if context.it else np.zeros(len(context.c), bool)
-        context.adjacency = after
-        return {"drift": context.drift, "cum": context.cum, "near": near, "lengths": lengths, "s": s, "stable": stable}
+        after = self._graph(context).graph
+        near, s = graph.by_length(context.c, after)
+        stable = graph.stable_clusters(context.neighbours, after, context.drift) if context.it else np.zeros(len(context.c), bool)
+        context.neighbours = after
+        return {"drift": context.drift, "cum": context.cum, "near": near, "s": s, "stable": stable}
 
     def step(self, b, c, t):
         on = ~t["stable"][b.a]
@@ -394,19 +451,19 @@ class StableWalk(Walk):
 class HistoryWalk(StableWalk):
     """Bounds kept as of the iteration they were made in, and corrected by the way since then."""
 
-    own = 3
+    own, refers = 3, 2
 
     def tables(self, context):
-        past = np.stack(context.history)
-        moved = distance(past, past[-1][None, :, :])
-        return super().tables(context) | {"it": context.it, "moved": moved, "most": moved.max(axis=1)}
+        its = np.array(sorted(context.snapshots))
+        moved = np.stack([distance(context.snapshots[it], context.c) for it in its.tolist()])
+        return super().tables(context) | {"it": context.it, "its": its, "moved": moved, "most": moved.max(axis=1)}
 
-    def first_own(self, b, d, t):
-        return np.stack([b.u, b.l, np.zeros(len(b.a))], axis=1)
+    def first_own(self, b, at, d, t):
+        return np.stack([b.u[at], b.l[at], np.zeros(len(at))], axis=1)
 
     def step(self, b, c, t):
         on = ~t["stable"][b.a]
-        since = b.own[:, 2].astype(np.int64)
+        since = np.searchsorted(t["its"], b.own[:, 2].astype(np.int64))
         b.u = np.where(on, b.own[:, 0] + t["moved"][since, b.a], b.u)
         b.l = np.where(on, b.own[:, 1] - t["most"][since], b.l)
         loose = on & (b.u > np.maximum(t["s"][b.a], b.l))
@@ -419,7 +476,7 @@ class LocalWalk(Walk):
     """Bounds over the cell's neighbours only; starts by walks along a space-filling curve. With ``reuse`` a
     triangulation that still holds is kept."""
 
-    in_z_order, STRIDE = True, 32
+    in_z_order = True
 
     def __init__(self, reuse: bool = False) -> None:
         super().__init__(separation=True, stop=True)
@@ -429,20 +486,26 @@ class LocalWalk(Walk):
         before = getattr(context, "triangulation", None)
         after = before if self.reuse and before is not None and before.still_valid(context.c) else self._graph(context)
         context.triangulation = after
-        near, lengths, s = graph.sorted_adjacency(context.c, after.adjacency)
-        between = graph.centroid_distances(context.c)
-        kept, new = graph.local_drift(before.adjacency if before is not None else after.adjacency, after.adjacency, between, context.drift)
-        return {"drift": context.drift, "near": near, "lengths": lengths, "s": s, "kept": kept, "new": new}
+        near, s = graph.by_length(context.c, after.graph)
+        kept, new = graph.local_drift(context.c, (before or after).graph, after.graph, context.drift)
+        return {"drift": context.drift, "near": near, "s": s, "kept": kept, "new": new}
 
     def start(self, b, c, t):
-        at = np.arange(len(b.a))  # neighbours on the curve are near each other: a few are looked up, the next ones set out from there
-        lead = np.repeat(full(b.x[:: self.STRIDE], c).argmin(axis=1), self.STRIDE)[: len(at)]
-        b.comps[:: self.STRIDE] += len(c)
-        b.a[:] = -1
-        d = distance(b.x, c[lead])
-        b.comps += 1
-        b.a, b.u, b.l = walk(b, at, c, lead, d, t["near"], t["lengths"], keep=False)
-        b.own = np.zeros((len(b.a), 0))
+        """The first point meets all centroids. Then the points half way between those known set out from where the one before
+        them ended, and so on down: neighbours on the curve are near each other."""
+        b.own, b.a[:] = np.zeros((len(b.a), 0)), -1
+        n = len(b.a)
+        stride = 1 << max(0, n - 1).bit_length()
+        b.a[:1] = full(b.x[:1], c).argmin(axis=1)
+        b.comps[:1] += len(c)
+        b.u[:1] = distance(b.x[:1], c[b.a[:1]])
+        b.a[:1], b.u[:1], b.l[:1] = walk(b, np.arange(min(1, n)), c, b.a[:1], b.u[:1], t["near"], self.stop, keep=False)
+        while stride > 1:
+            at = np.arange(stride // 2, n, stride)
+            lead = b.a[at - stride // 2]
+            b.comps[at] += 1
+            b.a[at], b.u[at], b.l[at] = walk(b, at, c, lead, distance(b.x[at], c[lead]), t["near"], self.stop, keep=False)
+            stride //= 2
 
     def step(self, b, c, t):
         b.u += t["drift"][b.a]
@@ -459,7 +522,7 @@ class LazyWalk(Walk):
         if getattr(context, "snapshot", None) is None or context.open_share > self.REBUILD:
             context.snapshot, context.lazy = context.c, self._graph(context)
         context.open_share = 0.0
-        near, _, _ = graph.sorted_adjacency(context.snapshot, context.lazy.adjacency)
+        near, _ = graph.by_length(context.snapshot, context.lazy.graph)
         return {"drift": context.drift, "dmax": context.dmax, "near": near, "old": context.snapshot, "way": float(distance(context.c, context.snapshot).max())}
 
     def step(self, b, c, t):
@@ -467,16 +530,14 @@ class LazyWalk(Walk):
         b.l -= t["dmax"]
         at = tightened(b, c, b.l)
         b.comps[at] += t["way"] > 0
-        end, _, second = walk(b, at, t["old"], b.a[at], distance(b.x[at], t["old"][b.a[at]]), t["near"], None)
+        end, _, second = walk(b, at, t["old"], b.a[at], distance(b.x[at], t["old"][b.a[at]]), t["near"])
         now = distance(b.x[at], c[end])
         b.comps[at] += end != b.a[at]
         sure = now < second - t["way"]
         b.move(at[sure], end[sure], now[sure], second[sure] - t["way"])
         at = at[~sure]
         b.failed[at] = 1
-        d = full(b.x[at], c)
-        b.comps[at] += d.shape[1] - 1
-        b.move(at, *nearest_two(d, b.a[at]))
+        scan(b, at, c)
 
 
 STRATEGIES: dict[str, Strategy] = {

@@ -1,36 +1,42 @@
 """The outer loop of every strategy: update centroids, prepare small tables, one pass over the points.
 
-An iteration is two jobs: a pass that reads the state's partitions, runs the strategy on Arrow batches
-and writes the new state (no shuffle), and an aggregation to one row a cluster. The state lies in the
-shared folder and only the last one is kept. Each state has its row's coordinates, so no join or
-shuffle of points ever happens; centroids and their tables, whose size does not depend on the
-points, travel with the task.
-
-Points up to FEW need no iteration of Spark jobs: one task holds them and runs the same loop with the same exact sums,
-so the result is the same to the last bit.
+*In memory*: a barrier stage holds the points, a part in each of its tasks. After each pass the tasks add up their exact
+sums by label (a few rows a centroid) and all compute the same centroids and tables. After SAVE iterations or SECONDS the state goes
+to the shared folder, so that is what a lost executor costs. The tasks are as many as the cluster runs at once, fewer where
+their exchange would be large.
+
+*Streamed*: what memory can't hold, or a cluster of changing size, takes two jobs an iteration: a pass that reads the
+state's partitions, runs the strategy on Arrow batches and writes the new state (no shuffle), and an aggregation to one row a
+cluster.
+
+Both add up the same whole numbers, so the result is the same to the last bit, however points are dealt.
 """
 
 from __future__ import annotations
 
 import pickle
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import BarrierTaskContext
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.geometry import z_order
 from quarry.model import Result, exact_mean, exact_sums, validated
-from quarry.operators.strategies import STRATEGIES, Batch, Context, distance
+from quarry.operators.strategies import STRATEGIES, Batch, Context, Strategy, distance
+from quarry.plans.exchange import Exchange
 from quarry.storage import materialise, remove, shared_folder
 
-#: Points that one task may hold (about 100 bytes each and the strategy's own bounds), and rows it works on at a time.
-FEW, BLOCK = 1 << 18, 1 << 14
-#: Centroids up to which tables of their pairs are made: 128 MB each.
-MOST_PAIRED = 4000
+#: Rows that a task works on at a time; iterations and seconds between two copies of the state in the shared folder.
+BLOCK, SAVE, SECONDS = 1 << 14, 100, 120.0
+#: Bytes of state that a task holds, bytes that the tasks together send in an iteration, and most tasks of the stage.
+HELD, EXCHANGED, MOST_TASKS = 1 << 30, 1 << 27, 1000
 COUNTS = ("changed", "comps", "walks", "hops", "failed")
 STATE = "id long, x array<double>, w long, a int, u double, l double, own array<double>, " + ", ".join(f"{c} long" for c in COUNTS)
+SAVED = "id long, x array<double>, w long, a int, u double, l double, own array<double>, rest binary"
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
@@ -43,30 +49,16 @@ def _batch(record: pa.RecordBatch, fresh: bool) -> Batch:
     x = _matrix(record["x"], n)
     if fresh:
         return Batch(x, np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros((n, 0)))
-    take = lambda c: record[c].to_numpy(zero_copy_only=False).copy()
+    take = lambda c: np.array(record[c])
     return Batch(x, take("a").astype(np.int64), take("u"), take("l"), _matrix(record["own"], n).copy())
 
 
-def _pass(name: str, c: np.ndarray, tables: dict, fresh: bool):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strategy = STRATEGIES[name]
-        for record in batches:
-            if not len(record):
-                continue
-            b = _batch(record, fresh)
-            (strategy.start if fresh else strategy.step)(b, c, tables)
-            own = pa.FixedSizeListArray.from_arrays(pa.array(b.own.ravel()), b.own.shape[1]).cast(pa.list_(pa.float64())) if b.own.shape[1] else pa.array([[]] * len(record), pa.list_(pa.float64()))
-            columns = [record["id"], record["x"], record["w"], pa.array(b.a.astype(np.int32)), pa.array(b.u), pa.array(b.l), own]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(getattr(b, n)) for n in COUNTS)], ["id", "x", "w", "a", "u", "l", "own", *COUNTS])
+def _own_column(b: Batch) -> pa.Array:
+    width = b.own.shape[1]
+    return pa.FixedSizeListArray.from_arrays(pa.array(b.own.ravel()), width).cast(pa.list_(pa.float64())) if width else pa.array([[]] * len(b.a), pa.list_(pa.float64()))
 
-    return go
 
-
-def _summary(state: DataFrame, width: int) -> list[dict]:
-    """One row a cluster: weight, exact sums, and weighted counts."""
-    sums = [c.alias(f"{part}{t}") for t in range(width) for part, c in zip(("h", "l"), exact_sums(F.col("x")[t], F.col("w")))]
-    counts = [F.sum(F.col(n) * F.col("w")).alias(n) for n in COUNTS]
-    return [r.asDict() for r in state.groupBy("a").agg(F.sum("w").alias("n"), *sums, *counts).collect()]
+# --- sums ---
 
 
 def updated(c: np.ndarray, summary: list[dict]) -> np.ndarray:
@@ -78,120 +70,247 @@ def updated(c: np.ndarray, summary: list[dict]) -> np.ndarray:
     return out
 
 
-def _radius(state: DataFrame, c: np.ndarray) -> np.ndarray:
-    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(len(c))
-        for record in batches:
-            a = record["a"].to_numpy()
-            np.maximum.at(out, a, distance(_matrix(record["x"], len(record)), c[a]))
-        yield pa.RecordBatch.from_pydict({"a": np.arange(len(c), dtype=np.int32), "r": out})
-
-    out = np.zeros(len(c))
-    for row in state.select("a", "x").mapInArrow(largest, "a int, r double").groupBy("a").agg(F.max("r").alias("r")).collect():
-        out[row["a"]] = row["r"]
-    return out
-
-
 class LabelSums:
-    """Exact sums by label of what ``exact_sums`` adds up: parts of 22 bits, whose weighted sums stay whole in a double."""
+    """Exact sums by label of what ``exact_sums`` adds up: parts of 22 bits, whose weighted sums stay whole in a double.
+    Sums of coordinates are kept, and corrected by the rows that change their label."""
 
     BITS = 22
 
-    def __init__(self, x: np.ndarray, w: np.ndarray) -> None:
-        self.w, self.width = w, x.shape[1]
+    def __init__(self, x: np.ndarray, w: np.ndarray, k: int) -> None:
+        self.w, self.width, self.k = w, x.shape[1], k
         self.whole = int(w.sum()) >= 1 << 31 or int(np.abs(w).max(initial=0)) >= 1 << 31
         scaled = x * float(1 << 20)
         high = np.floor(scaled)
         low = np.rint((scaled - high) * float(1 << 40)).astype(np.int64)
-        self.parts: list[list[np.ndarray]] = []
+        parts = []
         for v in (*high.astype(np.int64).T, *low.T):
-            pieces = [(v >> self.BITS * i) & (1 << self.BITS) - 1 for i in range(2)] + [v >> self.BITS * 2]
-            self.parts.append([p.astype(object) * w.astype(object) if self.whole else (p * w).astype(np.float64) for p in pieces])
+            parts += [(v >> self.BITS * i) & (1 << self.BITS) - 1 for i in range(2)] + [v >> self.BITS * 2]
+        weighted = lambda v: v.astype(object) * w.astype(object) if self.whole else (v * w).astype(np.float64)
+        self.values = [weighted(np.ones(len(w), np.int64)), *map(weighted, parts)]
+        self.label: np.ndarray | None = None
 
-    def _sum(self, label: np.ndarray, k: int, values: np.ndarray) -> list[int]:
+    def _sum(self, label: np.ndarray, values: np.ndarray) -> np.ndarray:
         if not self.whole:
-            return [int(v) for v in np.bincount(label, values, minlength=k)]
-        out = np.zeros(k, object)
+            return np.bincount(label, values, minlength=self.k).astype(np.int64)
+        out = np.zeros(self.k, object)
         np.add.at(out, label, values)
-        return [int(v) for v in out]
-
-    def summary(self, label: np.ndarray, k: int, counts: dict[str, np.ndarray]) -> list[dict]:
-        """As ``_summary``: one row for each label that has points."""
-        rows = [{"a": j} for j in range(k)]
-        put = lambda name, values: [r.update({name: v}) for r, v in zip(rows, values)]
-        put("n", self._sum(label, k, self.w.astype(object if self.whole else np.float64)))
-        for name, parts in zip([*(f"h{t}" for t in range(self.width)), *(f"l{t}" for t in range(self.width))], self.parts):
-            put(name, [sum(v << self.BITS * i for i, v in enumerate(own)) for own in zip(*(self._sum(label, k, p) for p in parts))])
-        for name, values in counts.items():
-            put(name, self._sum(label, k, values.astype(object) * self.w.astype(object) if self.whole else (values * self.w).astype(np.float64)))
-        has = np.bincount(label, minlength=k) > 0
-        return [r for r in rows if has[r["a"]]]
-
-
-def _z_sorted(x: np.ndarray) -> np.ndarray:
-    """The order of points along the Z-curve over the first two axes."""
-    low, high = x[:, :2].min(axis=0), x[:, :2].max(axis=0)
-    cell = ((x[:, :2] - low) / (high - low + 1e-300) * 65535.0).astype(np.int64)
-    key = np.zeros(len(x), np.int64)
-    for b in range(16):
-        for t in range(2):
-            key |= (cell[:, t] >> b & 1) << 2 * b + t
-    return np.argsort(key, kind="stable")
-
-
-def _in_one_task(name: str, c: np.ndarray, most: int):
-    """The loop of ``run`` over all points at once; the last row has no id and holds the rest of the result."""
+        return out
+
+    def table(self, label: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+        """For each label (columns) the number of rows, weights, parts of the coordinates' sums, and weighted counts."""
+        if self.label is None:
+            self.label, self.rows = label.copy(), np.bincount(label, minlength=self.k)
+            self.sums = [self._sum(label, v) for v in self.values]
+        at = np.flatnonzero(label != self.label)
+        if len(at):
+            before, after = self.label[at], label[at]
+            self.rows = self.rows - np.bincount(before, minlength=self.k) + np.bincount(after, minlength=self.k)
+            self.sums = [s - self._sum(before, v[at]) + self._sum(after, v[at]) for s, v in zip(self.sums, self.values)]
+            self.label[at] = after
+        weighted = [self._sum(label, v.astype(object) * self.w.astype(object) if self.whole else (v * self.w).astype(np.float64)) for v in counts]
+        return np.stack([self.rows, *self.sums, *weighted])
+
+
+def summarised(table: np.ndarray, width: int) -> list[dict]:
+    """As ``_summary``, from added tables of ``LabelSums``."""
+    out = []
+    for j in np.flatnonzero(table[0] > 0).tolist():
+        column = [int(v) for v in table[:, j]]
+        whole = [sum(column[2 + 3 * s + i] << LabelSums.BITS * i for i in range(3)) for s in range(2 * width)]
+        row = {"a": j, "n": column[1]} | {f"h{t}": whole[t] for t in range(width)} | {f"l{t}": whole[width + t] for t in range(width)}
+        out.append(row | dict(zip(COUNTS, column[2 + 6 * width :])))
+    return out
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _summary(state: DataFrame, width: int) -> list[dict]:
+    """One row a cluster: weight, exact sums, and weighted counts."""
+    sums = [c.alias(f"{part}{t}") for t in range(width) for part, c in zip(("h", "l"), exact_sums(F.col("x")[t], F.col("w")))]
+    counts = [F.sum(F.col(n) * F.col("w")).alias(n) for n in COUNTS]
+    return [r.asDict() for r in state.groupBy("a").agg(F.sum("w").alias("n"), F.max("u").alias("reach"), *sums, *counts).collect()]
+
+
+def _work(summary: list[dict]) -> list[dict]:
+    return [{n: r[n] for n in ("a", "n", *COUNTS)} for r in summary]
+
+
+def _open_share(summary: list[dict]) -> float:
+    return sum(r["failed"] for r in summary) / max(1, sum(r["walks"] for r in summary))
+
+
+# --- the loop in memory ---
+
+
+class _Part:
+    """A task's points and their state, in blocks."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], plan: Strategy, c: np.ndarray, fresh: bool) -> None:
         records = [r for r in batches if len(r)]
-        if not records:
-            return
-        table = pa.Table.from_batches(records).combine_chunks()
-        plan, context, k = STRATEGIES[name], Context(c), len(c)
-        x, w = _matrix(table["x"].combine_chunks(), len(table)), table["w"].to_numpy()
-        if plan.in_z_order and x.shape[1] >= 2:
-            order = _z_sorted(x)
-            x, w, table = np.ascontiguousarray(x[order]), w[order], table.take(pa.array(order))
-        parts = [Batch(np.ascontiguousarray(x[i : i + BLOCK]), *(np.zeros(len(x[i : i + BLOCK]), kind) for kind in (np.int64, float, float)), np.zeros((len(x[i : i + BLOCK]), 0))) for i in range(0, len(x), BLOCK)]
-        sums = LabelSums(x, w)
-        summed = lambda: sums.summary(np.concatenate([b.a for b in parts]), k, {n: np.concatenate([getattr(b, n) for b in parts]) for n in COUNTS})
-        tables = plan.tables(context)
-        for b in parts:
-            plan.start(b, c, tables)
-        trace, converged = [summed()], False
-        for _ in range(most):
-            context.advance(updated(context.c, trace[-1]))
-            if plan.needs_radius:
-                context.radius = np.zeros(k)
-                for b in parts:
-                    np.maximum.at(context.radius, b.a, distance(b.x, context.c[b.a]))
-            tables = plan.tables(context)
-            for b in parts:
+        self.plan, self.fresh = plan, fresh
+        self.records = pa.Table.from_batches(records).combine_chunks().to_batches(max_chunksize=BLOCK) if records else []
+        self.blocks = [_batch(r, fresh) for r in self.records]
+        x = np.concatenate([b.x for b in self.blocks]) if records else np.zeros((0, c.shape[1]))
+        w = np.concatenate([r["w"].to_numpy() for r in self.records]) if records else np.zeros(0, np.int64)
+        self.sums = LabelSums(x, w, len(c))
+
+    def _all(self, name: str) -> np.ndarray:
+        return np.concatenate([getattr(b, name) for b in self.blocks]) if self.blocks else np.zeros(0, np.int64)
+
+    def passed(self, c: np.ndarray, tables: dict) -> np.ndarray:
+        for b in self.blocks:
+            if self.fresh:
+                self.plan.start(b, c, tables)
+            else:
                 b.clear()
-                plan.step(b, context.c, tables)
-            trace.append(summed())
-            context.open_share = _open_share(trace[-1])
-            if not any(r["changed"] for r in trace[-1]):
-                converged = True
-                break
-        rest = pickle.dumps((context.c, context.it, converged, context.rebuilds, context.fallbacks, context.degrees, trace))
-        a = np.concatenate([b.a for b in parts]).astype(np.int32)
-        yield from pa.table({"id": table["id"], "x": table["x"], "w": table["w"], "a": a, "rest": pa.nulls(len(a), pa.binary())}).to_batches(max_chunksize=BLOCK)
-        yield pa.RecordBatch.from_pydict({"id": pa.nulls(1, pa.int64()), "x": pa.nulls(1, pa.list_(pa.float64())), "w": pa.nulls(1, pa.int64()), "a": pa.nulls(1, pa.int32()), "rest": [rest]})
+                self.plan.step(b, c, tables)
+        self.fresh = False
+        return self.sums.table(self._all("a"), [self._all(n) for n in COUNTS])
+
+    def radius(self, c: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(c))
+        for b in self.blocks:
+            np.maximum.at(out, b.a, distance(b.x, c[b.a]))
+        return out
+
+    def reach(self, k: int) -> np.ndarray:
+        """The largest upper bound of each label."""
+        out = np.zeros(k)
+        for b in self.blocks:
+            np.maximum.at(out, b.a, b.u)
+        return out
+
+    def references(self) -> set[int]:
+        return set().union(*(self.plan.references(b.own).tolist() for b in self.blocks))
+
+    def rows(self, whole: bool) -> Iterator[pa.RecordBatch]:
+        """The state; without ``whole`` the labels alone."""
+        names = ["id", "x", "w", "a", "u", "l", "own", "rest"]
+        for r, b in zip(self.records, self.blocks):
+            none = pa.nulls(len(r), pa.float64())
+            state = [pa.array(b.u), pa.array(b.l), _own_column(b)] if whole else [none, none, pa.nulls(len(r), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([r["id"], r["x"], r["w"], pa.array(b.a.astype(np.int32)), *state, pa.nulls(len(r), pa.binary())], names)
+
+
+def _iterations(name: str | Strategy, known: Context, fresh: bool, most: int, left: int):
+    """Up to ``most`` iterations of ``left`` on the points of a barrier stage; one more row holds what the driver wants to know."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stage, plan, context = BarrierTaskContext.get(), _plan(name), pickle.loads(pickle.dumps(known))
+        part, k, began = _Part(batches, plan, context.c, fresh), len(context.c), time.monotonic()
+        trace, converged, late, peers = [], False, False, Exchange(stage)
+
+        def together(told: list[tuple]) -> tuple:
+            tables, reach, referred = zip(*told)
+            return sum(tables), np.maximum.reduce(reach) if plan.needs_reach else None, set().union(*referred), time.monotonic() - began > SECONDS
+
+        def work() -> bool:
+            table = part.passed(context.c, plan.tables(context))
+            told = (table, part.reach(k) if plan.needs_reach else None, part.references() if plan.refers else ())
+            table, context.reach, referred, late = peers.combined(told, together)
+            context.summary = summarised(table, context.c.shape[1])
+            context.open_share = _open_share(context.summary)
+            trace.append(_work(context.summary))
+            context.forget(referred)
+            return late
+
+        try:
+            if fresh:
+                late = work()
+            done = 0
+            while done < min(most, left) and not late and not converged:
+                context.advance(updated(context.c, context.summary))
+                if plan.needs_radius:
+                    context.radius = peers.combined(part.radius(context.c), np.maximum.reduce)
+                late = work()
+                converged, done = not any(r["changed"] for r in trace[-1]), done + 1
+        finally:
+            peers.close()
+        yield from part.rows(not converged and done < left)
+        if stage.partitionId() == 0:
+            rest = pickle.dumps((context, trace, converged))
+            yield pa.RecordBatch.from_pydict({"id": pa.nulls(1, pa.int64()), "x": pa.nulls(1, pa.list_(pa.float64())), "w": pa.nulls(1, pa.int64()), "a": pa.nulls(1, pa.int32()), "u": pa.nulls(1, pa.float64()), "l": pa.nulls(1, pa.float64()), "own": pa.nulls(1, pa.list_(pa.float64())), "rest": [rest]})
 
     return go
 
 
-def _open_share(summary: list[dict]) -> float:
-    return sum(r["failed"] for r in summary) / max(1, sum(r["walks"] for r in summary))
+def _in_memory(points: DataFrame, plan_name: str | Strategy, context: Context, most: int, folder: str, tasks: int, save: int) -> tuple[DataFrame, Context, bool, list]:
+    spark, state, trace, fresh, before = points.sparkSession, points, [], True, None
+    while True:
+        left = most - context.it
+        path = f"{folder}/{context.it}-{len(trace)}"
+        run = state.mapInArrow(_iterations(plan_name, context, fresh, save, left), SAVED, barrier=True)
+        found = materialise(run.repartition(tasks, "id"), path)  # Spark starts a barrier stage again only ahead of a shuffle
+        context, more, converged = pickle.loads(found.filter("rest IS NOT NULL").select("rest").first()["rest"])
+        trace += more
+        if before:
+            remove(spark, before)
+        state, fresh, before = found.filter("rest IS NULL").drop("rest"), False, path
+        if converged or context.it >= most:
+            return state, context, converged, trace
+        state = state.repartition(tasks, "id")
 
 
-def _result(labels: DataFrame, c: np.ndarray, iterations: int, converged: bool, rebuilds: int, fallbacks: int, degrees: list, trace: list[list[dict]]) -> Result:
-    metrics = {n: sum(int(r[n]) for rows in trace for r in rows) for n in COUNTS[1:]}
-    metrics |= {"rebuilds": rebuilds, "fallbacks": fallbacks}
-    if degrees:  # of the graphs that the run built
-        metrics |= {"mean_degree": sum(m for m, _ in degrees) / len(degrees), "most_degree": max(m for _, m in degrees), "graphs": len(degrees)}
-    return Result(labels, c, iterations, converged, metrics, trace)
+# --- the loop over jobs ---
+
+
+def _pass(name: str | Strategy, c: np.ndarray, tables: dict, fresh: bool):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strategy = _plan(name)
+        for record in batches:
+            if not len(record):
+                continue
+            b = _batch(record, fresh)
+            (strategy.start if fresh else strategy.step)(b, c, tables)
+            columns = [record["id"], record["x"], record["w"], pa.array(b.a.astype(np.int32)), pa.array(b.u), pa.array(b.l), _own_column(b)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(getattr(b, n)) for n in COUNTS)], ["id", "x", "w", "a", "u", "l", "own", *COUNTS])
+
+    return go
+
+
+def _radius(state: DataFrame, c: np.ndarray) -> np.ndarray:
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(c))
+        for record in batches:
+            a = record["a"].to_numpy()
+            np.maximum.at(out, a, distance(_matrix(record["x"], len(record)), c[a]))
+        yield pa.RecordBatch.from_pydict({"a": np.arange(len(c), dtype=np.int32), "r": out})
+
+    out = np.zeros(len(c))
+    for row in state.select("a", "x").mapInArrow(largest, "a int, r double").groupBy("a").agg(F.max("r").alias("r")).collect():
+        out[row["a"]] = row["r"]
+    return out
+
+
+def _streamed(points: DataFrame, plan_name: str | Strategy, context: Context, most: int, folder: str) -> tuple[DataFrame, Context, bool, list]:
+    spark, plan, width, trace, converged = points.sparkSession, _plan(plan_name), context.c.shape[1], [], False
+
+    def work(state: DataFrame, fresh: bool) -> DataFrame:
+        state = materialise(state.mapInArrow(_pass(plan_name, context.c, plan.tables(context), fresh), STATE), f"{folder}/{context.it}")
+        context.summary = _summary(state, width)
+        context.reach = np.zeros(len(context.c))
+        for r in context.summary:
+            context.reach[r["a"]] = r["reach"]
+        trace.append(_work(context.summary))
+        context.open_share = _open_share(context.summary)
+        referred = state.select(F.col("own")[plan.refers].alias("since")).distinct().collect() if plan.refers else []  # at most one row an iteration
+        context.forget({int(r["since"]) for r in referred})
+        return state
+
+    state = work(points, True)
+    while context.it < most and not converged:
+        context.advance(updated(context.c, context.summary))
+        if plan.needs_radius:
+            context.radius = _radius(state, context.c)
+        state = work(state, False)
+        remove(spark, f"{folder}/{context.it - 1}")
+        converged = not any(r["changed"] for r in trace[-1])
+    return state, context, converged, trace
+
+
+# --- runs ---
+
+
+def _plan(name: str | Strategy) -> Strategy:
+    return STRATEGIES[name] if isinstance(name, str) else name
 
 
 def choose_strategy(k: int, d: int) -> str:
@@ -199,48 +318,57 @@ def choose_strategy(k: int, d: int) -> str:
     around the assigned one for many. Walks evaluate the fewest distances but pay for their graphs."""
     if k < 8:
         return "lloyd"
-    if k < 96 or k > MOST_PAIRED:
+    if k < 96:
         return "hamerly"
     return "exponion" if d <= 4 else "yinyang"
 
 
-def run(points: DataFrame, centroids: np.ndarray, strategy: str = "auto", max_iterations: int = 500, few: int = FEW) -> Result:
+def slots(spark: SparkSession) -> int:
+    """Tasks that run at once; 0 where the cluster's size may change, as a barrier stage must start as a whole."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 0
+    context = spark.sparkContext._jsc.sc()
+    return int(context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile()))
+
+
+def tasks_in_memory(available: int, rows: int, k: int, d: int, own: int) -> int:
+    """Tasks of the barrier stage: as many as there are, as long as what they send stays within EXCHANGED; 0 if
+    these can't hold the state."""
+    message = 8 * k * (7 + 6 * d)
+    tasks = min(available, MOST_TASKS, max(1, EXCHANGED // message))
+    return tasks if rows * 8 * (14 + 8 * d + 2 * own) <= tasks * HELD else 0
+
+
+def run(points: DataFrame, centroids: np.ndarray, strategy: str | Strategy = "auto", max_iterations: int = 500, in_memory: bool | None = None, save: int = SAVE) -> Result:
     """Exact k-means from given centroids over (id, x, w).
 
     Stops after the first pass without a change, which counts as an iteration. If ``max_iterations`` ends the
-    run, the centroids are those of the last assignment. With 0, the labels are the first assignment. Up to ``few``
-    points are worked on in one task, with the same result.
+    run, the centroids are those of the last assignment. With 0, the labels are the first assignment. ``in_memory`` fixes the way
+    of the loop, which otherwise depends on what fits; both give the same result. ``save`` iterations are run between
+    two copies of the state.
     """
     c = np.ascontiguousarray(centroids, np.float64)
     if c.ndim != 2 or not len(c) or not np.isfinite(c).all():
         raise ValueError("centroids must be a finite matrix with at least one row")
     name = choose_strategy(*c.shape) if strategy == "auto" else strategy
-    if name not in STRATEGIES:
+    if isinstance(name, str) and name not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
-    if STRATEGIES[name].pairs and len(c) > MOST_PAIRED:
-        raise ValueError(f"{name} keeps tables of pairs of centroids, for at most {MOST_PAIRED}; lloyd and hamerly don't")
-    plan, context, folder = STRATEGIES[name], Context(c), shared_folder(points.sparkSession)
-    width = c.shape[1]
-    table = validated(points.select("id", "x", "w"), width)
-    if few and table.count() <= few:
-        labels = materialise(table.coalesce(1).mapInArrow(_in_one_task(name, c, max_iterations), "id long, x array<double>, w long, a int, rest binary"), f"{folder}/whole")
-        rest = labels.filter("rest IS NOT NULL").select("rest").first()
-        if rest:
-            return _result(labels.filter("rest IS NULL").drop("rest"), *pickle.loads(rest["rest"]))
-    if plan.in_z_order and width >= 2:
-        table = z_order(table)
-    state = materialise(table.mapInArrow(_pass(name, c, plan.tables(context), True), STATE), f"{folder}/0")
-    trace, converged = [_summary(state, width)], False
-    for _ in range(max_iterations):
-        context.advance(updated(context.c, trace[-1]))
-        if plan.needs_radius:
-            context.radius = _radius(state, context.c)
-        tables = plan.tables(context)
-        state = materialise(state.mapInArrow(_pass(name, context.c, tables, False), STATE), f"{folder}/{context.it}")
-        remove(points.sparkSession, f"{folder}/{context.it - 1}")
-        trace.append(_summary(state, width))
-        context.open_share = _open_share(trace[-1])
-        if not sum(r["changed"] for r in trace[-1]):
-            converged = True
-            break
-    return _result(state.select("id", "x", "w", "a"), context.c, context.it, converged, context.rebuilds, context.fallbacks, context.degrees, trace)
+    spark, plan, context, width = points.sparkSession, _plan(name), Context(c), c.shape[1]
+    folder, seen = shared_folder(spark), Observation()
+    ends = [f(F.col("x")[t]).alias(f"{n}{t}") for t in range(min(2, width)) for n, f in (("low", F.min), ("high", F.max))]
+    table = validated(points.select("id", "x", "w"), width).observe(seen, F.count(F.lit(1)).alias("rows"), *ends)
+    table, box = materialise(table, f"{folder}/points"), seen.get
+    tasks = tasks_in_memory(slots(spark), box["rows"], len(c), width, plan.own_width(len(c))) if in_memory is not False else 0
+    if in_memory and not tasks:
+        raise ValueError("the state does not fit in the memory of the tasks that run at once, or their number may change")
+    parts = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = plan.in_z_order and width >= 2 and box["rows"]
+    table = z_order(table, box, parts) if ordered else table.repartition(parts)
+    loop = (lambda: _in_memory(table, name, context, max_iterations, folder, tasks, save)) if tasks else (lambda: _streamed(table, name, context, max_iterations, folder))
+    state, context, converged, trace = loop()
+    remove(spark, f"{folder}/points")
+    metrics = {n: sum(int(r[n]) for rows in trace for r in rows) for n in COUNTS[1:]}
+    metrics |= {"rebuilds": context.rebuilds, "fallbacks": context.fallbacks, "repairs": context.repairs, "tasks": parts, "snapshots": context.most_snapshots}
+    if context.degrees:  # of the graphs that the run built
+        metrics |= {"mean_degree": sum(m for m, _ in context.degrees) / len(context.degrees), "most_degree": max(m for _, m in context.degrees), "graphs": len(context.degrees)}
+    return Result(state.select("id", "x", "w", "a"), context.c, context.it, converged, metrics, trace)

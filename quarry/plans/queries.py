@@ -279,7 +279,7 @@ for (_d, _k), _names in MIXTURES.items():
 @query("mixture_jobs_per_iteration", f"WITH {oracle.rounds_from(mixture.sql(2, 64), 2, 6)} SELECT {oracle.cluster_sizes(2, 'a6')}")
 def mixture_jobs_per_iteration(spark, sf_dir):
     """As beyond ``driver.FEW`` points: an iteration is two Spark jobs over many tasks."""
-    return mixture_run(spark, sf_dir, 2, 64, "walk_reuse", few=0, max_iterations=6).sizes()
+    return mixture_run(spark, sf_dir, 2, 64, "walk_reuse", in_memory=False, max_iterations=6).sizes()
 
 
 def _triangulated(spark, sf_dir, d):

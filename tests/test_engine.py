@@ -1,15 +1,20 @@
 """The engine on Spark: partitions, weights, limits of iterations, bad input, sources, streaming."""
 
+import os
 import struct
+import sys
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quarry import catalogue, model, storage
 from quarry.functions import geometry
 from quarry.operators import graph
+from quarry.operators.strategies import STRATEGIES, Hamerly
 from quarry.plans import driver, evaluate, report
 from quarry.sources import generate, prepare, readers, seeding
 from quarry.streaming import assign
@@ -29,6 +34,7 @@ def test_results_do_not_depend_on_partitions(spark, blobs, partitions):
     table, x = blobs
     a, c, iterations = plain(x, x[:8].copy(), 60)
     found = driver.run(table.repartition(partitions), x[:8], "walk_reuse")
+    assert found.metrics["tasks"] == 4 and found.labels.rdd.getNumPartitions() > 1
     labels = [r["a"] for r in found.labels.orderBy("id").collect()]
     assert labels == a.tolist() and found.iterations == iterations and found.converged
     assert np.allclose(found.centroids, c, rtol=0, atol=1e-12)
@@ -124,24 +130,74 @@ def test_the_gate_stops_runs_that_are_not_exact(spark):
             report.with_baseline(report.gate(bad), "lloyd").select("config", "speedup").collect()
 
 
-@pytest.mark.parametrize("name", ["lloyd", "hamerly", "elkan", "ball", "walk_local", "walk_stable", "walk_lazy"])
-def test_one_task_gives_what_many_give(spark, blobs, name):
+@pytest.mark.parametrize("name", list(STRATEGIES))
+def test_the_loops_in_memory_and_over_jobs_agree(spark, blobs, name):
+    """Also over several copies of the state: the loop in memory saves it every seven iterations."""
     table, x = blobs
     weighted = table.withColumn("w", F.col("id") % 3 + 1)
-    one, many = driver.run(weighted, x[:9], name), driver.run(weighted.repartition(3), x[:9], name, few=0)
+    one, many = driver.run(weighted, x[:9], name, save=7), driver.run(weighted, x[:9], name, in_memory=False)
     agreed = evaluate.runs_agree(one, many).first()
-    assert agreed["exact"] and agreed["centroid_gap"] == 0.0 and one.converged and many.converged
-    assert one.trace[0][0]["n"] == many.trace[0][0]["n"] or {r["a"]: r["n"] for r in one.trace[0]} == {r["a"]: r["n"] for r in many.trace[0]}
+    assert agreed["exact"] and agreed["centroid_gap"] == 0.0 and one.converged and many.converged and one.iterations > 7
+    assert {r["a"]: r["n"] for r in one.trace[0]} == {r["a"]: r["n"] for r in many.trace[0]}
+    assert one.metrics["tasks"] == 4 and len(one.labels.inputFiles()) >= 4
 
 
-def test_sums_in_one_task_are_exact_for_large_weights():
+class _Killed(Hamerly):
+    """Its task's process dies once, in the tenth pass."""
+
+    def __init__(self, flag):
+        super().__init__()
+        self.flag = flag
+
+    def tables(self, context):
+        with open(f"{self.flag}-{context.it}", "a") as f:
+            f.write("x")
+        if context.it == 10 and not os.path.exists(self.flag):
+            open(self.flag, "w").close()
+            os._exit(1)
+        return super().tables(context)
+
+
+def test_a_lost_task_costs_the_iterations_since_the_last_copy(spark, blobs, tmp_path):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    table, x = blobs
+    found = driver.run(table, x[:9], _Killed(str(tmp_path / "flag")), save=6)
+    want = driver.run(table, x[:9], "lloyd")
+    assert evaluate.runs_agree(found, want).first()["exact"] and (tmp_path / "flag").exists()
+    passes = [len((tmp_path / f"flag-{it}").read_text()) for it in range(found.iterations + 1)]
+    assert passes[0] == 4 and set(passes[:7]) == {4}  # what was saved was not done again
+    assert max(passes) <= 8 and passes[10] > 4
+
+
+def test_tasks_follow_what_memory_and_exchange_allow():
+    assert driver.tasks_in_memory(8, 10**6, 64, 2, 0) == 8
+    assert driver.tasks_in_memory(8, 10**9, 64, 2, 0) == 0
+    assert driver.tasks_in_memory(4000, 10**6, 64, 2, 0) == driver.MOST_TASKS
+    assert 1 <= driver.tasks_in_memory(4000, 10**6, 50_000, 2, 0) < 30
+    assert driver.tasks_in_memory(0, 10, 2, 2, 0) == 0
+
+
+def test_snapshots_go_when_no_row_refers_to_them(spark):
+    """Rows far from all borders keep their first bounds for long; between them and now snapshots go."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(300, 2)) * 0.2 + [i * 50.0, 0] for i in range(3)] + [rng.uniform(0, 1, (900, 2)) + [0, 400]])
+    points = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, x array<double>, w long")
+    c = np.r_[x[[0, 300, 600]], x[900:912]]
+    found = driver.run(points, c, "walk_history")
+    assert found.iterations > 12 and found.metrics["snapshots"] <= found.iterations
+    assert evaluate.runs_agree(found, driver.run(points, c, "lloyd")).first()["exact"]
+
+
+def test_label_sums_are_exact_for_large_weights():
     x, w = np.array([[1e6 + 0.1], [-3.7], [0.3]]), np.array([1 << 40, 3, 1 << 33])
     for weights in (w, np.array([2, 3, 4])):
-        (row,) = driver.LabelSums(x, weights).summary(np.zeros(3, np.int64), 1, {})
-        from fractions import Fraction
-
-        want = sum(Fraction(v) * int(n) for v, n in zip(x[:, 0].tolist(), weights.tolist())) / int(weights.sum())
-        assert abs(model.exact_mean(row["h0"], row["l0"], row["n"]) - float(want)) <= 2**-58 * 1e6
+        sums = driver.LabelSums(x, weights, 2)
+        for label in (np.array([1, 0, 1]), np.zeros(3, np.int64)):  # corrected by the rows that changed
+            rows = {r["a"]: r for r in driver.summarised(sums.table(label, [np.zeros(3, np.int64)] * 5), 1)}
+            for a in set(label.tolist()):
+                own = label == a
+                want = sum(Fraction(v) * int(n) for v, n in zip(x[own, 0].tolist(), weights[own].tolist())) / int(weights[own].sum())
+                assert abs(model.exact_mean(rows[a]["h0"], rows[a]["l0"], rows[a]["n"]) - float(want)) <= 2**-58 * 1e6
 
 
 def test_results_for_other_programs(spark, tmp_path):
@@ -201,11 +257,11 @@ def test_pixels(spark, tmp_path):
     assert got == [(0.0, 0.4, 0.8), (0.2, 0.2, 0.2), (1.0, 0.0, 0.2), (1.0, 1.0, 1.0)] and len({r["id"] for r in rows}) == 4
 
 
-def test_many_centroids_take_a_strategy_without_tables_of_pairs(spark):
-    c = np.random.default_rng(3).normal(size=(driver.MOST_PAIRED + 1, 2))
+@pytest.mark.parametrize("name", ["auto", "elkan", "walk_reuse", "ball"])
+def test_thousands_of_centroids(spark, name):
+    """No strategy has a table of all pairs of centroids."""
+    c = np.random.default_rng(3).normal(size=(5000, 2))
     points = spark.createDataFrame([(i, c[i * 7].tolist(), 1) for i in range(50)], "id long, x array<double>, w long")
-    with pytest.raises(ValueError, match="pairs"):
-        driver.run(points, c, "elkan")
-    found = driver.run(points, c, "auto")
+    found = driver.run(points, c, name)
     assert sorted((r["id"], r["a"]) for r in found.labels.collect()) == [(i, i * 7) for i in range(50)]
     assert np.allclose(graph.half_separation(c[:2000]), 0.5 * graph.centroid_distances(c[:2000]).min(axis=1))
