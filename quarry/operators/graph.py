@@ -137,6 +137,16 @@ class Triangulation:
         at = np.arange(len(row)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
         self.graph = from_pairs(k, order[first[j[row]] + at // size[h[row]]], order[first[h[row]] + at % size[h[row]]])
 
+    def repair(self, c: np.ndarray) -> bool:
+        """Become the triangulation of moved centroids. True if the old mesh was mended, False if a new one was made."""
+        if not self.fallback and len(self.mesh.x) == len(c):
+            places = c[np.argsort(self.place)]
+            if len(np.unique(places, axis=0)) == len(c) and self.mesh.moved(places):
+                self._from_mesh(len(c))
+                return True
+        self.__init__(c)
+        return False
+
     def still_valid(self, c: np.ndarray) -> bool:
         """Whether the graph holds for moved centroids; in doubt it doesn't."""
         return not self.fallback and len(self.mesh.x) == len(c) and self.mesh.still_valid(c[np.argsort(self.place)])

@@ -406,10 +406,13 @@ class Walk(Strategy):
     def _graph(self, context):
         triangulation = graph.Triangulation(context.c)
         context.rebuilds += 1
+        self._measured(context, triangulation)
+        return triangulation
+
+    def _measured(self, context, triangulation):
         context.fallbacks += triangulation.fallback
         degree = np.diff(triangulation.graph.offsets) if not triangulation.graph.complete else np.full(len(context.c), len(context.c) - 1)
         context.degrees.append((float(degree.mean()), int(degree.max())))
-        return triangulation
 
     def tables(self, context):
         near, s = graph.by_length(context.c, self._graph(context).graph)
@@ -474,7 +477,7 @@ class HistoryWalk(StableWalk):
 
 class LocalWalk(Walk):
     """Bounds over the cell's neighbours only; starts by walks along a space-filling curve. With ``reuse`` a
-    triangulation that still holds is kept."""
+    triangulation that still holds is kept, and one that doesn't is mended."""
 
     in_z_order = True
 
@@ -483,11 +486,18 @@ class LocalWalk(Walk):
         self.reuse = reuse
 
     def tables(self, context):
-        before = getattr(context, "triangulation", None)
-        after = before if self.reuse and before is not None and before.still_valid(context.c) else self._graph(context)
-        context.triangulation = after
-        near, s = graph.by_length(context.c, after.graph)
-        kept, new = graph.local_drift(context.c, (before or after).graph, after.graph, context.drift)
+        found = getattr(context, "triangulation", None)
+        before = found.graph if found else None
+        if not self.reuse or found is None:
+            found = self._graph(context)
+        elif not found.still_valid(context.c):
+            mended = found.repair(context.c)
+            context.repairs += mended
+            context.rebuilds += not mended
+            self._measured(context, found)
+        context.triangulation, after = found, found.graph
+        near, s = graph.by_length(context.c, after)
+        kept, new = graph.local_drift(context.c, before or after, after, context.drift)
         return {"drift": context.drift, "near": near, "s": s, "kept": kept, "new": new}
 
     def start(self, b, c, t):

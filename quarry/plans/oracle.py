@@ -81,33 +81,19 @@ def _minor(rows: list[list[str]]) -> str:
     return " ".join(terms).removeprefix("+ ")
 
 
-def empty_spheres(d: int, points: str) -> str:
-    """CTE e (j, h): edges of the simplices of ``points`` (j, c0 ...) whose sphere holds no other point, in whole numbers."""
+def empty_spheres(d: int, points: str, name: str = "e", group: str = "0") -> str:
+    """CTE e (g, j, h): edges of the simplices of ``points`` (j, c0 ...; within a ``group``) whose sphere holds no other point, in whole numbers."""
     names = "uvwxy"[: d + 1]
     lift = ", ".join(f"CAST(c{t} AS HUGEINT) AS c{t}" for t in range(d))
     square = " + ".join(f"CAST(c{t} AS HUGEINT) * CAST(c{t} AS HUGEINT)" for t in range(d))
     rows = [[f"({n}.c{t} - u.c{t})" for t in range(d)] + [f"({n}.q - u.q)"] for n in names[1:]]
     flat = [f"({'-' if (i + d) % 2 else ''}({_minor([r[:i] + r[i + 1 :] for r in rows])})) AS n{i}" for i in range(d + 1)]
     inside = " + ".join([f"s.n{t} * (p.c{t} - s.b{t})" for t in range(d)] + [f"s.n{d} * (p.q - s.bq)"])
-    edges = " UNION ".join(f"SELECT {a} AS j, {b} AS h FROM empty_ones" for a in names for b in names if a != b)
+    edges = " UNION ".join(f"SELECT g, {a} AS j, {b} AS h FROM {name}_empty" for a in names for b in names if a != b)
+    joins = " ".join(f"JOIN {name}_lifted {b} ON {b}.g = {a}.g AND {b}.j > {a}.j" for a, b in zip(names, names[1:]))
     return (
-        f"lifted AS MATERIALIZED (SELECT j, {lift}, {square} AS q FROM {points}), "
-        f"simplices AS MATERIALIZED (SELECT {', '.join(f'{n}.j AS {n}' for n in names)}, {', '.join(f'u.c{t} AS b{t}' for t in range(d))}, u.q AS bq, {', '.join(flat)} FROM {', '.join(f'lifted {n}' for n in names)} WHERE {' AND '.join(f'{a}.j < {b}.j' for a, b in zip(names, names[1:]))}), "
-        f"empty_ones AS MATERIALIZED (SELECT * FROM simplices s WHERE s.n{d} <> 0 AND NOT EXISTS (SELECT 1 FROM lifted p WHERE p.j NOT IN ({', '.join(f's.{n}' for n in names)}) AND ({inside}) * sign(s.n{d}) < 0)), "
-        f"e AS (SELECT DISTINCT CAST(j AS INTEGER) AS j, CAST(h AS INTEGER) AS h FROM ({edges}))"
-    )
-
-
-def delaunay(name: str, c: str) -> str:
-    """Edges of triples with no centroid strictly inside their circle, both directions; whole-number coordinates."""
-    det = "((b.c0 - a.c0) * (d.c1 - a.c1) - (b.c1 - a.c1) * (d.c0 - a.c0))"
-    in_circle = (
-        "((t.ax - p.c0) * ((t.by - p.c1) * ((t.dx - p.c0) * (t.dx - p.c0) + (t.dy - p.c1) * (t.dy - p.c1)) - (t.dy - p.c1) * ((t.bx - p.c0) * (t.bx - p.c0) + (t.by - p.c1) * (t.by - p.c1)))"
-        " - (t.ay - p.c1) * ((t.bx - p.c0) * ((t.dx - p.c0) * (t.dx - p.c0) + (t.dy - p.c1) * (t.dy - p.c1)) - (t.dx - p.c0) * ((t.bx - p.c0) * (t.bx - p.c0) + (t.by - p.c1) * (t.by - p.c1)))"
-        " + ((t.ax - p.c0) * (t.ax - p.c0) + (t.ay - p.c1) * (t.ay - p.c1)) * ((t.bx - p.c0) * (t.dy - p.c1) - (t.dx - p.c0) * (t.by - p.c1)))"
-    )
-    return (
-        f"{name}_t AS (SELECT a.j AS ja, b.j AS jb, d.j AS jd, a.c0 AS ax, a.c1 AS ay, b.c0 AS bx, b.c1 AS by, d.c0 AS dx, d.c1 AS dy, {det} AS o FROM {c} a, {c} b, {c} d WHERE a.j < b.j AND b.j < d.j AND {det} <> 0), "
-        f"{name}_e AS (SELECT * FROM {name}_t t WHERE NOT EXISTS (SELECT 1 FROM {c} p WHERE p.j NOT IN (t.ja, t.jb, t.jd) AND {in_circle} * sign(t.o) > 0)), "
-        f"{name} AS (SELECT DISTINCT CAST(j AS INTEGER) AS j, CAST(h AS INTEGER) AS h FROM (SELECT ja AS j, jb AS h FROM {name}_e UNION ALL SELECT jb, ja FROM {name}_e UNION ALL SELECT ja, jd FROM {name}_e UNION ALL SELECT jd, ja FROM {name}_e UNION ALL SELECT jb, jd FROM {name}_e UNION ALL SELECT jd, jb FROM {name}_e))"
+        f"{name}_lifted AS MATERIALIZED (SELECT {group} AS g, j, {lift}, {square} AS q FROM {points}), "
+        f"{name}_simplices AS MATERIALIZED (SELECT u.g, {', '.join(f'{n}.j AS {n}' for n in names)}, {', '.join(f'u.c{t} AS b{t}' for t in range(d))}, u.q AS bq, {', '.join(flat)} FROM {name}_lifted u {joins}), "
+        f"{name}_empty AS MATERIALIZED (SELECT * FROM {name}_simplices s WHERE s.n{d} <> 0 AND NOT EXISTS (SELECT 1 FROM {name}_lifted p WHERE p.g = s.g AND p.j NOT IN ({', '.join(f's.{n}' for n in names)}) AND ({inside}) * sign(s.n{d}) < 0)), "
+        f"{name} AS MATERIALIZED (SELECT DISTINCT g, CAST(j AS INTEGER) AS j, CAST(h AS INTEGER) AS h FROM ({edges}))"
     )

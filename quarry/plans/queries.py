@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry import model
 from quarry.functions import geometry
-from quarry.operators import graph
+from quarry.operators import meshes
 from quarry.operators.strategies import STRATEGIES, Context
 from quarry.plans import driver, evaluate, oracle, report
 from quarry.sources import generate, mixture, prepare, seeding
@@ -67,15 +67,23 @@ def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 # --- geometry ---
 
 
-@query("dist_matrix", f"WITH {oracle.values('c', C2)} SELECT CAST(p.j AS INTEGER) AS j, CAST(c.j AS INTEGER) AS h, round({oracle.gap('p', 'c', 2, 'c')}, 6) AS d FROM c p, c WHERE p.j <> c.j")
+_SITES = f"WITH {mixture.sites_sql(2)}"
+_PAIRS = f"{_SITES}, pairs AS (SELECT p.g, p.j, q.j AS h, {oracle.gap('p', 'q', 2, 'c')} AS d FROM b p JOIN b q ON q.g = p.g AND q.j <> p.j)"
+
+
+@query("dist_matrix", f"{_PAIRS} SELECT g, j, h, round(d, 6) AS d FROM pairs")
 def dist_matrix(spark, sf_dir):
-    d = graph.centroid_distances(C2)
-    return small(spark, [(i, j, float(d[i, j])) for i in range(len(C2)) for j in range(len(C2)) if i != j], "j int, h int, d double").withColumn("d", F.round("d", 6))
+    return meshes.complete(mixture.sites(spark, sf_dir, 2)).select("g", "j", "h", F.round("len", 6).alias("d"))
 
 
-@query("half_separation", f"WITH {oracle.values('c', C2)} SELECT CAST(p.j AS INTEGER) AS j, round(min({oracle.gap('p', 'c', 2, 'c')}) / 2, 6) AS s FROM c p, c WHERE p.j <> c.j GROUP BY p.j")
+@query("half_separation", f"{_PAIRS} SELECT g, j, round(min(d) / 2, 6) AS s FROM pairs GROUP BY g, j")
 def half_separation(spark, sf_dir):
-    return small(spark, [(j, float(s)) for j, s in enumerate(graph.half_separation(C2))], "j int, s double").withColumn("s", F.round("s", 6))
+    return meshes.half_separation(mixture.sites(spark, sf_dir, 2)).withColumn("s", F.round("s", 6))
+
+
+@query("near_centroids", f"{_PAIRS} SELECT g, j, h, round(d, 6) AS d FROM pairs WHERE d <= 3000")
+def near_centroids(spark, sf_dir):
+    return meshes.within(mixture.sites(spark, sf_dir, 2), 3000.0).select("g", "j", "h", F.round("len", 6).alias("d"))
 
 
 _ONCE = f"WITH {oracle.LATTICE_2D}, {oracle.values('c0', C2)}, {oracle.first_assignment(2)}"
@@ -117,10 +125,9 @@ def cluster_radius(spark, sf_dir):
     return assigned(spark, sf_dir).groupBy("a").agg(F.round(F.max("u"), 6).alias("r"))
 
 
-@query("annulus_buckets", f"WITH {oracle.values('c', C2)}, d AS (SELECT p.j AS j, c.j AS h, {oracle.gap('p', 'c', 2, 'c')} AS d FROM c p, c WHERE p.j <> c.j), m AS (SELECT *, d / min(d) OVER (PARTITION BY j) AS r FROM d) SELECT CAST(j AS INTEGER) AS j, CAST(h AS INTEGER) AS h, CAST(CASE WHEN r <= 1 THEN 0 ELSE ceil(log2(r)) END AS INTEGER) AS t FROM m")
+@query("annulus_buckets", f"{_PAIRS}, m AS (SELECT *, d / min(d) OVER (PARTITION BY g, j) AS r FROM pairs) SELECT g, j, h, CAST(CASE WHEN r <= 1 THEN 0 ELSE ceil(log2(r)) END AS INTEGER) AS t FROM m")
 def annulus_buckets(spark, sf_dir):
-    t, _ = graph.annuli(graph.centroid_distances(C2))
-    return small(spark, [(i, j, int(t[i, j])) for i in range(len(C2)) for j in range(len(C2)) if i != j], "j int, h int, t int")
+    return meshes.annuli(mixture.sites(spark, sf_dir, 2)).select("g", "j", "h", "t")
 
 
 # --- full runs ---
@@ -198,33 +205,32 @@ def lloyd_comps(spark, sf_dir):
 # --- graphs ---
 
 
-def _edges(spark, adjacency):
-    return small(spark, [(int(i), int(j)) for i, j in zip(*np.nonzero(adjacency))], "j int, h int")
+@query("complete_graph", f"{_PAIRS} SELECT g, j, h FROM pairs")
+def complete_graph(spark, sf_dir):
+    return meshes.complete(mixture.sites(spark, sf_dir, 2)).select("g", "j", "h")
 
 
-_DELAUNAY = f"WITH {oracle.values('c', C2)}, {oracle.delaunay('e', 'c')}"
-_LENGTHS = f"{_DELAUNAY}, le AS (SELECT e.j, e.h, {oracle.gap('p', 'c', 2, 'c')} AS len FROM e JOIN c p ON p.j = e.j JOIN c ON c.j = e.h)"
+for _d in (2, 3, 4):
+    query(f"delaunay_{_d}d", f"WITH {mixture.sites_sql(_d)}, {oracle.empty_spheres(_d, 'b', 'e', 'g')} SELECT g, j, h FROM e")(lambda spark, sf_dir, d=_d: meshes.delaunay(mixture.sites(spark, sf_dir, d)).select("g", "j", "h"))
 
 
-@query("complete_graph", f"WITH {oracle.values('c', C2)} SELECT CAST(p.j AS INTEGER) AS j, CAST(c.j AS INTEGER) AS h FROM c p, c WHERE p.j <> c.j")
-def complete_graph(spark, sf_dir):
-    return _edges(spark, graph.complete(len(C2)))
+@query("delaunay_edges", f"WITH {mixture.sites_sql(2)}, {oracle.empty_spheres(2, 'c', 'e', 'g')} SELECT g, j, h FROM e")
+def delaunay_edges(spark, sf_dir):
+    """As the centroids are after the move."""
+    return meshes.delaunay(mixture.sites(spark, sf_dir, 2).withColumn("x", F.col("y"))).select("g", "j", "h")
 
 
-@query("delaunay_edges", f"{_DELAUNAY} SELECT j, h FROM e")
-def delaunay_edges(spark, sf_dir):
-    return _edges(spark, graph.Triangulation(C2).adjacency)
+_MESH = f"{_SITES}, {oracle.empty_spheres(2, 'b', 'e', 'g')}, {oracle.empty_spheres(2, 'c', 'f', 'g')}"
 
 
-@query("delaunay_degree", f"{_DELAUNAY} SELECT j, count(*) AS degree FROM e GROUP BY j")
+@query("delaunay_degree", f"{_MESH} SELECT g, j, count(*) AS degree FROM e GROUP BY g, j")
 def delaunay_degree(spark, sf_dir):
-    return delaunay_edges(spark, sf_dir).groupBy("j").agg(F.count("*").alias("degree"))
+    return meshes.delaunay(mixture.sites(spark, sf_dir, 2)).groupBy("g", "j").agg(F.count("*").alias("degree"))
 
 
-@query("sorted_adjacency", f"{_LENGTHS} SELECT j, h, CAST(row_number() OVER (PARTITION BY j ORDER BY len, h) AS INTEGER) AS place, round(len, 6) AS len FROM le")
+@query("sorted_adjacency", f"{_MESH}, le AS (SELECT e.*, {oracle.gap('p', 'q', 2, 'c')} AS len FROM e JOIN b p ON p.g = e.g AND p.j = e.j JOIN b q ON q.g = e.g AND q.j = e.h) SELECT g, j, h, CAST(row_number() OVER (PARTITION BY g, j ORDER BY len, h) AS INTEGER) AS place, round(len, 6) AS len FROM le")
 def sorted_adjacency(spark, sf_dir):
-    near, lengths, _ = graph.sorted_adjacency(C2, graph.Triangulation(C2).adjacency)
-    return small(spark, [(j, int(h), p + 1, float(lengths[j, p])) for j, row in enumerate(near) for p, h in enumerate(row) if h >= 0], "j int, h int, place int, len double").withColumn("len", F.round("len", 6))
+    return meshes.delaunay(mixture.sites(spark, sf_dir, 2)).withColumn("len", F.round("len", 6))
 
 
 @query("walk_nearest", f"{_ONCE} SELECT id, CAST(a AS INTEGER) AS a FROM a0")
@@ -232,24 +238,34 @@ def walk_nearest(spark, sf_dir):
     return driver.run(points(spark, sf_dir), C2, "walk_local", max_iterations=0).labels.select("id", "a")
 
 
-_TWO = f"WITH {oracle.values('b', C2)}, {oracle.values('c', MOVED)}, {oracle.delaunay('e', 'b')}, {oracle.delaunay('f', 'c')}, m AS (SELECT c.j, {oracle.gap('b', 'c', 2, 'c')} AS drift FROM b JOIN c ON b.j = c.j)"
+_MOVES = f"{_MESH}, m AS (SELECT b.g, b.j, {oracle.gap('b', 'c', 2, 'c')} AS drift FROM b JOIN c ON b.g = c.g AND b.j = c.j)"
+_NEW = f"(SELECT f.g, f.j, min({oracle.gap('p', 'q', 2, 'c')}) AS new FROM f JOIN c p ON p.g = f.g AND p.j = f.j JOIN c q ON q.g = f.g AND q.j = f.h ANTI JOIN e ON e.g = f.g AND e.j = f.j AND e.h = f.h GROUP BY 1, 2)"
+_KEPT = "(SELECT f.g, f.j, max(m.drift) AS kept FROM f JOIN e ON e.g = f.g AND e.j = f.j AND e.h = f.h JOIN m ON m.g = f.g AND m.j = f.h GROUP BY 1, 2)"
 
 
-@query("local_drift", f"{_TWO} SELECT c.j AS j, round(coalesce((SELECT max(m.drift) FROM f JOIN e ON e.j = f.j AND e.h = f.h JOIN m ON m.j = f.h WHERE f.j = c.j), 0), 6) AS kept, round((SELECT min({oracle.gap('p', 'q', 2, 'c')}) FROM f JOIN c p ON p.j = f.j JOIN c q ON q.j = f.h WHERE f.j = c.j AND NOT EXISTS (SELECT 1 FROM e WHERE e.j = f.j AND e.h = f.h)), 6) AS new FROM (SELECT CAST(j AS INTEGER) AS j FROM c) c")
+@query("local_drift", f"{_MOVES} SELECT m.g, m.j, round(drift, 6) AS drift, round(coalesce(kept, 0), 6) AS kept, round(new, 6) AS new FROM m LEFT JOIN {_KEPT} k USING (g, j) LEFT JOIN {_NEW} n USING (g, j)")
 def local_drift(spark, sf_dir):
-    context = Context(C2)
-    context.advance(MOVED)
-    kept, new = graph.local_drift(graph.Triangulation(C2).adjacency, graph.Triangulation(MOVED).adjacency, graph.centroid_distances(MOVED), context.drift)
-    rows = small(spark, [(j, float(k), float(n) if np.isfinite(n) else None) for j, (k, n) in enumerate(zip(kept, new))], "j int, kept double, new double")
-    return rows.select("j", F.round("kept", 6).alias("kept"), F.round("new", 6).alias("new"))
+    found = meshes.moved(mixture.sites(spark, sf_dir, 2)).select("g", "j", "drift", "kept", F.when(F.col("new") < float("inf"), F.col("new")).alias("new"))
+    return found.withColumns({c: F.round(c, 6) for c in ("drift", "kept", "new")})
 
 
-@query("stable_clusters", f"{_TWO} SELECT CAST(m.j AS INTEGER) AS j, m.drift = 0 AND NOT EXISTS (SELECT 1 FROM f JOIN m n ON n.j = f.h WHERE f.j = m.j AND n.drift <> 0) AND NOT EXISTS (SELECT 1 FROM e WHERE e.j = m.j AND NOT EXISTS (SELECT 1 FROM f WHERE f.j = e.j AND f.h = e.h)) AND NOT EXISTS (SELECT 1 FROM f WHERE f.j = m.j AND NOT EXISTS (SELECT 1 FROM e WHERE e.j = f.j AND e.h = f.h)) AS stable FROM m")
+_CHANGED = "(SELECT g, j FROM ((SELECT * FROM e EXCEPT SELECT * FROM f) UNION ALL (SELECT * FROM f EXCEPT SELECT * FROM e)))"
+
+
+@query("stable_clusters", f"{_MOVES} SELECT m.g, m.j, m.drift = 0 AND (m.g, m.j) NOT IN (SELECT (f.g, f.j) FROM f JOIN m n ON n.g = f.g AND n.j = f.h WHERE n.drift <> 0) AND (m.g, m.j) NOT IN (SELECT (g, j) FROM {_CHANGED}) AS stable FROM m")
 def stable_clusters(spark, sf_dir):
-    context = Context(C2)
-    context.advance(MOVED)
-    stable = graph.stable_clusters(graph.Triangulation(C2).adjacency, graph.Triangulation(MOVED).adjacency, context.drift)
-    return small(spark, [(j, bool(s)) for j, s in enumerate(stable)], "j int, stable boolean")
+    return meshes.moved(mixture.sites(spark, sf_dir, 2)).select("g", "j", "stable")
+
+
+@query("delaunay_still_valid", f"{_MESH} SELECT g, g NOT IN (SELECT g FROM {_CHANGED}) AS valid FROM (SELECT DISTINCT g FROM b) s")
+def delaunay_still_valid(spark, sf_dir):
+    return meshes.still_valid(mixture.sites(spark, sf_dir, 2))
+
+
+@query("delaunay_repaired", f"{_MESH} SELECT g, j, h FROM f")
+def delaunay_repaired(spark, sf_dir):
+    """The graph before the move is mended where it no longer holds."""
+    return meshes.repaired(mixture.sites(spark, sf_dir, 2))
 
 
 # --- mixtures at the size of benchmarks: 100,000 points at scale factor 0.1 ---
@@ -276,18 +292,9 @@ for (_d, _k), _names in MIXTURES.items():
         query(f"mixture_{_d}d_k{_k}_{_name}", _sql)(partial(_mixture_sizes, d=_d, k=_k, strategy=_name))
 
 
-@query("mixture_jobs_per_iteration", f"WITH {oracle.rounds_from(mixture.sql(2, 64), 2, 6)} SELECT {oracle.cluster_sizes(2, 'a6')}")
-def mixture_jobs_per_iteration(spark, sf_dir):
-    """As beyond ``driver.FEW`` points: an iteration is two Spark jobs over many tasks."""
-    return mixture_run(spark, sf_dir, 2, 64, "walk_reuse", in_memory=False, max_iterations=6).sizes()
-
-
-def _triangulated(spark, sf_dir, d):
-    return graph.Triangulation(mixture.first_centroids(mixture.mixture(spark, sf_dir, d, 25), 25)).adjacency
-
-
-for _d in (2, 3, 4):
-    query(f"delaunay_{_d}d", f"WITH {mixture.sql(_d, 25)}, {oracle.empty_spheres(_d, 'c0')} SELECT j, h FROM e")(lambda spark, sf_dir, d=_d: _edges(spark, _triangulated(spark, sf_dir, d)))
+_FEW_ROUNDS = f"WITH {oracle.rounds_from(mixture.sql(2, 64), 2, 6)} SELECT {oracle.cluster_sizes(2, 'a6')}"
+for _query, _name in [("mixture_jobs_per_iteration", "walk_reuse"), *((f"mixture_jobs_{n}", n) for n in ("lloyd", "hamerly", "exponion", "ball", "walk_stable", "walk_history"))]:
+    query(_query, _FEW_ROUNDS)(lambda spark, sf_dir, name=_name: mixture_run(spark, sf_dir, 2, 64, name, in_memory=False, max_iterations=6).sizes())
 
 
 @query("run_degrees", f"WITH {mixture.sql(3, 25)}, {oracle.empty_spheres(3, 'c0')}, n AS (SELECT j, count(*) AS degree FROM e GROUP BY j) SELECT round(avg(degree), 6) AS mean_degree, max(degree) AS most_degree, CAST(1 AS BIGINT) AS graphs FROM n")
@@ -316,9 +323,8 @@ def rgb_stride(spark, sf_dir):
 @query("as_many_centroids_as_points", f"WITH {mixture.sql(2, 40)}, few AS (SELECT DISTINCT c0, c1 FROM c0) SELECT count(*) AS clusters, CAST(1 AS BIGINT) AS most FROM few")
 def as_many_centroids_as_points(spark, sf_dir):
     table = mixture.mixture(spark, sf_dir, 2, 40)
-    c = np.unique(mixture.first_centroids(table, 40), axis=0)
-    own = spark.createDataFrame([(j, row.tolist(), 1) for j, row in enumerate(c)], "id long, x array<double>, w long")
-    return driver.run(own, c, "walk_local").sizes().agg(F.count("*").alias("clusters"), F.max("n_points").alias("most"))
+    own = mixture.drawn(table, 40).groupBy("x").agg(F.min("id").alias("id")).select("id", "x", F.lit(1).cast("long").alias("w"))
+    return driver.run(own, np.unique(mixture.first_centroids(table, 40), axis=0), "walk_local").sizes().agg(F.count("*").alias("clusters"), F.max("n_points").alias("most"))
 
 
 # --- preparation ---
@@ -354,9 +360,16 @@ def morton_key(spark, sf_dir):
     return lattice(spark, sf_dir).select("id", geometry.z_key(F.col("x0"), F.col("x1")).alias("z"))
 
 
-@query("grid_points", "SELECT i AS id, CAST(i // 60 AS DOUBLE) AS x0, CAST(i % 60 AS DOUBLE) AS x1 FROM range(3600) t(i)")
+_IDS = "(SELECT CAST(p_partkey AS BIGINT) AS i FROM part)"
+
+
+def _ids(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"))
+
+
+@query("grid_points", f"SELECT i AS id, CAST(i // 60 AS DOUBLE) AS x0, CAST(i % 60 AS DOUBLE) AS x1 FROM {_IDS}")
 def grid_points(spark, sf_dir):
-    return generate.grid(spark, 60).select("id", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"))
+    return generate.grid(spark, 60, _ids(spark, sf_dir)).select("id", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"))
 
 
 _LCG = "((((({0} % 2147483648 + {1}) * 1103515245 + 12345) % 2147483648 >> 3) * 7 + {0} % 1048576) * 1103515245 + 12345) % 2147483648"
@@ -371,38 +384,38 @@ def _rounded(points: DataFrame, *columns: str) -> DataFrame:
     return points.select("id", *columns, *(F.round(F.col("x")[t], 7).alias(f"x{t}") for t in range(2)))
 
 
-@query("circle_points", f"SELECT i AS id, round(cos(2 * pi() * {_uniform('i', 0)}), 7) AS x0, round(sin(2 * pi() * {_uniform('i', 0)}), 7) AS x1 FROM range(5000) t(i)")
+@query("circle_points", f"SELECT i AS id, round(cos(2 * pi() * {_uniform('i', 0)}), 7) AS x0, round(sin(2 * pi() * {_uniform('i', 0)}), 7) AS x1 FROM {_IDS}")
 def circle_points(spark, sf_dir):
-    return _rounded(generate.circle(spark, 5000))
+    return _rounded(generate.circle(spark, _ids(spark, sf_dir)))
 
 
-@query("collinear_points", f"SELECT i AS id, round({_uniform('i', 0)}, 7) AS x0, round(2 * {_uniform('i', 0)} + 1, 7) AS x1 FROM range(5000) t(i)")
+@query("collinear_points", f"SELECT i AS id, round({_uniform('i', 0)}, 7) AS x0, round(2 * {_uniform('i', 0)} + 1, 7) AS x1 FROM {_IDS}")
 def collinear_points(spark, sf_dir):
-    return _rounded(generate.collinear(spark, 5000))
+    return _rounded(generate.collinear(spark, _ids(spark, sf_dir)))
 
 
 def _blob_axis(t: int, spread: float) -> str:
     return f"round(({_uniform('label', 100 + t)} * 2 - 1) * 10 + sqrt(-2 * ln({_uniform('id', 1 + 2 * t)})) * cos(2 * pi() * {_uniform('id', 2 + 2 * t)}) * {spread}, 7) AS x{t}"
 
 
-@query("blobs", f"WITH l AS (SELECT i AS id, CAST(floor({_uniform('i', 0)} * 30) AS INTEGER) AS label FROM range(5000) t(i)) SELECT id, label, {_blob_axis(0, 0.6)}, {_blob_axis(1, 0.6)} FROM l")
+@query("blobs", f"WITH l AS (SELECT i AS id, CAST(floor({_uniform('i', 0)} * 30) AS INTEGER) AS label FROM {_IDS}) SELECT id, label, {_blob_axis(0, 0.6)}, {_blob_axis(1, 0.6)} FROM l")
 def blobs(spark, sf_dir):
-    return _rounded(generate.blobs(spark, 5000, 2, 30), "label")
+    return _rounded(generate.blobs(spark, _ids(spark, sf_dir), 2, 30), "label")
 
 
-@query("overlapping_points", f"WITH l AS (SELECT i AS id, CAST(floor({_uniform('i', 0)} * 8) AS INTEGER) AS label FROM range(3000) t(i)) SELECT id, {_blob_axis(0, 10.0)}, {_blob_axis(1, 10.0)} FROM l")
+@query("overlapping_points", f"WITH l AS (SELECT i AS id, CAST(floor({_uniform('i', 0)} * 8) AS INTEGER) AS label FROM {_IDS}) SELECT id, {_blob_axis(0, 10.0)}, {_blob_axis(1, 10.0)} FROM l")
 def overlapping_points(spark, sf_dir):
-    return _rounded(generate.overlapping(spark, 3000, 2, 8))
+    return _rounded(generate.overlapping(spark, _ids(spark, sf_dir), 2, 8))
 
 
-@query("repeated_points", "SELECT i * 3 + c AS id, CAST(i // 40 AS DOUBLE) AS x0, CAST(i % 40 AS DOUBLE) AS x1 FROM range(1600) t(i), range(3) u(c)")
+@query("repeated_points", f"SELECT i * 3 + c AS id, CAST(i // 40 AS DOUBLE) AS x0, CAST(i % 40 AS DOUBLE) AS x1 FROM {_IDS}, range(3) u(c)")
 def repeated_points(spark, sf_dir):
-    return _rounded(generate.repeated(generate.grid(spark, 40), 3))
+    return _rounded(generate.repeated(generate.grid(spark, 40, _ids(spark, sf_dir)), 3))
 
 
-@query("scaled_points", "SELECT i AS id, (i // 40) * 1000.0 AS x0, (i % 40) * 1000.0 AS x1 FROM range(1600) t(i)")
+@query("scaled_points", f"SELECT i AS id, (i // 40) * 1000.0 AS x0, (i % 40) * 1000.0 AS x1 FROM {_IDS}")
 def scaled_points(spark, sf_dir):
-    return _rounded(generate.scaled(generate.grid(spark, 40), 1000.0))
+    return _rounded(generate.scaled(generate.grid(spark, 40, _ids(spark, sf_dir)), 1000.0))
 
 
 @query("hash_sample", f"SELECT o_orderkey AS id FROM orders ORDER BY {_LCG.format('o_orderkey', 1)}, o_orderkey LIMIT 500")
@@ -435,9 +448,10 @@ def seed_farthest_first(spark, sf_dir):
     return _centroids(spark, seeding.farthest_first(points(spark, sf_dir), 6))
 
 
-@query("seed_lattice", "SELECT CAST(a * 4 + b AS INTEGER) AS j, 50 * (a + 0.5) / 4 AS c0, 10 * (b + 0.5) / 4 AS c1 FROM range(4) s(a), range(4) t(b)")
+@query("seed_lattice", f"WITH {oracle.LATTICE_2D}, e AS (SELECT min(x0) AS a0, max(x0) AS z0, min(x1) AS a1, max(x1) AS z1 FROM pts) SELECT CAST(a * 4 + b AS INTEGER) AS j, a0 + (z0 - a0) * (a + 0.5) / 4 AS c0, a1 + (z1 - a1) * (b + 0.5) / 4 AS c1 FROM e, range(4) s(a), range(4) t(b)")
 def seed_lattice(spark, sf_dir):
-    return _centroids(spark, seeding.lattice([0, 0], [50, 10], 4))
+    """Over the box of the points."""
+    return _centroids(spark, seeding.lattice(*seeding.box(points(spark, sf_dir), 2), 4))
 
 
 def _race(k: int) -> str:

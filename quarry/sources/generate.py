@@ -20,35 +20,41 @@ def lcg(key: Column, seed: int) -> Column:
     return step(F.shiftright(step(F.pmod(key, F.lit(1 << 31)) + seed), 3) * 7 + F.pmod(key, F.lit(1 << 20)))
 
 
-def blobs(spark: SparkSession, n: int, d: int, k: int, seed: int = 0, spread: float = 0.6, box: float = 10.0) -> DataFrame:
-    """A Gaussian mixture (id, x, w, label): uniform centres, a uniform label a point, Box-Muller noise."""
+def _ids(spark: SparkSession, n: int | DataFrame) -> DataFrame:
+    """So many ids, or those of a table."""
+    return spark.range(n) if isinstance(n, int) else n.select(F.col("id").cast("long").alias("id"))
+
+
+def blobs(spark: SparkSession, n: int | DataFrame, d: int, k: int, seed: int = 0, spread: float = 0.6, box: float = 10.0) -> DataFrame:
+    """A Gaussian mixture (id, x, w, label): uniform centres, a uniform label a point, Box-Muller noise. ``n`` here and below is a number
+    or a table with ids."""
     label = F.floor(uniform(F.col("id"), 0, seed) * k).cast("int")
     def axis(t: int) -> Column:
         centre = (uniform(F.col("label"), 100 + t, seed) * 2 - 1) * box
         noise = F.sqrt(-2 * F.ln(uniform(F.col("id"), 1 + 2 * t, seed))) * F.cos(2 * math.pi * uniform(F.col("id"), 2 + 2 * t, seed))
         return centre + noise * spread
-    return spark.range(n).withColumn("label", label).select("id", F.array(*map(axis, range(d))).alias("x"), F.lit(1).cast("long").alias("w"), "label")
+    return _ids(spark, n).withColumn("label", label).select("id", F.array(*map(axis, range(d))).alias("x"), F.lit(1).cast("long").alias("w"), "label")
 
 
 def _points(df: DataFrame, *axes: Column) -> DataFrame:
     return df.select("id", F.array(*(a.cast("double") for a in axes)).alias("x"), F.lit(1).cast("long").alias("w"))
 
 
-def grid(spark: SparkSession, side: int) -> DataFrame:
-    return _points(spark.range(side * side), F.floor(F.col("id") / side), F.pmod("id", F.lit(side)))
+def grid(spark: SparkSession, side: int, n: int | DataFrame | None = None) -> DataFrame:
+    return _points(_ids(spark, side * side if n is None else n), F.floor(F.col("id") / side), F.pmod("id", F.lit(side)))
 
 
-def collinear(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+def collinear(spark: SparkSession, n: int | DataFrame, seed: int = 0) -> DataFrame:
     t = uniform(F.col("id"), 0, seed)
-    return _points(spark.range(n), t, 2 * t + 1)
+    return _points(_ids(spark, n), t, 2 * t + 1)
 
 
-def circle(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+def circle(spark: SparkSession, n: int | DataFrame, seed: int = 0) -> DataFrame:
     angle = 2 * math.pi * uniform(F.col("id"), 0, seed)
-    return _points(spark.range(n), F.cos(angle), F.sin(angle))
+    return _points(_ids(spark, n), F.cos(angle), F.sin(angle))
 
 
-def overlapping(spark: SparkSession, n: int, d: int, k: int, seed: int = 0) -> DataFrame:
+def overlapping(spark: SparkSession, n: int | DataFrame, d: int, k: int, seed: int = 0) -> DataFrame:
     """A mixture whose clusters run into each other: deviations as wide as the box."""
     return blobs(spark, n, d, k, seed, spread=10.0).drop("label")
 

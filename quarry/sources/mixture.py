@@ -28,10 +28,13 @@ def mixture(spark: SparkSession, sf_dir: str, d: int, k: int) -> DataFrame:
     return rows.select("id", F.array(*(axis(t).cast("double") for t in range(d))).alias("x"), F.lit(1).cast("long").alias("w"))
 
 
-def first_centroids(points: DataFrame, k: int) -> np.ndarray:
+def drawn(points: DataFrame, k: int) -> DataFrame:
     """The points of the ``k`` least hashes of the id."""
-    rows = points.select("x", lcg(F.col("id"), 5).alias("draw"), "id").orderBy("draw", "id").limit(k).collect()
-    return np.array([r["x"] for r in rows], float)
+    return points.select("x", lcg(F.col("id"), 5).alias("draw"), "id").orderBy("draw", "id").limit(k)
+
+
+def first_centroids(points: DataFrame, k: int) -> np.ndarray:
+    return np.array([r["x"] for r in drawn(points, k).collect()], float)
 
 
 def _lcg(key: str, seed: int) -> str:
@@ -48,3 +51,21 @@ def sql(d: int, k: int) -> str:
         f"pts AS MATERIALIZED (SELECT id, {', '.join(map(axis, range(d)))}, 1 AS w FROM labels), "
         f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY draw, id) - 1 AS j, {', '.join(f'CAST({x} AS DOUBLE) AS c{t}' for t, x in enumerate(axes))} FROM (SELECT *, {_lcg('id', 5)} AS draw FROM pts) ORDER BY draw, id LIMIT {k})"
     )
+
+
+GROUP, SHIFT = 25, 200
+
+
+def sites(spark: SparkSession, sf_dir: str, d: int) -> DataFrame:
+    """(g, j, x, y): the points in groups of 25, as sets of centroids; every third one has moved a little (y)."""
+    rows = mixture(spark, sf_dir, d, 64)
+    by = lambda t: F.when(_draw(F.col("id"), 50, 3) == 0, _draw(F.col("id"), 51 + t, 2 * SHIFT + 1) - SHIFT).otherwise(0)
+    return rows.select(F.floor(F.col("id") / GROUP).alias("g"), F.pmod("id", F.lit(GROUP)).cast("int").alias("j"), "x", F.array(*(F.col("x")[t] + by(t) for t in range(d))).alias("y"))
+
+
+def sites_sql(d: int) -> str:
+    """CTEs b (before) and c (after): g, j, c0 ..."""
+    draw = lambda stream, below: f"((({_lcg(f'(id * 64 + {stream})', stream * 7919 + 1)}) >> 11) % {below})"
+    place = f"id // {GROUP} AS g, CAST(id % {GROUP} AS INTEGER) AS j"
+    now = ", ".join(f"x{t} + CASE WHEN {draw(50, 3)} = 0 THEN {draw(51 + t, 2 * SHIFT + 1)} - {SHIFT} ELSE 0 END AS c{t}" for t in range(d))
+    return f"{sql(d, 64)}, b AS MATERIALIZED (SELECT {place}, {', '.join(f'x{t} AS c{t}' for t in range(d))} FROM pts), c AS MATERIALIZED (SELECT {place}, {now} FROM pts)"

@@ -45,6 +45,12 @@ def plus_plus(points: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     return np.array(chosen)
 
 
+def box(points: DataFrame, width: int) -> tuple[list[float], list[float]]:
+    """The least and the greatest coordinate of each axis."""
+    row = points.agg(*(f(F.col("x")[t]) for f in (F.min, F.max) for t in range(width))).first()
+    return list(row[:width]), list(row[width:])
+
+
 def lattice(low: list[float], high: list[float], side: int) -> np.ndarray:
     """The centres of a regular lattice of cells over a box."""
     axes = [lo + (hi - lo) * (np.arange(side) + 0.5) / side for lo, hi in zip(low, high)]

@@ -150,3 +150,43 @@ def test_lattices_keep_all_edges_of_a_sphere(shape):
     c = np.stack([g.ravel() for g in np.meshgrid(*map(np.arange, shape), indexing="ij")], axis=1).astype(float)
     within_a_cell = (np.abs(c[:, None] - c[None]).max(-1) <= 1) & ~np.eye(len(c), dtype=bool)
     assert (dense(graph.Triangulation(c)) == within_a_cell).all()
+
+
+@pytest.mark.parametrize("d", [2, 3, 4])
+def test_a_mended_triangulation_is_that_of_the_moved_centroids(d):
+    rng, mended = np.random.default_rng(d), 0
+    for _ in range(60 if d < 4 else 15):
+        k = int(rng.integers(12, 50))
+        c = rng.normal(size=(k, d))
+        found, now = graph.Triangulation(c), c.copy()
+        some = rng.choice(k, int(rng.integers(1, 4)), False)
+        now[some] += rng.normal(size=(len(some), d)) * rng.choice([0.05, 0.3, 2.0])
+        mended += found.repair(now)
+        assert np.array_equal(found.graph.keys(), graph.Triangulation(now).graph.keys())
+    assert mended > 20 if d < 4 else mended > 3
+
+
+def test_points_taken_out_leave_the_mesh_of_the_rest():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 2))
+    mesh = graph.Triangulation(x).mesh
+    x = np.unique(x, axis=0)
+    for v in rng.permutation(80)[:50].tolist():
+        assert mesh._remove(v)
+    left = np.flatnonzero(mesh.member >= 0)
+    corners = mesh.vertices[mesh.solid()]
+    got = {(i, j) for own in corners.tolist() for i in own for j in own if i != j}
+    fresh = graph.Triangulation(x[left]).graph
+    assert got == {(left[i], left[j]) for i, j in zip(*graph.edges(fresh))}
+
+
+def test_large_meshes_find_their_holes_locally(monkeypatch):
+    from quarry.operators.delaunay import Mesh
+
+    for shape in ((9, 9), (4, 4, 4)):
+        lattice = np.stack([g.ravel() for g in np.meshgrid(*map(np.arange, shape), indexing="ij")], axis=1).astype(float)
+        for c in (lattice, np.random.default_rng(1).normal(size=(300, len(shape)))):
+            want = graph.Triangulation(c).graph.keys()
+            monkeypatch.setattr(Mesh, "SCANNED", 0)
+            assert np.array_equal(graph.Triangulation(c).graph.keys(), want)
+            monkeypatch.undo()
