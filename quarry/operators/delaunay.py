@@ -418,13 +418,15 @@ class Mesh:
     def solid(self) -> np.ndarray:
         return np.flatnonzero(self.alive & ~self.ghost)
 
-    def cliques(self) -> list[np.ndarray]:
-        """Corners of several simplices side by side on one sphere (up to rounding)."""
+    def cliques(self, exact: bool = False) -> list[np.ndarray]:
+        """Corners of several simplices side by side on one sphere: up to rounding, or exactly."""
         slots = self.solid()
         one, at = np.nonzero(~self.ghost[self.neighbours[slots]])
         a, b = slots[one], self.neighbours[slots[one], at]
         far = self.vertices[b][~(self.vertices[b][:, :, None] == self.vertices[a][:, None, :]).any(axis=2)]
         on = np.abs((self.f[a] * self.lift[far]).sum(-1)) <= ON_SPHERE * self.bound[a]
+        if exact:
+            on[on] = [self._exact_sign(s, p) == 0 for s, p in zip(a[on].tolist(), far[on].tolist())]
         a, b = a[on], b[on]
         root = np.arange(len(self.alive))
         while True:

@@ -102,10 +102,12 @@ class Triangulation:
     """The Delaunay graph for two to four dimensions. Simplices side by side on one sphere give all edges among their
     corners, so whichever way ties are cut, the graph has that edge; equal centroids are neighbours of each other
     and of each other's neighbours. Where centroids lie in a hyperplane, or are too few, or have one or more than
-    MOST_AXES dimensions, the complete graph stands in, which keeps every walk exact."""
+    MOST_AXES dimensions, the complete graph stands in, which keeps every walk exact. Near ties count as ties, as walks compare rounded
+    distances; not so with ``exact``."""
 
-    def __init__(self, c: np.ndarray) -> None:
+    def __init__(self, c: np.ndarray, exact: bool = False) -> None:
         k, d = c.shape
+        self.exact = exact
         self.graph, self.fallback, self.mesh = complete(k), True, None
         places, self.place = np.unique(c, axis=0, return_inverse=True)
         self.place = self.place.ravel()
@@ -120,7 +122,7 @@ class Triangulation:
     def _from_mesh(self, k: int) -> None:
         corners = self.mesh.vertices[self.mesh.solid()]
         j, h = (np.concatenate([corners[:, p[t]] for p in permutations(range(corners.shape[1]), 2)]) for t in (0, 1))
-        more = [np.array(list(permutations(own.tolist(), 2))) for own in self.mesh.cliques()]
+        more = [np.array(list(permutations(own.tolist(), 2))) for own in self.mesh.cliques(self.exact)]
         if more:
             j, h = np.r_[j, np.concatenate(more)[:, 0]], np.r_[h, np.concatenate(more)[:, 1]]
         n = len(self.mesh.x)
@@ -144,7 +146,7 @@ class Triangulation:
             if len(np.unique(places, axis=0)) == len(c) and self.mesh.moved(places):
                 self._from_mesh(len(c))
                 return True
-        self.__init__(c)
+        self.__init__(c, self.exact)
         return False
 
     def still_valid(self, c: np.ndarray) -> bool:

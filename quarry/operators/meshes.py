@@ -36,7 +36,7 @@ def _edges(c: np.ndarray, g: graph.Graph) -> dict[str, np.ndarray]:
 
 def delaunay(sites: DataFrame) -> DataFrame:
     """(g, j, h, place, len): neighbours of each centroid, the nearest first."""
-    return _by_group(sites, "j int, h int, place int, len double", lambda c: _edges(c, graph.Triangulation(c).graph), "x")
+    return _by_group(sites, "j int, h int, place int, len double", lambda c: _edges(c, graph.Triangulation(c, exact=True).graph), "x")
 
 
 def complete(sites: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def moved(sites: DataFrame) -> DataFrame:
     """From (g, j, x, y), centroids before and after: (g, j, drift, stable, kept, new)."""
 
     def work(c: np.ndarray, now: np.ndarray) -> dict[str, np.ndarray]:
-        drift, before, after = distance(now, c), graph.Triangulation(c).graph, graph.Triangulation(now).graph
+        drift, before, after = distance(now, c), graph.Triangulation(c, exact=True).graph, graph.Triangulation(now, exact=True).graph
         kept, new = graph.local_drift(now, before, after, drift)
         return {"j": np.arange(len(c), dtype=np.int32), "drift": drift, "stable": graph.stable_clusters(before, after, drift), "kept": kept, "new": new}
 
@@ -81,14 +81,14 @@ def moved(sites: DataFrame) -> DataFrame:
 
 def still_valid(sites: DataFrame) -> DataFrame:
     """(g, valid): whether the triangulation from before (x) holds for the centroids as they are now (y)."""
-    return _by_group(sites, "valid boolean", lambda c, now: {"valid": np.array([graph.Triangulation(c).still_valid(now)])}, "x", "y")
+    return _by_group(sites, "valid boolean", lambda c, now: {"valid": np.array([graph.Triangulation(c, exact=True).still_valid(now)])}, "x", "y")
 
 
 def repaired(sites: DataFrame) -> DataFrame:
     """(g, j, h): the graph after a move, from the one before it."""
 
     def work(c: np.ndarray, now: np.ndarray) -> dict[str, np.ndarray]:
-        found = graph.Triangulation(c)
+        found = graph.Triangulation(c, exact=True)
         found.repair(now)
         j, h = graph.edges(found.graph)
         return {"j": j.astype(np.int32), "h": h.astype(np.int32)}
