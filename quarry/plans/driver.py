@@ -31,7 +31,7 @@ from quarry.plans.exchange import Exchange
 from quarry.storage import materialise, remove, shared_folder
 
 #: Rows that a task works on at a time; iterations and seconds between two copies of the state in the shared folder.
-BLOCK, SAVE, SECONDS = 1 << 14, 100, 120.0
+BLOCK, SAVE, SECONDS = 1 << 14, 200, 60.0
 #: Bytes of state that a task holds, bytes that the tasks together send in an iteration, and most tasks of the stage.
 HELD, EXCHANGED, MOST_TASKS = 1 << 30, 1 << 27, 1000
 COUNTS = ("changed", "comps", "walks", "hops", "failed")
