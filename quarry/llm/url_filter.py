@@ -8,11 +8,17 @@ rejected if its block rate is over one half: the host's template, smoothed towar
 towards the branches above it one after another, up to the rate of all urls. So a host or a template without labels is
 judged by the branches merged over hosts.
 
-All statistics are sums by (host, shape), so a hot host is summed up before it is shuffled.
+All statistics are sums by (host, shape), so a hot host is summed up before it is shuffled. Rows of a branch, template or shape that
+very many share stay where they are when its figures are joined; what a single tree's branches share is left to Spark's
+splitting of skewed joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,10 +61,30 @@ def shape(path: Column) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]{16,}", "{x}"), "[0-9]+", "{n}"), "/")
 
 
+def _with_prefixes(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a hash of each prefix of a path in ``prefixes``: that of the first i + 1 segments is the exclusive or of a hash of
+    each with its place, so all are had in one go, however long the path."""
+    marked = df.withColumn("prefixes", F.transform(column, lambda x, i: F.xxhash64(i, x)))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["prefixes"]
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+            size = np.diff(offsets)
+            along = np.r_[0, np.bitwise_xor.accumulate(flat)] if len(flat) else np.zeros(1, np.int64)
+            found = along[1:] ^ np.repeat(along[offsets[:-1] - offsets[0]], size)
+            column = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(found, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], batch.schema.names)
+
+    return marked.mapInArrow(summed, marked.schema)
+
+
 def _forks(shapes: DataFrame) -> list[int]:
     """Levels at which some node has more than one child; at others there is nothing to generalise."""
-    steps = F.transform("shape", lambda x, i: F.struct(F.xxhash64(F.slice("shape", F.lit(1), i)).alias("lead"), x.alias("seg")))
-    nodes = shapes.select("tree", F.posexplode(steps).alias("level", "step")).groupBy("tree", "level", "step.lead").agg(F.min("step.seg").alias("one"), F.max("step.seg").alias("other"))
+    lead = lambda i: F.coalesce(F.get("prefixes", i - 1), F.lit(0).cast("long"))
+    steps = F.transform("shape", lambda x, i: F.struct(lead(i).alias("lead"), x.alias("seg")))
+    nodes = _with_prefixes(shapes.select("tree", "shape"), "shape").select("tree", F.posexplode(steps).alias("level", "step")).groupBy("tree", "level", "step.lead").agg(F.min("step.seg").alias("one"), F.max("step.seg").alias("other"))
     return sorted(r["level"] for r in nodes.filter("one != other").select("level").distinct().collect())  # as many as a path has segments
 
 
@@ -89,14 +115,17 @@ def _generalised(shapes: DataFrame) -> DataFrame:
 
 
 def _smoothed(evidence: DataFrame, root: Column) -> DataFrame:
-    """(template, l, b) of one tree to (template, abroad): from ``root`` down, each branch's rate smoothed towards that above it."""
-    prefixes = F.transform("template", lambda x, i: F.xxhash64(F.slice("template", F.lit(1), i + 1)))
-    steps = evidence.select("template", "l", "b", F.posexplode(prefixes).alias("level", "prefix"))
-    branches = steps.groupBy("prefix").agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
-    way = steps.select("template", "level", "prefix").join(branches, "prefix").groupBy("template").agg(F.sort_array(F.collect_list(F.struct("level", "l", "b"))).alias("way"))
+    """(template, l, b, n) of one tree to (template, abroad, n): from ``root`` down, each branch's rate smoothed towards that above it."""
+    name = F.unhex(F.md5(F.array_join("template", "/").cast("binary")))  # a path is not repeated for each of its segments
+    evidence = materialise(evidence.withColumn("name", name), "evidence")
+    steps = _with_prefixes(evidence.select("name", "l", "b", "template"), "template").select("name", "l", "b", F.posexplode("prefixes").alias("level", "prefix"))
+    steps = materialise(steps, "steps")
+    branches = materialise(steps.groupBy("prefix").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.count("*").alias("below")), "branches")
+    # all templates share their first branches
+    way = join_heavy(steps.select("name", "level", "prefix"), branches, "prefix", "below", max(1, steps.count())).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("level", "l", "b"))).alias("way"))
     rate = lambda above, l, b: (b + WEIGHT * above) / (l + WEIGHT)
     down = F.aggregate("way", root.cast("double"), lambda above, x: rate(above, x["l"], x["b"]))  # one entry a segment
-    return way.withColumn("down", down).join(evidence.select("template", "l", "b"), "template").select("template", rate(F.col("down"), F.col("l"), F.col("b")).alias("abroad"))
+    return way.select("name", down.alias("down")).join(evidence, "name").select("template", rate(F.col("down"), F.col("l"), F.col("b")).alias("abroad"), "n")
 
 
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -113,15 +142,19 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     rows = rows.withColumn("key", F.concat_ws("/", "host", F.array_join("shape", "/")))  # a host has no slash
     sums = materialise(rows.groupBy("host", "shape", "key").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")), "sums")
     trees = sums.select(F.concat(F.lit("host:"), "host").alias("tree"), "shape", "n", "labelled", "blocked")
-    over_all = sums.groupBy("shape").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))).select(F.lit(ALL).alias("tree"), "shape", "n", "labelled", "blocked")
+    shapes = materialise(sums.groupBy("shape").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")), F.count("*").alias("hosts")), "shapes")
+    over_all = shapes.select(F.lit(ALL).alias("tree"), "shape", "n", "labelled", "blocked")
     table = _generalised(trees.unionByName(over_all))
     total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b")).first()
     every = F.lit((total["b"] + WEIGHT / 2) / (total["l"] + WEIGHT))
-    evidence = table.groupBy("tree", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    placed = table.select("tree", "shape", "template").join(evidence, ["tree", "template"])
-    abroad = placed.filter(F.col("tree") == ALL).join(_smoothed(evidence.filter(F.col("tree") == ALL), every), "template").select("shape", "abroad")
-    at_home = placed.filter(F.col("tree") != ALL).select(F.substring("tree", 6, 1 << 30).alias("host"), "shape", F.array_join("template", "/").alias("template"), "l", "b")
-    rates = sums.select("host", "shape", "key", "n").join(at_home, ["host", "shape"]).join(abroad, "shape")
+    evidence = table.groupBy("tree", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count("*").alias("n"))
+    in_all, at_home = F.col("tree") == ALL, F.col("tree") != ALL
+    smoothed = materialise(_smoothed(evidence.filter(in_all).drop("tree"), every), "smoothed")
+    placed = table.filter(in_all).select("shape", "template")
+    abroad = join_heavy(placed, smoothed, "template", "n", max(1, placed.count())).select("shape", "abroad").join(shapes.select("shape", "hosts"), "shape")
+    at_home = table.filter(at_home).select("tree", "shape", "template").join(evidence, ["tree", "template"]).select(F.substring("tree", 6, 1 << 30).alias("host"), "shape", F.array_join("template", "/").alias("template"), "l", "b")
+    own = materialise(sums.select("host", "shape", "key", "n").join(at_home, ["host", "shape"]), "own")
+    rates = join_heavy(own, materialise(abroad, "abroad"), "shape", "hosts", max(1, own.count()))
     rates = materialise(rates.select("key", "n", "template", ((F.col("b") + WEIGHT * F.col("abroad")) / (F.col("l") + WEIGHT)).alias("block_rate")), "rates")
     out = join_heavy(rows.drop("shape"), rates, "key", "n", total["n"])
     chosen = F.coalesce("ruled", F.when(F.col("block_rate") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
