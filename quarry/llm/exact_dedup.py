@@ -4,8 +4,8 @@ Memtables of (digest, rank, id) flush as sorted runs to the shared folder. A run
 (a range of digests) is a segment with its own Bloom filter. Compaction merges a shard's segments in
 tiers of a fixed fan-in: a digest that no other segment's filter knows passes unread, the others are
 merged and the best entry stays (most code points, then smallest id). Digests held more than once are
-hits; their normalised texts are compared byte for byte, and a digest shared by different texts is
-resolved by the texts themselves.
+hits; their normalised texts are compared byte for byte. Rows of a digest shared by different texts are read again and
+grouped by their normalised bytes, whatever their digest.
 
 A hot text gives one segment entry a run (two where a file of runs is read in two parts), however often it occurs
 there, and its answer returns a run at a time, so no task ever holds a group of copies.
@@ -14,7 +14,7 @@ there, and its answer returns a run at a time, so no task ever holds a group of
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import leading_filter, materialise, may_hold, partitions, text_buffer, tidied, without
+from quarry.llm.common import join_heavy, leading_filter, materialise, may_hold, partitions, text_buffer, tidied, without
 
 #: Rows of a memtable, segments merged at a time, entries a shard should hold, bits of filter a digest.
 MEMTABLE_ROWS, FAN_IN, SHARD_ENTRIES, FILTER_BITS = 1 << 17, 8, 200_000, 10
@@ -30,9 +30,9 @@ WHITE_SPACE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 LAST = np.iinfo(np.int64).max
 
 
-def _digest(text: bytes, size: int) -> bytes:
-    """``size`` under 32 serves tests: it zeroes the rest, so that different texts meet."""
-    return hashlib.sha256(text).digest()[:size].ljust(32, b"\0")
+def digest_of(text: bytes) -> bytes:
+    """32 bytes; tests take worse digests, so that different texts meet."""
+    return hashlib.sha256(text).digest()
 
 
 def _normalised(column: pa.Array) -> Iterator[bytes]:
@@ -44,16 +44,16 @@ def _normalised(column: pa.Array) -> Iterator[bytes]:
 RUNS = "run long, row long, id long, n_points long, digest binary, sha binary"
 
 
-def _flush(size: int, memtable_rows: int):
+def _flush(digest: Callable[[bytes], bytes], memtable_rows: int):
     @tidied
     def flush(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count, held, rows = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             normal = list(_normalised(batch["text"]))
             sha = [hashlib.sha256(x).digest() for x in normal]
-            digest = sha if size == 32 else [_digest(x, size) for x in normal]
+            keys = sha if digest is digest_of else [digest(x) for x in normal]
             points = pa.compute.utf8_length(batch["text"]).cast(pa.int64()).fill_null(0)
-            held.append(pa.table({"id": batch["id"].cast(pa.int64()), "n_points": points, "digest": pa.array(digest, pa.binary()), "sha": pa.array(sha, pa.binary())}))
+            held.append(pa.table({"id": batch["id"].cast(pa.int64()), "n_points": points, "digest": pa.array(keys, pa.binary()), "sha": pa.array(sha, pa.binary())}))
             rows += len(batch)
             while rows >= memtable_rows:
                 table = pa.concat_tables(held)
@@ -180,24 +180,27 @@ def _compact(table: pa.Table) -> pa.Table:
     })
 
 
-def _hit_texts(wanted, bits: int, size: int):
+def _hit_texts(wanted, bits: int, digest_of: Callable[[bytes], bytes]):
+    """Normalised texts of the digests wanted, and by chance of some more."""
+
     @tidied
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = wanted.value
         for batch in batches:
-            out: dict[str, list] = {"digest": [], "normal": []}
-            for normal in _normalised(batch["text"]):
-                digest = _digest(normal, size)
+            out: dict[str, list] = {"id": [], "n_points": [], "digest": [], "normal": []}
+            points = pa.compute.utf8_length(batch["text"]).cast(pa.int64()).fill_null(0)
+            for i, normal in enumerate(_normalised(batch["text"])):
+                digest = digest_of(normal)
                 if may_hold(known, bits, digest):
-                    out["digest"].append(digest)
-                    out["normal"].append(normal)
+                    for name, v in zip(out, (batch["id"][i].as_py(), points[i].as_py(), digest, normal)):
+                        out[name].append(v)
             if out["digest"]:
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("digest", pa.binary()), ("normal", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(out, pa.schema([("id", pa.int64()), ("n_points", pa.int64()), ("digest", pa.binary()), ("normal", pa.binary())]))
 
     return texts
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, memtable_rows: int = MEMTABLE_ROWS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = digest_of, memtable_rows: int = MEMTABLE_ROWS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """One row per document: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Texts are equal when identical without ASCII white space. Null and empty texts, and texts of white
@@ -208,13 +211,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = materialise(rows.mapInArrow(_flush(digest_bytes, memtable_rows), RUNS), "runs")
+    runs = materialise(rows.mapInArrow(_flush(digest, memtable_rows), RUNS), "runs")
     shards = max(partitions(spark), -(-runs.count() // shard_entries))
     segments = runs.select("run", "row", "id", "n_points", "digest").mapInArrow(_segments(shards), "shard long, run long, entries binary, filter binary")
     hits = materialise(segments.groupBy("shard").applyInArrow(_compact, HITS), "hits")
 
-    known, bits = leading_filter(hits.select("digest").distinct(), "digest")
-    texts = rows.select("text").mapInArrow(_hit_texts(spark.sparkContext.broadcast(known), bits, digest_bytes), "digest binary, normal binary")
+    texts = _texts_of(rows, hits.select("digest").distinct(), digest)
     differ = texts.groupBy("digest").agg(F.min("normal").alias("low"), F.max("normal").alias("high")).filter("low != high").select("digest")
     differ = materialise(differ, "differ")
 
@@ -229,16 +231,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     if differ.isEmpty():
         return found.drop("digest")
-    return found.join(differ, "digest", "left_anti").drop("digest").unionByName(_by_text(runs.join(differ, "digest", "left_semi"), id_col))
+    return found.join(differ, "digest", "left_anti").drop("digest").unionByName(_by_text(_texts_of(rows, differ, digest).join(differ, "digest", "left_semi"), id_col))
+
+
+def _texts_of(rows: DataFrame, digests: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
+    """(id, n_points, digest, normal) of the rows whose digest is wanted, and by chance of some more, from one more pass over the texts."""
+    known, bits = leading_filter(digests, "digest")
+    return rows.mapInArrow(_hit_texts(rows.sparkSession.sparkContext.broadcast(known), bits, digest), "id long, n_points long, digest binary, normal binary")
 
 
-def _by_text(runs: DataFrame, id_col: str) -> DataFrame:
-    """Where different texts share a digest: by the hash of the whole text, pre-aggregated before the shuffle."""
+def _by_text(texts: DataFrame, id_col: str) -> DataFrame:
+    """Where different texts share a digest: groups of equal normalised bytes, pre-aggregated before the shuffle."""
+    texts = materialise(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
     best = F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("null"), "id", "row")
-    groups = runs.groupBy("sha").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
-    return runs.join(groups, "sha").select(
+    groups = materialise(texts.groupBy("normal").agg(F.min(best).alias("best"), F.count("*").alias("group_size")), "groups")
+    return join_heavy(texts, groups, "normal", "group_size", max(1, texts.count())).select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+        (F.col("row") == F.col("best.row")).alias("kept"), F.sha2("normal", 256).alias("text_sha256"),
     )
 
 

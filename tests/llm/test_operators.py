@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -37,9 +38,13 @@ def dedup_by_force(rows):
     return sorted(out, key=repr), len(groups)
 
 
-@pytest.mark.parametrize("digest_bytes", [32, 1])
-def test_exact_dedup(docs, rows, digest_bytes):
-    df = exact_dedup.exact_duplicates(docs, digest_bytes=digest_bytes).cache()
+@pytest.mark.parametrize("digest", [exact_dedup.digest_of, lambda text: bytes([len(text) % 7]) * 32, lambda text: b"\xff" * 32], ids=["sha256", "seven", "one"])
+def test_exact_dedup(docs, rows, digest):
+    """Also with different texts forced under one full digest: groups are those of the texts' bytes."""
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    df = exact_dedup.exact_duplicates(docs, digest=digest).cache()
     want, groups = dedup_by_force(rows)
     assert got(df, "doc_id", "keep_id", "group_size", "text_sha256") == want
     assert df.filter("kept").count() == groups
