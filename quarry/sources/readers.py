@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.sources import prepare
+from quarry.sources import lines, prepare
 
 
 def latitude_longitude(spark: SparkSession, path: str, n: int | None = None, seed: int = 1) -> DataFrame:
-    """A CSV with columns Lat and Lon to (id, lat, lon) from 0 to 1 with a little jitter; ``n`` samples rows."""
-    raw = spark.read.option("header", True).csv(path)
-    rows = raw.select(F.monotonically_increasing_id().alias("id"), F.col("Lat").try_cast("double").alias("lat"), F.col("Lon").try_cast("double").alias("lon")).dropna()
+    """A CSV with columns Lat and Lon to (id, lat, lon) from 0 to 1 with a little jitter; ``n`` samples rows. The id is the line's
+    number, so sample and jitter are the same however the file is split."""
+    names = spark.read.option("header", True).csv(path).columns
+    fields = F.from_csv("value", ", ".join(f"`{c}` string" for c in names))
+    raw = lines.numbered(spark, path, header=True).select("id", fields.alias("f"))
+    rows = raw.select("id", F.col("f.Lat").try_cast("double").alias("lat"), F.col("f.Lon").try_cast("double").alias("lon")).dropna()
     rows = prepare.sample(rows, "id", n, seed) if n else rows
     return prepare.jitter(prepare.min_max(rows, ["lat", "lon"]), ["lat", "lon"], "id", seed=seed)
 
 
 def road(spark: SparkSession, path: str, md5: str | None = None, seed: int = 2) -> DataFrame:
-    """A headerless CSV (key, longitude, latitude, altitude) to z-scores; ``md5`` guards the file."""
+    """A headerless CSV (key, longitude, latitude, altitude) to z-scores, by line number; ``md5`` guards the file."""
     if md5:
         found = spark.read.format("binaryFile").load(path).select(F.md5("content").alias("sum")).first()
         if found is None or found["sum"] != md5:
             raise ValueError(f"{path} is not the expected file")
-    rows = spark.read.schema("key string, x double, y double, z double").csv(path)
-    rows = rows.select(F.monotonically_increasing_id().alias("id"), "x", "y", "z").dropna()
+    fields = F.from_csv("value", "key string, x double, y double, z double")
+    rows = lines.numbered(spark, path).select("id", fields.alias("f")).select("id", "f.x", "f.y", "f.z").dropna()
     return prepare.jitter(prepare.z_score(rows, ["x", "y", "z"]), ["x", "y", "z"], "id", seed=seed)
 
 
@@ -41,7 +44,7 @@ def pixels(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
 
 
 def append_results(df: DataFrame, path: str) -> None:
-    """Runs are added to a Parquet table; readers see whole appends only."""
+    """Runs are added to a Parquet table; readers see whole appends only. ``results.Results`` adds each group once."""
     df.write.mode("append").parquet(path)
 
 
