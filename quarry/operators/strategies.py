@@ -174,6 +174,7 @@ class Context:
         self.radius: np.ndarray | None = None
         self.reach: np.ndarray | None = None
         self.degrees: list[tuple[float, int]] = []
+        self.read: list[int] = []
 
     def advance(self, c: np.ndarray) -> None:
         self.drift = distance(c, self.c)
@@ -191,6 +192,8 @@ class Strategy:
     """``tables`` makes the small arrays of an iteration; ``start`` and ``step`` run on batches."""
 
     own, needs_radius, needs_reach, in_z_order = 0, False, False, False
+    #: Whether ``tables`` names clusters whose rows ``step`` leaves as they are (``stable``).
+    skips = False
     #: The column of ``own`` that names the snapshot a row refers to, if any.
     refers: int | None = None
 
@@ -430,7 +433,7 @@ class Walk(Strategy):
 class StableWalk(Walk):
     """Skips clusters whose cell is unchanged; their bounds are corrected when they are next looked at."""
 
-    own = 1
+    own, skips = 1, True
 
     def __init__(self) -> None:
         super().__init__(separation=True, stop=True)

@@ -9,7 +9,11 @@ their exchange would be large.
 state's partitions, runs the strategy on Arrow batches and writes the new state (no shuffle), and an aggregation to one row a
 cluster.
 
-Both add up the same whole numbers, so the result is the same to the last bit, however points are dealt.
+*By label*: streamed, for strategies that skip stable clusters. The state's files are laid out by label; a pass reads the
+files of labels that aren't stable and writes their rows anew. Rows that move to a stable label are added to its files and
+merged when it is read again. Sums are kept for each file.
+
+All add up the same whole numbers, so the result is the same to the last bit, however points are dealt.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from quarry.storage import materialise, remove, shared_folder
 
 #: Rows that a task works on at a time; iterations and seconds between two copies of the state in the shared folder.
 BLOCK, SAVE, SECONDS = 1 << 14, 200, 60.0
+#: Most parts of a state that is laid out by label.
+LABEL_PARTS = 256
 #: Bytes of state that a task holds, bytes that the tasks together send in an iteration, and most tasks of the stage.
 HELD, EXCHANGED, MOST_TASKS = 1 << 30, 1 << 27, 1000
 COUNTS = ("changed", "comps", "walks", "hops", "failed")
@@ -126,7 +132,7 @@ def _summary(state: DataFrame, width: int) -> list[dict]:
     """One row a cluster: weight, exact sums, and weighted counts."""
     sums = [c.alias(f"{part}{t}") for t in range(width) for part, c in zip(("h", "l"), exact_sums(F.col("x")[t], F.col("w")))]
     counts = [F.sum(F.col(n) * F.col("w")).alias(n) for n in COUNTS]
-    return [r.asDict() for r in state.groupBy("a").agg(F.sum("w").alias("n"), F.max("u").alias("reach"), *sums, *counts).collect()]
+    return [r.asDict() for r in state.groupBy("a").agg(F.sum("w").alias("n"), F.count("*").alias("rows"), F.max("u").alias("reach"), *sums, *counts).collect()]
 
 
 def _work(summary: list[dict]) -> list[dict]:
@@ -306,6 +312,63 @@ def _streamed(points: DataFrame, plan_name: str | Strategy, context: Context, mo
     return state, context, converged, trace
 
 
+def _by_label(points: DataFrame, plan_name: str | Strategy, context: Context, most: int, folder: str) -> tuple[DataFrame, Context, bool, list]:
+    spark, plan, width, trace, converged = points.sparkSession, _plan(plan_name), context.c.shape[1], [], False
+    parts = min(len(context.c), LABEL_PARTS)
+    live: dict[int, list[str]] = {}  # the folders of each part
+    sums: dict[str, list[dict]] = {}  # of each folder, by label
+    referred: dict[str, set[int]] = {}
+    part = F.pmod("a", F.lit(parts)).alias("part")
+
+    def work(rows: DataFrame | None, tables: dict, read: list[int]) -> None:
+        path, new = f"{folder}/{context.it}", []
+        if rows is not None:
+            state = rows.mapInArrow(_pass(plan_name, context.c, tables, not context.it), STATE).select("*", part)
+            state.hint("rebalance", "part").write.partitionBy("part").option("compression", "zstd").parquet(path)
+            written = spark.read.schema(STATE).parquet(path)
+            new = _summary(written, width)
+            seen = written.select(part, F.col("own")[plan.refers].alias("since")).distinct().collect() if plan.refers else []  # an iteration, a part
+        for p in read:
+            for old in live.pop(p, []):
+                del sums[old]
+                referred.pop(old, None)
+                remove(spark, old)
+        for r in new:
+            own = f"{path}/part={r['a'] % parts}"
+            if own not in sums:
+                live.setdefault(r["a"] % parts, []).append(own)
+            sums.setdefault(own, []).append(r)
+        for r in seen if new else []:
+            referred.setdefault(f"{path}/part={r['part']}", set()).add(int(r["since"]))
+        context.summary = _merged([r for own in sums.values() for r in own])
+        context.forget(set().union(*referred.values()))
+        trace.append(_work(new))
+        context.open_share = _open_share(new)
+
+    work(points, plan.tables(context), [])
+    while context.it < most and not converged:
+        context.advance(updated(context.c, context.summary))
+        tables = plan.tables(context)
+        read = sorted({j % parts for j in np.flatnonzero(~tables["stable"]).tolist()} & set(live))
+        paths = [path for p in read for path in live[p]]
+        context.read.append(sum(r["rows"] for path in paths for r in sums[path]))
+        work(spark.read.schema(STATE).parquet(*paths) if paths else None, tables, read)
+        converged = not any(r["changed"] for r in trace[-1])
+    state = spark.read.schema(STATE).parquet(*(path for own in live.values() for path in own)) if live else points.withColumn("a", F.lit(0))
+    return state, context, converged, trace
+
+
+def _merged(rows: list[dict]) -> list[dict]:
+    """One row a cluster: the sums of its rows in all folders."""
+    out: dict[int, dict] = {}
+    for r in rows:
+        own = out.setdefault(r["a"], {"a": r["a"]})
+        for name, v in r.items():
+            if name != "a":
+                own[name] = own.get(name, 0) + v
+    return list(out.values())
+
+
 # --- runs ---
 
 
@@ -364,11 +427,15 @@ def run(points: DataFrame, centroids: np.ndarray, strategy: str | Strategy = "au
     parts = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = plan.in_z_order and width >= 2 and box["rows"]
     table = z_order(table, box, parts) if ordered else table.repartition(parts)
-    loop = (lambda: _in_memory(table, name, context, max_iterations, folder, tasks, save)) if tasks else (lambda: _streamed(table, name, context, max_iterations, folder))
-    state, context, converged, trace = loop()
+    if tasks:
+        state, context, converged, trace = _in_memory(table, name, context, max_iterations, folder, tasks, save)
+    else:
+        state, context, converged, trace = (_by_label if plan.skips else _streamed)(table, name, context, max_iterations, folder)
     remove(spark, f"{folder}/points")
     metrics = {n: sum(int(r[n]) for rows in trace for r in rows) for n in COUNTS[1:]}
     metrics |= {"rebuilds": context.rebuilds, "fallbacks": context.fallbacks, "repairs": context.repairs, "tasks": parts, "snapshots": context.most_snapshots}
+    if context.read:  # rows of each iteration, where stable clusters are skipped
+        metrics |= {"rows_read": sum(context.read), "least_rows_read": min(context.read)}
     if context.degrees:  # of the graphs that the run built
         metrics |= {"mean_degree": sum(m for m, _ in context.degrees) / len(context.degrees), "most_degree": max(m for _, m in context.degrees), "graphs": len(context.degrees)}
     return Result(state.select("id", "x", "w", "a"), context.c, context.it, converged, metrics, trace)

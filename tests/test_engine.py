@@ -188,6 +188,26 @@ def test_snapshots_go_when_no_row_refers_to_them(spark):
     assert evaluate.runs_agree(found, driver.run(points, c, "lloyd")).first()["exact"]
 
 
+@pytest.mark.parametrize("name", ["walk_stable", "walk_history"])
+def test_files_of_stable_clusters_are_neither_read_nor_written(spark, name, monkeypatch):
+    """A far group of clusters settles at once, while the other one goes on."""
+    rng = np.random.default_rng(5)
+    far = np.concatenate([rng.normal(size=(40, 2)) * 0.1 + [1000 + 30 * (i % 4), 30 * (i // 4)] for i in range(12)])
+    x = np.concatenate([far, rng.uniform(0, 10, (700, 2))])
+    points = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, x array<double>, w long")
+    c = np.r_[far[::40], x[480:490]]
+    removed = []
+    real = driver.remove
+    monkeypatch.setattr(driver, "remove", lambda s, path: (removed.append(path), real(s, path)))
+    found = driver.run(points, c, name, in_memory=False)
+    want = driver.run(points, c, "lloyd")
+    assert evaluate.runs_agree(found, want).first()["exact"]
+    assert found.iterations > 8 and found.metrics["least_rows_read"] < len(x) and found.metrics["rows_read"] < 0.8 * len(x) * found.iterations
+    kept = {p.split("/")[-2] for p in found.labels.inputFiles()}
+    written = {p.split("/")[-3] for p in found.labels.inputFiles()}
+    assert len(kept) > 1 and len(written) > 1 and any("part=" in p for p in removed)  # files of several iterations, old ones of read parts gone
+
+
 def test_label_sums_are_exact_for_large_weights():
     x, w = np.array([[1e6 + 0.1], [-3.7], [0.3]]), np.array([1 << 40, 3, 1 << 33])
     for weights in (w, np.array([2, 3, 4])):
