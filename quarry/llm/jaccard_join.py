@@ -32,8 +32,8 @@ from quarry.llm.graph import components
 WORDS, THRESHOLD = 5, 0.8
 #: Trees, the depth of their labels, and the share of links to be found.
 TREES, DEPTH, RECALL = 24, 8, 0.999
-#: Sets of a block in verification.
-BLOCK_SETS = 400
+#: Sets of a block in verification, and their members (eight bytes each) together, as far as hashing deals them evenly.
+BLOCK_SETS, BLOCK_MEMBERS = 400, 1 << 23
 #: Parts into which the similarities from the threshold to 1 are counted.
 BINS = 40
 
@@ -303,11 +303,11 @@ def linked_in_groups(edges: DataFrame, classes: DataFrame, shingles: DataFrame,
     spark = edges.sparkSession
     roots = components(edges)
     members = materialise(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "nodes")
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
-    members = join_heavy(members, sizes, "root", "size", members.count()).select(
-        F.col("node").alias("set_id"), F.col("root").alias("group"), F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("n_blocks")
-    )
-    dealt = members.join(classes.select("set_id", "copies"), "set_id").join(shingles, "set_id")
+    members = materialise(members.withColumnRenamed("node", "set_id").join(classes.select("set_id", "copies", "n_shingles"), "set_id"), "members")
+    sizes = members.groupBy("root").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("all"))
+    n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("all") / BLOCK_MEMBERS)).cast("int")
+    members = join_heavy(members, sizes, "root", "size", members.count()).select("set_id", "copies", F.col("root").alias("group"), n_blocks.alias("n_blocks"))
+    dealt = members.join(shingles, "set_id")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("n_blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
@@ -361,7 +361,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     with storage.scope(spark):  # signatures, tries and shingles go when the links are known
         signed = materialise(rows.mapInArrow(_sets(depth, trees, id_col), f"`{id_col}` {kind}, set_id binary, n_shingles long, sig binary"), "sets")
         every = storage.materialise(signed.drop("sig"), f"{kept}/every")
-        full = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("copies"), F.min(id_col).alias("least"), F.first("sig").alias("sig"))
+        full = signed.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("copies"), F.min(id_col).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
         full = materialise(full, "classes")
         classes = storage.materialise(full.drop("sig"), f"{kept}/classes")
         named = storage.materialise(_classes(rows, full, classes, threshold, trees, depth, recall), f"{kept}/named")
