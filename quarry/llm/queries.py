@@ -16,42 +16,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all ``documents``."""
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text of ``documents``."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of ``documents``."""
     return language.predicted(_table(spark, sf_dir, "documents"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a mix of all sources takes each document."""
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every url of ``pages``."""
     return url_filter.judged(_table(spark, sf_dir, "pages"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the five-word shingles of all ``documents``."""
     return jaccard_join.similar(_table(spark, sf_dir, "documents")).drop("set_id", "class_key")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and perplexity bands on all ``documents``."""
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all ``documents`` by a model of the training part."""
     return lm_scoring.scored(_table(spark, sf_dir, "documents"))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text of ``documents``."""
     return personal_data.personal_data(_table(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of ``documents`` in sequences of 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
