@@ -80,8 +80,14 @@ def moved(sites: DataFrame) -> DataFrame:
 
 
 def still_valid(sites: DataFrame) -> DataFrame:
-    """(g, valid): whether the triangulation from before (x) holds for the centroids as they are now (y)."""
-    return _by_group(sites, "valid boolean", lambda c, now: {"valid": np.array([graph.Triangulation(c, exact=True).still_valid(now)])}, "x", "y")
+    """(g, valid): whether the triangulation from before (x) holds for the centroids as they are now (y). Where its certificate leaves
+    doubt, a new mesh decides."""
+
+    def work(c: np.ndarray, now: np.ndarray) -> dict[str, np.ndarray]:
+        held = graph.Triangulation(c, exact=True)
+        return {"valid": np.array([held.still_valid(now) or np.array_equal(held.graph.keys(), graph.Triangulation(now, exact=True).graph.keys())])}
+
+    return _by_group(sites, "valid boolean", work, "x", "y")
 
 
 def repaired(sites: DataFrame) -> DataFrame:

@@ -53,19 +53,20 @@ def sql(d: int, k: int) -> str:
     )
 
 
-GROUP, SHIFT = 25, 200
+#: Centroids of a group by dimension (the SQL looks at all simplices of a group), and how far they move.
+GROUP, SHIFT = {2: 25, 3: 20, 4: 10}, 200
 
 
 def sites(spark: SparkSession, sf_dir: str, d: int) -> DataFrame:
-    """(g, j, x, y): the points in groups of 25, as sets of centroids; every third one has moved a little (y)."""
+    """(g, j, x, y): the points in small groups, as sets of centroids; every third one has moved a little (y)."""
     rows = mixture(spark, sf_dir, d, 64)
     by = lambda t: F.when(_draw(F.col("id"), 50, 3) == 0, _draw(F.col("id"), 51 + t, 2 * SHIFT + 1) - SHIFT).otherwise(0)
-    return rows.select(F.floor(F.col("id") / GROUP).alias("g"), F.pmod("id", F.lit(GROUP)).cast("int").alias("j"), "x", F.array(*(F.col("x")[t] + by(t) for t in range(d))).alias("y"))
+    return rows.select(F.floor(F.col("id") / GROUP[d]).alias("g"), F.pmod("id", F.lit(GROUP[d])).cast("int").alias("j"), "x", F.array(*(F.col("x")[t] + by(t) for t in range(d))).alias("y"))
 
 
 def sites_sql(d: int) -> str:
     """CTEs b (before) and c (after): g, j, c0 ..."""
     draw = lambda stream, below: f"((({_lcg(f'(id * 64 + {stream})', stream * 7919 + 1)}) >> 11) % {below})"
-    place = f"id // {GROUP} AS g, CAST(id % {GROUP} AS INTEGER) AS j"
+    place = f"id // {GROUP[d]} AS g, CAST(id % {GROUP[d]} AS INTEGER) AS j"
     now = ", ".join(f"x{t} + CASE WHEN {draw(50, 3)} = 0 THEN {draw(51 + t, 2 * SHIFT + 1)} - {SHIFT} ELSE 0 END AS c{t}" for t in range(d))
     return f"{sql(d, 64)}, b AS MATERIALIZED (SELECT {place}, {', '.join(f'x{t} AS c{t}' for t in range(d))} FROM pts), c AS MATERIALIZED (SELECT {place}, {now} FROM pts)"
