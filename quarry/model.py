@@ -47,6 +47,8 @@ class Result:
     converged: bool
     metrics: dict[str, float] = field(default_factory=dict)
     trace: list[list[dict]] = field(default_factory=list)
+    #: The farthest that a centroid went in each iteration.
+    drifts: list[float] = field(default_factory=list)
 
     def sizes(self) -> DataFrame:
         """Points and coordinate sums of each cluster that has points."""

@@ -175,11 +175,13 @@ class Context:
         self.reach: np.ndarray | None = None
         self.degrees: list[tuple[float, int]] = []
         self.read: list[int] = []
+        self.drifts: list[float] = []
 
     def advance(self, c: np.ndarray) -> None:
         self.drift = distance(c, self.c)
         self.c, self.dmax, self.it = c, float(self.drift.max()), self.it + 1
         self.cum += self.dmax
+        self.drifts.append(self.dmax)
         self.snapshots[self.it] = c
 
     def forget(self, referred: set[int]) -> None:

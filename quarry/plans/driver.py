@@ -438,4 +438,4 @@ def run(points: DataFrame, centroids: np.ndarray, strategy: str | Strategy = "au
         metrics |= {"rows_read": sum(context.read), "least_rows_read": min(context.read)}
     if context.degrees:  # of the graphs that the run built
         metrics |= {"mean_degree": sum(m for m, _ in context.degrees) / len(context.degrees), "most_degree": max(m for _, m in context.degrees), "graphs": len(context.degrees)}
-    return Result(state.select("id", "x", "w", "a"), context.c, context.it, converged, metrics, trace)
+    return Result(state.select("id", "x", "w", "a"), context.c, context.it, converged, metrics, trace, context.drifts)

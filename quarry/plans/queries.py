@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import model
@@ -297,6 +297,18 @@ for _query, _name in [("mixture_jobs_per_iteration", "walk_reuse"), *((f"mixture
     query(_query, _FEW_ROUNDS)(lambda spark, sf_dir, name=_name: mixture_run(spark, sf_dir, 2, 64, name, in_memory=False, max_iterations=6).sizes())
 
 
+_DRIFTS = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS iteration, max({oracle.gap('p', 'q', 2, 'c')}) AS drift FROM c{i} p JOIN c{i - 1} q ON p.j = q.j" for i in range(1, 7))
+
+
+@query("cumulative_drift", f"WITH {oracle.rounds_from(mixture.sql(2, 64), 2, 6)}, d AS ({_DRIFTS}) SELECT iteration, round(drift, 6) AS drift, round(sum(drift) OVER (ORDER BY iteration), 6) AS cumulative, round(lag(drift) OVER (ORDER BY iteration), 6) AS before FROM d")
+def cumulative_drift(spark, sf_dir):
+    """The history of a run: a row an iteration."""
+    found = mixture_run(spark, sf_dir, 2, 64, "walk_stable", max_iterations=6)
+    history = small(spark, [(i, float(d)) for i, d in enumerate(found.drifts, 1)], "iteration int, drift double")
+    window = Window.orderBy("iteration")
+    return history.select("iteration", F.round("drift", 6).alias("drift"), F.round(F.sum("drift").over(window), 6).alias("cumulative"), F.round(F.lag("drift").over(window), 6).alias("before"))
+
+
 @query("run_degrees", f"WITH {mixture.sql(3, 25)}, {oracle.empty_spheres(3, 'c0')}, n AS (SELECT j, count(*) AS degree FROM e GROUP BY j) SELECT round(avg(degree), 6) AS mean_degree, max(degree) AS most_degree, CAST(1 AS BIGINT) AS graphs FROM n")
 def run_degrees(spark, sf_dir):
     m = mixture_run(spark, sf_dir, 3, 25, "walk", max_iterations=0).metrics
