@@ -42,6 +42,18 @@ def test_a_set_takes_few_milliseconds(d, k, most):
     assert (time.process_time() - began) / len(x) * 1e3 < most
 
 
+def test_a_set_in_the_plane_takes_pairs_not_simplices(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.integers(-10000, 10000, (60, 25, 2)), rng.integers(0, 40, (60, 25, 2))]).astype(float)
+    x[0, 1], x[1, :3] = x[0, 0], [[0, 0], [50, 50], [100, 100]]
+    want = np.concatenate([_by_all_simplices(own) + i * 625 for i, own in enumerate(x[::6])])
+    assert np.array_equal(small.edges(x[::6]), want)
+    mesh, seen = small._mesh, []
+    monkeypatch.setattr(small, "_mesh", lambda some, corners: seen.append(len(some)) or mesh(some, corners))
+    small.edges(x[:60])
+    assert sum(seen) <= 3  # sets with circles through four points
+
+
 def test_groups_over_several_batches():
     g = np.repeat(np.arange(6), [3, 1, 9, 2, 2, 1])
     table = pa.table({"g": g, "j": np.arange(len(g))})
